@@ -30,15 +30,15 @@ def count_tokens(docs: DataFrame, vocabulary: str, *, max_tokens: int = 2048, id
         for batch in slices(batches):
             texts = text_list(batch)
             odd = [bool(UNSURE.search(t)) for t in texts]
-            n = counter.counts([{} if o else Counter(t.split()) for t, o in zip(texts, odd, strict=True)])
+            n = counter.counts([Counter() if o else counter.frequencies(t) for t, o in zip(texts, odd, strict=True)])
             for i, o in enumerate(odd):
                 if o:
                     n[i] = counter.whole(texts[i])
             yield {
                 "doc_id": batch.column("doc_id"),
                 "n_bytes": [len(t.encode()) for t in texts],
-                "n_tokens": n.tolist(),
-                "over_limit": (n > max_tokens).tolist(),
+                "n_tokens": n,
+                "over_limit": [k > max_tokens for k in n],
             }
 
     return arrow_rows(keyed_text(docs, id_col, text_col), work, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
