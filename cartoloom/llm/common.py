@@ -9,6 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Arrow batches are kept small, since a text may be long: setting, our value, Spark's own.  Other values stay.
+BATCH_LIMITS = (
+    ("spark.sql.execution.arrow.maxRecordsPerBatch", "1000", "10000"),
+    ("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20), "67108864b"),
+)
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -50,7 +55,11 @@ def keyed_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def arrow_rows(frame: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
     """``mapInArrow`` where ``work`` yields columns as dicts; empty results are skipped."""
-    fields = frame.sparkSession.createDataFrame([], schema).schema
+    spark = frame.sparkSession
+    for setting, value, usual in BATCH_LIMITS:
+        if spark.conf.get(setting, usual) == usual:
+            spark.conf.set(setting, value)
+    fields = spark.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(fields)
