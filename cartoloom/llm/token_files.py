@@ -42,8 +42,8 @@ class SequenceWriter:
     def add(self, ids: np.ndarray) -> None:
         self.held.append(ids.astype(self.dtype))
         self.waiting += len(ids)
-        if self.waiting >= self.length * BATCH_SEQUENCES:
-            self._flush(self.waiting // self.length)
+        if full := self.waiting // (self.length * BATCH_SEQUENCES):
+            self._flush(full * BATCH_SEQUENCES)  # all batches but the last have the same size
 
     def _flush(self, rows: int) -> None:
         flat = np.concatenate(self.held) if self.held else np.zeros(0, self.dtype)
@@ -88,6 +88,8 @@ class SequenceReader:
         while n:
             k, inside = divmod(start, step)
             parts.append(self._batch(k)[inside : inside + n])
+            if not len(parts[-1]):
+                raise ValueError(f"{self.source}: ends before {start}")
             start, n = start + len(parts[-1]), n - len(parts[-1])
         return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, np.uint32)
 
