@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -48,6 +51,30 @@ def settled(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def stored(frame: DataFrame) -> DataFrame:
+    """The frame as a Parquet table in the shared folder, for what is read more than once or by columns.
+
+    The folders go when the application ends.
+    """
+    spark = frame.sparkSession
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    if not _stored:
+        atexit.register(_forget, spark)
+    _stored.append(path)
+    return spark.read.parquet(path)
+
+
+_stored: list[str] = []
+
+
+def _forget(spark: SparkSession) -> None:
+    for path in _stored:
+        with contextlib.suppress(Exception):  # the gateway may be gone
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def keyed_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns an operator reads, under fixed names, whatever else the table has."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartoloom.llm.common import arrow_rows, keyed_text, settled, slices, text_list
+from cartoloom.llm.hashing import BACK, BASE, power_table
 
 #: Bytes of the rolling window, the smallest block (as a power of two) and the most chunks of a signature.
 WINDOW, LEAST_BITS, MOST_CHUNKS = 7, 2, 64
@@ -21,23 +22,6 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 
 _LETTERS = np.frombuffer(ALPHABET.encode(), np.uint8)
 _ROLL = np.array([pow(0x9E3779B1, k + 1, 1 << 32) for k in range(WINDOW)], np.uint32)
-_BASE = 0xD6E8FEB86659FD93
-_BACK = pow(_BASE, -1, 1 << 64)
-_tables: dict[int, np.ndarray] = {}
-
-
-def _power_table(base: int, n: int) -> np.ndarray:
-    """Powers of a base modulo 2^64, one for each place of the longest text so far."""
-    table = _tables.get(base, np.ones(1, np.uint64))
-    if len(table) < n:
-        more = np.empty(1 << (n - 1).bit_length(), np.uint64)
-        have = len(table)
-        more[:have] = table
-        while have < len(more):
-            more[have : 2 * have] = more[:have] * np.uint64(pow(base, have, 1 << 64))
-            have *= 2
-        _tables[base] = table = more
-    return table[:n]
 
 
 def fingerprint(text: str) -> str:
@@ -64,12 +48,12 @@ def fingerprint(text: str) -> str:
     bits = LEAST_BITS
     while np.count_nonzero(zeros >= bits) >= MOST_CHUNKS:
         bits += 1
-    weighted = (data.astype(np.uint64) + np.uint64(1)) * _power_table(_BASE, n)
+    weighted = (data.astype(np.uint64) + np.uint64(1)) * power_table(BASE, n)
     out = []
     for b in (bits, bits + 1):
         stops = ends[zeros >= b] + 1
         starts = np.concatenate([[0], stops[stops < n]]).astype(np.int64)
-        total = np.add.reduceat(weighted, starts) * _power_table(_BACK, n)[starts]  # wherever the chunk stands
+        total = np.add.reduceat(weighted, starts) * power_table(BACK, n)[starts]  # wherever the chunk stands
         total ^= total >> np.uint64(29)
         total *= np.uint64(0x9E3779B97F4A7C15)
         out.append(_LETTERS[(total >> np.uint64(58)).astype(np.int64)].tobytes().decode())

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartoloom.llm import decontamination, fingerprints, language, packing, token_counts, token_files
+from cartoloom.llm import decontamination, fingerprints, language, packing, repeats, token_counts, token_files
 from cartoloom.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(repeats.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edited(table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_fingerprints, op4_decontamination, op6_token_files, op7_packing, op8_language)}
+    return {f.__name__: f for f in (op1_token_counts, op2_repeats, op3_fingerprints, op4_decontamination, op6_token_files, op7_packing, op8_language)}
 
 
 def oracle_sql() -> dict[str, str]:
