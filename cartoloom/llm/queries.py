@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartoloom.llm import decontamination, fingerprints, language, packing, repeats, token_counts, token_files
+from cartoloom.llm import decontamination, fingerprints, language, packing, personal_data, repeats, token_counts, token_files
 from cartoloom.llm.common import table
 
 
@@ -48,8 +48,13 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return personal_data.digest(personal_data.find(docs, personal_data.fit_on_sample(docs)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_repeats, op3_fingerprints, op4_decontamination, op6_token_files, op7_packing, op8_language)}
+    return {f.__name__: f for f in (op1_token_counts, op2_repeats, op3_fingerprints, op4_decontamination, op6_token_files, op7_packing, op8_language, op10_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
