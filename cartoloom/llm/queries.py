@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartoloom.llm import decontamination, fingerprints, language, packing, personal_data, repeats, token_counts, token_files
+from cartoloom.llm import decontamination, fingerprints, language, packing, personal_data, repeats, token_counts, token_files, toxicity
 from cartoloom.llm.common import table
 
 
@@ -48,13 +48,21 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = language.in_fold(F.col("doc_id"), 4, 2)
+    model = toxicity.fit_on_sample(docs.where(~held_out), labels.where(~held_out))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "evidence")
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return personal_data.digest(personal_data.find(docs, personal_data.fit_on_sample(docs)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_repeats, op3_fingerprints, op4_decontamination, op6_token_files, op7_packing, op8_language, op10_personal_data)}
+    return {f.__name__: f for f in (op1_token_counts, op2_repeats, op3_fingerprints, op4_decontamination, op6_token_files, op7_packing, op8_language, op9_toxicity, op10_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
