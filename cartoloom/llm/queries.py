@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartoloom.llm import decontamination, fingerprints, language, packing, personal_data, repeats, token_counts, token_files, toxicity
+from cartoloom.llm import decontamination, fingerprints, language, near_duplicates, packing, personal_data, repeats, token_counts, token_files, toxicity
 from cartoloom.llm.common import table
 
 
@@ -33,6 +33,11 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document with its class and its number of links."""
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents")).drop("first", "t")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digest(token_files.token_files(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
 
@@ -62,7 +67,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_repeats, op3_fingerprints, op4_decontamination, op6_token_files, op7_packing, op8_language, op9_toxicity, op10_personal_data)}
+    return {f.__name__: f for f in (op1_token_counts, op2_repeats, op3_fingerprints, op4_decontamination, op5_near_duplicates, op6_token_files, op7_packing, op8_language, op9_toxicity, op10_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
