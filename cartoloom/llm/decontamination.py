@@ -33,38 +33,46 @@ def _key(at: str, n: int) -> str:
     return f"(h[{at}] ^ shiftleft(h[{at}+{n // 2}], 1) ^ shiftleft(h[{at}+{n - 1}], 2))"
 
 
-def with_hits(docs: DataFrame, windows: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``__words`` and ``__hits``, the places (array of pos, length, window) where a window occurs.
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def scan(windows: DataFrame, text_col: str) -> Column:
+    """A struct of ``n``, the number of words, and ``hits``, the places (pos, length, window) where a window occurs.
 
     Windows within the bound are shipped to every task as a hash set inside the plan.  A document is scanned in
     place: positions whose folded number is in a first set are kept, then the window itself is looked up in the
-    exact set.  Nothing is exploded or shuffled.  Beyond the bound ``__hits`` holds all positions, to be joined.
+    exact set.  Nothing is exploded or shuffled, and words and their hashes are bound once.  Beyond the bound ``hits``
+    holds all positions, to be joined.
     """
     known = windows.select("window", "length").distinct()
     lengths = sorted(r.length for r in known.select("length").distinct().collect())
-    few = known.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    texts: dict[int, list[str]] = {n: [] for n in lengths}
-    keys: dict[int, list[int]] = {n: [] for n in lengths}
+    few = within_bound(windows)
+    texts: dict[int, set[str]] = {n: set() for n in lengths}
+    keys: dict[int, set[int]] = {n: set() for n in lengths}
     if few and lengths:
         h = known.select("length", "window", F.transform(F.split("window", " "), lambda w: F.xxhash64(w)).alias("h"))
         folded = F.expr("CASE " + " ".join(f"WHEN length = {n} THEN {_key('0', n)}" for n in lengths) + " END")
         for r in h.select("length", "window", folded.alias("key")).toLocalIterator():
-            texts[r.length].append(r.window)
-            keys[r.length].append(r.key)
-    docs = docs.withColumn("__words", words(F.col(text_col)))
-    docs = docs.withColumn("__h", F.transform("__words", lambda w: F.xxhash64(w)))
-    found = [F.array().cast("array<struct<pos:int,length:int,window:string>>")]
+            texts[r.length].add(r.window)
+            keys[r.length].add(r.key)
+    found = ["cast(array() AS array<struct<pos:int,length:int,window:string>>)"]
     for n in lengths:
-        places = f"CASE WHEN size(__h) >= {n} THEN sequence(0, size(__h) - {n}) ELSE array() END"
+        places = f"CASE WHEN size(h) >= {n} THEN sequence(0, size(h) - {n}) ELSE cast(array() AS array<int>) END"
         if few:
-            near = _key("i", n).replace("h[", "__h[")
-            places = f"filter({places}, i -> {near} IN ({','.join(f'{k}L' if k != -(1 << 63) else 'cast(-9223372036854775808 as bigint)' for k in set(keys[n]))}))"
-        run = f"transform({places}, i -> struct(i AS pos, {n} AS length, array_join(slice(__words, i + 1, {n}), ' ') AS window))"
+            listed = ",".join(f"{k}L" if k > -(1 << 63) else "cast('-9223372036854775808' AS bigint)" for k in sorted(keys[n]))
+            places = f"filter({places}, i -> {_key('i', n)} IN ({listed}))"
+        run = f"transform({places}, i -> named_struct('pos', i, 'length', {n}, 'window', array_join(slice(w, i + 1, {n}), ' ')))"
         if few:
-            quoted = ",".join("'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'" for t in set(texts[n]))
-            run = f"filter({run}, x -> x.window IN ({quoted}))"
-        found.append(F.expr(run))
-    return docs.withColumn("__hits", F.concat(*found)).drop("__h")
+            run = f"filter({run}, x -> x.window IN ({','.join(map(_quoted, sorted(texts[n])))}))"
+        found.append(run)
+    word = f"coalesce(regexp_extract_all(translate(cast(`{text_col}` AS string), '{UPPER}', '{LOWER}'), {_quoted(WORD)}, 0), cast(array() AS array<string>))"
+    inner = f"named_struct('n', size(w), 'hits', concat({', '.join(found)}))"
+    return F.expr(f"transform(array({word}), w -> transform(array(transform(w, x -> xxhash64(x))), h -> {inner})[0])[0]")
+
+
+def within_bound(windows: DataFrame) -> bool:
+    return windows.select("window", "length").distinct().limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
 
 
 def _covered(hits: Column) -> Column:
@@ -81,7 +89,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, length: int = 10, id
     """
     windows = benchmark_windows(benchmark, length=length)
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
-    scanned = with_hits(base, windows).select("doc_id", "row", F.size("__words").cast("long").alias("n_words"), F.explode_outer("__hits").alias("x"))
+    scanned = base.select("doc_id", "row", scan(windows, "text").alias("s")).select("doc_id", "row", F.col("s.n").cast("long").alias("n_words"), F.explode_outer("s.hits").alias("x"))
     items = windows.groupBy("window", "length").agg(F.collect_set("item_id").alias("items"))
     if items.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
         items = F.broadcast(items)
@@ -105,17 +113,26 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, length: int = 10, mo
     """
     windows = benchmark_windows(benchmark, length=length)
     names = docs.columns
-    marked = with_hits(docs, windows, text_col=text_col)
-    if windows.select("window").distinct().limit(MOST_BROADCAST + 1).count() > MOST_BROADCAST:
+    found = scan(windows, text_col)
+    if not within_bound(windows):
         known = windows.select("window", "length").distinct()
-        exact = marked.select("doc_id", F.explode("__hits").alias("x")).join(known, (F.col("x.window") == known.window) & (F.col("x.length") == known.length), "left_semi")
-        marked = marked.drop("__hits").join(exact.groupBy("doc_id").agg(F.collect_set("x").alias("__hits")), "doc_id", "left")
-    gone = F.coalesce(_covered(F.col("__hits")), F.array().cast("array<int>"))
-    marked = marked.withColumn("__gone", gone).where(F.size("__gone") < F.greatest(F.lit(1), F.size("__words")) * most)
-    parts = F.regexp_extract_all(F.col(text_col), F.lit(SEGMENT), F.lit(0))
-    lead = F.when(F.col(text_col).rlike("^" + SEGMENT.split("|")[1]), 1).otherwise(0)
-    # segment i belongs to word (i - lead) div 2, what comes before the first word to none
-    kept = F.filter(F.col("__parts"), lambda s, i: (i < F.col("__lead")) | ~F.array_contains("__gone", F.floor((i - F.col("__lead")) / 2).cast("int")))
-    marked = marked.withColumn("__parts", F.when(F.size("__gone") > 0, parts)).withColumn("__lead", lead)
-    text = F.when(F.size("__gone") > 0, F.array_join(kept, "")).otherwise(F.col(text_col))
-    return marked.select(*[text.alias(c) if c == text_col else F.col(c) for c in names])
+        every = docs.select("doc_id", found.alias("s")).select("doc_id", F.col("s.n").alias("n"), F.explode("s.hits").alias("x"))
+        exact = every.join(known, (F.col("x.window") == known.window) & (F.col("x.length") == known.length), "left_semi")
+        hits = exact.groupBy("doc_id").agg(F.struct(F.first("n").alias("n"), F.collect_set("x").alias("hits")).alias("__scan"))
+        docs, found = docs.join(hits, "doc_id", "left"), F.coalesce("__scan", F.struct(F.lit(0).alias("n"), F.array().cast("array<struct<pos:int,length:int,window:string>>").alias("hits")))
+    text = F.col(text_col)
+    lead = F.when(text.rlike("^" + SEGMENT.split("|")[1]), 1).otherwise(0)
+
+    def cut(bound: Column) -> Column:
+        # segment i belongs to word (i - lead) div 2, what comes before the first word to none
+        kept = F.filter(
+            F.regexp_extract_all(text, F.lit(SEGMENT), F.lit(0)),
+            lambda s, i: (i < bound["lead"]) | ~F.array_contains(bound["gone"], F.floor((i - bound["lead"]) / 2).cast("int")),
+        )
+        few = F.size(bound["gone"]) < F.greatest(F.lit(1), bound["n"]) * most
+        return F.struct(few.alias("few"), F.when(F.size(bound["gone"]) > 0, F.array_join(kept, "")).otherwise(text).alias("text"))
+
+    # arrays of one element bind a value once; the generator drops the row whose document goes
+    bound = F.transform(F.array(found), lambda s: F.struct(_covered(s["hits"]).alias("gone"), lead.alias("lead"), s["n"].alias("n")))
+    rows = docs.select(*names, F.explode(F.filter(F.transform(bound, cut), lambda x: x["few"])).alias("__cut"))
+    return rows.select(*[F.col("__cut.text").alias(c) if c == text_col else F.col(c) for c in names])
