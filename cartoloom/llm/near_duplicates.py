@@ -40,8 +40,9 @@ def shingles(text: str, k: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     if len(_words) > 400_000:
         _words.clear()
-    for w in set(words) - _words.keys():
-        _words[w] = xxhash.xxh3_64_intdigest(w)
+    for w in set(words):
+        if w not in _words:
+            _words[w] = xxhash.xxh3_64_intdigest(w)
     h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
     k = min(k, len(h))
     out = np.full(len(h) - k + 1, k, np.uint64)

@@ -55,10 +55,10 @@ class PieceCounts:
         if len(self.memo) > MEMO_ENTRIES:
             self.memo, self.old = {}, self.memo
         memo, old = self.memo, self.old
-        new = set().union(*frequencies) - memo.keys()
-        aged = new & old.keys()
+        new = [c for c in set().union(*frequencies) if c not in memo]
+        aged = [c for c in new if c in old]
         memo.update(zip(aged, map(old.__getitem__, aged), strict=True))
-        new = list(new - aged)
+        new = [c for c in new if c not in memo]
         for lo in range(0, len(new), 8192):
             part = new[lo : lo + 8192]
             memo.update(zip(part, map(len, self.encoder.encode_batch_fast(part, add_special_tokens=False)), strict=True))
