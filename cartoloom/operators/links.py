@@ -1,0 +1,126 @@
+"""Link graph: classes, in and out counts, audit, broken links, anchors, need and strength."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from cartoloom.functions import urls
+
+
+def anchors_by_regex(pages: DataFrame, *, url: str, source: str) -> DataFrame:
+    """``source, href`` of every link target in the page's markup."""
+    return pages.select(F.col(url).alias("source"), F.explode(F.regexp_extract_all(source, F.lit('href="([^"]+)"'), F.lit(1))).alias("href"))
+
+
+def resolved(links: DataFrame) -> DataFrame:
+    """Absolute destinations of relative targets, without fragments."""
+    root = F.regexp_extract("source", "^([a-z]+://[^/]+)", 1)
+    href = F.col("href")
+    full = F.when(href.rlike("^[a-z]+:"), href).when(href.startswith("//"), F.concat(F.lit("https:"), href)).when(href.startswith("/"), F.concat(root, href)).otherwise(F.concat(F.regexp_replace("source", "[^/]*$", ""), href))
+    return links.withColumn("destination", urls.fragment_less(full))
+
+
+def link_class(position: Column, path: Column, internal: Column) -> Column:
+    """Class by the crawler's link position and path, first match wins."""
+    p, x = F.lower(F.coalesce(position, F.lit(""))), F.lower(F.coalesce(path, F.lit("")))
+    return (
+        F.when(~internal, "external").when(p.contains("nav") | x.contains("/nav"), "nav").when(p.contains("header") | x.contains("/header"), "header")
+        .when(p.contains("footer") | x.contains("/footer"), "footer").when(p.contains("aside") | x.contains("/aside"), "related")
+        .when(x.rlike("breadcrumb"), "breadcrumb").when(x.rlike("/(p|li|td|blockquote)(\\[|/|$)"), "contextual").otherwise("other")
+    )
+
+
+def page_degrees(links: DataFrame) -> DataFrame:
+    """In and out counts of every page: all, distinct, by class.  Columns: source, destination, class."""
+    into = links.groupBy(F.col("destination").alias("url"), "class").agg(F.count("*").alias("n"), F.collect_set("source").alias("s"))
+    into = into.groupBy("url").agg(F.sum("n").alias("inlinks"), F.size(F.array_distinct(F.flatten(F.collect_list("s")))).alias("unique_inlinks"), F.map_from_entries(F.collect_list(F.struct("class", "n"))).alias("in_by_class"))
+    out = links.groupBy(F.col("source").alias("url")).agg(F.count("*").alias("outlinks"), F.count_distinct("destination").alias("unique_outlinks"))
+    return into.join(out, "url", "full_outer")
+
+
+def consume_anchors(left: DataFrame, right: DataFrame, keys: list[str], order_left: str, order_right: str) -> DataFrame:
+    """Bag join: the n-th row of a key on the left takes the n-th on the right, each at most once."""
+    number = lambda frame, o: frame.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(o)))
+    return number(left, order_left).join(number(right, order_right), [*keys, "__n"], "left").drop("__n")
+
+
+def broken(links: DataFrame) -> DataFrame:
+    """Broken and redirected links in groups with what to do: remove, relink or unlink, update href."""
+    final_ok = F.col("final_status").between(200, 299)
+    action = (
+        F.when((F.col("status") >= 400) | ~final_ok, "remove")
+        .when(urls.is_home(F.col("final")) & ~urls.is_home(F.col("destination")), "relink or unlink").otherwise("update href")
+    )
+    bad = links.where(~F.col("status").between(200, 299))
+    return bad.groupBy("source", "destination", "anchor", "status", "final", "final_status").agg(F.count("*").alias("n")).withColumn("action", action)
+
+
+def template_and_body(links: DataFrame, template: tuple[str, ...] = ("nav", "header", "footer")) -> DataFrame:
+    """Template fixes once for each old URL with the pages that have it; body fixes page by page."""
+    t = links.where(F.col("class").isin(*template)).groupBy("destination").agg(F.count_distinct("source").alias("pages")).select(F.lit("template").alias("kind"), F.lit(None).cast("string").alias("source"), "destination", "pages")
+    b = links.where(~F.col("class").isin(*template)).groupBy("source", "destination").agg(F.count("*").alias("pages")).select(F.lit("body").alias("kind"), "source", "destination", "pages")
+    return t.unionByName(b)
+
+
+def anchor_conflicts(links: DataFrame) -> DataFrame:
+    """Anchors that point at more than one destination."""
+    return links.where("anchor <> ''").groupBy("anchor").agg(F.count_distinct("destination").alias("destinations"), F.count("*").alias("n")).where("destinations > 1")
+
+
+def title_suffix(titles: DataFrame, column: str, least: float = 0.5) -> DataFrame:
+    """The most common ending after a dash or bar, if enough titles have it."""
+    ending = F.regexp_extract(column, r"\s[-|–]\s([^-|–]+)$", 1)
+    total = titles.agg(F.count("*").alias("n"))
+    top = titles.select(ending.alias("suffix")).where("suffix <> ''").groupBy("suffix").agg(F.count("*").alias("k")).orderBy(F.desc("k"), "suffix").limit(1)
+    return top.crossJoin(F.broadcast(total)).where(F.col("k") >= F.col("n") * least).select("suffix", "k")
+
+
+def eligibility(indexable: Column, self_canonical: Column, allowed: Column, excluded: Column) -> Column:
+    """Why a page is no target, joined by semicolons; empty if it is one."""
+    why = [F.when(~F.coalesce(c, F.lit(False)), F.lit(w)) for c, w in ((indexable, "not indexable"), (self_canonical, "canonical elsewhere"), (allowed, "page type"))]
+    return F.array_join(F.array_compact(F.array(*why, F.when(F.coalesce(excluded, F.lit(False)), F.lit("excluded path")))), "; ")
+
+
+def hubs(pages: DataFrame, url: str) -> DataFrame:
+    """Pages whose address is the folder of another page; by an equi-join on parent folders."""
+    key = F.regexp_replace(url, "/+$", "")
+    parents = pages.select(F.regexp_extract(key, "^(.*)/[^/]+$", 1).alias("k")).distinct()
+    return pages.withColumn("k", key).join(parents, "k", "left_semi").drop("k")
+
+
+def target_need(position: Column, impressions: Column, ctr: Column, inlinks: Column, orphan: Column, depth: Column) -> Column:
+    need = (
+        F.lit(1.0) + F.when(position.between(4, 20), 0.25).otherwise(0.0) + F.when((impressions >= 50) & (ctr <= 0.02), 0.15).otherwise(0.0)
+        + F.when(orphan, 0.35).when(inlinks <= 2, 0.25).otherwise(0.0) + F.when(depth > 3, 0.15).otherwise(0.0)
+    )
+    return F.least(F.lit(2.0), need)
+
+
+def source_strength(impressions: Column, outlinks: Column) -> Column:
+    return F.least(F.lit(1.5), F.greatest(F.lit(0.6), 1 + 0.1 * F.log10(1 + impressions) - 0.03 * outlinks))
+
+
+def link_score(adds_value: Column, same_intent: Column, need: Column, strength: Column, block: Column, exists: Column, early: Column, same_silo: Column, outlinks: Column) -> Column:
+    weight = F.when(block == "p", 1.0).when(block == "li", 0.9).when(block.isin("td", "th", "blockquote"), 0.8).when(block == "div", 0.85).otherwise(0.7)
+    placement = weight * (0.5 + 0.5 * exists) + F.when(early, 0.05).otherwise(0.0)
+    penalty = F.when(same_silo, 1.0).otherwise(0.8) * F.when(outlinks >= 45, 0.5).otherwise(1.0)
+    return adds_value * F.when(same_intent, 1.0).otherwise(0.6) * need * strength * placement * penalty
+
+
+def band(score: Column, anchor: Column) -> Column:
+    return F.when((score >= 0.55) & (anchor >= 0.3), "auto").when(score >= 0.25, "review").otherwise("drop")
+
+
+def token_budget(sentences: DataFrame, *, group: str, order: str, text: str, most: int) -> DataFrame:
+    """Leading sentences of each group within a token budget (a quarter of the letters, plus one each); one always stays."""
+    w = Window.partitionBy(group).orderBy(order)
+    spent = F.sum(F.floor(F.length(text) / 4) + 1).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return sentences.withColumn("spent", spent).withColumn("rn", F.row_number().over(w)).where((F.col("spent") <= most) | (F.col("rn") == 1)).drop("rn")
+
+
+def heading_blocks(sections: DataFrame, *, page: str, order: str, level: str, top: int = 2) -> DataFrame:
+    """Block numbers: a heading of the top level, or the first section, opens a block."""
+    w = Window.partitionBy(page).orderBy(order)
+    opens = (F.col(level) <= top) | (F.row_number().over(w) == 1)
+    return sections.withColumn("__open", opens.cast("int")).withColumn("block", F.sum("__open").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("__open")

@@ -1,15 +1,423 @@
-"""All queries of the library with the SQL that gives the same rows."""
+"""All queries of the library with the SQL that gives the same rows.
+
+The reference domain's inputs (exports, crawls, reviews, answers) are stood in for by the test tables: orders and line
+items play keywords and pages, pages are pages, documents with labels are reviews, conversations are answers.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from cartoloom.functions import pages as html
+from cartoloom.functions import text, urls
+from cartoloom.operators import evidence, graph, keywords, links, reviews, search
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
 
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name."""
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_WORDS = "list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: w <> '')"
+
+
+def _bm25_sql(k1: float, b: float, qtf: str, k: int) -> str:
+    return f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), q AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+l AS (SELECT doc_id, len(w)::DOUBLE AS len FROM d), s AS (SELECT count(*) AS n, avg(len) AS mean FROM l),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY ALL),
+qf AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest(w) AS term FROM q) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+r AS (SELECT item_id, tf.doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * ({k1} + 1) / (tf + {k1} * (1 - {b} + {b} * len / mean)) * {qtf}), 6) AS score
+FROM tf JOIN qf USING (term) JOIN df USING (term) JOIN l ON l.doc_id = tf.doc_id, s GROUP BY item_id, tf.doc_id)
+SELECT item_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM r WHERE score > 0) WHERE rank <= {k}"""
+
+
+def _with_words(frame: DataFrame) -> DataFrame:
+    return frame.withColumn("words", text.ascii_words(F.col("text")))
+
+
+@query(_bm25_sql(1.5, 0.75, "1.0", 3))
+def bm25_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G02"""
+    return search.bm25(_with_words(t(spark, sf_dir, "documents")), _with_words(t(spark, sf_dir, "benchmark")), doc_key="doc_id", query_key="item_id", k1=1.5, damp_query=False, k=3).select("item_id", "doc_id", "score", "rank")
+
+
+@query(_bm25_sql(1.2, 0.75, "(1 + ln(qtf))", 12))
+def bm25_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G01, O02"""
+    return search.bm25(_with_words(t(spark, sf_dir, "documents")), _with_words(t(spark, sf_dir, "benchmark")), doc_key="doc_id", query_key="item_id").select("item_id", "doc_id", "score", "rank")
+
+
+@query("""
+SELECT o_custkey AS key, round(sum(o_totalprice), 2) AS demand, sum(o_orderkey % 7)::BIGINT AS clicks, arg_min(o_orderstatus || '-' || o_orderpriority, (-o_totalprice, o_orderkey)) AS current_url, count(*) AS n FROM orders GROUP BY o_custkey""")
+def best_row_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as an export's rows, the dearest order as the best"""
+    o = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.lit(None).cast("double").alias("position"), F.col("o_totalprice").alias("volume"), F.col("o_orderkey").alias("row_id"), F.concat_ws("-", "o_orderstatus", "o_orderpriority").alias("url"), (F.col("o_orderkey") % 7).cast("long").alias("clicks"), F.lit("x").alias("country"))
+    best = keywords.best_rows(o, key="key", position="position", volume="volume", row_id="row_id")
+    return best.select("key", F.round("demand", 2).alias("demand"), "clicks", "current_url", F.col("rows").alias("n"))
+
+
+@query("""
+WITH u AS (SELECT l_partkey AS query, l_suppkey AS page, l_linenumber AS raw, sum(l_quantity) AS clicks, sum(l_quantity) AS impressions, sum(l_tax * greatest(l_quantity, 1e-9)) / sum(greatest(l_quantity, 1e-9)) AS position FROM lineitem GROUP BY ALL),
+p AS (SELECT query, page, sum(clicks) AS clicks, arg_min(impressions, (-impressions, position, raw)) AS impressions, arg_min(position, (-impressions, position, raw)) AS position FROM u GROUP BY ALL)
+SELECT query, max(impressions)::DOUBLE AS demand, sum(clicks)::DOUBLE AS clicks, round(min(position), 6)::DOUBLE AS position, arg_min(page, (-clicks, -impressions, page)) AS current_url, count(*) AS pages FROM p GROUP BY query""")
+def page_query_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as rows of a page-by-query export"""
+    rows = t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("query"), F.col("l_suppkey").alias("page"), F.col("l_linenumber").alias("raw"), F.col("l_quantity").cast("double").alias("i"), F.col("l_tax").cast("double").alias("p"))
+    out = keywords.page_queries(rows, query="query", page="page", raw_url="raw", clicks="i", impressions="i", position="p")
+    return out.withColumn("position", F.round("position", 6))
+
+
+_STATS = """u AS (SELECT l_partkey AS part, l_suppkey AS url, sum(l_quantity)::DOUBLE AS demand, sum(l_tax * greatest(l_quantity, 1e-9)) / sum(greatest(l_quantity, 1e-9)) AS position FROM lineitem GROUP BY ALL),
+s AS (SELECT *, demand / sum(demand) OVER (PARTITION BY part) AS share FROM u)"""
+
+
+def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("url"), F.col("l_quantity").cast("double").alias("demand"), F.col("l_quantity").cast("double").alias("clicks"), F.col("l_tax").cast("double").alias("position"))
+    return keywords.url_stats(m, group="part", url="url", demand="demand", clicks="clicks", position="position")
+
+
+@query(f"WITH {_STATS} SELECT part, url, demand, round(position, 6)::DOUBLE AS position, round(share, 6) AS share FROM s")
+def url_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A03, W02"""
+    return _stats(spark, sf_dir).select("part", "url", "demand", F.round("position", 6).alias("position"), F.round("share", 6).alias("share"))
+
+
+@query(f"""WITH {_STATS}, r AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY round(share, 9) DESC, url) AS rn FROM s),
+p AS (SELECT part, max(CASE WHEN rn = 1 THEN url END) AS url_1, max(CASE WHEN rn = 2 THEN url END) AS url_2, max(CASE WHEN rn = 2 THEN share END) AS s2, abs(max(CASE WHEN rn = 1 THEN position END) - max(CASE WHEN rn = 2 THEN position END)) AS gap FROM r WHERE rn <= 2 GROUP BY part)
+SELECT part, url_1, url_2, round(s2, 6) AS share_2, CASE WHEN s2 >= 0.3 AND gap <= 3 THEN 'High' WHEN s2 >= 0.15 AND gap <= 5 THEN 'Medium' ELSE 'Low' END AS severity FROM p WHERE url_2 IS NOT NULL""")
+def cannibalisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W03, M03"""
+    return keywords.top_two(_stats(spark, sf_dir), group="part", url="url").select("part", "url_1", "url_2", F.round("share_2", 6).alias("share_2"), "severity")
+
+
+_CTR = "CASE " + " ".join(f"WHEN {{p}} <= {p} THEN {r}" for p, r in sorted(text.CTR_LADDER.items())) + " ELSE 0.002 END"
+
+
+@query(f"""WITH c AS (SELECT o_orderpriority AS grp, o_totalprice::DOUBLE AS demand, (o_orderkey % 40 + 1)::DOUBLE AS position FROM orders),
+s AS (SELECT grp, count(*) AS members, sum(demand) AS demand, sum(position * demand) / sum(demand) AS position FROM c GROUP BY grp)
+SELECT grp, members, round(demand, 1) AS demand, round(position, 4) AS position, round(greatest(0.0, demand * (0.10 - ({_CTR.format(p='position')}))), 0)::DOUBLE AS opportunity,
+CASE WHEN position <= 3.99 THEN 'Owned' WHEN position <= 20 THEN 'Striking' ELSE 'Underperforming' END AS status FROM s""")
+def cluster_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A04, M01, F16"""
+    m = t(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("grp"), F.col("o_totalprice").cast("double").alias("demand"), (F.col("o_orderkey") % 40 + 1).cast("double").alias("position"))
+    s = keywords.cluster_scores(m, group="grp")
+    return s.select("grp", "members", F.round("demand", 1).alias("demand"), F.round("position", 4).alias("position"), F.round("opportunity", 0).alias("opportunity"), keywords.status(F.col("position"), F.lit("u"), F.lit(None).cast("string"), F.lit(False)).alias("status"))
+
+
+@query("""WITH s AS (SELECT user_id, event_type, sum(CASE WHEN value > 0 THEN value ELSE 1 END) AS w FROM events GROUP BY ALL)
+SELECT user_id, arg_min(event_type, (-round(w, 6), event_type)) AS event_type FROM s GROUP BY user_id""")
+def weighted_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A07"""
+    return reviews.weighted_mode(t(spark, sf_dir, "events"), by="user_id", value="event_type", weight="value")
+
+
+_LINKS = """h AS (SELECT url AS source, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS href FROM pages),
+l AS (SELECT source, regexp_replace(CASE WHEN regexp_matches(href, '^[a-z]+:') THEN href WHEN starts_with(href, '//') THEN 'https:' || href WHEN starts_with(href, '/') THEN regexp_extract(source, '^([a-z]+://[^/]+)', 1) || href ELSE regexp_replace(source, '[^/]*$', '') || href END, '#.*$', '') AS destination FROM h)"""
+
+
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links.resolved(links.anchors_by_regex(t(spark, sf_dir, "pages"), url="url", source="html"))
+
+
+@query(f"""WITH {_LINKS}, i AS (SELECT destination AS url, count(*) AS inlinks, count(DISTINCT source) AS unique_inlinks FROM l GROUP BY destination),
+o AS (SELECT source AS url, count(*) AS outlinks, count(DISTINCT destination) AS unique_outlinks FROM l GROUP BY source)
+SELECT coalesce(i.url, o.url) AS url, inlinks, unique_inlinks, outlinks, unique_outlinks FROM i FULL JOIN o ON i.url = o.url""")
+def page_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10, A11, S18's link table"""
+    own = _links(spark, sf_dir).withColumn("class", F.lit("body"))
+    return links.page_degrees(own).select("url", "inlinks", F.col("unique_inlinks").cast("long").alias("unique_inlinks"), "outlinks", "unique_outlinks")
+
+
+@query("""SELECT n_nationkey % 4 AS anchor, count(DISTINCT n_regionkey) AS destinations, count(*) AS n FROM nation GROUP BY 1 HAVING count(DISTINCT n_regionkey) > 1""")
+def anchor_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A14"""
+    rows = t(spark, sf_dir, "nation").select((F.col("n_nationkey") % 4).cast("string").alias("anchor"), F.col("n_regionkey").alias("destination"))
+    return links.anchor_conflicts(rows).withColumn("anchor", F.col("anchor").cast(dict(t(spark, sf_dir, "nation").dtypes)["n_nationkey"]))
+
+
+@query("""WITH k AS (SELECT url, regexp_replace(regexp_extract(lower(url), '^(?:[a-z][a-z0-9+.-]*://)?(?:[^/?#@]*@)?([^/?#:]+)', 1), '^www\\.', '') AS host, regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?[^/?#]*([^?#]*)', 1) AS p FROM pages)
+SELECT url, host, CASE WHEN p = '' THEN '/' ELSE p END AS path, host || regexp_replace(CASE WHEN p = '' THEN '/' ELSE p END, '/+$', '') AS bare, regexp_extract(CASE WHEN p = '' THEN '/' ELSE p END, '^/([^/]+)/', 1) AS silo FROM k""")
+def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F08, F10"""
+    u = F.col("url")
+    return t(spark, sf_dir, "pages").select("url", urls.host(u).alias("host"), urls.path(u).alias("path"), urls.bare(u).alias("bare"), urls.silo(u).alias("silo"))
+
+
+@query("""WITH k AS (SELECT page_id, url, regexp_replace(regexp_extract(lower(url), '^(?:[a-z][a-z0-9+.-]*://)?(?:[^/?#@]*@)?([^/?#:]+)', 1), '^www\\.', '') || regexp_replace(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?[^/?#]*([^?#]*)', 1), '/+$', '') AS k FROM pages)
+SELECT k, arg_min(url, page_id) AS url, count(*) AS n FROM k GROUP BY k""")
+def url_display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First spelling of each key"""
+    return t(spark, sf_dir, "pages").groupBy(urls.bare(F.col("url")).alias("k")).agg(F.min_by("url", "page_id").alias("url"), F.count("*").alias("n"))
+
+
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY source, lang, left(text, 200) ORDER BY doc_id) AS rn FROM documents)
+SELECT doc_id, lang, source FROM r WHERE rn = 1""")
+def review_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source as platform, lang as author"""
+    d = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("platform"), F.col("lang").alias("author_hash"), "text")
+    return reviews.dedupe(d, order="id").select(F.col("id").alias("doc_id"), F.col("author_hash").alias("lang"), F.col("platform").alias("source"))
+
+
+_R = "r AS (SELECT d.doc_id, d.lang, d.source, l.quality, l.toxic, (l.quality * 3 + (1 - l.toxic) + 1)::DOUBLE AS rating FROM documents d JOIN labels l USING (doc_id))"
+
+
+def _rated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = t(spark, sf_dir, "documents").join(t(spark, sf_dir, "labels"), "doc_id")
+    return r.withColumn("rating", (F.col("quality") * 3 + (1 - F.col("toxic")) + 1).cast("double"))
+
+
+@query(f"WITH {_R} SELECT source, count(*) AS n, round(avg(rating), 4) AS average, round(avg(CASE WHEN rating <= 2 THEN 1.0 ELSE 0.0 END), 4) AS low_share FROM r GROUP BY source")
+def platform_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A19, A16, J01"""
+    return _rated(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg("rating"), 4).alias("average"), F.round(F.avg((F.col("rating") <= 2).cast("double")), 4).alias("low_share"))
+
+
+@query(f"WITH {_R}, c AS (SELECT rating::INTEGER AS stars, count(*) AS n FROM r GROUP BY 1) SELECT g.stars::INTEGER AS stars, coalesce(n, 0) AS n FROM (SELECT unnest(range(1, 6)) AS stars) g LEFT JOIN c ON c.stars = g.stars")
+def rating_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A21"""
+    return reviews.histogram(_rated(spark, sf_dir), "rating")
+
+
+@query(f"WITH {_R}, p AS (SELECT (2 * quality - 1 - toxic)::DOUBLE AS s FROM r) SELECT count(s) AS n, count(*) FILTER (s > 0) AS positive, count(*) FILTER (s < 0) AS negative, round((count(*) FILTER (s > 0) - count(*) FILTER (s < 0)) / count(s), 4) AS net FROM p")
+def net_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A17"""
+    return reviews.net_sentiment(_rated(spark, sf_dir).withColumn("s", (2 * F.col("quality") - 1 - F.col("toxic")).cast("double")), "s")
+
+
+@query("SELECT strftime(ts, '%Y-%m') AS month, count(*) AS n, round(avg(value), 4) AS rating FROM events GROUP BY 1 HAVING count(*) >= 5")
+def monthly_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A20"""
+    return reviews.monthly(t(spark, sf_dir, "events").withColumn("rating", F.col("value")), date="ts")
+
+
+@query("""WITH a AS (SELECT event_type, date_diff('day', ts::DATE, DATE '2024-06-15') / 30.44 AS age FROM events),
+c AS (SELECT event_type, count(*) FILTER (age <= 5) AS recent, count(*) FILTER (age > 5 AND age <= 10) AS previous FROM a GROUP BY event_type)
+SELECT event_type, recent, previous, CASE WHEN recent = 0 AND previous = 0 THEN 'none in the last 6 months' WHEN least(recent, previous) < 10 THEN 'too few to call' WHEN (recent - previous) / greatest(previous, 1) > 0.2 THEN 'rising' WHEN (recent - previous) / greatest(previous, 1) < -0.2 THEN 'falling' ELSE 'flat' END AS verdict FROM c""")
+def event_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A24, F15"""
+    return reviews.trend(t(spark, sf_dir, "events").withColumn("d", F.to_date("ts")), by=["event_type"], date="d", as_of=F.to_date(F.lit("2024-06-15")), months=5)
+
+
+@query("""SELECT o_orderpriority AS platform, count(*) AS n, round(avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END), 4) AS rate, median(CASE WHEN o_orderstatus = 'F' THEN greatest(0, date_diff('day', o_orderdate::DATE, DATE '1996-01-01')) END)::DOUBLE AS median_days FROM orders GROUP BY 1""")
+def reply_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A18"""
+    o = t(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("platform"), F.lit(1.0).alias("rating"), F.to_date("o_orderdate").alias("date"), F.when(F.col("o_orderstatus") == "F", "y").alias("owner_reply"), F.to_date(F.lit("1996-01-01")).alias("reply_date"))
+    return reviews.reply_stats(o, "platform").drop("negative_rate")
+
+
+@query("""WITH x AS (SELECT conv_id, role, CASE WHEN length(text) > 300 THEN 'yes' WHEN length(text) > 120 THEN 'partial' ELSE 'no' END AS c FROM conversations)
+SELECT conv_id, round(avg(CASE c WHEN 'yes' THEN 1.0 WHEN 'partial' THEN 0.5 ELSE 0.0 END), 2) AS score, count(*) AS n FROM x GROUP BY conv_id""")
+def coverage_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A27"""
+    c = F.when(F.length("text") > 300, "yes").when(F.length("text") > 120, "partial").otherwise("no")
+    return reviews.coverage_scores(t(spark, sf_dir, "conversations").withColumn("c", c), page="conv_id", coverage="c")
+
+
+@query("""WITH x AS (SELECT turn, conv_id, left(text, 80) AS q, CASE WHEN length(text) > 900 THEN 'yes' ELSE 'no' END AS c FROM conversations),
+a AS (SELECT turn, arg_min(q, (-length(q), q)) AS representative, count(DISTINCT CASE WHEN c = 'yes' THEN conv_id END) AS pages, count(*) AS n FROM x GROUP BY turn)
+SELECT turn, pages, n, CASE WHEN pages = 0 THEN 'gap' WHEN pages >= 2 THEN 'overlap' ELSE 'covered' END AS kind FROM a""")
+def coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A28"""
+    c = t(spark, sf_dir, "conversations").withColumn("q", F.substring("text", 1, 80)).withColumn("c", F.when(F.length("text") > 900, "yes").otherwise("no"))
+    return reviews.gaps(c, cluster="turn", query="q", page="conv_id", coverage="c").drop("representative")
+
+
+@query("""SELECT role, count(*) AS calls, count(*) FILTER (length(text) > 20) AS answers, round(coalesce(count(*) FILTER (length(text) > 20 AND contains(text, 'the')) / nullif(count(*) FILTER (length(text) > 20), 0), 0), 4) AS mention_rate,
+round(coalesce(count(*) FILTER (length(text) > 20 AND contains(text, 'http')) / nullif(count(*) FILTER (length(text) > 20), 0), 0), 4) AS cite_rate FROM conversations GROUP BY role""")
+def visibility_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A29"""
+    c = t(spark, sf_dir, "conversations").where("text is not null").select("role", F.contains("text", F.lit("the")).alias("m"), F.contains("text", F.lit("http")).alias("c"), (F.length("text") <= 20).alias("f"))
+    return reviews.visibility(c, by=["role"], mentioned="m", cited="c", failed="f")
+
+
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) SELECT conv_id, turn, role FROM r WHERE rn = 1""")
+def latest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W10, D11"""
+    return reviews.latest(t(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), ["conv_id"], "turn")
+
+
+@query("""WITH s AS (SELECT conv_id, turn, sum(floor(length(text) / 4) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS spent, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations)
+SELECT conv_id, turn, spent::BIGINT AS spent FROM s WHERE spent <= 200 OR rn = 1""")
+def token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W12"""
+    return links.token_budget(t(spark, sf_dir, "conversations"), group="conv_id", order="turn", text="text", most=200).select("conv_id", "turn", "spent")
+
+
+@query("""WITH o AS (SELECT conv_id, turn, (role = 'user' OR row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1)::INTEGER AS o FROM conversations)
+SELECT conv_id, turn, sum(o) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)::BIGINT AS block FROM o""")
+def heading_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's turn opens a block"""
+    c = t(spark, sf_dir, "conversations").withColumn("level", F.when(F.col("role") == "user", 2).otherwise(3))
+    return links.heading_blocks(c, page="conv_id", order="turn", level="level").select("conv_id", "turn", F.col("block").cast("long").alias("block"))
+
+
+@query(f"""WITH b AS (SELECT item_id, list_sort(list_distinct({_WORDS})) AS w FROM benchmark)
+SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 6) AS similarity FROM b a, b WHERE a.item_id < b.item_id
+AND round(len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 6) >= 0.34""")
+def shared_token_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J04, J05, D08, D12, G03"""
+    b = _with_words(t(spark, sf_dir, "benchmark")).select("item_id", text.content_tokens(F.col("words")).alias("tokens"))
+    return keywords.shared_token_pairs(b, key="item_id", tokens="tokens")
+
+
+@query("""WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+p AS (SELECT a.vec_id AS anchor, b.vec_id AS other, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY cosine DESC, other) AS rank FROM p WHERE cosine >= 0.1)
+SELECT anchor, other, round(cosine, 4) AS cosine, rank::INTEGER AS rank FROM r WHERE rank <= 10""")
+def cosine_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated anchors (ids divisible by 20) against all vectors of their block"""
+    e = t(spark, sf_dir, "embeddings")
+    return search.neighbours(e, e.where("vec_id % 20 = 0"), key="vec_id", block="label", vector="embedding", floor=0.1).withColumn("cosine", F.round("cosine", 4))
+
+
+@query(f"""WITH d AS (SELECT quality, list_distinct({_WORDS}) AS w FROM documents JOIN labels USING (doc_id)), x AS (SELECT quality, unnest(w) AS term FROM d),
+c AS (SELECT term, count(*) FILTER (quality = 1) AS y_pos, count(*) FILTER (quality <> 1) AS y_neg FROM x GROUP BY term), s AS (SELECT sum(y_pos + y_neg) AS total, count(*) AS terms FROM c),
+n AS (SELECT count(*) FILTER (quality = 1) AS np, count(*) FILTER (quality <> 1) AS nn FROM d), a AS (SELECT c.*, np, nn, terms * 0.5 AS a0, terms * 0.5 * (y_pos + y_neg) / total AS a FROM c, s, n)
+SELECT term, y_pos, y_neg, round((ln((y_pos + a) / (greatest(np, y_pos) + a0 - y_pos - a)) - ln((y_neg + a) / (greatest(nn, y_neg) + a0 - y_neg - a))) / sqrt(1 / (y_pos + a) + 1 / (y_neg + a)), 6) AS z FROM a WHERE y_pos + y_neg >= 2""")
+def contrast_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G12"""
+    d = _with_words(_rated(spark, sf_dir)).select("quality", F.array_distinct("words").alias("w"))
+    n = d.agg(F.count_if(F.col("quality") == 1).alias("p"), F.count_if(F.col("quality") != 1).alias("n")).first()
+    c = d.select("quality", F.explode("w").alias("term")).groupBy("term").agg(F.count_if(F.col("quality") == 1).alias("y_pos"), F.count_if(F.col("quality") != 1).alias("y_neg"))
+    return search.log_odds(c, n_pos=n.p, n_neg=n.n)
+
+
+@query("""WITH RECURSIVE h AS (SELECT n_nationkey AS url, n_nationkey // 2 AS target FROM nation WHERE n_nationkey > 0), w(url, final, hops) AS (SELECT url, target, 1 FROM h UNION ALL SELECT w.url, h.target, w.hops + 1 FROM w JOIN h ON w.final = h.url WHERE w.hops < 10)
+SELECT url, arg_max(final, hops) AS final, max(hops)::INTEGER AS hops FROM w GROUP BY url""")
+def redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J11"""
+    n = t(spark, sf_dir, "nation")
+    kind = dict(n.dtypes)["n_nationkey"]
+    return graph.resolve_redirects(n.where("n_nationkey > 0").select(F.col("n_nationkey").alias("url"), F.floor(F.col("n_nationkey") / 2).cast(kind).alias("target")))
+
+
+@query("""SELECT c_custkey, c_name, lower(regexp_replace(regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) AS slug, 'k' || left(sha256(c_name), 10) AS id FROM customer""")
+def slugs_and_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F12, F19"""
+    return t(spark, sf_dir, "customer").select("c_custkey", "c_name", text.slug(F.col("c_name")).alias("slug"), text.short_id(F.col("c_name")).alias("id"))
+
+
+@query("""SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY ALL""")
+def daily_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batch twin of the streaming counts"""
+    return t(spark, sf_dir, "events").groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
+
+
+@query("""SELECT b.item_id, count(d.doc_id) AS pages FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id""")
+def evidence_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents hold each passage word for word.  An equi-join on the passage's rarest five-word run
+    finds the candidates, containment decides."""
+
+    def run(c):  # an array of one element binds the words once
+        return F.transform(F.array(c), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - 4)), lambda i: F.array_join(F.slice(w, i, 5), " ")))[0]
+
+    d = t(spark, sf_dir, "documents").where("text is not null")
+    b = t(spark, sf_dir, "benchmark")
+    words = lambda c: F.split(c, r"\s+")
+    # the first and the last word of a passage may be parts of a document's words
+    inner = F.transform(F.array(words(F.col("text"))), lambda w: F.slice(w, 2, F.greatest(F.lit(1), F.size(w) - 2)))[0]
+    keys = b.where(F.size(words(F.col("text"))) >= 7).select("item_id", F.col("text").alias("passage"), F.element_at(run(inner), 1).alias("key"))
+    met = d.select("doc_id", "text", F.explode(F.array_distinct(run(words(F.col("text"))))).alias("key")).join(F.broadcast(keys), "key").where(F.contains("text", "passage"))
+    short = b.where(F.size(words(F.col("text"))) < 7).select("item_id", F.col("text").alias("passage"))
+    few = d.select("doc_id", "text").join(F.broadcast(short), F.contains("text", "passage"))
+    hits = met.select("item_id", "doc_id").unionByName(few.select("item_id", "doc_id")).distinct()
+    return b.join(hits, "item_id", "left").groupBy("item_id").agg(F.count("doc_id").alias("pages"))
+
+
+@query("""SELECT p_partkey AS key FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 48""")
+def not_yet_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys without a result"""
+    return t(spark, sf_dir, "part").select(F.col("p_partkey").alias("key")).join(t(spark, sf_dir, "lineitem").where("l_quantity > 48").select(F.col("l_partkey").alias("key")), "key", "left_anti")
+
+
+@query("""WITH a AS (SELECT DISTINCT lower(n_name) AS q FROM nation WHERE n_regionkey < 3), b AS (SELECT DISTINCT lower(n_name) AS q FROM nation WHERE n_regionkey > 1)
+SELECT coalesce(a.q, b.q) AS q, CASE WHEN a.q IS NOT NULL AND b.q IS NOT NULL THEN 'both' WHEN a.q IS NOT NULL THEN 'missing' ELSE 'unplanned' END AS status FROM a FULL JOIN b ON a.q = b.q""")
+def plan_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J16"""
+    n = t(spark, sf_dir, "nation")
+    return evidence.reconcile(n.where("n_regionkey < 3"), n.where("n_regionkey > 1"), "n_name")
+
+
+@query("""WITH r AS (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rn FROM orders) SELECT o_custkey, o_orderkey FROM r WHERE rn <= 3""")
+def newest_per_platform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O05"""
+    return reviews.newest(t(spark, sf_dir, "orders"), by="o_custkey", date="o_orderdate", key="o_orderkey", cap=3).select("o_custkey", "o_orderkey")
+
+
+@query("""WITH s AS (SELECT o_custkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) AS n, o_orderkey FROM orders), l AS (SELECT l_suppkey AS c, l_orderkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS n FROM lineitem)
+SELECT r.o_orderkey, r.k, l.l_orderkey AS matched FROM (SELECT o_orderkey, o_custkey % 100 AS k, row_number() OVER (PARTITION BY o_custkey % 100 ORDER BY o_orderkey) AS n FROM orders) r LEFT JOIN l ON l.c = r.k AND l.n = r.n""")
+def bag_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J10"""
+    o = t(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 100).alias("k"))
+    li = t(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_orderkey").alias("matched"), F.struct("l_orderkey", "l_linenumber").alias("at"))
+    return links.consume_anchors(o, li, ["k"], "o_orderkey", "at").select("o_orderkey", "k", "matched")
+
+
+@query("""SELECT s_suppkey, s_name, sha256(s_name || '|' || s_suppkey::VARCHAR) AS digest FROM supplier""")
+def row_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K05, V06"""
+    return t(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.sha2(F.concat_ws("|", "s_name", F.col("s_suppkey").cast("string")), 256).alias("digest"))
+
+
+@query("""SELECT event_id, value, CASE WHEN value IS NULL THEN 'none' WHEN value <= 2 THEN 'low' WHEN value < 4 THEN 'mid' ELSE 'high' END AS band FROM events""")
+def rating_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P30"""
+    return t(spark, sf_dir, "events").select("event_id", "value", text.rating_band(F.col("value")).alias("band"))
+
+
+@query("""WITH w AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL), r AS (SELECT *, n / sum(n) OVER (PARTITION BY source) AS share FROM w)
+SELECT source, lang, n, round(share, 6) AS share FROM r""")
+def group_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W02 after a partial aggregation"""
+    w = t(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
+    return w.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("source")), 6))
+
+
+@query()
+def page_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """parsed pages"""
+    p = t(spark, sf_dir, "pages").select("page_id", "url", html.parse_page(F.col("html")).alias("p"))
+    return p.select("page_id", "url", "p.title", "p.words", F.size("p.headings").alias("headings"), F.size("p.links").alias("links"), F.array_distinct("p.types").alias("types"))
+
+
+@query()
+def greedy_coverage_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G10"""
+    c = t(spark, sf_dir, "conversations").select("conv_id", F.col("turn"), text.content_tokens(text.ascii_words(F.col("text"))).alias("tokens"))
+    return graph.greedy_clusters(c, order="turn", tokens="tokens", group="conv_id")
+
+
+@query()
+def linkage_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G05, G06, G08"""
+    b = _with_words(t(spark, sf_dir, "benchmark")).select(F.col("item_id").cast("string").alias("k"), text.content_tokens(F.col("words")).alias("tokens"))
+    e = keywords.shared_token_pairs(b, key="k", tokens="tokens", least=0.1)
+    return graph.linkage_clusters(e.select("a", "b", F.col("similarity").alias("p_same"), F.lit(0.0).alias("p_different")), threshold=0.12)
