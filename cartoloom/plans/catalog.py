@@ -149,11 +149,12 @@ def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_LINKS}, i AS (SELECT destination AS url, count(*) AS inlinks, count(DISTINCT source) AS unique_inlinks FROM l GROUP BY destination),
 o AS (SELECT source AS url, count(*) AS outlinks, count(DISTINCT destination) AS unique_outlinks FROM l GROUP BY source)
-SELECT coalesce(i.url, o.url) AS url, inlinks, unique_inlinks, outlinks, unique_outlinks FROM i FULL JOIN o ON i.url = o.url""")
+SELECT coalesce(i.url, o.url) AS url, coalesce(inlinks, 0) AS inlinks, coalesce(unique_inlinks, 0) AS unique_inlinks, coalesce(outlinks, 0) AS outlinks, coalesce(unique_outlinks, 0) AS unique_outlinks FROM i FULL JOIN o ON i.url = o.url""")
 def page_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A10, A11, S18's link table"""
     own = _links(spark, sf_dir).withColumn("class", F.lit("body"))
-    return links.page_degrees(own).select("url", "inlinks", F.col("unique_inlinks").cast("long").alias("unique_inlinks"), "outlinks", "unique_outlinks")
+    zero = [F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c) for c in ("inlinks", "unique_inlinks", "outlinks", "unique_outlinks")]
+    return links.page_degrees(own).select("url", *zero)
 
 
 @query("""SELECT n_nationkey % 4 AS anchor, count(DISTINCT n_regionkey) AS destinations, count(*) AS n FROM nation GROUP BY 1 HAVING count(DISTINCT n_regionkey) > 1""")
@@ -281,11 +282,11 @@ def heading_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH b AS (SELECT item_id, list_sort(list_distinct({_WORDS})) AS w FROM benchmark)
 SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 6) AS similarity FROM b a, b WHERE a.item_id < b.item_id
-AND round(len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 6) >= 0.34""")
+AND round(len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 6) >= 0.1""")
 def shared_token_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J04, J05, D08, D12, G03"""
     b = _with_words(t(spark, sf_dir, "benchmark")).select("item_id", text.content_tokens(F.col("words")).alias("tokens"))
-    return keywords.shared_token_pairs(b, key="item_id", tokens="tokens")
+    return keywords.shared_token_pairs(b, key="item_id", tokens="tokens", least=0.1)
 
 
 @query("""WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
