@@ -103,7 +103,7 @@ def fit_on_sample(docs: DataFrame, *, most_per_language: int = 400, id_col: str
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     picked = rows.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= most_per_language).drop("rank").distinct()
-    got = rows.join(F.broadcast(picked), ["doc_id", "lang"]).select("text", "lang").collect()  # bounded by the parameter
+    got = rows.join(F.broadcast(picked), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()  # bounded by the parameter
     got = sorted((r.lang, r.text) for r in got)
     return fit([t for _, t in got], [c for c, _ in got])
 

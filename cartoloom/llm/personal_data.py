@@ -145,7 +145,9 @@ def fit_on_sample(docs: DataFrame, *, most_docs: int = 200, id_col: str = "doc_i
     """Train with words of at most ``most_docs`` documents, those of least id hash, as surroundings."""
     own = keyed_text(docs, id_col, text_col)
     words = F.array_distinct(F.filter(F.split("text", r"\s+"), lambda w: (F.length(w) > 0) & (F.length(w) < 20) & ~w.rlike("[@0-9]")))
-    got = own.select(F.xxhash64("doc_id").alias("h"), "doc_id", F.slice(words, 1, 200).alias("w")).orderBy("h", "doc_id", "w").limit(most_docs).select("w").collect()
+    least = own.where("doc_id is not null").select(F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id").limit(most_docs)
+    picked = own.join(F.broadcast(least.select("doc_id").distinct()), "doc_id")  # ids first: texts of the picked ones only are cut
+    got = picked.select("doc_id", F.slice(words, 1, 200).alias("w")).groupBy("doc_id").agg(F.min("w").alias("w")).collect()
     return fit(sorted({w for r in got for w in r.w or ()}))
 
 
