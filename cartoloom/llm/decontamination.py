@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cartoloom.llm.common import settled
+
 #: A word: neither ASCII punctuation, space nor control; the text is lower-cased (A to Z only) before.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words as they stand and what lies between them, in turn.
@@ -109,17 +111,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, length: int = 10, mo
 
     Hit words go, with what follows each up to the next word.  A document of which ``most`` of the words or more are
     hit goes as a whole.  Others keep their text as it is.  Null text stays null.  All happens inside the row.  A
-    benchmark with more windows than can be broadcast is matched by a join; documents then need unique ``doc_id``.
+    benchmark with more windows than can be broadcast is matched by a join on a row number, for which the documents are
+    written once to the shared folder; ids may be null or repeated either way.
     """
     windows = benchmark_windows(benchmark, length=length)
     names = docs.columns
     found = scan(windows, text_col)
     if not within_bound(windows):
         known = windows.select("window", "length").distinct()
-        every = docs.select("doc_id", found.alias("s")).select("doc_id", F.col("s.n").alias("n"), F.explode("s.hits").alias("x"))
+        docs = settled(docs.withColumn("__row", F.monotonically_increasing_id()))  # both sides must see the same numbers
+        every = docs.select("__row", found.alias("s")).select("__row", F.col("s.n").alias("n"), F.explode("s.hits").alias("x"))
         exact = every.join(known, (F.col("x.window") == known.window) & (F.col("x.length") == known.length), "left_semi")
-        hits = exact.groupBy("doc_id").agg(F.struct(F.first("n").alias("n"), F.collect_set("x").alias("hits")).alias("__scan"))
-        docs, found = docs.join(hits, "doc_id", "left"), F.coalesce("__scan", F.struct(F.lit(0).alias("n"), F.array().cast("array<struct<pos:int,length:int,window:string>>").alias("hits")))
+        hits = exact.groupBy("__row").agg(F.struct(F.first("n").alias("n"), F.collect_set("x").alias("hits")).alias("__scan"))
+        docs, found = docs.join(hits, "__row", "left"), F.coalesce("__scan", F.struct(F.lit(0).alias("n"), F.array().cast("array<struct<pos:int,length:int,window:string>>").alias("hits")))
     text = F.col(text_col)
     lead = F.when(text.rlike("^" + SEGMENT.split("|")[1]), 1).otherwise(0)
 

@@ -154,6 +154,24 @@ def test_decontamination(spark, docs, rows, empty):
     assert decontamination.contamination(docs, bench.where("1 = 0")).where("n_hit > 0").count() == 0
 
 
+def test_decontaminate_joins_rows_and_not_ids(spark, monkeypatch):
+    passage = " ".join(f"p{i}" for i in range(10))
+    clean = " ".join(f"c{i}" for i in range(40))
+    later = clean.replace("c20", f"c20 {passage}")
+    items = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    own = [(None, f"{passage} {clean}"), (None, clean), (7, f"{passage} {clean}"), (7, later), (7, clean), (7, passage), (8, None), (8, ""), (9, clean), (9, clean), (9, later), (9, later)]
+    docs = spark.createDataFrame(own, "doc_id long, text string").repartition(3)
+    got = {}
+    for bound in (decontamination.MOST_BROADCAST, 0):
+        monkeypatch.setattr(decontamination, "MOST_BROADCAST", bound)
+        out = decontamination.decontaminate(docs, items)
+        assert out.columns == docs.columns
+        got[bound] = sorted(map(str, map(tuple, out.collect())))
+    # only the passage alone goes as a whole; all others come out without it
+    assert got[0] == sorted(map(str, [(i, clean if t else t) for i, t in own if t != passage]))
+    assert got[0] == got[max(got)]
+
+
 def test_near_duplicates(docs, rows, empty, monkeypatch):
     monkeypatch.setattr(near_duplicates, "BLOCK", 3)  # groups in several blocks
     sets = []
