@@ -320,6 +320,17 @@ def redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.resolve_redirects(n.where("n_nationkey > 0").select(F.col("n_nationkey").alias("url"), F.floor(F.col("n_nationkey") / 2).cast(kind).alias("target")))
 
 
+@query("""WITH RECURSIVE h AS (SELECT page_id AS url, CASE page_id % 20 WHEN 0 THEN page_id + 17 WHEN 19 THEN page_id - 2 ELSE page_id + 1 END AS target FROM pages WHERE page_id % 20 <> 16),
+w(url, final, hops, seen) AS (SELECT url, target, 1, [url] FROM h UNION ALL SELECT w.url, h.target, w.hops + 1, list_append(w.seen, w.final) FROM w JOIN h ON w.final = h.url WHERE w.hops < 10 AND NOT list_contains(w.seen, w.final))
+SELECT url, arg_max(final, hops) AS final, max(hops)::INTEGER AS hops FROM w GROUP BY url""")
+def redirect_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of twenty pages each, a chain of fifteen hops, a cycle of three and one that leads into it"""
+    k = F.col("page_id")
+    target = F.when(k % 20 == 0, k + 17).when(k % 20 == 19, k - 2).otherwise(k + 1)
+    p = t(spark, sf_dir, "pages")
+    return graph.resolve_redirects(p.where(k % 20 != 16).select(k.alias("url"), target.cast(dict(p.dtypes)["page_id"]).alias("target")))
+
+
 @query("""SELECT c_custkey, c_name, lower(regexp_replace(regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) AS slug, 'k' || left(sha256(c_name), 10) AS id FROM customer""")
 def slugs_and_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F12, F19"""

@@ -65,6 +65,15 @@ def test_redirect_cycle_and_chain(spark):
     assert got["a"] == "c" and got["b"] == "c" and set(got) == {"a", "b", "x", "y"}
 
 
+def test_redirects_take_ten_hops_and_stop_in_cycles(spark):
+    chain = [(f"n{i}", f"n{i + 1}") for i in range(15)]
+    hops = spark.createDataFrame([*chain, ("a", "b"), ("b", "c"), ("c", "a"), ("t", "a"), ("s", "s")], "url string, target string")
+    got = {r.url: (r.final, r.hops) for r in graph.resolve_redirects(hops).collect()}
+    assert got == {f"n{i}": (f"n{min(15, i + 10)}", min(15, i + 10) - i) for i in range(15)} | {"a": ("a", 3), "b": ("b", 3), "c": ("c", 3), "t": ("a", 4), "s": ("s", 1)}
+    short = {r.url: (r.final, r.hops) for r in graph.resolve_redirects(hops, most=3).collect()}
+    assert short["n0"] == ("n3", 3) and short["n13"] == ("n15", 2) and short["t"] == ("c", 3)
+
+
 def test_trend_and_fixes(spark):
     day = dt.date(2026, 10, 12)
     rows = [("p", day - dt.timedelta(days=5))] * 15 + [("p", day - dt.timedelta(days=120))] * 10
