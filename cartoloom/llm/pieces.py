@@ -14,12 +14,10 @@ import numpy as np
 UNSURE = re.compile("[\x0b\x0c\x1c-\x1f\x85᠎﻿]")
 #: Letters up to white space or punctuation, or any other run without white space.
 CHUNK = re.compile(r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+(?![^\s!-/:-@\[-`{-~])|\S+")
-#: Entries of a memo's younger half (the older half is as large); longer chunks are not kept beyond their batch.
-MEMO_ENTRIES, MEMO_CHARS = 400_000, 64
 #: The split before the merges of the byte-level vocabulary (a fixed value of the public vocabulary).
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Texts of each worker that are encoded by both engines and compared.
-COMPARED = 16
+#: One text in so many is encoded by both engines and compared, and the first one of each call.
+COMPARED = 256
 
 
 @functools.lru_cache(maxsize=4)
@@ -31,42 +29,43 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def special_strings(encoder) -> list[str]:
+    """Strings that the library finds in a text before it lower-cases anything."""
+    return [t.content for t in encoder.get_added_tokens_decoder().values()]
+
+
 class PieceCounts:
-    """Pieces of each distinct pre-token, for a vocabulary that lower-cases and drops white space.
+    """Pre-tokens of a text and their pieces, for a vocabulary that lower-cases and drops white space.
 
     A pre-token never crosses white space nor the end of a run of letters, so a text falls apart into chunks that can
-    be counted alone.  Each distinct chunk that a task meets is counted once; what long goes unused is forgotten.
+    be counted alone.
     """
 
     def __init__(self, path: str) -> None:
         self.encoder = tokenizer(path)
-        self.memo: dict[str, int] = {}
-        self.old: dict[str, int] = {}
-
-    @staticmethod
-    def frequencies(text: str) -> Counter:
-        return Counter(CHUNK.findall(text.lower() if text.isascii() else text))
+        self.special = special_strings(self.encoder)
+
+    def frequencies(self, text: str) -> Counter | None:
+        """How often each pre-token occurs; None for a text that must be counted whole.
+
+        Those are texts with rare separators, and texts in which lower-casing makes a special string that was none.
+        """
+        if UNSURE.search(text):
+            return None
+        if text.isascii():
+            low = text.lower()
+            if any(low.count(s) != text.count(s) for s in self.special):
+                return None
+            text = low
+        return Counter(CHUNK.findall(text))
 
     def whole(self, text: str) -> int:
         return len(self.encoder.encode(text, add_special_tokens=False))
 
-    def counts(self, frequencies: list[Counter]) -> list[int]:
-        """Join each document's pre-token frequencies to the piece counts and sum."""
-        if len(self.memo) > MEMO_ENTRIES:
-            self.memo, self.old = {}, self.memo
-        memo, old = self.memo, self.old
-        new = [c for c in set().union(*frequencies) if c not in memo]
-        aged = [c for c in new if c in old]
-        memo.update(zip(aged, map(old.__getitem__, aged), strict=True))
-        new = [c for c in new if c not in memo]
-        for lo in range(0, len(new), 8192):
-            part = new[lo : lo + 8192]
-            memo.update(zip(part, map(len, self.encoder.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-        get = memo.__getitem__
-        out = [sum(map(int.__mul__, map(get, f), f.values())) for f in frequencies]
-        for c in new:
-            if len(c) > MEMO_CHARS:
-                del memo[c]
+    def counts(self, chunks: list[str]) -> list[int]:
+        out: list[int] = []
+        for lo in range(0, len(chunks), 8192):
+            out += map(len, self.encoder.encode_batch_fast(chunks[lo : lo + 8192], add_special_tokens=False))
         return out
 
 
@@ -100,13 +99,13 @@ def rank_encoding(path: str):
 class PieceIds:
     """Ids of texts as the tokenizers library gives them, as little-endian unsigned 32-bit bytes.
 
-    A byte-level vocabulary whose ids are its merge ranks is loaded from the same file into an engine that is several
-    times faster.  Every worker encodes its first texts by both and goes on with the library alone if they differ.
+    A byte-level vocabulary whose ids are its merge ranks is loaded from the same file into an engine that is many
+    times faster.  All along, one text in ``COMPARED`` goes through both; a difference is an error, never passed over.
+    Any other vocabulary is encoded by the library.
     """
 
     def __init__(self, path: str) -> None:
         self.library, self.ranks = tokenizer(path), rank_encoding(path)
-        self.checked = 0
 
     def by_library(self, text: str) -> np.ndarray:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4")
@@ -115,12 +114,13 @@ class PieceIds:
         return self.ranks.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False)
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        head = texts[: max(0, COMPARED - self.checked)] if self.ranks else []
-        self.checked += len(head)
-        if not all(np.array_equal(self.by_library(t), self.by_ranks(t)) for t in head):
-            self.ranks = None
-        one = self.by_ranks if self.ranks else self.by_library
-        return [one(t).tobytes() for t in texts]
+        if not self.ranks:
+            return [self.by_library(t).tobytes() for t in texts]
+        out = [self.by_ranks(t) for t in texts]
+        for t, ids in list(zip(texts, out, strict=True))[::COMPARED]:
+            if not np.array_equal(self.by_library(t), ids):
+                raise ValueError(f"the two engines differ on a text of {len(t)} characters that begins {t[:60]!r}")
+        return [ids.tobytes() for ids in out]
 
 
 @functools.lru_cache(maxsize=2)

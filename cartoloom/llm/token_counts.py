@@ -7,38 +7,87 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from cartoloom.llm.common import arrow_rows, keyed_text, slices, text_list
-from cartoloom.llm.pieces import UNSURE, piece_counts
+from cartoloom.llm.common import arrow_rows, keyed_text, slices, stored, text_list
+from cartoloom.llm.pieces import piece_counts
 
+#: Distinct pre-tokens that a task holds before it passes them on.
+HELD = 400_000
+#: A pre-token longer than this is never among the frequent ones that every task gets.
+SHORT = 64
 
-def count_tokens(docs: DataFrame, vocabulary: str, *, max_tokens: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def piece_table(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """``chunk, n, pieces``: every distinct pre-token of the texts, how often it occurs, and its pieces, counted once."""
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        coder, seen = piece_counts(vocabulary), Counter()
+        for batch in slices(batches):
+            for text in text_list(batch):
+                seen.update(coder.frequencies(text) or ())
+            if len(seen) > HELD:
+                yield {"chunk": list(seen), "n": list(seen.values())}
+                seen = Counter()
+        if seen:
+            yield {"chunk": list(seen), "n": list(seen.values())}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            yield {c: batch.column(c) for c in ("chunk", "n")} | {"pieces": piece_counts(vocabulary).counts(batch.column("chunk").to_pylist())}
+
+    found = arrow_rows(docs, distinct, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
+    return stored(arrow_rows(found, count, "chunk string, n long, pieces int"))
+
+
+def count_tokens(docs: DataFrame, vocabulary: str, *, max_tokens: int = 2048, frequent: int = 1 << 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokens of every whole text: ``doc_id, n_bytes, n_tokens, over_limit``.
 
-    Each task keeps one table of distinct pre-tokens with their piece counts.  A batch becomes pre-token
-    frequencies per document; pre-tokens not in the table are counted once, the frequencies are joined to the
-    table and summed.  The join stays inside the task, so nothing is shuffled and a hot pre-token is one entry.
-    The table is bounded by ``MEMO_ENTRIES``.
+    First the distinct pre-tokens of all texts are gathered (tasks pass on each one once) and the pieces of each are
+    counted once.  Then each document's pre-token frequencies are joined to that table and summed.  The ``frequent``
+    most frequent short pre-tokens travel to every task, so that no hot key is shuffled; the rest of a document's
+    frequencies, rare by construction, meet the table in a shuffled join.  Both ways give the same sums.
 
     Null text counts as empty (0 bytes, 0 tokens).  Repeated rows and repeated or null ids give one row each.
     An empty table gives no rows.  Other columns are neither read nor returned.
     ``vocabulary`` is a path that every executor can read.
     """
+    own = keyed_text(docs, id_col, text_col)
+    pieces = piece_table(own.select("text"), vocabulary)
+    top = pieces.where(F.length("chunk") <= SHORT).orderBy(F.desc("n"), "chunk").limit(frequent).select("chunk", "pieces")
+    known = {r.chunk: r.pieces for r in top.collect()}  # bounded by the parameter
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        from pyspark import TaskContext
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        counter = piece_counts(vocabulary)
+        coder, row = piece_counts(vocabulary), TaskContext.get().partitionId() << 40
+        get = known.get
         for batch in slices(batches):
-            texts = text_list(batch)
-            odd = [bool(UNSURE.search(t)) for t in texts]
-            n = counter.counts([Counter() if o else counter.frequencies(t) for t, o in zip(texts, odd, strict=True)])
-            for i, o in enumerate(odd):
-                if o:
-                    n[i] = counter.whole(texts[i])
+            texts, sums, rest = text_list(batch), [], []
+            for text in texts:
+                freq = coder.frequencies(text)
+                if freq is None:
+                    sums.append(coder.whole(text))
+                    rest.append([])
+                    continue
+                by = list(map(get, freq))
+                if None in by:
+                    rest.append([{"chunk": c, "n": n} for (c, n), p in zip(freq.items(), by, strict=True) if p is None])
+                    by = [p or 0 for p in by]
+                else:
+                    rest.append([])
+                sums.append(sum(map(int.__mul__, by, freq.values())))
             yield {
+                "row": range(row, row + len(texts)),
                 "doc_id": batch.column("doc_id"),
                 "n_bytes": [len(t.encode()) for t in texts],
-                "n_tokens": n,
-                "over_limit": [k > max_tokens for k in n],
+                "known": sums,
+                "rest": rest,
             }
+            row += len(texts)
 
-    return arrow_rows(keyed_text(docs, id_col, text_col), work, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    parts = stored(arrow_rows(own, join, "row long, doc_id long, n_bytes long, known long, rest array<struct<chunk:string,n:long>>"))
+    rare = parts.select("row", F.explode("rest").alias("x")).select("row", "x.chunk", "x.n").join(pieces.select("chunk", "pieces"), "chunk")
+    sums = rare.groupBy("row").agg(F.sum(F.col("n") * F.col("pieces")).alias("rare"))
+    total = F.col("known") + F.coalesce("rare", F.lit(0))
+    return parts.drop("rest").join(sums, "row", "left").select("doc_id", "n_bytes", total.alias("n_tokens"), (total > max_tokens).alias("over_limit"))

@@ -41,25 +41,36 @@ def empty(docs):
     return docs.where("1 = 0")
 
 
-def test_piece_engines_agree_with_the_library():
-    rng = random.Random(0)
-    letters = list(" \n\t\r aAé'sΣ1,.!#\xa0　\x1c\x0b\x85​́İ<|>中😀") + ["<|endoftext|>", "<|startoftext|>", " the", "'ll"]
-    some = ["".join(rng.choices(letters, k=rng.randint(0, 40))) for _ in range(3000)]
+def odd_texts(n, seed=0):
+    rng = random.Random(seed)
+    letters = list(" \n\t\r aAé'sΣ1,.!#\xa0　\x1c\x0b\x85\u200b́İ<|>中😀½²") + ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|StartOfText|>", " the", "'ll", "'S"]
+    return ["".join(rng.choices(letters, k=rng.randint(0, 40))) for _ in range(n)]
+
+
+def test_piece_engines_agree_with_the_library(monkeypatch):
     ids, counts = PieceIds(BYTES), PieceCounts(WORDS)
+    some = odd_texts(3000)
     assert all(ids.by_ranks(s).tolist() == ids.by_library(s).tolist() for s in some)
-    from cartoloom.llm.pieces import UNSURE
-
-    plain = [s for s in some if not UNSURE.search(s)]
-    assert counts.counts([counts.frequencies(s) for s in plain]) == [counts.whole(s) for s in plain]
+    found = [(s, counts.frequencies(s)) for s in some]
+    plain = [(s, f) for s, f in found if f is not None]
+    table = dict(zip(chunks := sorted({c for _, f in plain for c in f}), counts.counts(chunks)))
+    assert len(plain) > 500 and all(sum(n * table[c] for c, n in f.items()) == counts.whole(s) for s, f in plain)
+    monkeypatch.setattr(PieceIds, "by_ranks", lambda self, t: np.zeros(1, "<u4"))
+    with pytest.raises(ValueError):
+        ids.ids(["a text that differs"])
 
 
-def test_token_counts(docs, rows, empty):
+@pytest.mark.parametrize("frequent", [0, 20, 1 << 17])
+def test_token_counts(spark, docs, rows, empty, frequent):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(WORDS)
-    want = sorted(((i if i is not None else -1), len((x or "").encode()), len(t.encode(x or "", add_special_tokens=False).ids)) for i, x in rows)
-    got = token_counts.count_tokens(docs, WORDS).collect()
+    more = [*rows, *enumerate(odd_texts(300, 5), 1000), (2000, "<|ENDOFTEXT|>"), (2001, "x<|EndOfText|>y <|endoftext|>"), (2002, "word " * 60000), (2003, "w" * 30000)]
+    table = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more[len(rows) :], "doc_id long, text string"))
+    want = sorted(((i if i is not None else -1), len((x or "").encode()), len(t.encode(x or "", add_special_tokens=False).ids)) for i, x in more)
+    got = token_counts.count_tokens(table, WORDS, frequent=frequent).collect()
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_bytes, r.n_tokens) for r in got) == want
+    assert all(r.over_limit == (r.n_tokens > 2048) for r in got)
     assert token_counts.count_tokens(empty, WORDS).count() == 0
 
 
