@@ -54,14 +54,14 @@ def settled(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
-def stored(frame: DataFrame) -> DataFrame:
+def stored(frame: DataFrame, *, compression: str = "snappy") -> DataFrame:
     """The frame as a Parquet table in the shared folder, for what is read more than once or by columns.
 
     The folders go when the application ends.
     """
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    frame.write.parquet(path, compression=compression)
     if not _stored:
         atexit.register(_forget, spark)
     _stored.append(path)
@@ -78,9 +78,28 @@ def _forget(spark: SparkSession) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that the table does not have yet, in any case of letters."""
+    have = {c.lower() for c in docs.columns}
+    while name.lower() in have:
+        name = "_" + name
+    return name
+
+
+def without_names(docs: DataFrame, results: str) -> DataFrame:
+    """The table without columns whose names, in any case of letters, are those of results (a schema in short form)."""
+    names = {f.split()[0].lower() for f in re.split(r", (?![^<]*>)", results)}
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in names])
+
+
+def columns_of(docs: DataFrame) -> list[str]:
+    """Name and type of each column, quoted."""
+    return [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
+
+
 def keyed_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns an operator reads, under fixed names, whatever else the table has."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
 def arrow_rows(frame: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
