@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartoloom.llm.common import settled
+from cartoloom.llm.common import stored, unused
 
 #: A word: neither ASCII punctuation, space nor control; the text is lower-cased (A to Z only) before.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Words as they stand and what lies between them, in turn.
-SEGMENT = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: The same before lower-casing, and what lies between words.
+CASED, BETWEEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Up to so many distinct windows the set goes along with the plan to every task; beyond it windows are joined.
+#: Tables of at most so many rows (windows, or positions under hits) are broadcast, larger ones are joined by shuffles.
 MOST_BROADCAST = 200_000
+#: A text's contents as a key: equal texts have equal hits, whatever their rows and ids.
+KEY = ("t1", "t2")
 
 
 def words(text: Column) -> Column:
@@ -21,60 +23,65 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
+def _folded(h: Column, at: Column, n: int) -> Column:
+    """Three word hashes of a window, and its length, folded into a number."""
+    return h[at].bitwiseXOR(F.shiftleft(h[at + n // 2], 1)).bitwiseXOR(F.shiftleft(h[at + n - 1], 2)).bitwiseXOR(F.lit(n).cast("long"))
+
+
 def benchmark_windows(benchmark: DataFrame, *, length: int = 10, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """``item_id, window, length``: every run of ``length`` words, or the whole item where it has fewer, but any."""
-    w = words(F.col(text_col))
-    items = benchmark.select(F.col(id_col).alias("item_id"), w.alias("w"))
+    """``item_id, window, length, key``: every run of ``length`` words, or the whole item where it has fewer, but any."""
+    items = benchmark.select(F.col(id_col).alias("item_id"), words(F.col(text_col).cast("string")).alias("w"))
     n = F.size("w")
     runs = F.when(n >= length, F.transform(F.sequence(F.lit(0), n - length), lambda i: F.slice("w", i + 1, length))).when(n > 0, F.array("w"))
-    return items.select("item_id", F.explode(runs).alias("run")).select("item_id", F.array_join("run", " ").alias("window"), F.size("run").alias("length")).distinct()
+    cut = items.select("item_id", F.explode(runs).alias("run")).select("item_id", F.array_join("run", " ").alias("window"), F.size("run").alias("length"), F.transform("run", lambda x: F.xxhash64(x)).alias("h"))
+    key = F.coalesce(*[F.when(F.col("length") == k, _folded(F.col("h"), F.lit(0), k)) for k in range(1, length + 1)])
+    return cut.select("item_id", "window", "length", key.alias("key")).distinct()
+
+
+def _small(frame: DataFrame) -> bool:
+    return frame.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
 
 
-def _key(at: str, n: int) -> str:
-    """Three words of a window folded into a number; only positions whose number is known are looked at further."""
-    return f"(h[{at}] ^ shiftleft(h[{at}+{n // 2}], 1) ^ shiftleft(h[{at}+{n - 1}], 2))"
+def _sized(frame: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(frame) if small else frame
 
 
-def _quoted(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+def content_key(text: Column) -> list[Column]:
+    known = F.coalesce(text.cast("string"), F.lit(""))
+    return [F.xxhash64(known).alias("t1"), F.xxhash64(F.lit(1), known).alias("t2")]
 
 
-def scan(windows: DataFrame, text_col: str) -> Column:
-    """A struct of ``n``, the number of words, and ``hits``, the places (pos, length, window) where a window occurs.
+def occurrences(texts: DataFrame, windows: DataFrame) -> DataFrame:
+    """``t1, t2, pos, length, window``: where windows of the benchmark occur in whole texts.
 
-    Windows within the bound are shipped to every task as a hash set inside the plan.  A document is scanned in
-    place: positions whose folded number is in a first set are kept, then the window itself is looked up in the
-    exact set.  Nothing is exploded or shuffled, and words and their hashes are bound once.  Beyond the bound ``hits``
-    holds all positions, to be joined.
+    texts: ``text``; windows: from :func:`benchmark_windows`, read several times.  Each word position becomes a row with
+    its folded number, which meets the benchmark's numbers in a hash join; what is met is compared as text.  Up to
+    ``MOST_BROADCAST`` windows the numbers and windows are broadcast, so nothing is exploded beyond the task nor
+    shuffled.  Beyond it the numbers meet in a shuffled join without their texts, and texts with a hit are read again
+    to cut out the windows.  The rows are the same either way.
     """
-    known = windows.select("window", "length").distinct()
-    lengths = sorted(r.length for r in known.select("length").distinct().collect())
-    few = within_bound(windows)
-    texts: dict[int, set[str]] = {n: set() for n in lengths}
-    keys: dict[int, set[int]] = {n: set() for n in lengths}
-    if few and lengths:
-        h = known.select("length", "window", F.transform(F.split("window", " "), lambda w: F.xxhash64(w)).alias("h"))
-        folded = F.expr("CASE " + " ".join(f"WHEN length = {n} THEN {_key('0', n)}" for n in lengths) + " END")
-        for r in h.select("length", "window", folded.alias("key")).toLocalIterator():
-            texts[r.length].add(r.window)
-            keys[r.length].add(r.key)
-    found = ["cast(array() AS array<struct<pos:int,length:int,window:string>>)"]
-    for n in lengths:
-        places = f"CASE WHEN size(h) >= {n} THEN sequence(0, size(h) - {n}) ELSE cast(array() AS array<int>) END"
-        if few:
-            listed = ",".join(f"{k}L" if k > -(1 << 63) else "cast('-9223372036854775808' AS bigint)" for k in sorted(keys[n]))
-            places = f"filter({places}, i -> {_key('i', n)} IN ({listed}))"
-        run = f"transform({places}, i -> named_struct('pos', i, 'length', {n}, 'window', array_join(slice(w, i + 1, {n}), ' ')))"
-        if few:
-            run = f"filter({run}, x -> x.window IN ({','.join(map(_quoted, sorted(texts[n])))}))"
-        found.append(run)
-    word = f"coalesce(regexp_extract_all(translate(cast(`{text_col}` AS string), '{UPPER}', '{LOWER}'), {_quoted(WORD)}, 0), cast(array() AS array<string>))"
-    inner = f"named_struct('n', size(w), 'hits', concat({', '.join(found)}))"
-    return F.expr(f"transform(array({word}), w -> transform(array(transform(w, x -> xxhash64(x))), h -> {inner})[0])[0]")
-
-
-def within_bound(windows: DataFrame) -> bool:
-    return windows.select("window", "length").distinct().limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    few = _small(windows)
+    lengths = sorted(r.length for r in windows.select("length").distinct().collect())  # at most the words of a window
+    own = texts.select(*content_key(F.col("text")), "text")
+
+    def places(h: Column) -> Column:
+        def of(n: int) -> Column:
+            each = F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: F.struct(i.alias("pos"), F.lit(n).alias("length"), _folded(h, i, n).alias("key")))
+            return F.when(F.size(h) >= n, each)
+
+        none = F.array().cast("array<struct<pos:int,length:int,key:bigint>>")
+        return F.concat(none, *[F.coalesce(of(n), none) for n in lengths])
+
+    kept = ["w"] if few else []
+    split = own.select(*KEY, words(F.col("text")).alias("w")).select(*KEY, *kept, F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+    every = split.select(*KEY, *kept, F.explode(places(F.col("h"))).alias("x")).select(*KEY, *kept, "x.*")
+    met = every.join(_sized(windows.select("key").distinct(), few), "key", "left_semi")
+    if not few:
+        found = met.groupBy(*KEY).agg(F.collect_set(F.struct("pos", "length")).alias("x"))
+        again = own.dropDuplicates(list(KEY)).join(found, list(KEY)).select(*KEY, words(F.col("text")).alias("w"), "x")
+        met = again.select(*KEY, "w", F.explode("x").alias("x")).select(*KEY, "w", "x.*")
+    cut = met.select(*KEY, "pos", "length", F.array_join(F.slice("w", F.col("pos") + 1, F.col("length")), " ").alias("window"))
+    return cut.join(_sized(windows.select("window", "length").distinct(), few), ["window", "length"], "left_semi")
 
 
 def _covered(hits: Column) -> Column:
@@ -87,19 +94,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, length: int = 10, id
 
     A document word inside any occurrence of a window is hit; ``item_ids`` are the items with occurring windows.
     Null and empty texts have no words.  Repeated rows and null ids give one row each; an empty benchmark hits
-    nothing; a null item text has no windows.
+    nothing; a null item text has no windows.  Other columns are neither read nor returned.
     """
-    windows = benchmark_windows(benchmark, length=length)
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
-    scanned = base.select("doc_id", "row", scan(windows, "text").alias("s")).select("doc_id", "row", F.col("s.n").cast("long").alias("n_words"), F.explode_outer("s.hits").alias("x"))
-    items = windows.groupBy("window", "length").agg(F.collect_set("item_id").alias("items"))
-    if items.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
-        items = F.broadcast(items)
-    met = scanned.select("doc_id", "row", "n_words", F.col("x.pos").alias("pos"), F.col("x.length").alias("length"), F.col("x.window").alias("window")).join(items, ["window", "length"], "left")
-    place = F.when(F.col("items").isNotNull(), F.struct("pos", "length"))
-    rows = met.groupBy("row", "doc_id", "n_words").agg(F.collect_set(place).alias("hits"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("item_ids"))
-    rows = rows.withColumn("n_hit", F.size(_covered(F.col("hits"))).cast("long"))
-    return rows.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.array_sort(F.transform("item_ids", lambda i: i.cast("string"))).alias("item_ids"), (F.col("n_hit") > 0).alias("contaminated"))
+    windows = stored(benchmark_windows(benchmark, length=length))
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    met = occurrences(own.select("text"), windows)
+    items = windows.groupBy("window", "length").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
+    met = met.join(_sized(items, _small(windows)), ["window", "length"])
+    hits = met.groupBy(*KEY).agg(_covered(F.collect_set(F.struct("pos", "length"))).alias("gone"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids"))
+    hits = stored(hits.select(*KEY, F.size("gone").cast("long").alias("n_hit"), "item_ids"))
+    counted = F.coalesce(F.regexp_count("text", F.lit(CASED)), F.lit(0)).cast("long")
+    rows = own.select("doc_id", *content_key(F.col("text")), counted.alias("n_words")).join(_sized(hits, _small(hits)), list(KEY), "left")
+    none, n_hit = F.array().cast("array<string>"), F.coalesce("n_hit", F.lit(0).cast("long"))
+    return rows.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("item_ids", none).alias("item_ids"), (n_hit > 0).alias("contaminated"))
 
 
 def digest(rows: DataFrame) -> DataFrame:
@@ -107,36 +114,34 @@ def digest(rows: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, length: int = 10, most: float = 0.5, text_col: str = "text") -> DataFrame:
-    """Documents without the benchmark's windows, with their own columns.
+    """Documents without the benchmark's windows, with their own columns, whatever their names.
 
     Hit words go, with what follows each up to the next word.  A document of which ``most`` of the words or more are
-    hit goes as a whole.  Others keep their text as it is.  Null text stays null.  All happens inside the row.  A
-    benchmark with more windows than can be broadcast is matched by a join on a row number, for which the documents are
-    written once to the shared folder; ids may be null or repeated either way.
+    hit goes as a whole.  Others keep their text as it is.  Null text stays null.  Hits are found per distinct text and
+    joined to the documents by the text's contents, so ids play no part.
     """
-    windows = benchmark_windows(benchmark, length=length)
-    names = docs.columns
-    found = scan(windows, text_col)
-    if not within_bound(windows):
-        known = windows.select("window", "length").distinct()
-        docs = settled(docs.withColumn("__row", F.monotonically_increasing_id()))  # both sides must see the same numbers
-        every = docs.select("__row", found.alias("s")).select("__row", F.col("s.n").alias("n"), F.explode("s.hits").alias("x"))
-        exact = every.join(known, (F.col("x.window") == known.window) & (F.col("x.length") == known.length), "left_semi")
-        hits = exact.groupBy("__row").agg(F.struct(F.first("n").alias("n"), F.collect_set("x").alias("hits")).alias("__scan"))
-        docs, found = docs.join(hits, "__row", "left"), F.coalesce("__scan", F.struct(F.lit(0).alias("n"), F.array().cast("array<struct<pos:int,length:int,window:string>>").alias("hits")))
-    text = F.col(text_col)
-    lead = F.when(text.rlike("^" + SEGMENT.split("|")[1]), 1).otherwise(0)
-
-    def cut(bound: Column) -> Column:
+    windows = stored(benchmark_windows(benchmark, length=length))
+    t1, t2, gone, cut = (unused(docs, x) for x in ("t1", "t2", "gone", "cut"))
+    met = occurrences(docs.select(F.col(text_col).cast("string").alias("text")), windows)
+    hits = stored(met.groupBy(*KEY).agg(F.array_sort(_covered(F.collect_set(F.struct("pos", "length")))).alias("gone")))
+    small = (hits.agg(F.sum(F.size("gone"))).first()[0] or 0) <= MOST_BROADCAST
+    hits = _sized(hits.select(F.col("t1").alias(t1), F.col("t2").alias(t2), F.col("gone").alias(gone)), small)
+    text = F.col(f"`{text_col}`").cast("string")
+    lead = F.when(text.rlike("^" + BETWEEN), 1).otherwise(0)
+
+    def without(bound: Column) -> Column:
         # segment i belongs to word (i - lead) div 2, what comes before the first word to none
         kept = F.filter(
-            F.regexp_extract_all(text, F.lit(SEGMENT), F.lit(0)),
+            F.regexp_extract_all(text, F.lit(f"{CASED}|{BETWEEN}"), F.lit(0)),
             lambda s, i: (i < bound["lead"]) | ~F.array_contains(bound["gone"], F.floor((i - bound["lead"]) / 2).cast("int")),
         )
         few = F.size(bound["gone"]) < F.greatest(F.lit(1), bound["n"]) * most
-        return F.struct(few.alias("few"), F.when(F.size(bound["gone"]) > 0, F.array_join(kept, "")).otherwise(text).alias("text"))
+        return F.struct(few.alias("few"), F.array_join(kept, "").alias("text"))
 
+    key = content_key(text)
+    keyed = docs.select("*", key[0].alias(t1), key[1].alias(t2)).join(hits, [t1, t2], "left")
     # arrays of one element bind a value once; the generator drops the row whose document goes
-    bound = F.transform(F.array(found), lambda s: F.struct(_covered(s["hits"]).alias("gone"), lead.alias("lead"), s["n"].alias("n")))
-    rows = docs.select(*names, F.explode(F.filter(F.transform(bound, cut), lambda x: x["few"])).alias("__cut"))
-    return rows.select(*[F.col("__cut.text").alias(c) if c == text_col else F.col(c) for c in names])
+    bound = F.transform(F.array(F.col(gone)), lambda g: F.struct(g.alias("gone"), lead.alias("lead"), F.regexp_count(text, F.lit(CASED)).alias("n")))
+    whole = F.array(F.struct(F.lit(True).alias("few"), text.alias("text")))
+    rows = keyed.withColumn(cut, F.explode(F.when(F.col(gone).isNull(), whole).otherwise(F.filter(F.transform(bound, without), lambda x: x["few"]))))
+    return rows.select(*[F.col(cut)["text"].alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
