@@ -18,7 +18,8 @@ def components(edges: DataFrame) -> DataFrame:
     rest = settled(edges.where("a <> b").select(hi, lo).distinct())
     rounds: list[DataFrame] = []
     while not rest.isEmpty():
-        hook = rest.groupBy("u").agg(F.min("v").alias("p"))
+        # settled first: a join of plain shuffles can be split where a hub is hot
+        hook = settled(rest.groupBy("u").agg(F.min("v").alias("p")))
         for _ in range(2):
             to = hook.select(F.col("u").alias("p"), F.col("p").alias("q"))
             hook = hook.join(to, "p", "left").select("u", F.coalesce("q", "p").alias("p"))
