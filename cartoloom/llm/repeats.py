@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,12 +17,12 @@ from cartoloom.llm.suffixes import permuted_common_prefixes, suffix_array
 GRAM = 128
 #: Texts are read in stretches of this many starts, so that a very long one needs no more memory.
 STRETCH = 1 << 20
-#: A shard's strings are sorted in lots of about this many bytes; a class beyond the second bound is spread by its windows.
+#: A shard's strings are sorted in lots of about this many bytes; a class beyond the second bound is split.
 LOT, CLASS = 1 << 20, 8 << 20
 
 
-def owned(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which gram each window of ``length`` bytes belongs to: first and last window of each run, and its gram's hash.
+def owned(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Which gram each window of ``length`` bytes belongs to: first and last window of each run, its gram's hash and place.
 
     A window belongs to the gram of least hash in it, the leftmost of equal ones.  That depends on the window's bytes
     alone, so equal windows anywhere belong to equal grams.
@@ -41,7 +40,7 @@ def owned(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndar
     owner = (np.minimum(behind[:n], ahead[w - 1 : w - 1 + n]) & np.uint64((1 << 24) - 1)).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
     last = np.append(first[1:], n) - 1
-    return first, last, hashes[owner[first]].view(np.int64)
+    return first, last, hashes[owner[first]].view(np.int64), owner[first]
 
 
 def regions(docs: DataFrame, length: int) -> DataFrame:
@@ -59,7 +58,7 @@ def regions(docs: DataFrame, length: int) -> DataFrame:
                 whole = text.encode()
                 for lo in range(0, len(whole) - length + 1, STRETCH):
                     part = whole[lo : lo + STRETCH + length - 1]
-                    first, last, g = owned(np.frombuffer(part, np.uint8), length, min(GRAM, length))
+                    first, last, g, _ = owned(np.frombuffer(part, np.uint8), length, min(GRAM, length))
                     sizes = last - first + length
                     out["d"] += [d] * len(g)
                     out["t"] += [t] * len(g)
@@ -108,80 +107,135 @@ def repeated_windows(strings: list[bytes], weights: list[int], length: int) -> l
 
 
 def _sorted_classes(members: DataFrame, length: int, shards: int) -> DataFrame:
-    """Shards of whole classes, each sorted lot by lot: ``g, r, spans`` of every string with repeated windows."""
+    """Shards of whole classes, each sorted lot by lot: ``g, r, spans`` of every string with repeated windows.
+
+    members: ``k`` (the class), ``g, r, shift`` (the string: part of which stretch, and where in it), ``m, bytes``.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         held: list[tuple] = []
         size = 0
 
         def lot() -> Iterator[dict]:
-            found = repeated_windows([h[3] for h in held], [h[2] for h in held], length)
-            rows = [(h[0], h[1], _spans(x, length)) for h, x in zip(held, found, strict=True) if len(x)]
+            found = repeated_windows([h[5] for h in held], [h[4] for h in held], length)
+            rows = [(h[1], h[2], _spans(x + h[3], length)) for h, x in zip(held, found, strict=True) if len(x)]
             if rows:
                 yield dict(zip(("g", "r", "spans"), map(list, zip(*rows, strict=True)), strict=True))
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("g", "r", "m", "bytes")), strict=True):
-                if held and row[:2] == held[-1][:2]:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("k", "g", "r", "shift", "m", "bytes")), strict=True):
+                if held and row[:4] == held[-1][:4]:
                     continue  # from a repeated row, weighed already
                 if held and size >= LOT and row[0] != held[-1][0]:
                     yield from lot()
                     held, size = [], 0
                 held.append(row)
-                size += len(row[3])
+                size += len(row[5])
         if held:
             yield from lot()
 
-    dealt = members.repartition(shards, "g").sortWithinPartitions("g", "r")
+    dealt = members.repartition(shards, "k").sortWithinPartitions("k", "g", "r", "shift")
     return arrow_rows(dealt, work, "g long, r long, spans array<struct<lo:int,hi:int>>")
 
 
-def _spread_classes(members: DataFrame, length: int) -> DataFrame:
-    """Classes too large for a shard: their windows are counted by hash instead, wherever they are."""
+def halves(data: bytes, at: int, gram: int, length: int) -> Iterator[tuple[int, int, bytes]]:
+    """A string in two, by what its windows hold beside the gram at a place: shift, the gram's new place, the bytes.
+
+    Half of the bytes that a window has beside its gram are on one side at least: windows with as many to the left
+    get a gram longer by these, the others one longer by those to the right.  Equal windows stay together.
+    """
+    more = -(-(length - gram) // 2)
+    last = len(data) - length
+    cut = at - more  # windows up to this start have `more` bytes before the gram
+    if cut >= 0:
+        yield 0, at - more, data[: min(last, cut) + length]
+    if cut < last:
+        first = max(0, cut + 1)
+        yield first, at - first, data[first:]
+
+
+def _split_classes(members: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Classes too large for a task, split until they fit: strings to be sorted, and spans of those that need no sorting.
+
+    members: ``g, r, m, bytes``.  Each round makes the gram longer by half of what a window has beside it and splits
+    every string in two, so classes part by their neighbourhood; after some rounds a string is one window and its class
+    are equal windows, which are counted.
+    """
     import xxhash
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in slices(batches, 64):
-            out: dict[str, list] = {k: [] for k in ("a", "b", "g", "r", "m", "start")}
-            for g, r, m, data in zip(*(batch.column(c).to_pylist() for c in ("g", "r", "m", "bytes")), strict=True):
-                for s in range(len(data) - length + 1):
-                    h = xxhash.xxh3_128_intdigest(data[s : s + length])
-                    for k, v in zip(out, ((h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63), g, r, m, s), strict=True):
-                        out[k].append(v)
-            yield out
+    gram = min(GRAM, length)
 
-    windows = arrow_rows(members, work, "a long, b long, g long, r long, m long, start int")
-    again = windows.groupBy("a", "b").agg(F.sum("m").alias("total")).where("total > 1")
-    found = windows.join(again, ["a", "b"]).groupBy("g", "r").agg(F.collect_list(F.struct(F.col("start").alias("lo"), (F.col("start") + length).alias("hi"))).alias("spans"))
-    return found.select("g", "r", "spans")
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in slices(batches, 64):
+            data = batch.column("bytes").to_pylist()
+            at = [int(owned(np.frombuffer(x, np.uint8), length, gram)[3][0]) for x in data]
+            yield {c: batch.column(c) for c in ("g", "r", "m", "bytes")} | {"shift": [0] * len(data), "at": at}
+
+    def split(width: int):
+        more = -(-(length - width) // 2)
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+            names = ("g", "r", "m", "shift", "at", "bytes", "k")
+            for batch in slices(batches, 64):
+                rows = []
+                for g, r, m, shift, at, data in zip(*(batch.column(c).to_pylist() for c in names[:-1]), strict=True):
+                    for moved, place, part in halves(data, at, width, length):
+                        rows.append((g, r, m, shift + moved, place, part, xxhash.xxh3_64_intdigest(part[place : place + width + more], 1) - (1 << 63)))
+                if rows:
+                    yield dict(zip(names, map(list, zip(*rows, strict=True)), strict=True))
+
+        return work
+
+    fields = "g long, r long, m long, bytes binary, shift int, at int"
+    rest, ready = arrow_rows(members, whole, fields), None
+    while gram < length:
+        rest = stored(arrow_rows(rest, split(gram), fields + ", k long"))
+        gram += -(-(length - gram) // 2)
+        sizes = rest.groupBy("k").agg(F.sum(F.length("bytes")).alias("size"))
+        sized = stored(rest.join(sizes, "k"))
+        fit = sized.where(F.col("size") <= CLASS).select("k", "g", "r", "shift", "m", "bytes")
+        ready = fit if ready is None else ready.unionByName(fit)
+        rest = sized.where(F.col("size") > CLASS).drop("size", "k")
+        if rest.isEmpty():
+            break
+    one = rest.select("g", "r", "shift", "m", F.xxhash64("bytes").alias("a"), F.xxhash64(F.lit(1), "bytes").alias("b"))
+    again = one.groupBy("a", "b").agg(F.sum("m").alias("total")).where("total > 1")
+    equal = one.join(again, ["a", "b"]).select("g", "r", F.array(F.struct(F.col("shift").alias("lo"), (F.col("shift") + length).alias("hi"))).alias("spans"))
+    if ready is None:
+        ready = members.select(F.lit(0).cast("long").alias("k"), "g", "r", F.lit(0).alias("shift"), "m", "bytes").where("1 = 0")
+    return ready, equal
 
 
 def repeated_spans(docs: DataFrame, *, length: int = 400) -> DataFrame:
     """``d, t, covers`` of every document with a string of ``length`` bytes that starts anywhere else too.
 
-    docs: ``d, t, text`` (see :func:`keyed`).  Stretches of equal bytes become one string with a weight.  A class (the
-    strings of one gram) that weighs one has no repeats; one string that weighs more repeats as a whole; all others
-    are fetched and sorted.
+    docs: ``d, t, text`` (see :func:`keyed`).  Stretches of equal bytes become one string with a weight; they are told
+    by two 64-bit hashes, of their gram and of all their bytes.  A class (the strings of one gram) that weighs one has
+    no repeats; one string that weighs more repeats as a whole; all others are fetched and sorted, classes beyond
+    ``CLASS`` bytes after they have been split.
     """
     parts = stored(regions(docs, length))
     per = parts.groupBy("g", "r").agg(F.count("*").alias("m"), F.min(F.struct("d", "t", "at", "len")).alias("first"))
     sums = per.groupBy("g").agg(F.sum("m").alias("total"), F.count("*").alias("kinds"), F.sum("first.len").alias("size")).where("total > 1")
     classes = stored(per.join(sums, "g").select("g", "r", "m", "first.*", "kinds", "size"))
     several = classes.where("kinds > 1")
-    shards = max(1, int((several.agg(F.sum("len")).first()[0] or 0) // (2 * LOT)) + 1)
     wanted = several.groupBy("d", "t").agg(F.collect_list(F.struct("g", "r", "m", "at", "len", "size")).alias("wanted"))
     cut = F.transform("wanted", lambda x: F.struct(x["g"].alias("g"), x["r"].alias("r"), x["m"].alias("m"), (x["size"] > CLASS).alias("large"), F.col("text").cast("binary").substr(x["at"] + 1, x["len"]).alias("bytes")))
     members = docs.join(wanted, ["d", "t"]).select(F.explode(cut).alias("x")).select("x.*")
-    large = several.where(F.col("size") > CLASS).limit(1).count() > 0
-    if large:
+    total = several.agg(F.sum("len").alias("all"), F.max("size").alias("most")).first()
+    shards = int((total["all"] or 0) // (2 * LOT)) + 1
+    sortable, equal = members.select(F.col("g").alias("k"), "g", "r", F.lit(0).alias("shift"), "m", "bytes", "large"), None
+    if (total["most"] or 0) > CLASS:
         members = stored(members.dropDuplicates(["g", "r"]))
-    found = _sorted_classes(members.where(~F.col("large")) if large else members, length, shards)
-    if large:
-        found = found.unionByName(_spread_classes(members.where("large"), length))
+        split, equal = _split_classes(members.where("large").drop("large"), length)
+        sortable = members.where("not large").select(F.col("g").alias("k"), "g", "r", F.lit(0).alias("shift"), "m", "bytes").unionByName(split)
+    found = _sorted_classes(sortable.drop("large"), length, shards)
     alone = classes.where("kinds = 1").select("g", "r", F.array(F.struct(F.lit(0).alias("lo"), F.col("len").alias("hi"))).alias("spans"))
-    hits = parts.join(alone.unionByName(found), ["g", "r"])
+    spans = alone.unionByName(found) if equal is None else alone.unionByName(found).unionByName(equal)
+    # plain shuffles on both sides: the reader splits a stretch that a large part of all documents share
+    hits = parts.join(spans, ["g", "r"])
     covers = F.transform("spans", lambda x: F.struct((F.col("at") + x["lo"]).alias("lo"), (F.col("at") + x["hi"]).alias("hi")))
-    return hits.groupBy("d", "t").agg(F.flatten(F.collect_list(covers)).alias("covers"))
+    return hits.groupBy("d", "t").agg(F.flatten(F.collect_set(covers)).alias("covers"))  # repeated rows bring the same spans
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -224,6 +278,3 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, id_col: str = "doc_id"
 def digest(rows: DataFrame) -> DataFrame:
     return rows.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
 
-
-def sha256(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
