@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,13 +11,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from cartoloom.llm.common import arrow_rows, keyed_text, slices, text_list
+from cartoloom.llm.common import arrow_rows, columns_of, keyed_text, slices, text_list, without_names
 
 #: Hashed byte n-grams (two and three bytes) fall into so many features.
 FEATURES = 1 << 12
-LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
+
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter (Unicode category L; neither digits nor signs such as a half or a square)."""
+    return any(map(str.isalpha, text))
+
+
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[65:91] += 32
 _FOLD[[9, 10, 13]] = 32
@@ -77,15 +81,19 @@ class LanguageModel:
         return order[:, 0], top[:, 0], top[:, 1] if share.shape[1] > 1 else np.zeros(len(share))
 
 
-def fit(texts: list[str], languages: list[str], *, steps: int = 80, rate: float = 6.0, ridge: float = 1e-5) -> LanguageModel:
+def fit(texts: list[str], languages: list[str], **options) -> LanguageModel:
+    """Train on texts; see :func:`fit_features`."""
+    return fit_features([features(np.frombuffer(t.encode(), np.uint8)) for t in texts], languages, **options)
+
+
+def fit_features(rows: list[np.ndarray], languages: list[str], *, steps: int = 80, rate: float = 6.0, ridge: float = 1e-5) -> LanguageModel:
     """Train all bit classifiers together by Nesterov steps on the logistic loss; classes weigh the same."""
     known = sorted(set(languages))
     code = codewords(len(known))
     if not known:
         return LanguageModel([], code, np.zeros((FEATURES + 1, 1), np.float32))
     y = np.array([known.index(c) for c in languages])
-    x = np.stack([features(np.frombuffer(t.encode(), np.uint8)) for t in texts])
-    x = np.concatenate([x, np.ones((len(x), 1), np.float32)], 1)
+    x = np.concatenate([np.stack(rows).astype(np.float32), np.ones((len(rows), 1), np.float32)], 1)
     share = (1.0 / (len(known) * np.bincount(y, minlength=len(known)))[y]).astype(np.float32)[:, None]
     target = code[y]
     w = np.zeros((FEATURES + 1, code.shape[1]), np.float32)
@@ -98,14 +106,28 @@ def fit(texts: list[str], languages: list[str], *, steps: int = 80, rate: float
     return LanguageModel(known, code, w)
 
 
-def fit_on_sample(docs: DataFrame, *, most_per_language: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Fit on whole texts of at most ``most_per_language`` documents of each language, picked by a hash of the id."""
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = rows.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= most_per_language).drop("rank").distinct()
-    got = rows.join(F.broadcast(picked), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()  # bounded by the parameter
-    got = sorted((r.lang, r.text) for r in got)
-    return fit([t for _, t in got], [c for c, _ in got])
+def fit_on_sample(docs: DataFrame, *, most_per_language: int = 400, most_docs: int = 4000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+    """Fit on whole texts of at most ``most_per_language`` documents of each language, and ``most_docs`` in all.
+
+    Documents are picked by a hash of the id, in two steps, so that no task sees more than a bounded number of a
+    language's rows.  Tasks send features of a fixed size to the driver, never texts.  Null texts, ids and languages are
+    left out; of rows with equal id and language the least text counts.
+    """
+    given = [F.col(f"`{c}`") for c in (id_col, text_col, lang_col)]
+    rows = docs.select(*[c.alias(n) for c, n in zip(given, ("doc_id", "text", "lang"), strict=True)]).dropna()
+    hashed = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    for part in (F.pmod(F.xxhash64("h"), F.lit(64)), F.lit(0)):
+        rank = F.row_number().over(Window.partitionBy("lang", part).orderBy("h", "doc_id"))
+        hashed = hashed.withColumn("rank", rank).where(F.col("rank") <= most_per_language)
+    picked = hashed.orderBy("rank", "lang", "h").limit(most_docs).select("doc_id", "lang").distinct()
+    texts = rows.join(F.broadcast(picked), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in slices(batches):
+            yield {"lang": batch.column("lang"), "x": [features(np.frombuffer(t.encode(), np.uint8)).astype("<f2").tobytes() for t in text_list(batch)]}
+
+    got = sorted(tuple(r) for r in arrow_rows(texts, work, "lang string, x binary").collect())  # bounded by the parameters
+    return fit_features([np.frombuffer(x, "<f2") for _, x in got], [c for c, _ in got])
 
 
 def identify(docs: DataFrame, model: LanguageModel, *, margin: float = 0.1, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
@@ -113,21 +135,22 @@ def identify(docs: DataFrame, model: LanguageModel, *, margin: float = 0.1, id_c
 
     ``score`` is the chosen codeword's share, ``ambiguous`` says that the runner-up's lies within ``margin``.  Null
     texts and texts without a letter are ``und`` with score 0.  Repeated rows give one row each.  Without any learned
-    language all are ``und``.
+    language all are ``und``.  A column of the table that has the name of a result gives way to it.
     """
+    results = "lang_pred string, score double, ambiguous boolean"
+    own = without_names(docs, results) if keep else keyed_text(docs, id_col, text_col)
+    read = text_col if keep else "text"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in slices(batches):
-            texts = text_list(batch)
+            texts = text_list(batch, read)
             data = [np.frombuffer(t.encode(), np.uint8) for t in texts]
-            some = [bool(model.languages and LETTER.search(t)) for t in texts]
+            some = [bool(model.languages) and has_letter(t) for t in texts]
             best, top, second = model.decode(np.stack([model.margins(features(d)) for d in data])) if model.languages else (np.zeros(len(texts), int), *2 * [np.zeros(len(texts))])
-            yield {c: batch.column(c) for c in batch.schema.names if c != "text" or keep} | {
+            yield {c: batch.column(c) for c in batch.schema.names if keep or c != "text"} | {
                 "lang_pred": [model.languages[b] if s else UNKNOWN for b, s in zip(best, some, strict=True)],
                 "score": np.where(some, np.clip(top, 0, 1), 0.0).tolist(),
                 "ambiguous": (np.array(some) & (top - second < margin)).tolist(),
             }
 
-    own = docs if keep else keyed_text(docs, id_col, text_col)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema if f.name != "text" or keep)
-    return arrow_rows(own, work, schema + ", lang_pred string, score double, ambiguous boolean")
+    return arrow_rows(own, work, ", ".join([*(x for x in columns_of(own) if keep or not x.startswith("`text` ")), results]))
