@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +17,8 @@ from cartoloom.llm.hashing import BACK, BASE, power_table
 WINDOW, LEAST_BITS, MOST_CHUNKS = 7, 2, 64
 #: Two signatures count as related only if they share a run of this many chunks (where both have as many).
 COMMON_RUN = 7
+#: Characters of a text that take part in dealing out rows of equal ids.
+HEAD = 64
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 
 _LETTERS = np.frombuffer(ALPHABET.encode(), np.uint8)
@@ -103,14 +104,15 @@ def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     """Each document, itself with its last half replaced by the next one's beginning, and the next document.
 
     Next is by descending id (nulls last, equal ids by text), after the last the first.  Documents are dealt out by
-    ranges of the id and sorted; a task sees its neighbours in one pass and keeps one row.  The last row of each
+    ranges of the id and the text's beginning, so a hot id or many null ids are split, and sorted; a task sees its neighbours in one pass and keeps one row.  The last row of each
     task meets the first row of the next in a join of as many rows as there are tasks.
 
     Returns ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, next_fingerprint``.  Null text counts
     as empty; one document is its own next; an empty table gives no rows.
     """
     order = [F.desc_nulls_last("doc_id"), F.desc_nulls_last("text")]
-    ordered = keyed_text(docs, id_col, text_col).repartitionByRange(order[0]).sortWithinPartitions(*order)
+    own = keyed_text(docs, id_col, text_col).withColumn("head", F.substring("text", 1, HEAD))
+    ordered = own.repartitionByRange(order[0], F.desc_nulls_last("head")).drop("head").sortWithinPartitions(*order)
 
     def row(key, text, own, following, their):
         edited = _edited(text, following)
@@ -166,10 +168,3 @@ def compare_edited(docs: DataFrame, **columns) -> DataFrame:
         likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
     )
 
-
-def edit_distance(a: str, b: str) -> int:
-    """Plain reference for tests."""
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row = reduce(lambda done, j: [*done, min(row[j + 1] + 1, done[j] + 1, row[j] + (x != b[j]))], range(len(b)), [i])
-    return row[-1]

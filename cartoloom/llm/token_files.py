@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import uuid
-import zlib
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
@@ -18,6 +17,8 @@ from cartoloom.llm.pieces import piece_ids
 
 #: Sequences in a record batch of a file.
 BATCH_SEQUENCES = 256
+#: Characters of a text that take part in dealing out rows of equal ids.
+HEAD = 64
 
 
 def _store(path: str):
@@ -97,17 +98,21 @@ class SequenceReader:
 def write_token_files(docs: DataFrame, vocabulary: str, folder: str, *, length: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write ids in ascending ``doc_id`` order and return the manifest, one row for each shard.
 
-    Documents are dealt out by ranges of the id (nulls first, equal ids by text), so shard after shard they
-    ascend.  A shard is an Arrow file of record batches with two fixed-size-list columns, ``input_ids`` and
-    ``mask``, and an Arrow file with one row for each document (``doc_id, start, n_tokens``; start within the
-    shard).  A task writes under a name of its own and renames at the end, so a retried or a second attempt leaves
-    one whole shard.  Ids take 16 bits where the vocabulary allows.
+    Documents are dealt out by ranges of the id (nulls first, equal ids by text) and the text's beginning, so shard after
+    shard they ascend and a hot id or many null ids are split.  A shard is an Arrow file of record batches with two
+    fixed-size-list columns, ``input_ids`` and ``mask``, and an Arrow file with one row for each document (``doc_id,
+    start, n_tokens``; start within the shard).  A task writes under a name of its own and renames at the end, so a
+    retried or a second attempt leaves one whole shard.  Ids take 16 bits where the vocabulary allows.
+
+    Null text is the end id alone; repeated rows are written once each; an empty table gives an empty manifest or
+    empty shards; other columns are not read.
 
     Manifest: ``shard, path, n_docs, n_tokens, n_sequences, first``, where ``first`` is the number of ids
     before the shard.  It has one row for each task and is put together on the driver.
     """
-    ordered = keyed_text(docs, id_col, text_col)
-    ordered = ordered.repartitionByRange(F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
+    order = [F.asc_nulls_first("doc_id"), F.asc_nulls_first("text")]
+    own = keyed_text(docs, id_col, text_col).withColumn("head", F.substring("text", 1, HEAD))
+    ordered = own.repartitionByRange(order[0], F.asc_nulls_first("head")).drop("head").sortWithinPartitions(*order)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         from pyspark import TaskContext
@@ -181,6 +186,3 @@ def token_files(docs: DataFrame, vocabulary: str, **options) -> DataFrame:
 def digest(rows: DataFrame) -> DataFrame:
     return rows.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
-
-def crc(ids: bytes) -> int:
-    return zlib.crc32(ids)
