@@ -17,8 +17,8 @@ from cartoloom.llm.common import arrow_rows, keyed_text, slices, text_list
 _WORD = re.compile(r"[^\W\d_]+")
 #: Examples in a block of the index, and those that vote.
 BLOCK, NEAREST = 64, 15
-#: A term is kept if its chi-square against the labels reaches this, or it is among the most telling ones.
-TELLING, MOST_TERMS = 20.0, 4096
+#: Half the weight of a term goes once its chi-square against the labels falls to this; no term is left out.
+HALF = 20.0
 
 
 def frequencies(text: str) -> Counter:
@@ -28,20 +28,27 @@ def frequencies(text: str) -> Counter:
 class BlockMaxIndex:
     """Inverted index of unit vectors in blocks of examples, with the largest weight of each term in each block.
 
-    The largest weights bound what any example of a block can score.  Blocks are visited by falling bound until it
-    is no more than the worst score kept, so the result is that of a full scan.
+    A block holds the postings of the terms that occur in it, as one row of weights for each term.  The largest weights
+    bound what any example of a block can score.  Blocks are visited by falling bound until it is no more than the
+    worst score kept, so the result is that of a full scan.
     """
 
     def __init__(self, rows: list[dict[int, float]], terms: int) -> None:
         n = -(-max(1, len(rows)) // BLOCK)
-        dense = np.zeros((terms, n * BLOCK), np.float32)
-        for i, row in enumerate(rows):
-            for t, w in row.items():
-                dense[t, i] = w
-        self.size = len(rows)
-        self.blocks = dense.reshape(terms, n, BLOCK)
-        self.most = self.blocks.max(2)
-        self.visited = 0
+        self.size, self.visited = len(rows), 0
+        self.most = np.zeros((terms, n), np.float32)
+        self.at = np.zeros((n, terms), np.int32)  # a term's row in a block; row 0 is empty
+        self.postings: list[np.ndarray] = []
+        for b in range(n):
+            own = rows[b * BLOCK : (b + 1) * BLOCK]
+            there = sorted({t for row in own for t in row})
+            weights = np.zeros((len(there) + 1, BLOCK), np.float32)
+            self.at[b, there] = np.arange(1, len(there) + 1)
+            for i, row in enumerate(own):
+                if row:
+                    weights[self.at[b, list(row)], i] = list(row.values())
+            self.postings.append(weights)
+            self.most[there, b] = weights[1:].max(1) if there else 0
 
     def nearest(self, query: dict[int, float], k: int) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the k nearest examples with any term in common; ties by number."""
@@ -49,25 +56,29 @@ class BlockMaxIndex:
         weights = np.fromiter(query.values(), np.float32, len(query))
         bound = weights @ self.most[terms]
         ids, scores = np.zeros(0, np.int64), np.zeros(0, np.float32)
-        for b in np.argsort(-bound, kind="stable"):
+        for b in np.argsort(-bound, kind="stable").tolist():
             worst = scores[k - 1] if len(scores) >= k else 0.0
             if bound[b] <= 0 or bound[b] < worst - 1e-6:
                 break
             self.visited += 1
-            s = weights @ self.blocks[terms, b]
-            got = np.flatnonzero(s > 0)
+            s = weights @ self.postings[b][self.at[b, terms]]
+            got = np.flatnonzero((s > 0) & (s >= worst))
+            if not len(got):
+                continue
             ids, scores = np.append(ids, got + b * BLOCK), np.append(scores, s[got])
-            order = np.lexsort((ids, -scores))[:k]
-            ids, scores = ids[order], scores[order]
-        return ids, scores
+            if len(ids) > k:
+                order = np.lexsort((ids, -scores))[:k]
+                ids, scores = ids[order], scores[order]
+        order = np.lexsort((ids, -scores))
+        return ids[order], scores[order]
 
 
 @dataclass
 class ToxicityModel:
-    """Terms with their idf, the index of examples, their labels and ids, and the calibration."""
+    """Terms with their weights, the index of examples, their labels and ids, and the calibration."""
 
     terms: dict[str, int]
-    idf: np.ndarray
+    weight: np.ndarray
     index: BlockMaxIndex
     labels: np.ndarray
     ids: np.ndarray
@@ -76,9 +87,12 @@ class ToxicityModel:
 
     def vector(self, f: Counter) -> dict[int, float]:
         get = self.terms.get
-        raw = {t: (1 + np.log(n)) * self.idf[t] for w, n in f.items() if (t := get(w)) is not None}
-        size = np.sqrt(sum(x * x for x in raw.values())) or 1.0
-        return {t: x / size for t, x in raw.items()}
+        pairs = [(t, n) for w, n in f.items() if (t := get(w)) is not None]
+        if not pairs:
+            return {}
+        at, n = np.array(pairs).T
+        raw = (1 + np.log(n)) * self.weight[at]
+        return dict(zip(at.tolist(), (raw / (np.sqrt(raw @ raw) or 1.0)).tolist(), strict=True))
 
     def votes(self, ids: np.ndarray, cosines: np.ndarray) -> np.ndarray:
         """Share of the label among the nearest, weighted by closeness, and their mean closeness."""
@@ -95,42 +109,40 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(self.votes(ids, cosines) @ self.curve, -30, 30)))), ids, cosines
 
 
-def telling_terms(counts: list[Counter], labels: np.ndarray) -> list[str]:
-    """Terms whose presence depends on the label, by chi-square over the sample."""
-    n, positive = len(counts), labels.sum()
+def term_weights(counts: list[Counter], labels: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Every term of the examples with its weight: the inverse document frequency, less where the label doesn't show.
+
+    A term whose presence has nothing to do with the label keeps a small part of its idf only, by its chi-square over
+    the sample: x / (x + HALF).  Without that, topics rather than tone decide which examples are near.
+    """
+    n, positive = len(counts), float(labels.sum())
     both, all_ = Counter(), Counter()
     for f, y in zip(counts, labels, strict=True):
         all_.update(f.keys())
         if y:
             both.update(f.keys())
-    scored = []
-    for w, m in all_.items():
-        a = both[w]
-        b, c = m - a, positive - a
-        d = n - positive - b
-        base = float(m) * (n - m) * positive * (n - positive)
-        chi = n * (a * d - b * c) ** 2 / base if base else 0.0
-        if chi >= TELLING:
-            scored.append((-chi, w))
-    return [w for _, w in sorted(scored)[:MOST_TERMS]]
+    names = sorted(all_)
+    m, a = np.array([all_[w] for w in names], float), np.array([both[w] for w in names], float)
+    base = m * (n - m) * positive * (n - positive)
+    cross = a * (n - m - positive + a) - (m - a) * (positive - a)
+    chi = np.where(base > 0, n * cross**2 / np.maximum(base, 1e-9), 0.0)
+    return names, (np.log((1 + n) / (1 + m)) + 1) * (chi + 0.1) / (chi + 0.1 + HALF)
 
 
 def fit(texts: list[str], labels: list[int], ids: list[int], prior: float) -> ToxicityModel:
     """Index the examples and calibrate votes, each example asked without itself, to the share of label 1."""
     y = np.array(labels, np.float64)
     counts = [frequencies(t) for t in texts]
-    names = telling_terms(counts, y)
+    names, weight = term_weights(counts, y) if counts else ([], np.zeros(0))
     terms = {w: k for k, w in enumerate(names)}
-    present = Counter(w for f in counts for w in f.keys() & terms.keys())
-    idf = np.array([np.log((1 + len(texts)) / (1 + present[w])) + 1 for w in names]) if names else np.zeros(0)
-    model = ToxicityModel(terms, idf, BlockMaxIndex([], max(1, len(terms))), y, np.array(ids, np.int64), np.zeros(3), prior)
+    model = ToxicityModel(terms, weight, BlockMaxIndex([], max(1, len(terms))), y, np.array(ids, np.int64), np.zeros(3), prior)
     vectors = [model.vector(f) for f in counts]
     # like examples side by side, so that blocks have tight bounds
     order = sorted(range(len(vectors)), key=lambda i: (y[i], max(vectors[i], key=vectors[i].get, default=-1), ids[i], i))
     vectors, model.labels, model.ids = [vectors[i] for i in order], y[order], model.ids[order]
     model.index = BlockMaxIndex(vectors, max(1, len(terms)))
     share = float(y.mean()) if len(y) else 0.0
-    weight = np.where(model.labels > 0, prior / share if share else 0.0, (1 - prior) / (1 - share) if share < 1 else 0.0)
+    weigh = np.where(model.labels > 0, prior / share if share else 0.0, (1 - prior) / (1 - share) if share < 1 else 0.0)
     x, at = [], []
     for i, v in enumerate(vectors):
         near, cosines = model.index.nearest(v, NEAREST + 1) if v else (np.zeros(0, np.int64), np.zeros(0))
@@ -140,9 +152,9 @@ def fit(texts: list[str], labels: list[int], ids: list[int], prior: float) -> To
             at.append(i)
     alone = np.setdiff1d(np.arange(len(vectors)), at)
     if len(alone):
-        model.without = float((weight * model.labels)[alone].sum() / max(weight[alone].sum(), 1e-9))
+        model.without = float((weigh * model.labels)[alone].sum() / max(weigh[alone].sum(), 1e-9))
     if x:
-        a, t, w = np.array(x), model.labels[at], weight[at]
+        a, t, w = np.array(x), model.labels[at], weigh[at]
         for _ in range(25):  # Newton's method with a small ridge
             p = 1 / (1 + np.exp(-np.clip(a @ model.curve, -30, 30)))
             slope = a.T @ (w * (p - t)) + 0.5 * model.curve
@@ -151,7 +163,7 @@ def fit(texts: list[str], labels: list[int], ids: list[int], prior: float) -> To
     return model
 
 
-def fit_on_sample(docs: DataFrame, labels: DataFrame, *, most_per_label: int = 1500, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
+def fit_on_sample(docs: DataFrame, labels: DataFrame, *, most_per_label: int = 1000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """Fit on whole texts of at most ``most_per_label`` labelled documents of each label, those of least id hash.
 
     The share of label 1 is counted over all labelled rows.  Null labels and ids are left out.
