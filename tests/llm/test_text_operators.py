@@ -105,15 +105,44 @@ def plain_repeats(rows, n):
     return sorted(out)
 
 
-@pytest.mark.parametrize("large", [False, True])
-def test_repeats(docs, rows, empty, large, monkeypatch):
-    if large:  # classes beyond the shard bound take the other way
-        monkeypatch.setattr(repeats, "CLASS", 100)
+@pytest.mark.parametrize("bound", [repeats.CLASS, 3000, 1000, 100])
+def test_repeats(docs, rows, empty, bound, monkeypatch):
+    monkeypatch.setattr(repeats, "CLASS", bound)  # larger classes are split, down to single windows
     got = repeats.digest(repeats.remove_repeats(docs, length=400)).collect()
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == plain_repeats(rows, 400)
     assert repeats.remove_repeats(empty).count() == 0
 
 
+def test_halves_keep_every_window_once():
+    rng = random.Random(1)
+    for _ in range(300):
+        length, gram = rng.choice(((40, 12), (40, 39), (41, 12), (40, 33)))
+        at = rng.randrange(0, length - gram + 1)  # of the gram in the last window
+        before = rng.randrange(0, length - gram - at + 1)
+        data = bytes(rng.randrange(256) for _ in range(length + before))
+        place = before + at
+        more = -(-(length - gram) // 2)
+        seen = []
+        for shift, p, part in repeats.halves(data, place, gram, length):
+            wide = part[p : p + gram + more]
+            assert len(wide) == gram + more and part == data[shift : shift + len(part)] and len(part) >= length
+            for s in range(len(part) - length + 1):
+                assert s <= p and p + len(wide) <= s + length  # every window holds the longer gram
+                seen.append(shift + s)
+        assert sorted(seen) == list(range(before + 1))
+
+
+def test_repeats_in_long_texts(spark):
+    rng = random.Random(12)
+    passage = bytes(rng.randrange(97, 123) for _ in range(700)).decode()
+    noise = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    a = noise(repeats.STRETCH - 300) + "A" + passage + "B" + noise(5000) + "C" + passage + "D" + noise(900)
+    b = noise(2000) + "E" + passage[:399] + "F"
+    d = spark.createDataFrame([(1, a), (2, b), (3, noise(3000))], "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.n_spans, bytes(r.kept)) for r in repeats.remove_repeats(d).collect()}
+    assert got[1] == (1400, 2, a.replace(passage, "").encode()) and got[2] == (0, 0, b.encode()) and got[3][0] == 0
+
+
 def test_fingerprints(docs, rows, empty):
     got = fingerprints.compare_edited(docs).collect()
     order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))
@@ -128,8 +157,77 @@ def test_fingerprints(docs, rows, empty):
     assert {r.fingerprint for r in got if r.doc_id in (0, 60)} and len({r.fingerprint for r in got if r.doc_id in (0, 60)}) == 1
     assert all(0 <= x <= 1 for r in got for x in (r.near_edited, r.near_next))
     assert fingerprints.compare_edited(empty).count() == 0
-    a, b = "ABCDEFGHIJ", "ABCDEFGHxJK"
-    assert fingerprints.edit_distance(a, b) == 2
+
+
+def plain_fingerprint(text):
+    """Byte by byte: a window's hash ends a chunk, chunks become letters, the block doubles until 64 chunks do."""
+    data, m = text.encode(), (1 << 32) - 1
+    if not data:
+        return "4::"
+    rolls = []
+    for i in range(len(data)):
+        h = 0
+        for k in range(min(fingerprints.WINDOW, i + 1)):
+            h += (data[i - k] + 1) * pow(0x9E3779B1, k + 1, 1 << 32)
+        h &= m
+        h ^= h >> 15
+        h = h * 0x85EBCA6B & m
+        rolls.append(h ^ (h >> 13))
+    block = 4
+    while sum(h % block == 0 for h in rolls) >= 64:
+        block *= 2
+
+    def signature(size):
+        out, start = "", 0
+        for i, h in enumerate(rolls):
+            if h % size == 0 or i == len(data) - 1:
+                total = sum((c + 1) * pow(fingerprints.BASE, k, 1 << 64) for k, c in enumerate(data[start : i + 1])) % (1 << 64)
+                total ^= total >> 29
+                total = total * 0x9E3779B97F4A7C15 % (1 << 64)
+                out += fingerprints.ALPHABET[total >> 58]
+                start = i + 1
+        return out
+
+    return f"{block}:{signature(block)}:{signature(2 * block)}"
+
+
+def plain_likeness(a, b):
+    def distance(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            before, row[0] = row[0], i
+            for j, d in enumerate(y, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (c != d))
+        return row[-1]
+
+    def alike(x, y):
+        runs = lambda s: {s[i : i + 7] for i in range(len(s) - 6)}
+        if not x and not y:
+            return 1.0
+        if min(len(x), len(y)) >= 7 and not runs(x) & runs(y):
+            return 0.0
+        return 1 - distance(x, y) / max(len(x), len(y))
+
+    (p, x1, x2), (q, y1, y2) = a.split(":"), b.split(":")
+    p, q = int(p), int(q)
+    if a == b:
+        return 1.0
+    return max(alike(x1, y1), alike(x2, y2)) if p == q else alike(x1, y2) if p == 2 * q else alike(x2, y1) if q == 2 * p else 0.0
+
+
+def test_fingerprints_are_the_plain_ones(spark, rows):
+    rng = random.Random(6)
+    some = [(i, t) for i, (_, t) in enumerate(rows)] + [(100 + k, "".join(rng.choices("ab é\n", k=n))) for k, n in enumerate((1, 5, 6, 7, 8, 64, 300, 5000))] + [(200, "lorem " * 20000)]
+    d = spark.createDataFrame(some, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in fingerprints.compare_edited(d).collect()}
+    order = sorted(some, key=lambda r: -r[0])
+    for k, (i, t) in enumerate(order):
+        t, after = t or "", order[(k + 1) % len(order)][1] or ""
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        own, new, their = map(plain_fingerprint, (t, edited, after))
+        r = got[i]
+        assert (r.n_chars, r.fingerprint, r.edited_fingerprint, r.edited_sha256) == (len(t), own, new, hashlib.sha256(edited.encode()).hexdigest())
+        assert abs(r.near_edited - plain_likeness(own, new)) < 1e-9 and abs(r.near_next - plain_likeness(own, their)) < 1e-9
 
 
 def test_decontamination(spark, docs, rows, empty):
@@ -216,6 +314,44 @@ def test_token_files(docs, rows, empty, monkeypatch, tmp_path):
     assert token_files.token_files(empty, BYTES).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 51, 211])
+def test_packing_does_not_depend_on_partitions(spark, parts, monkeypatch):
+    monkeypatch.setattr(packing, "_pieces", lambda docs, *_: docs)
+    rng = random.Random(8)
+    sizes = [min(2048, max(1, int(rng.lognormvariate(5.5, 1.3)))) for _ in range(1500)]
+    rows = [((k % parts) << packing.LOWER | k // parts, k, 0, 0, n, b"") for k, n in enumerate(sizes)]
+    own = spark.createDataFrame([(f"{x}",) for x in ["a"]], "text string").select(F.lit(None).cast("long").alias("doc_id"), "text")
+    pieces = spark.createDataFrame(rows, "key long, doc_id long, piece int, start long, length long, ids binary").repartition(parts)
+    monkeypatch.setattr(packing, "keyed_text", lambda *_: pieces)
+    got = packing.pack_documents(own, BYTES).collect()
+    bins = collections.defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length))
+    assert len(got) == len(sizes) and len(bins) <= -(-sum(sizes) // 2048) * 1.01
+    for own_parts in bins.values():
+        ends = [0, *np.cumsum([n for _, n in sorted(own_parts)]).tolist()]
+        assert [o for o, _ in sorted(own_parts)] == ends[:-1] and ends[-1] <= 2048
+
+
+def test_sum_of_squares_takes_the_least_change():
+    rng = random.Random(3)
+    for eager in (True, False):
+        own = packing.SumOfSquares(20, eager=eager)
+        gaps = {}
+        for _ in range(300):
+            size = rng.randint(1, 20)
+            total = lambda g: sum(v * v for v in collections.Counter(x for x in g.values() if 0 < x < 20).values())
+            change = {b: total({**gaps, b: g - size}) for b, g in gaps.items() if g >= size}
+            new = total({**gaps, -1: 20 - size})
+            least = min([*change.values(), *([new] if eager or not change else [])])
+            b, offset = own.place(size)
+            assert offset == 20 - gaps.get(b, 20)
+            gaps[b] = gaps.get(b, 20) - size
+            assert total(gaps) == least
+            gaps = {k: g for k, g in gaps.items() if g}
+    assert len({b for b, _ in packing.pack([700] * 100, 2048)}) == 50
+
+
 def test_packing(docs, rows, empty):
     got = packing.pack_documents(docs.coalesce(1), BYTES, capacity=64).collect()
     ids, total = PieceIds(BYTES), 0
@@ -252,6 +388,44 @@ def test_language(spark, docs, empty):
     assert all(got[i].lang_pred == c for i, _, c in rows) and all(got[i].lang_pred == "und" and got[i].score == 0 for i in (900, 901, 902))
     assert language.identify(empty, model).count() == 0 and language.identify(docs, language.fit([], [])).where("lang_pred <> 'und'").count() == 0
     assert language.identify(docs, model, keep=True).columns[: len(docs.columns)] == docs.columns
+    clash = d.select("doc_id", F.col("text").alias("body"), F.lit(7).alias("score"), F.lit("x").alias("Lang_Pred"), F.lit(1).alias("text"))
+    kept = language.identify(clash, model, text_col="body", keep=True)
+    assert kept.columns == ["doc_id", "body", "text", "lang_pred", "score", "ambiguous"]
+    assert {r.doc_id: r.lang_pred for r in kept.collect()} == {i: r.lang_pred for i, r in got.items()}
+    signs = spark.createDataFrame([(1, "\u00bd"), (2, "\u00b2 \u2460"), (3, "_9_"), (4, "\u00aa the"), (5, "the " * 50000)], "doc_id long, text string")
+    assert [r.lang_pred for r in language.identify(signs, model).orderBy("doc_id").collect()] == ["und", "und", "und", "en", "en"]
+
+
+def test_language_sample_is_bounded_and_even(spark):
+    d = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("a"), F.col("id").cast("string")).alias("text"), F.when(F.col("id") % 3 == 0, "x").otherwise("y").alias("lang"))
+    seen = []
+
+    def spy(rows, languages):
+        seen.append(collections.Counter(languages))
+        return language.LanguageModel([], language.codewords(0), np.zeros((1, 1)))
+
+    was, language.fit_features = language.fit_features, spy
+    try:
+        language.fit_on_sample(d, most_per_language=40)
+        language.fit_on_sample(d, most_per_language=40, most_docs=50)
+        language.fit_on_sample(d.where("1 = 0"))
+    finally:
+        language.fit_features = was
+    assert seen == [{"x": 40, "y": 40}, {"x": 25, "y": 25}, {}]
+
+
+def test_plain_decoding_of_codewords():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 4, 6, 9):
+        code = language.codewords(n)
+        assert len({tuple(r) for r in code.tolist()}) == n
+        model = language.LanguageModel([str(k) for k in range(n)], code, np.zeros((1, 1)))
+        margins = rng.normal(0, 2, (20, code.shape[1]))
+        best, top, second = model.decode(margins)
+        for m, b, p, q in zip(margins, best, top, second):
+            loss = [sum(np.log1p(np.exp(-x * c)) for x, c in zip(m, row)) for row in code]
+            share = sorted((np.exp(-x) / sum(np.exp(-y) for y in loss) for x in loss), reverse=True)
+            assert b == int(np.argmin(loss)) and abs(p - share[0]) < 1e-6 and (n == 1 or abs(q - share[1]) < 1e-6)
 
 
 def test_toxicity(spark, docs, empty):
