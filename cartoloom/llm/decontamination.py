@@ -97,7 +97,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, length: int = 10, id
     nothing; a null item text has no windows.  Other columns are neither read nor returned.
     """
     windows = stored(benchmark_windows(benchmark, length=length))
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     met = occurrences(own.select("text"), windows)
     items = windows.groupBy("window", "length").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
     met = met.join(_sized(items, _small(windows)), ["window", "length"])
@@ -122,7 +122,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, length: int = 10, mo
     """
     windows = stored(benchmark_windows(benchmark, length=length))
     t1, t2, gone, cut = (unused(docs, x) for x in ("t1", "t2", "gone", "cut"))
-    met = occurrences(docs.select(F.col(text_col).cast("string").alias("text")), windows)
+    met = occurrences(docs.select(F.col(f"`{text_col}`").cast("string").alias("text")), windows)
     hits = stored(met.groupBy(*KEY).agg(F.array_sort(_covered(F.collect_set(F.struct("pos", "length")))).alias("gone")))
     small = (hits.agg(F.sum(F.size("gone"))).first()[0] or 0) <= MOST_BROADCAST
     hits = _sized(hits.select(F.col("t1").alias(t1), F.col("t2").alias(t2), F.col("gone").alias(gone)), small)

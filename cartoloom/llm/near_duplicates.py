@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartoloom.llm.common import arrow_rows, slices, stored, text_list, unused
+from cartoloom.llm.common import arrow_rows, keyed_text, slices, stored, text_list, unused
 from cartoloom.llm.components import components
 from cartoloom.llm.hashing import mixed
 
@@ -267,7 +267,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, threshold: float = 0.8,
     A text without words is linked to nothing.  A repeated row is a copy of itself.  A null id is no class id unless
     all of its class are null.  Other columns are not read.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    own = keyed_text(docs, id_col, text_col)
     own = own.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), F.xxhash64("doc_id", "text").alias("t"), "text")
     signed = stored(_signed(own, words))
     nodes = signed.where("node is not null").groupBy("node").agg(F.count("*").alias("n_copies"), F.min("doc_id").alias("least"), F.min(F.struct("d", "t")).alias("x"), F.first("bands").alias("bands"), F.first("low").alias("low"))

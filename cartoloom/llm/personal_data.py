@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import random
 import re
 from collections.abc import Iterator
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartoloom.llm.common import arrow_rows, keyed_text, slices, text_list
+from cartoloom.llm.common import arrow_rows, columns_of, keyed_text, slices, text_list, without_names
 from cartoloom.llm.tagger import Tagger, classes
 
 KINDS = ("email", "ip", "card", "phone")
@@ -22,10 +23,10 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: What a span of any kind must hold; the tagger looks at the text around these only.
-_CUE = re.compile(r"[@0-9]|[\[(](?:at|AT)[\])]")
-#: Characters on either side of a cue, the window, and the step from window to window.
-AROUND, WINDOW, STEP = 40, 64, 32
+#: What a span of any kind must hold (see :func:`_added`): the tagger can find nothing in a text without it.
+_CUE = re.compile(r"[@0-9]|(?i:[\[({]at[\])}]|\bat\b.{1,40}?\bdot\b)")
+#: Characters read on either side of a cue, the window, and the step from window to window.
+AROUND, WINDOW, STEP = 64, 64, 32
 
 
 def luhn(digits: str) -> bool:
@@ -49,7 +50,7 @@ def fits(kind: str, s: str) -> bool:
         return 9 <= len(d) <= 15
     if kind == "ip":
         parts = re.findall("[0-9]+", s)
-        return len(parts) == 4 and all(len(p) < 10 and int(p) <= 255 for p in parts)
+        return len(parts) == 4 and all(len(p.lstrip("0")) <= 3 and int(p[-3:]) <= 255 for p in parts)
     return True
 
 
@@ -89,8 +90,9 @@ def _example(rng: random.Random, words: list[str]) -> tuple[str, list[Span]]:
         kind = rng.choice(KINDS)
         if kind == "email":
             local = name() + rng.choice(("", ".", "_", "-")) + rng.choice((name(), digit(2)))
-            at, dot = rng.choice((("@", "."),) * 5 + ((" (at) ", "."), (" [at] ", " [dot] "), ("(at)", "."), (" @ ", "."), (" (at) ", " (dot) ")))
-            return kind, f"{local}{at}{name()}{rng.choice(('', digit(1)))}{dot}{rng.choice(('com', 'org', 'net', 'example.com', 'de', 'fr'))}"
+            at, dot = rng.choice((("@", "."),) * 4 + ((" (at) ", "."), (" [at] ", " [dot] "), ("(at)", "."), (" @ ", "."), (" (at) ", " (dot) "), (" at ", " dot "), (" AT ", " DOT "), ("{at}", "{dot}")))
+            end = rng.choice(("com", "org", "net", f"example{dot}com", "de", "fr"))
+            return kind, f"{local}{at}{name()}{rng.choice(('', digit(1)))}{dot}{end}"
         if kind == "ip":
             return kind, rng.choice((".", ".", ".", ".", " . ", "[.]")).join(str(rng.randrange(256)) for _ in range(4))
         if kind == "card":
@@ -99,6 +101,8 @@ def _example(rng: random.Random, words: list[str]) -> tuple[str, list[Span]]:
         return kind, rng.choice((f"+{digit(1)} ({a}) {b}-{c}", f"+{digit(2)} {a} {b} {c}", f"+{digit(1)}-{a}-{b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{digit(2)}{a}{b}{c}", f"00{digit(2)} {a} {b} {c}", f"{a}.{b}.{c}"))
 
     def other() -> str:
+        if rng.random() < 0.3:
+            return rng.choice((f"at {name()}", f"look at the dot {name()}", f"{name()} (at) home", f"at {digit(1)} {name()}", f"{name()}.{name()}", f"at the {name()}. {name()}"))
         return rng.choice((f"version {digit(1)}.{digit(1)}", f"token = \"{''.join(rng.choice('0123456789abcdef') for _ in range(40))}\"", f"19{digit(2)}", f"20{digit(2)}-0{rng.randint(1, 9)}-1{digit(1)}", f"{digit(2)}%", f"#{digit(3)}", f"{digit(1)}.{digit(1)}.{digit(1)}", f"@{name()}", f"{digit(1)},{digit(3)}", digit(rng.randint(1, 7)), f"{digit(2)}:{digit(2)}", f"CC BY-NC {digit(1)}.0", digit(20)))
 
     text, spans = "", []
@@ -134,20 +138,29 @@ def training_windows(words: list[str], n: int, seed: int = 11) -> tuple[np.ndarr
     return np.array(xs).T, np.array(ys).T, np.array(live).T
 
 
-def fit(words: list[str], *, lines: int = 6000, epochs: int = 5) -> Tagger:
-    """Train on labelled lines whose words are the given ones; the same words give the same tagger."""
+@functools.lru_cache(maxsize=4)
+def _fitted(words: tuple[str, ...], lines: int, epochs: int) -> Tagger:
     tagger = Tagger.new(len(KINDS))
-    tagger.train(*training_windows(words or ["the"], lines), epochs=epochs)
+    tagger.train(*training_windows(list(words) or ["the"], lines), epochs=epochs)
     return tagger
 
 
-def fit_on_sample(docs: DataFrame, *, most_docs: int = 200, id_col: str = "doc_id", text_col: str = "text") -> Tagger:
-    """Train with words of at most ``most_docs`` documents, those of least id hash, as surroundings."""
+def fit(words: list[str], *, lines: int = 6000, epochs: int = 5) -> Tagger:
+    """Train on labelled lines whose words are the given ones; the same words give the same tagger, trained once."""
+    return _fitted(tuple(words), lines, epochs)
+
+
+def fit_on_sample(docs: DataFrame, *, most_docs: int = 200, most_words: int = 200, id_col: str = "doc_id", text_col: str = "text") -> Tagger:
+    """Train with words of at most ``most_docs`` documents, those of least id hash, as surroundings.
+
+    Of each document at most ``most_words`` distinct words from the whole text are taken, those of least hash.
+    """
     own = keyed_text(docs, id_col, text_col)
     words = F.array_distinct(F.filter(F.split("text", r"\s+"), lambda w: (F.length(w) > 0) & (F.length(w) < 20) & ~w.rlike("[@0-9]")))
+    some = F.slice(F.transform(F.array_sort(F.transform(words, lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w")))), lambda x: x["w"]), 1, most_words)
     least = own.where("doc_id is not null").select(F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id").limit(most_docs)
     picked = own.join(F.broadcast(least.select("doc_id").distinct()), "doc_id")  # ids first: texts of the picked ones only are cut
-    got = picked.select("doc_id", F.slice(words, 1, 200).alias("w")).groupBy("doc_id").agg(F.min("w").alias("w")).collect()
+    got = picked.select("doc_id", some.alias("w")).groupBy("doc_id").agg(F.min("w").alias("w")).collect()
     return fit(sorted({w for r in got for w in r.w or ()}))
 
 
@@ -206,6 +219,10 @@ def tag(tagger: Tagger, parts: list[str]) -> list[list[Span]]:
     return out
 
 
+#: An address however it is written: spelled signs stand in brackets or between spaces.
+_ADDRESS = re.compile(r"[a-z0-9._%+-]+(?: ?@ ?| ?[\[({]at[\])}] ?| at )[a-z0-9-]+(?:(?: ?\. ?| ?[\[({]dot[\])}] ?| dot )[a-z0-9-]+)*(?: ?\. ?| ?[\[({]dot[\])}] ?| dot )[a-z]{2,}", re.I)
+
+
 def _added(text: str, base: list[Span], found: list[Span]) -> list[Span]:
     """The tagger's spans that are new: trimmed, plausible for their kind, apart from the patterns' spans."""
     out = []
@@ -216,7 +233,7 @@ def _added(text: str, base: list[Span], found: list[Span]) -> list[Span]:
             b -= 1
         s = text[a:b]
         spaced = kind != "phone" or len(re.findall(r"[\x20().-]+", s)) >= 2
-        address = kind != "email" or re.search(r"[A-Za-z0-9]\s?(@|[\[(](at|AT)[\])])\s?[A-Za-z0-9-]+\s?(\.|[\[(](dot|DOT)[\])])\s?[A-Za-z]{2,}", s)
+        address = kind != "email" or _ADDRESS.fullmatch(s)
         before, after = text[a - 1 : a], text[b : b + 1]
         whole = kind == "email" or not (before.isalnum() or after.isalnum())
         if fits(kind, s) and spaced and address and whole and all(b <= x or y <= a for _, x, y in base):
@@ -227,31 +244,33 @@ def _added(text: str, base: list[Span], found: list[Span]) -> list[Span]:
 def find(docs: DataFrame, tagger: Tagger, *, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """Spans of personal data in whole texts: ``doc_id, base, spans`` (arrays of kind, start, end in code points).
 
-    ``base`` are the patterns' spans; ``spans`` holds them and what the tagger adds, by kind, then start.  No kind can do
-    without a digit or an at sign, so the tagger reads the surroundings of these.  Null text is empty.  Repeated rows give
-    one row each.  With ``keep`` the table's columns come along and ``text`` has the spans replaced by ``[KIND]``; a null
-    text stays null.
+    ``base`` are the patterns' spans; ``spans`` holds them and what the tagger adds, by kind, then start.  The tagger
+    runs over the surroundings of every digit, at sign and spelled at sign of the whole text: no span of any kind can do
+    without one.  Null text is empty.  Repeated rows give one row each.  With ``keep`` the table's columns come along and
+    the text has the spans replaced by ``[KIND]`` (a null text stays null); columns named ``base`` or ``spans`` give
+    way to the results.
     """
     rank = {k: i for i, k in enumerate(KINDS)}
+    results = "base array<struct<kind:string,start:int,end:int>>, spans array<struct<kind:string,start:int,end:int>>"
+    own = without_names(docs, results) if keep else keyed_text(docs, id_col, text_col)
+    read = text_col if keep else "text"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in slices(batches):
-            texts = text_list(batch)
+            texts = text_list(batch, read)
             base = [base_spans(t) if _CUE.search(t) else [] for t in texts]
             where = [(i, lo, hi) for i, t in enumerate(texts) for lo, hi in _stretches(t)]
             spans = [list(b) for b in base]
             for (i, lo, _), found in zip(where, tag(tagger, [texts[i][lo:hi] for i, lo, hi in where]), strict=True):
                 spans[i] += _added(texts[i], base[i], [(k, a + lo, b + lo) for k, a, b in found])
-            rows = {c: batch.column(c) for c in batch.schema.names if c != "text"}
+            rows = {c: batch.column(c) for c in batch.schema.names if keep or c != "text"}
             if keep:
-                rows["text"] = [None if t is None else redacted(x, s) for t, x, s in zip(batch.column("text").to_pylist(), texts, spans, strict=True)]
+                rows[read] = [None if t is None else redacted(x, s) for t, x, s in zip(batch.column(read).to_pylist(), texts, spans, strict=True)]
             for name, found in (("base", base), ("spans", spans)):
                 rows[name] = [[{"kind": k, "start": a, "end": b} for k, a, b in sorted(set(f), key=lambda s: (rank[s[0]], s[1]))] for f in found]
             yield rows
 
-    own = docs if keep else keyed_text(docs, id_col, text_col)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema if keep or f.name != "text")
-    return arrow_rows(own, work, schema + ", base array<struct<kind:string,start:int,end:int>>, spans array<struct<kind:string,start:int,end:int>>")
+    return arrow_rows(own, work, ", ".join([*(x for x in columns_of(own) if keep or not x.startswith("`text` ")), results]))
 
 
 def redacted(text: str, spans: list[Span]) -> str:

@@ -6,22 +6,22 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-#: Character classes: each of these stands alone, then lower case, upper case, digit, other letter, white space, rest.
-SINGLE = "@.-+() \n_%=\":/,;#[]*&'<>|"
-CLASSES = len(SINGLE) + 6 + 1
+#: Symbols: every ASCII character stands for itself (control characters, but tab and newline, for one another), then
+#: other digits, other letters, other white space, the rest.  Zero is padding.
+FIRST, OTHERS = 32, 4
+CLASSES = 3 + (127 - FIRST) + OTHERS + 1
 PAD = 0
 
 
 def _class_table() -> np.ndarray:
     table = np.full(0x110000, CLASSES - 1, np.uint8)
-    base = len(SINGLE) + 1
-    for c in range(0x3000):
+    table[:FIRST] = 1
+    table[9], table[10] = 2, 3
+    table[FIRST:127] = 4 + np.arange(127 - FIRST)
+    base = 4 + 127 - FIRST
+    for c in range(127, 0x30000):
         x = chr(c)
-        table[c] = base + 3 if x.isalpha() else base + 4 if x.isspace() else CLASSES - 1
-    table[0x3040:0xD800] = base + 3
-    table[97:123], table[65:91], table[48:58] = base, base + 1, base + 2
-    for k, x in enumerate(SINGLE):
-        table[ord(x)] = k + 1
+        table[c] = base if x.isdigit() else base + 1 if x.isalpha() else base + 2 if x.isspace() else CLASSES - 1
     return table
 
 
@@ -53,7 +53,7 @@ class Tagger:
             self.legal[[inside - 1, inside], inside] = True
 
     @classmethod
-    def new(cls, kinds: int, *, hidden: int = 20, width: int = 10, seed: int = 5) -> Tagger:
+    def new(cls, kinds: int, *, hidden: int = 24, width: int = 12, seed: int = 5) -> Tagger:
         rng, n = np.random.default_rng(seed), 1 + 2 * kinds
         g = lambda *s: rng.normal(0, 1 / np.sqrt(s[0]), s).astype(np.float32)
         w = {"e": rng.normal(0, 0.5, (CLASSES, width)).astype(np.float32), "o": g(2 * hidden, n), "bo": np.zeros(n, np.float32), "t": np.zeros((n, n), np.float32)}

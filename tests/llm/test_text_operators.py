@@ -438,15 +438,96 @@ def test_toxicity(spark, docs, empty):
     model = toxicity.fit_on_sample(d.where(~held), lab.where(~held))
     got = {r.doc_id: r for r in toxicity.score(d, model).collect()}
     assert all((got[i].score >= 0.3) == (i % 5 == 0) for i in range(600)) and got[900].score == got[901].score
-    dense = model.index.blocks.reshape(len(model.terms), -1)
-    for _, t in rows[:40]:
+    dense = np.concatenate([p[model.index.at[b]] for b, p in enumerate(model.index.postings)], 1)
+    assert set(model.terms) >= {*WORD_LIST, *bad} and (model.weight > 0).all()  # no term is left out
+    for _, t in [*rows[:40], (0, "unknown words"), (0, "red")]:
         v = model.vector(toxicity.frequencies(t))
         full = sum((w * dense[k] for k, w in v.items()), np.zeros(dense.shape[1]))
         best = np.sort(full[full > 0])[::-1][: toxicity.NEAREST]
-        assert np.allclose(model.index.nearest(v, toxicity.NEAREST)[1], best, atol=1e-5) if v else True
+        near, cosines = model.index.nearest(v, toxicity.NEAREST) if v else ([], [])
+        assert np.allclose(cosines, best, atol=1e-5)
+        score, ids, _ = model.score(toxicity.frequencies(t))
+        if not len(best):
+            assert score == model.without
+            continue
+        w = [1 / (1.05 - min(c, 1.0)) for c in cosines]
+        share = sum(a * model.labels[i] for a, i in zip(w, near)) / sum(w)
+        z = model.curve @ [share, float(np.mean(cosines)), 1.0]
+        assert abs(score - 1 / (1 + np.exp(-z))) < 1e-6 and list(ids) == list(near)
+    same = toxicity.fit(["foo foo red"] * 70 + ["red blue"] * 70, [1] * 70 + [0] * 70, list(range(140)), 0.5)
+    ids, cosines = same.index.nearest(same.vector(toxicity.frequencies("foo foo red")), 15)
+    assert len(ids) == 15 and ids.tolist() == sorted(ids.tolist()) and np.allclose(cosines, 1, atol=1e-5)  # ties go by number
     assert toxicity.score(empty, model).count() == 0 and toxicity.score(docs, toxicity.fit([], [], [], 0.0)).where("score > 0").count() == 0
 
 
+CONTRACT = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def plain_base(text):
+    import re
+
+    out = []
+    for kind, pattern in CONTRACT.items():
+        for m in re.finditer(pattern, text):
+            d = [int(c) for c in m[0] if c.isdigit()]
+            luhn = sum(x if k % 2 == 0 else 2 * x - 9 * (2 * x > 9) for k, x in enumerate(reversed(d))) % 10 == 0
+            fine = {"email": True, "ip": all(int(p) <= 255 for p in m[0].split(".")) if kind == "ip" else True, "card": 13 <= len(d) <= 19 and luhn, "phone": 9 <= len(d) <= 15}
+            if fine[kind]:
+                out.append((kind, *m.span()))
+    return out
+
+
+def test_patterns_are_those_of_the_contract():
+    rng = random.Random(13)
+    bits = ["@", ".", "-", " ", "a", "Z9", "+", "(", ")", "0", "1", "25", "255", "256", "0000000001", "4111111111111111", "4111 1111-1111 1111", "+1 (555) 123-4567", "é", "\n", "a@b.c", "..", "@@", "x.y@z-1.de", "%", "10.0.0.1"]
+    some = ["".join(rng.choices(bits, k=rng.randint(0, 25))) for _ in range(20000)] + ["0000000001.1.1.1", "1" * 4000 + ".1.1.1", "a" * 50000 + "@b.cc " + "1 " * 30000]
+    found = [0] * 4
+    for t in some:
+        got = personal_data.base_spans(t)
+        assert sorted(got) == sorted(plain_base(t)), t
+        for k, _, _ in got:
+            found[personal_data.KINDS.index(k)] += 1
+    assert min(found) > 100 and personal_data.base_spans("0000000001.1.1.1") == [("ip", 0, 16)]
+
+
+def test_tagger_adds_spans_of_held_out_lines(spark):
+    model = personal_data.fit(["the", "and", "river", "stone", "ist", "pour", "le", "glass"], lines=5000)
+    rng, rows, gold = random.Random(77), [], []
+    for k in range(400):
+        text, spans = personal_data._example(rng, ["moon", "paper", "avec", "und", "salt", "tree"])
+        rows.append((k, text))
+        gold += [(k, *s) for s in set(spans) - set(plain_base(text))]
+    got = personal_data.find(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    added = {(r.doc_id, s.kind, s.start, s.end) for r in got for s in r.spans} - {(r.doc_id, s.kind, s.start, s.end) for r in got for s in r.base}
+    right = len(added & set(gold))
+    assert len(gold) > 200 and right >= 0.5 * len(gold) and right >= 0.85 * len(added), (right, len(added), len(gold))
+    assert all((s.kind, s.start, s.end) in {(x.kind, x.start, x.end) for x in r.spans} for r in got for s in r.base)
+
+
+def test_personal_data_keeps_columns_that_clash(spark):
+    model = personal_data.fit(WORD_LIST, lines=300, epochs=1)
+    d = spark.createDataFrame([(1, "a@b.de", 5, "x"), (None, None, 6, "y")], "doc_id long, body string, base int, text string")
+    got = personal_data.find(d, model, text_col="body", keep=True)
+    assert got.columns == ["doc_id", "body", "text", "base", "spans"]
+    assert sorted((str(r.body), r.text, len(r.base)) for r in got.collect()) == [("None", "y", 0), ("[EMAIL]", "x", 1)]
+
+
+def test_deduplicate_and_decontaminate_keep_columns_that_clash(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    passage = " ".join(f"p{k}" for k in range(10))
+    rows = [(1, text, "a", "b", 1), (2, text, "c", "d", 2), (3, f"{passage} {text}", "e", "f", 3), (None, None, "g", "h", 4)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, t string, __t string, gone int").withColumnRenamed("doc_id", "Doc.Id")
+    kept = near_duplicates.deduplicate(d, id_col="Doc.Id")
+    assert kept.columns == d.columns and sorted(map(str, kept.collect())) == sorted(str(r) for r in d.collect() if r["Doc.Id"] != 2 and r["Doc.Id"] != 3)
+    left = decontamination.decontaminate(d, spark.createDataFrame([(1, passage)], "item_id long, text string"))
+    assert left.columns == d.columns and sorted((str(r["Doc.Id"]), r.text, r.t, r["__t"], r.gone) for r in left.collect()) == sorted((str(i), text if i else None, a, b, g) for i, _, a, b, g in rows)
+
+
 def test_tagger_gradient_and_personal_data(spark, docs, empty):
     t = tagger.Tagger.new(4, hidden=5)
     t.w = {k: v.astype(np.float64) for k, v in t.w.items()}
