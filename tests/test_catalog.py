@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from cartoloom.plans import catalog
+from cartoloom.plans import registry as catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
