@@ -12,15 +12,21 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same before lower-casing, and what lies between words.
 CASED, BETWEEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: All that stands between words but the space, and a word's characters said positively (the engine is faster at it).
+SPLITS = "".join(chr(c) for c in (*range(32), *range(33, 48), *range(58, 65), *range(91, 97), *range(123, 128)))
+RUN = r"[0-9A-Za-z\x80-\x{10FFFF}]+"
 #: Tables of at most so many rows (windows, or positions under hits) are broadcast, larger ones are joined by shuffles.
 MOST_BROADCAST = 200_000
+#: A first filter has so many bits for each window, between bounds; any window passes it, and one in so many others.
+BITS, LEAST_BITS, MOST_BITS = 64, 1 << 12, 1 << 23
 #: A text's contents as a key: equal texts have equal hits, whatever their rows and ids.
 KEY = ("t1", "t2")
 
 
 def words(text: Column) -> Column:
-    """Words in order; null text has none."""
-    return F.coalesce(F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    """Words in order, as :data:`WORD` finds them in lower-cased text; null text has none."""
+    spaced = F.split(F.translate(text, UPPER + SPLITS, LOWER + " " * len(SPLITS)), " ")
+    return F.coalesce(F.filter(spaced, lambda w: w != ""), F.array().cast("array<string>"))
 
 
 def _folded(h: Column, at: Column, n: int) -> Column:
@@ -38,6 +44,24 @@ def benchmark_windows(benchmark: DataFrame, *, length: int = 10, id_col: str = "
     return cut.select("item_id", "window", "length", key.alias("key")).distinct()
 
 
+def _slot(h: Column, at: Column, n: int, bits: int) -> tuple[Column, Column]:
+    """A window's word in a bit map of so many bits, and the bit in it."""
+    return F.shiftrightunsigned(_folded(h, at, n), 7).bitwiseAND(bits // 64 - 1).cast("int"), h[at + n - 1].bitwiseAND(63).cast("int")
+
+
+def _bit_map(windows: DataFrame, bits: int, length: int) -> Column:
+    """The windows' bits as a constant array; it grows with the benchmark up to a fixed size."""
+    at = F.lit(0)
+    slots = [(k, *_slot(F.col("h"), at, k, bits)) for k in range(1, length + 1)]
+    word, bit = (F.coalesce(*[F.when(F.col("length") == k, x[i]) for k, *x in slots]) for i in (0, 1))
+    own = windows.select("length", F.transform(F.split("window", " "), lambda x: F.xxhash64(x)).alias("h"))
+    rows = own.select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bit")).collect()
+    words = [0] * (bits // 64)
+    for r in rows:
+        words[r.word] = r.bit
+    return F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
+
+
 def _small(frame: DataFrame) -> bool:
     return frame.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
 
@@ -54,20 +78,26 @@ def content_key(text: Column) -> list[Column]:
 def occurrences(texts: DataFrame, windows: DataFrame) -> DataFrame:
     """``t1, t2, pos, length, window``: where windows of the benchmark occur in whole texts.
 
-    texts: ``text``; windows: from :func:`benchmark_windows`, read several times.  Each word position becomes a row with
-    its folded number, which meets the benchmark's numbers in a hash join; what is met is compared as text.  Up to
-    ``MOST_BROADCAST`` windows the numbers and windows are broadcast, so nothing is exploded beyond the task nor
-    shuffled.  Beyond it the numbers meet in a shuffled join without their texts, and texts with a hit are read again
-    to cut out the windows.  The rows are the same either way.
+    texts: ``text``; windows: from :func:`benchmark_windows`, read several times.  In the row, a word position stays if a
+    bit map of the benchmark's windows has its bit.  These few become rows with their folded number, which meets the
+    benchmark's numbers in a hash join; what is met is compared as text.  Up to ``MOST_BROADCAST`` windows the numbers and
+    windows are broadcast, so nothing is shuffled.  Beyond it the numbers meet in a shuffled join without their
+    texts, and texts with a hit are read again to cut out the windows.  The rows are the same either way.
     """
     few = _small(windows)
     lengths = sorted(r.length for r in windows.select("length").distinct().collect())  # at most the words of a window
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS * windows.count() - 1).bit_length()))
+    known = _bit_map(windows, bits, max(lengths, default=1))
     own = texts.select(*content_key(F.col("text")), "text")
 
     def places(h: Column) -> Column:
         def of(n: int) -> Column:
-            each = F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: F.struct(i.alias("pos"), F.lit(n).alias("length"), _folded(h, i, n).alias("key")))
-            return F.when(F.size(h) >= n, each)
+            def there(i: Column) -> Column:
+                word, bit = _slot(h, i, n, bits)
+                return F.getbit(known[word], bit) == 1
+
+            some = F.filter(F.sequence(F.lit(0), F.size(h) - n), there)
+            return F.when(F.size(h) >= n, F.transform(some, lambda i: F.struct(i.alias("pos"), F.lit(n).alias("length"), _folded(h, i, n).alias("key"))))
 
         none = F.array().cast("array<struct<pos:int,length:int,key:bigint>>")
         return F.concat(none, *[F.coalesce(of(n), none) for n in lengths])
@@ -103,7 +133,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, length: int = 10, id
     met = met.join(_sized(items, _small(windows)), ["window", "length"])
     hits = met.groupBy(*KEY).agg(_covered(F.collect_set(F.struct("pos", "length"))).alias("gone"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids"))
     hits = stored(hits.select(*KEY, F.size("gone").cast("long").alias("n_hit"), "item_ids"))
-    counted = F.coalesce(F.regexp_count("text", F.lit(CASED)), F.lit(0)).cast("long")
+    counted = F.coalesce(F.regexp_count("text", F.lit(RUN)), F.lit(0)).cast("long")
     rows = own.select("doc_id", *content_key(F.col("text")), counted.alias("n_words")).join(_sized(hits, _small(hits)), list(KEY), "left")
     none, n_hit = F.array().cast("array<string>"), F.coalesce("n_hit", F.lit(0).cast("long"))
     return rows.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("item_ids", none).alias("item_ids"), (n_hit > 0).alias("contaminated"))
@@ -141,7 +171,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, length: int = 10, mo
     key = content_key(text)
     keyed = docs.select("*", key[0].alias(t1), key[1].alias(t2)).join(hits, [t1, t2], "left")
     # arrays of one element bind a value once; the generator drops the row whose document goes
-    bound = F.transform(F.array(F.col(gone)), lambda g: F.struct(g.alias("gone"), lead.alias("lead"), F.regexp_count(text, F.lit(CASED)).alias("n")))
+    bound = F.transform(F.array(F.col(gone)), lambda g: F.struct(g.alias("gone"), lead.alias("lead"), F.regexp_count(text, F.lit(RUN)).alias("n")))
     whole = F.array(F.struct(F.lit(True).alias("few"), text.alias("text")))
     rows = keyed.withColumn(cut, F.explode(F.when(F.col(gone).isNull(), whole).otherwise(F.filter(F.transform(bound, without), lambda x: x["few"]))))
     return rows.select(*[F.col(cut)["text"].alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

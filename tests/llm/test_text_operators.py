@@ -263,6 +263,16 @@ def test_decontamination(spark, docs, rows, empty):
     assert decontamination.contamination(docs, bench.where("1 = 0")).where("n_hit > 0").count() == 0
 
 
+def test_words_are_those_of_the_pattern(spark):
+    import re
+
+    rng = random.Random(21)
+    some = ["".join(rng.choices([chr(c) for c in range(128)] + list("éß中😀İ\u2028"), k=60)) for _ in range(300)] + ["", " ", "a", "\x00a\x7fB"]
+    lower = [t.translate(str.maketrans(decontamination.UPPER, decontamination.LOWER)) for t in some]
+    got = spark.createDataFrame([(t,) for t in some], "text string").select(decontamination.words(F.col("text")).alias("w"), F.regexp_count("text", F.lit(decontamination.RUN)).alias("n")).collect()
+    assert [r.w for r in got] == [re.findall(decontamination.WORD, t) for t in lower] and all(len(r.w) == r.n for r in got)
+
+
 def test_decontaminate_joins_rows_and_not_ids(spark, monkeypatch):
     passage = " ".join(f"p{i}" for i in range(10))
     clean = " ".join(f"c{i}" for i in range(40))
