@@ -70,8 +70,9 @@ def robots_allowed(rules: DataFrame, requests: DataFrame) -> DataFrame:
     """
     rx = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace("pattern", r"([.+?()\[\]{}|^\\])", r"\\$1"), r"\*", ".*"))
     own = requests.select(F.col("agent").alias("who"), "path").distinct()
-    named = own.join(rules, F.lower("who").contains(F.lower("agent")) & (F.col("agent") != "*"), "inner")
-    star = own.join(named.select("who").distinct(), "who", "left_anti").join(rules.where("agent = '*'"), F.lit(True))
-    hit = named.select("who", "path", "kind", "pattern").unionByName(star.select("who", "path", "kind", "pattern")).where((F.col("pattern") != "") & F.regexp_like("path", rx))
+    names = rules.agg(F.collect_set(F.lower("agent")).alias("names"))  # the groups of a robots file
+    named = F.filter("names", lambda a: (a != "*") & F.contains(F.lower("who"), a))
+    asked = own.crossJoin(F.broadcast(names)).select("who", "path", F.explode(F.when(F.size(named) > 0, named).otherwise(F.array(F.lit("*")))).alias("group"))
+    hit = asked.join(rules.withColumn("group", F.lower("agent")).withColumn("rx", rx), "group").where((F.col("pattern") != "") & F.regexp_like("path", F.col("rx")))
     best = hit.groupBy("who", "path").agg(F.max_by("kind", F.struct(F.length("pattern"), F.col("kind") == "allow")).alias("kind"))
     return own.join(best, ["who", "path"], "left").select(F.col("who").alias("agent"), "path", (F.coalesce("kind", F.lit("allow")) == "allow").alias("allowed"))

@@ -13,6 +13,13 @@ def anchors_by_regex(pages: DataFrame, *, url: str, source: str) -> DataFrame:
     return pages.select(F.col(url).alias("source"), F.explode(F.regexp_extract_all(source, F.lit('href="([^"]+)"'), F.lit(1))).alias("href"))
 
 
+def anchored_by_regex(pages: DataFrame, *, url: str, source: str) -> DataFrame:
+    """``source, href, anchor`` of every plain text link in the page's markup."""
+    pattern = F.lit('<a href="([^"]+)"[^>]*>([^<]*)</a>')
+    both = F.arrays_zip(F.regexp_extract_all(source, pattern, F.lit(1)).alias("href"), F.regexp_extract_all(source, pattern, F.lit(2)).alias("anchor"))
+    return pages.select(F.col(url).alias("source"), F.explode(both).alias("x")).select("source", "x.href", F.trim("x.anchor").alias("anchor"))
+
+
 def resolved(links: DataFrame) -> DataFrame:
     """Absolute destinations of relative targets, without fragments."""
     root = F.regexp_extract("source", "^([a-z]+://[^/]+)", 1)
@@ -33,8 +40,9 @@ def link_class(position: Column, path: Column, internal: Column) -> Column:
 
 def page_degrees(links: DataFrame) -> DataFrame:
     """In and out counts of every page: all, distinct, by class.  Columns: source, destination, class."""
-    into = links.groupBy(F.col("destination").alias("url"), "class").agg(F.count("*").alias("n"), F.collect_set("source").alias("s"))
-    into = into.groupBy("url").agg(F.sum("n").alias("inlinks"), F.size(F.array_distinct(F.flatten(F.collect_list("s")))).alias("unique_inlinks"), F.map_from_entries(F.collect_list(F.struct("class", "n"))).alias("in_by_class"))
+    by_class = links.groupBy(F.col("destination").alias("url"), "class").agg(F.count("*").alias("n")).groupBy("url").agg(F.sum("n").alias("inlinks"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("class", "n")))).alias("in_by_class"))
+    sources = links.groupBy(F.col("destination").alias("url")).agg(F.count_distinct("source").alias("unique_inlinks"))  # counted, never gathered
+    into = by_class.join(sources, "url")
     out = links.groupBy(F.col("source").alias("url")).agg(F.count("*").alias("outlinks"), F.count_distinct("destination").alias("unique_outlinks"))
     return into.join(out, "url", "full_outer")
 

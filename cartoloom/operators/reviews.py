@@ -9,11 +9,11 @@ from cartoloom.functions.text import months_between
 
 
 def dedupe(rows: DataFrame, *, order: str) -> DataFrame:
-    """First row of each id, then of each (platform, author, first 200 letters) where author and text are there."""
+    """First row of each id, then of each (platform, author, first 200 letters, case and spaces aside) where author and text are there."""
     first = F.row_number().over(Window.partitionBy("id").orderBy(order))
     once = rows.withColumn("rn", first).where("rn = 1").drop("rn")
     full = (F.coalesce("author_hash", F.lit("")) != "") & (F.coalesce("text", F.lit("")) != "")
-    second = F.row_number().over(Window.partitionBy("platform", "author_hash", F.substring("text", 1, 200)).orderBy(order))
+    second = F.row_number().over(Window.partitionBy("platform", "author_hash", F.substring(F.trim(F.regexp_replace(F.lower("text"), r"\s+", " ")), 1, 200)).orderBy(order))
     named = once.where(full).withColumn("rn", second).where("rn = 1").drop("rn")
     return named.unionByName(once.where(~full))
 

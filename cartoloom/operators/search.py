@@ -18,16 +18,17 @@ def bm25(docs: DataFrame, queries: DataFrame, *, doc_key: str, query_key: str, w
     document.  With ``damp_query`` a term counts 1 + ln of its frequency in the query, else once.  Scores are
     rounded to six places before ranking, so that the order of summation cannot change ranks.
     """
-    lengths = docs.select(doc_key, F.size(words).cast("double").alias("len"))
-    total = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
+    length = F.size(words).cast("double")
+    total = docs.agg(F.count("*").alias("n"), F.avg(length).alias("mean"))
     asked = term_counts(queries, query_key, words).withColumnRenamed("tf", "qtf")
-    terms = asked.select("term").distinct()
-    postings = term_counts(docs, doc_key, words).join(terms, "term", "left_semi")
+    # a document's length travels with its words, so nothing is joined by document
+    every = docs.select(doc_key, length.alias("len"), F.explode(words).alias("term"))
+    postings = every.join(asked.select("term").distinct(), "term", "left_semi").groupBy(doc_key, "len", "term").agg(F.count("*").alias("tf"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     times = 1 + F.log("qtf") if damp_query else F.lit(1.0)
     part = weight * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean"))) * times
-    scored = postings.join(df, "term").join(lengths, doc_key).crossJoin(F.broadcast(total)).join(asked, "term")  # total is one row
+    scored = postings.join(asked.join(df, "term"), "term").crossJoin(F.broadcast(total))  # total is one row
     out = scored.groupBy(query_key, doc_key).agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
     if k is None:
         return out
@@ -65,15 +66,17 @@ def neighbours(vectors: DataFrame, anchors: DataFrame, *, key: str, block: str,
 def log_odds(counts: DataFrame, *, term: str = "term", positive: str = "y_pos", negative: str = "y_neg", n_pos, n_neg, alpha: float = 0.5, least: int = 2) -> DataFrame:
     """z-score of each term's log-odds between two sides under an informative Dirichlet prior.
 
-    counts: a row for each term with the texts of either side that hold it.  n_pos, n_neg: texts of each side.
+    counts: a row for each term with the texts of either side that hold it.  n_pos, n_neg: texts of each side, numbers or
+    columns of counts.
     """
+    n_pos, n_neg = (F.col(x) if isinstance(x, str) else F.lit(x) for x in (n_pos, n_neg))
     total = counts.agg(F.sum(F.col(positive) + F.col(negative)).alias("total"), F.count("*").alias("terms"))
     y, m = F.col(positive), F.col(negative)
     a0 = F.col("terms") * alpha
     a = a0 * (y + m) / F.col("total")
 
     def side(hits, n):
-        return F.log((hits + a) / (F.greatest(F.lit(n), hits) + a0 - hits - a))
+        return F.log((hits + a) / (F.greatest(n, hits) + a0 - hits - a))
 
     z = (side(y, n_pos) - side(m, n_neg)) / F.sqrt(1 / (y + a) + 1 / (m + a))
     return counts.crossJoin(F.broadcast(total)).select(term, positive, negative, F.round(z, 6).alias("z")).where(F.col(positive) + F.col(negative) >= least)

@@ -69,6 +69,11 @@ _STATS = """u AS (SELECT l_partkey AS part, l_suppkey AS url, sum(l_quantity)::D
 s AS (SELECT *, demand / sum(demand) OVER (PARTITION BY part) AS share FROM u)"""
 
 
+def _six(column: str):
+    """Six places of a binary fraction: scaled, then rounded, so that a tie falls as its stored value does."""
+    return (F.round(F.col(column) * 1e6) / 1e6).alias(column)
+
+
 def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("url"), F.col("l_quantity").cast("double").alias("demand"), F.col("l_quantity").cast("double").alias("clicks"), F.col("l_tax").cast("double").alias("position"))
     return keywords.url_stats(m, group="part", url="url", demand="demand", clicks="clicks", position="position")
@@ -77,7 +82,7 @@ def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_STATS} SELECT part, url, demand, round(position, 6)::DOUBLE AS position, round(share, 6) AS share FROM s")
 def url_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A03, W02"""
-    return _stats(spark, sf_dir).select("part", "url", "demand", F.round("position", 6).alias("position"), F.round("share", 6).alias("share"))
+    return _stats(spark, sf_dir).select("part", "url", "demand", _six("position"), _six("share"))
 
 
 @query(f"""WITH {_STATS}, r AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY round(share, 9) DESC, url) AS rn FROM s),
@@ -117,21 +122,26 @@ def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.resolved(links.anchors_by_regex(t(spark, sf_dir, "pages"), url="url", source="html"))
 
 
-@query(f"""WITH {_LINKS}, i AS (SELECT destination AS url, count(*) AS inlinks, count(DISTINCT source) AS unique_inlinks FROM l GROUP BY destination),
-o AS (SELECT source AS url, count(*) AS outlinks, count(DISTINCT destination) AS unique_outlinks FROM l GROUP BY source)
-SELECT coalesce(i.url, o.url) AS url, coalesce(inlinks, 0) AS inlinks, coalesce(unique_inlinks, 0) AS unique_inlinks, coalesce(outlinks, 0) AS outlinks, coalesce(unique_outlinks, 0) AS unique_outlinks FROM i FULL JOIN o ON i.url = o.url""")
+@query(f"""WITH {_LINKS}, c AS (SELECT source, destination, CASE WHEN regexp_extract(source, '^([a-z]+://[^/]+)', 1) = regexp_extract(destination, '^([a-z]+://[^/]+)', 1) THEN CASE WHEN length(destination) % 2 = 0 THEN 'nav' ELSE 'body' END ELSE 'external' END AS class FROM l),
+i AS (SELECT destination AS url, count(*) AS inlinks, count(DISTINCT source) AS unique_inlinks, count(*) FILTER (class = 'nav') AS nav, count(*) FILTER (class = 'body') AS body FROM c GROUP BY destination),
+o AS (SELECT source AS url, count(*) AS outlinks, count(DISTINCT destination) AS unique_outlinks FROM c GROUP BY source)
+SELECT coalesce(i.url, o.url) AS url, coalesce(inlinks, 0) AS inlinks, coalesce(unique_inlinks, 0) AS unique_inlinks, coalesce(outlinks, 0) AS outlinks, coalesce(unique_outlinks, 0) AS unique_outlinks, coalesce(nav, 0) AS nav, coalesce(body, 0) AS body FROM i FULL JOIN o ON i.url = o.url""")
 def page_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A10, A11, S18's link table"""
-    own = _links(spark, sf_dir).withColumn("class", F.lit("body"))
+    host = lambda c: F.regexp_extract(c, "^([a-z]+://[^/]+)", 1)
+    kind = F.when(host("source") != host("destination"), "external").when(F.length("destination") % 2 == 0, "nav").otherwise("body")
+    rows = links.page_degrees(_links(spark, sf_dir).withColumn("class", kind))
+    of = lambda c: F.coalesce(F.try_element_at("in_by_class", F.lit(c)), F.lit(0)).alias(c)
     zero = [F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c) for c in ("inlinks", "unique_inlinks", "outlinks", "unique_outlinks")]
-    return links.page_degrees(own).select("url", *zero)
+    return rows.select("url", *zero, of("nav"), of("body"))
 
 
-@query("""SELECT n_nationkey % 4 AS anchor, count(DISTINCT n_regionkey) AS destinations, count(*) AS n FROM nation GROUP BY 1 HAVING count(DISTINCT n_regionkey) > 1""")
+@query("""WITH a AS (SELECT url AS source, unnest(regexp_extract_all(html, '<a href="([^"]+)"[^>]*>([^<]*)</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a href="([^"]+)"[^>]*>([^<]*)</a>', 2)) AS anchor FROM pages),
+r AS (SELECT trim(anchor) AS anchor, regexp_replace(CASE WHEN regexp_matches(href, '^[a-z]+:') THEN href WHEN starts_with(href, '//') THEN 'https:' || href WHEN starts_with(href, '/') THEN regexp_extract(source, '^([a-z]+://[^/]+)', 1) || href ELSE regexp_replace(source, '[^/]*$', '') || href END, '#.*$', '') AS destination FROM a)
+SELECT anchor, count(DISTINCT destination) AS destinations, count(*) AS n FROM r WHERE anchor <> '' GROUP BY anchor HAVING count(DISTINCT destination) > 1""")
 def anchor_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A14"""
-    rows = t(spark, sf_dir, "nation").select((F.col("n_nationkey") % 4).cast("string").alias("anchor"), F.col("n_regionkey").alias("destination"))
-    return links.anchor_conflicts(rows).withColumn("anchor", F.col("anchor").cast(dict(t(spark, sf_dir, "nation").dtypes)["n_nationkey"]))
+    """Over the anchors of all pages"""
+    return links.anchor_conflicts(links.resolved(links.anchored_by_regex(t(spark, sf_dir, "pages"), url="url", source="html")))
 
 
 @query("""WITH k AS (SELECT url, regexp_replace(regexp_extract(lower(url), '^(?:[a-z][a-z0-9+.-]*://)?(?:[^/?#@]*@)?([^/?#:]+)', 1), '^www\\.', '') AS host, regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?[^/?#]*([^?#]*)', 1) AS p FROM pages)
@@ -276,9 +286,10 @@ SELECT term, y_pos, y_neg, round((ln((y_pos + a) / (greatest(np, y_pos) + a0 - y
 def contrast_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G12"""
     d = _with_words(_rated(spark, sf_dir)).select("quality", F.array_distinct("words").alias("w"))
-    n = d.agg(F.count_if(F.col("quality") == 1).alias("p"), F.count_if(F.col("quality") != 1).alias("n")).first()
-    c = d.select("quality", F.explode("w").alias("term")).groupBy("term").agg(F.count_if(F.col("quality") == 1).alias("y_pos"), F.count_if(F.col("quality") != 1).alias("y_neg"))
-    return search.log_odds(c, n_pos=n.p, n_neg=n.n)
+    sides = [F.count_if(F.col("quality") == 1), F.count_if(F.col("quality") != 1)]
+    n = d.agg(sides[0].alias("n_pos"), sides[1].alias("n_neg"))
+    c = d.select("quality", F.explode("w").alias("term")).groupBy("term").agg(sides[0].alias("y_pos"), sides[1].alias("y_neg"))
+    return search.log_odds(c.crossJoin(F.broadcast(n)), n_pos="n_pos", n_neg="n_neg")
 
 
 @query("""WITH RECURSIVE h AS (SELECT n_nationkey AS url, n_nationkey // 2 AS target FROM nation WHERE n_nationkey > 0), w(url, final, hops) AS (SELECT url, target, 1 FROM h UNION ALL SELECT w.url, h.target, w.hops + 1 FROM w JOIN h ON w.final = h.url WHERE w.hops < 10)
@@ -315,22 +326,23 @@ def daily_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT b.item_id, count(d.doc_id) AS pages FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id""")
 def evidence_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many documents hold each passage word for word.  An equi-join on the passage's rarest five-word run
-    finds the candidates, containment decides."""
+    """How many documents hold each passage word for word.  An equi-join on the first five-word run inside the
+    passage finds the candidates by number, their texts decide; shorter passages are looked for in all texts."""
 
     def run(c):  # an array of one element binds the words once
         return F.transform(F.array(c), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - 4)), lambda i: F.array_join(F.slice(w, i, 5), " ")))[0]
 
-    d = t(spark, sf_dir, "documents").where("text is not null")
+    d = t(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")
     b = t(spark, sf_dir, "benchmark")
     words = lambda c: F.split(c, r"\s+")
     # the first and the last word of a passage may be parts of a document's words
     inner = F.transform(F.array(words(F.col("text"))), lambda w: F.slice(w, 2, F.greatest(F.lit(1), F.size(w) - 2)))[0]
     keys = b.where(F.size(words(F.col("text"))) >= 7).select("item_id", F.col("text").alias("passage"), F.element_at(run(inner), 1).alias("key"))
-    met = d.select("doc_id", "text", F.explode(F.array_distinct(run(words(F.col("text"))))).alias("key")).join(F.broadcast(keys), "key").where(F.contains("text", "passage"))
+    met = d.select("doc_id", F.explode(F.array_distinct(run(words(F.col("text"))))).alias("key")).join(keys.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
+    exact = met.join(d, "doc_id").join(keys.select("item_id", "passage"), "item_id").where(F.contains("text", "passage"))
     short = b.where(F.size(words(F.col("text"))) < 7).select("item_id", F.col("text").alias("passage"))
-    few = d.select("doc_id", "text").join(F.broadcast(short), F.contains("text", "passage"))
-    hits = met.select("item_id", "doc_id").unionByName(few.select("item_id", "doc_id")).distinct()
+    few = d.join(short, F.contains("text", "passage"))
+    hits = exact.select("item_id", "doc_id").unionByName(few.select("item_id", "doc_id")).distinct()
     return b.join(hits, "item_id", "left").groupBy("item_id").agg(F.count("doc_id").alias("pages"))
 
 

@@ -24,11 +24,25 @@ def delimiter_of(line: str) -> str:
     return max("\t,;", key=lambda c: (line.count(c), c == "\t"))
 
 
+def _first_piece(spark: SparkSession, path: str, n: int = 4096) -> bytes:
+    """The first bytes of a file, or of the first file of a folder, through the store that Spark would use."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(conf)
+    if store.getFileStatus(at).isDirectory():
+        at = min((x.getPath() for x in store.listStatus(at) if x.isFile() and not x.getPath().getName().startswith(("_", "."))), key=lambda x: x.getName())
+    stream = store.open(at)
+    try:
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(jvm.org.apache.commons.io.input.BoundedInputStream(stream, n)))
+    finally:
+        stream.close()
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """A delimited file with a header, all columns strings; encoding and delimiter are found on its first bytes."""
-    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 4096)).first()[0]
-    encoding = encoding_of(bytes(head))
-    first = bytes(head).decode(encoding, errors="ignore").lstrip("﻿").splitlines()[0]
+    start = bytes(_first_piece(spark, path))
+    encoding = encoding_of(start)
+    first = start.decode(encoding, errors="ignore").lstrip("﻿").splitlines()[0]
     frame = spark.read.options(header=True, sep=delimiter_of(first), encoding=encoding, multiLine=True, quote='"', escape='"').csv(path)
     return frame.toDF(*[c.strip().lstrip("﻿") for c in frame.columns])
 
