@@ -1,0 +1,227 @@
+"""Lint of findings, questions, links, labels and reports: rules as rows (severity, rule, key)."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from cartoloom.functions.text import jaccard
+from cartoloom.operators.evidence import all_rules, duplicates, missing, rule
+
+
+def persona_rules(findings: DataFrame, personas: DataFrame) -> DataFrame:
+    """Personas of findings must be defined, and every defined one used.  findings: id, personas; personas: id."""
+    used = findings.select(F.explode("personas").alias("persona"))
+    known = personas.select(F.col("id").alias("persona"))
+    return all_rules(rule(findings, "id", "needs a persona", F.size("personas") < 1), missing(used, "persona", known, "persona not defined"), missing(known, "persona", used, "persona not used"))
+
+
+def priority_rules(priorities: DataFrame, findings: DataFrame, *, least: int = 3, most: int = 7) -> DataFrame:
+    """Priorities are three to seven findings that exist and are not minor."""
+    met = priorities.select("id").join(findings.select("id", "severity").withColumn("there", F.lit(True)), "id", "left")
+    n = priorities.agg(F.count("*").alias("n")).withColumn("key", F.lit("priorities"))
+    return all_rules(rule(n, "key", "three to seven priorities", ~F.col("n").between(least, most)), rule(met, "id", "priority does not exist", F.col("there").isNull()), rule(met, "id", "priority is minor", F.col("severity") == "minor"))
+
+
+def absence_rules(claims: DataFrame, checks: DataFrame, probes: DataFrame) -> DataFrame:
+    """Absence must be proved by a machine.  claims: id, kind, url, term; checks: url, term, status, absent; probes: url, in_sitemap."""
+    bare = F.regexp_replace("url", "/+$", "")
+    by_text = claims.where("kind = 'text'").withColumn("u", bare).join(checks.select(bare.alias("u"), "term", "status", "absent").withColumn("done", F.lit(True)), ["u", "term"], "left")
+    by_map = claims.where("kind = 'sitemap'").withColumn("u", bare).join(probes.select(bare.alias("u"), "in_sitemap").withColumn("done", F.lit(True)), "u", "left")
+    fetched = F.col("done") & (F.coalesce("status", F.lit(0)) == 200)
+    return all_rules(
+        rule(by_text, "id", "text not checked", F.col("done").isNull()), rule(by_text, "id", "page not fetched", F.col("done") & (F.coalesce("status", F.lit(0)) != 200)),
+        rule(by_text, "id", "term is there", fetched & ~F.coalesce("absent", F.lit(False))), rule(by_map, "id", "sitemap not probed", F.col("done").isNull()), rule(by_map, "id", "page is in the sitemap", F.col("in_sitemap")),
+    )
+
+
+def question_links(questions: DataFrame, inline: DataFrame, picked: DataFrame) -> DataFrame:
+    """``n, anchor, url, via``: links of each question, inline ones and those picked by number or by wording, each once.
+
+    questions: n, question; inline: n, anchor, url; picked: n, question, anchor, url.  Two equi-joins in place of an OR.
+    """
+    own = inline.select("n", "anchor", "url", F.lit("inline").alias("via"))
+    by_number = picked.join(questions.select("n"), "n").select("n", "anchor", "url")
+    by_words = picked.select(F.trim("question").alias("question"), "anchor", "url").join(questions.select("n", "question"), "question").select("n", "anchor", "url")
+    every = own.unionByName(by_number.unionByName(by_words).withColumn("via", F.lit("picked")))
+    return every.groupBy("n", F.regexp_replace("url", "/+$", "").alias("url"), "anchor").agg(F.min("via").alias("via"))
+
+
+def near_questions(questions: DataFrame, *, least: float = 0.8) -> DataFrame:
+    """``a, b`` of questions that say the same: equal wording, or content words of a Jaccard similarity of 0.8 or more.
+
+    questions: n, question, tokens.  Questions meet on shared words, the rarest first, so common words join nothing.
+    """
+    low = questions.select("n", F.lower("question").alias("q"), "tokens")
+    same = low.select(F.col("n").alias("a"), "q").join(low.select(F.col("n").alias("b"), "q"), "q").where("a < b").select("a", "b")
+    long = low.where(F.size("tokens") > 0).select("n", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
+    rare = long.join(long.groupBy("token").agg(F.count("*").alias("df")), "token")
+    kept = rare.groupBy("n", "size").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
+    prefix = kept.select("n", F.explode(F.slice("t", F.lit(1), (F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1).cast("int"))).alias("x")).select("n", "x.token")
+    met = prefix.select(F.col("n").alias("a"), "token").join(prefix.select(F.col("n").alias("b"), "token"), "token").where("a < b").select("a", "b").distinct()
+    both = met.join(low.select(F.col("n").alias("a"), F.col("tokens").alias("ta")), "a").join(low.select(F.col("n").alias("b"), F.col("tokens").alias("tb")), "b")
+    return same.unionByName(both.where(jaccard(F.col("ta"), F.col("tb")) >= least).select("a", "b")).distinct()
+
+
+def question_rules(questions: DataFrame, *, buckets: Sequence[str], placements: Sequence[str], evidence: Sequence[str] = ("first-party", "third-party", "mixed"), longest: int = 180) -> DataFrame:
+    """Rules on each question: n, question, answer, bucket, placement, evidence, sources."""
+    q, a = F.coalesce("question", F.lit("")), F.coalesce("answer", F.lit(""))
+    cited = F.exists("sources", lambda s: s.rlike("^https?://"))
+    return all_rules(
+        duplicates(questions, "n"), rule(questions, "n", "no question mark", ~q.endswith("?")), rule(questions, "n", "unknown bucket", ~F.coalesce("bucket", F.lit("")).isin(*buckets)),
+        rule(questions, "n", "unknown placement", ~F.coalesce("placement", F.lit("")).isin(*placements)), rule(questions, "n", "unknown evidence", ~F.coalesce("evidence", F.lit("")).isin(*evidence)),
+        rule(questions, "n", "no source", ~F.coalesce(cited, F.lit(False))), rule(questions, "n", "placeholder left", F.concat(a, q).rlike(r"\{\{|\[[A-Z][A-Za-z ]*\]")),
+        rule(questions, "n", "answer too long", F.size(F.filter(F.split(a, r"\s+"), lambda w: w != "")) > longest, "warn"),
+    )
+
+
+def bucket_counts(questions: DataFrame) -> DataFrame:
+    return questions.groupBy(F.coalesce("bucket", F.lit("")).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+def link_rules(links: DataFrame, inventory: DataFrame, *, generic: Sequence[str] = (), brand: str = "", most_uses: int = 2) -> DataFrame:
+    """Rules on links in answers: n, anchor, url, via, answer; inventory: url, status, final, canonical, indexable, home."""
+    bare = lambda c: F.regexp_replace(c, "/+$", "")
+    rows = links.withColumn("u", bare("url"))
+    inv = inventory.select(bare("url").alias("u"), "status", bare("final").alias("final"), bare("canonical").alias("canonical"), "indexable", "home").withColumn("there", F.lit(True))
+    met = rows.join(inv, "u", "left")
+    words = F.size(F.filter(F.split("anchor", r"\s+"), lambda w: w != ""))
+    per = rows.groupBy("n").agg(F.count_distinct("url").alias("urls"), F.count_if(F.col("via") == "inline").alias("inline"))
+    moved = (F.col("status") != 200) | (F.coalesce("final", "u") != F.col("u"))
+    return all_rules(
+        rule(per, "n", "more than one link", (F.col("urls") > 1) | (F.col("inline") > 1)), rule(met, "n", "target not in inventory", F.col("there").isNull()), rule(met, "n", "target redirects or errors", moved),
+        rule(met, "n", "target not indexable", ~moved & ~F.col("indexable")), rule(met, "n", "target not self-canonical", (F.coalesce("canonical", F.lit("")) != "") & (F.col("canonical") != F.col("u"))), rule(met, "n", "links to the home page", F.col("home")),
+        rule(rows, "n", "anchor not verbatim", ~F.contains("answer", F.col("anchor"))), rule(rows, "n", "anchor length", ~words.between(2, 6)), rule(rows, "n", "generic anchor", F.lower(F.trim("anchor")).isin(*generic) if generic else F.lit(False)),
+        rule(rows, "n", "anchor is the brand", F.lower(F.regexp_replace(F.trim("anchor"), "['’]s$", "")) == brand.lower() if brand else F.lit(False)),
+        rule(rows.groupBy("u").count(), "u", "target used too often", F.col("count") > most_uses),
+    )
+
+
+def unchanged(inputs: DataFrame, accepted: Column) -> DataFrame:
+    """``fingerprint, same``: whether the inputs (name, content) are those that the last check accepted."""
+    each = F.array_sort(F.collect_list(F.concat_ws(":", "name", F.sha2("content", 256))))
+    return inputs.agg(F.sha2(F.array_join(each, "\n"), 256).alias("fingerprint")).withColumn("same", F.col("fingerprint") == accepted)
+
+
+def leaks(outputs: DataFrame, terms: Sequence[str], *, key: str = "name", text: str = "content") -> DataFrame:
+    """Forbidden terms in outputs, in any case."""
+    found = F.filter(F.array(*[F.lit(x) for x in terms]).cast("array<string>"), lambda x: F.contains(F.lower(text), F.lower(x)))
+    return outputs.select(key, F.explode(found).alias("term"))
+
+
+def prediction_problem(answer: Column) -> Column:
+    """Why a predicted list of searches is of no use, null if it is fine.  answer: structs of query, type, coverage."""
+    bad = F.exists(answer, lambda x: F.coalesce(F.trim(x["query"]), F.lit("")) == "")
+    range_ = F.exists(answer, lambda x: ~F.coalesce(x["coverage"], F.lit("")).isin("yes", "partial", "no"))
+    return F.when(answer.isNull(), "no list").when(F.size(answer) == 0, "empty list").when(bad, "a query is empty").when(range_, "unknown coverage")
+
+
+def taxonomy_rules(aspects: DataFrame, *, owners: Sequence[str], least: int = 8, most: int = 15) -> DataFrame:
+    """Rules on a taxonomy: id, label, description, owner."""
+    n = aspects.agg(F.count("*").alias("n")).withColumn("key", F.lit("aspects"))
+    empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    return all_rules(
+        rule(n, "key", "eight to fifteen aspects", ~F.col("n").between(least, most)), rule(aspects, "id", "id format", ~F.coalesce("id", F.lit("")).rlike("^[a-z][a-z0-9_]{1,40}$")), duplicates(aspects, "id"),
+        rule(aspects, "id", "missing label", empty("label")), rule(aspects, "id", "missing description", empty("description")), rule(aspects, "id", "unknown owner", ~F.coalesce("owner", F.lit("")).isin(*owners)),
+    )
+
+
+def label_rules(labels: DataFrame, aspects: DataFrame, reviews: DataFrame, *, severities: Sequence[str] = ("none", "minor", "cost_money", "safety_legal")) -> DataFrame:
+    """Rules on labels: id, aspects (a map to polarity), severity."""
+    each = labels.select("id", F.explode("aspects").alias("aspect", "polarity"))
+    unknown = each.join(aspects.select(F.col("id").alias("aspect")), "aspect", "left_anti").select("id").distinct()
+    known = reviews.select("id").distinct().withColumn("there", F.lit(True))
+    return all_rules(
+        rule(labels.join(known, "id", "left"), "id", "unknown review", F.col("there").isNull()), rule(unknown, "id", "unknown aspect", F.lit(True)),
+        rule(each.groupBy("id").agg(F.max(F.abs("polarity")).alias("p")), "id", "polarity out of range", F.col("p") > 2), rule(labels, "id", "unknown severity", ~F.coalesce("severity", F.lit("none")).isin(*severities)),
+    )
+
+
+def note_rules(notes: DataFrame, *, least: int = 3, fields: Sequence[str] = ("problem", "root_cause", "fix", "geo_action", "metric"), words: str = r"(?i)\b(pattern|trend|consistent(?:ly)?|repeated(?:ly)?|recurring|many|often|widespread)\b") -> DataFrame:
+    """Rules on notes: id, negative (reviews behind it) and the fields; few reviews are no pattern, no field may be blank."""
+    talk = F.concat_ws(" ", *[F.coalesce(F.col(f), F.lit("")) for f in ("problem", "root_cause", "fix")])
+    blank = F.exists(F.array(*[F.trim(F.coalesce(F.col(f), F.lit(""))) for f in fields]), lambda x: x == "")
+    return all_rules(rule(notes, "id", "calls few reviews a pattern", (F.col("negative") < least) & talk.rlike(words), "warn"), rule(notes, "id", "note is not complete", blank, "warn"))
+
+
+def agreement(checked: DataFrame, *, right: str, least: float = 0.85) -> DataFrame:
+    """``agreed, total, rate, accepted`` of a spot check."""
+    a = checked.agg(F.count_if(right).alias("agreed"), F.count("*").alias("total"))
+    return a.withColumn("rate", F.round(F.try_divide("agreed", "total"), 3)).withColumn("accepted", F.coalesce(F.try_divide("agreed", "total") >= least, F.lit(False)))
+
+
+def spot_sample(labels: DataFrame, *, key: str, n: int, seed: int = 11) -> DataFrame:
+    """A sample that the same labels always give: the n of least hash."""
+    return labels.withColumn("h", F.xxhash64(F.lit(seed), F.col(key))).orderBy("h", key).limit(n).drop("h")
+
+
+def section_rules(sections: DataFrame, required: Sequence[str]) -> DataFrame:
+    """Sections (title, place) that a report must have, in this order."""
+    want = F.posexplode(F.array(*[F.lit(x) for x in required])).alias("nr", "title")
+    first = sections.groupBy("title").agg(F.min("place").alias("place"))
+    met = sections.sparkSession.range(1).select(want).join(first, "title", "left")
+    later = met.select(F.col("nr").alias("other"), F.col("place").alias("there"))
+    wrong = met.join(later, (F.col("other") < F.col("nr")) & (F.col("there") > F.col("place"))).select("title").distinct()  # of a handful of titles
+    return all_rules(rule(met, "title", "section missing", F.col("place").isNull()), rule(wrong, "title", "section out of order", F.lit(True)))
+
+
+def prompt_rules(prompts: DataFrame, *, groups: Sequence[str], longest: int = 500) -> DataFrame:
+    """Rules on a prompt set: id, group, text; every group has one, no text is blank or too long."""
+    have = prompts.select(F.col("group"))
+    want = prompts.sparkSession.range(1).select(F.explode(F.array(*[F.lit(g) for g in groups])).alias("group"))
+    return all_rules(missing(want, "group", have, "empty group"), duplicates(prompts, "id"), rule(prompts, "id", "no text", F.trim(F.coalesce("text", F.lit(""))) == ""), rule(prompts, "id", "text too long", F.length("text") > longest))
+
+
+def fact_rules(facts: DataFrame, sections: DataFrame, *, labels: Sequence[str], promises: str = r"(?i)\b(guarantee[ds]?|best|leading|number one|world-class|unrivalled)\b", fewest: int = 400, longest: int = 3500) -> DataFrame:
+    """Rules on facts (label, value, sources) and the sections written from them (key, text)."""
+    want = facts.sparkSession.range(1).select(F.explode(F.array(*[F.lit(x) for x in labels])).alias("label"))
+    words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
+    total = sections.agg(F.sum(words).alias("n")).withColumn("key", F.lit("document"))
+    return all_rules(
+        missing(want, "label", facts.select("label"), "label missing"), rule(facts, "label", "fact without source", F.size("sources") < 1), rule(sections, "key", "promise or superlative", F.col("text").rlike(promises)),
+        rule(total, "key", "too short", F.coalesce("n", F.lit(0)) < fewest, "warn"), rule(total, "key", "too long", F.col("n") > longest, "warn"),
+    )
+
+
+def severity_counts(findings: DataFrame, *, category: str = "category", severity: str = "severity", last: str = "Category Credibility") -> DataFrame:
+    """Findings of each category by severity, with ``place``: most critical, then most major ones, one category last."""
+    counts = [F.count_if(F.col(severity) == s).alias(s) for s in ("critical", "major", "minor")]
+    rows = findings.groupBy(category).agg(*counts)
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.orderBy(F.when(F.col(category) == last, 1).otherwise(0), F.desc("critical"), F.desc("major"), category))  # of a handful of categories
+    return rows.withColumn("place", place)
+
+
+def page_checks(page: Column, *, words: Column, status: Column, indexable: Column, canonical: Column) -> Column:
+    """Checks of a live page as name and outcome, all but the last of which must pass."""
+    checks = {
+        "answers": status == 200, "indexable": indexable, "canonical": canonical, "title": F.coalesce(page["title"], F.lit("")) != "", "one main heading": F.size(F.filter(page["headings"], lambda h: h["level"] == 1)) == 1,
+        "enough words": words >= 100, "has links": F.size(page["links"]) > 0, "structured data": F.size(page["types"]) > 0,
+    }
+    return F.array(*[F.struct(F.lit(n).alias("name"), F.coalesce(c, F.lit(False)).alias("ok"), F.lit(n == "structured data").alias("optional")) for n, c in checks.items()])
+
+
+def optimise_ice(score: Column) -> Column:
+    """Impact, confidence and ease of improving a page: the worse its coverage, the surer."""
+    return _ice(F.lit(7), F.round(9 - score * 8), F.lit(5))
+
+
+def gap_ice(size: Column, largest: Column) -> Column:
+    return _ice(F.lit(6), F.round(3 + 6 * (size / F.greatest(largest, F.lit(1)))), F.lit(4))
+
+
+def dealbreaker_ice(severity: Column, evidence: Column, fix: Column) -> Column:
+    sure = F.when(evidence.isin("stated", "contradicted"), 8).when(evidence == "absent", 6).otherwise(4)
+    ease = F.when(fix == "faq", 2).when(fix == "pricing-page", 3).when(fix == "policy-doc", 4).when(fix == "positioning", 5).when(fix == "proof-asset", 6).when(fix == "product", 8).when(fix == "none", 1).otherwise(4)
+    return _ice(F.when(severity == "critical", 9).otherwise(6), sure, ease)
+
+
+def complaint_ice(rank: Column, agreed: Column) -> Column:
+    return _ice(F.greatest(F.lit(5), 10 - rank), F.when(agreed >= 0.85, 7).otherwise(5), F.lit(5))
+
+
+def _ice(impact: Column, sure: Column, ease: Column) -> Column:
+    return F.struct(impact.cast("int").alias("impact"), F.greatest(F.lit(1), F.least(F.lit(10), sure.cast("int"))).alias("confidence"), ease.cast("int").alias("ease"))
