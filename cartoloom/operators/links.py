@@ -132,3 +132,96 @@ def heading_blocks(sections: DataFrame, *, page: str, order: str, level: str, to
     w = Window.partitionBy(page).orderBy(order)
     opens = (F.col(level) <= top) | (F.row_number().over(w) == 1)
     return sections.withColumn("__open", opens.cast("int")).withColumn("block", F.sum("__open").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("__open")
+
+
+def near_duplicate_pairs(pages: DataFrame, *, least: float = 0.95) -> DataFrame:
+    """``a, b`` (ordered) of pages that a crawl calls near duplicates, or similar enough.  pages: url, near_duplicate, similar, score."""
+    said = pages.where("near_duplicate is not null").select("url", F.col("near_duplicate").alias("other"))
+    close = pages.where(F.col("similar").isNotNull() & (F.col("score") >= least)).select("url", F.col("similar").alias("other"))
+    return said.unionByName(close).select(F.least("url", "other").alias("a"), F.greatest("url", "other").alias("b")).distinct()
+
+
+def new_targets(candidates: DataFrame, existing: DataFrame, duplicates: DataFrame) -> DataFrame:
+    """Candidates (source, target, ...) without links to itself, links that are there already and near duplicates."""
+    rows = candidates.where("source <> target").join(existing.select("source", F.col("destination").alias("target")).distinct(), ["source", "target"], "left_anti")
+    keyed = rows.withColumn("a", F.least("source", "target")).withColumn("b", F.greatest("source", "target"))
+    return keyed.join(duplicates.select("a", "b"), ["a", "b"], "left_anti").drop("a", "b")
+
+
+def section_candidates(scores: DataFrame, sections: DataFrame, existing: DataFrame, duplicates: DataFrame, hubs_of: DataFrame, *, k: int = 12, least_words: int = 40) -> DataFrame:
+    """``source, section, target, score, why``: the k best new targets of each section long enough, and the page's hub.
+
+    scores: section, target, score; sections: section, source, words; hubs_of: source, target.
+    """
+    own = sections.where(F.col("words") >= least_words).select("section", "source")
+    ranked = new_targets(scores.where("score > 0").join(own, "section"), existing, duplicates)
+    rank = F.row_number().over(Window.partitionBy("section").orderBy(F.desc("score"), "target"))
+    best = ranked.withColumn("rn", rank).where(F.col("rn") <= k).select("source", "section", "target", "score", F.lit("bm25").alias("why"))
+    hub = new_targets(own.join(hubs_of, "source"), existing, duplicates).join(best.select("section", "target"), ["section", "target"], "left_anti")
+    return best.unionByName(hub.select("source", "section", "target", F.lit(0.0).alias("score"), F.lit("pillar").alias("why")))
+
+
+def audit_flags(pages: DataFrame, *, deep: int = 3, few: int = 2, top: int = 15) -> DataFrame:
+    """Pages with ``orphan``, ``deep`` and ``needs_links``.  pages: url, inlinks, contextual, depth, impressions.
+
+    Orphans have no links in at all, or none from running text.  Of the pages with few such links and some impressions,
+    those with most impressions need links.
+    """
+    orphan = F.when(F.col("inlinks") == 0, "no inlinks").when(F.col("contextual") == 0, "no contextual").otherwise("")
+    need = pages.where((F.col("contextual") <= few) & (F.col("impressions") > 0)).orderBy(F.desc("impressions"), "url").limit(top).select("url", F.lit(True).alias("needs_links"))
+    rows = pages.withColumn("orphan", orphan).withColumn("deep", F.coalesce(F.col("depth") > deep, F.lit(False)))
+    return rows.join(F.broadcast(need), "url", "left").withColumn("needs_links", F.coalesce("needs_links", F.lit(False)))
+
+
+def lowest_coverage(scores: DataFrame, *, page: str, score: str, most: int) -> DataFrame:
+    return scores.orderBy(score, page).limit(most)
+
+
+def anchor_spans(sentence: Column, target: Column, *, stop: tuple[str, ...], breaks: tuple[str, ...] = (), generic: tuple[str, ...] = (), least: int = 2, most: int = 6, options: int = 5) -> Column:
+    """Verbatim spans of two to six words for a link, best first.
+
+    No stop word at either end, no break word inside, no punctuation, nothing generic.  Most words in common with the
+    target's tokens first, then endings like a noun's, then fewest other words, then about three words, then the first.
+    """
+    words = F.regexp_extract_all(sentence, F.lit(r"[\p{L}\p{N}'’]+"), F.lit(0))
+
+    def spans(w: Column) -> Column:
+        def at(i: Column) -> Column:
+            return F.transform(F.sequence(F.lit(least), F.lit(most)), lambda n: F.struct(i.alias("i"), n.alias("n"), F.slice(w, i + 1, n).alias("w")))
+
+        return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.size(w) - 1), at)), lambda x: F.size(x["w"]) == x["n"])
+
+    def scored(x: Column) -> Column:
+        low = F.transform(x["w"], lambda v: F.lower(v))
+        common = F.size(F.array_intersect(low, target))
+        noun = F.when(F.element_at(low, -1).rlike("(ly|ing|ed)$"), 1).otherwise(0)
+        return F.struct((-common).alias("a"), noun.alias("b"), (x["n"] - common).alias("c"), F.abs(x["n"] - 3).alias("d"), x["i"].alias("e"), F.array_join(x["w"], " ").alias("span"))
+
+    def fits(x: Column) -> Column:
+        low = F.transform(x["w"], lambda v: F.lower(v))
+        text = F.array_join(x["w"], " ")
+        inner = F.slice(low, 2, F.greatest(F.lit(0), F.size(low) - 2))
+        return ~F.element_at(low, 1).isin(*stop) & ~F.element_at(low, -1).isin(*stop) & ~F.exists(inner, lambda v: v.isin(*breaks) if breaks else F.lit(False)) & F.contains(sentence, text) & (~F.lower(text).isin(*generic) if generic else F.lit(True))
+
+    found = F.transform(F.array(words), lambda w: F.transform(F.filter(spans(w), fits), scored))[0]
+    ranked = F.when(F.size(words) > 0, F.transform(F.array_sort(found), lambda x: x["span"])).otherwise(F.array().cast("array<string>"))
+    return F.slice(F.array_distinct(ranked), 1, options)
+
+
+def static_drop_reasons(candidates: DataFrame, pages: DataFrame, existing: DataFrame, duplicates: DataFrame, owners: DataFrame, *, generic: tuple[str, ...] = ()) -> DataFrame:
+    """Candidates with what can be said of each alone, for :func:`cartoloom.operators.graph.select_links`.
+
+    ``first_reason`` comes before the check for repeated pairs, ``second_reason`` after it; ``owner`` is the target that
+    the site links the anchor to already.  pages: url, source_ok, target_ok; owners: anchor, target.
+    """
+    side = lambda c, flag: pages.select(F.col("url").alias(c), F.col(flag))
+    rows = candidates.join(side("source", "source_ok"), "source", "left").join(side("target", "target_ok"), "target", "left")
+    linked = existing.select("source", F.col("destination").alias("target")).distinct().withColumn("linked", F.lit(True))
+    rows = rows.join(linked, ["source", "target"], "left").withColumn("a", F.least("source", "target")).withColumn("b", F.greatest("source", "target"))
+    rows = rows.join(duplicates.select("a", "b").distinct().withColumn("dup", F.lit(True)), ["a", "b"], "left").withColumn("key", F.lower(F.trim("anchor")))
+    rows = rows.join(owners.groupBy(F.lower(F.trim("anchor")).alias("key")).agg(F.min("target").alias("owner")), "key", "left")
+    first = F.when(~F.coalesce("source_ok", F.lit(False)), "source not eligible").when(~F.coalesce("target_ok", F.lit(False)), "target not eligible").when(F.col("source") == F.col("target"), "self")
+    words = F.size(F.filter(F.split("anchor", r"\s+"), lambda w: w != ""))
+    blank = F.coalesce("anchor", F.lit("")) == ""
+    second = F.when(F.col("linked"), "already linked").when(F.col("dup"), "near duplicate").when(blank, "no anchor").when(~F.contains("sentence_text", F.col("anchor")), "not verbatim").when(~words.between(2, 6), "anchor length").when(F.col("key").isin(*generic) if generic else F.lit(False), "generic anchor")
+    return rows.select(*candidates.columns, first.alias("first_reason"), second.alias("second_reason"), "owner")
