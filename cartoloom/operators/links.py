@@ -53,6 +53,18 @@ def consume_anchors(left: DataFrame, right: DataFrame, keys: list[str], order_le
     return number(left, order_left).join(number(right, order_right), [*keys, "__n"], "left").drop("__n")
 
 
+def consume_in_passes(left: DataFrame, right: DataFrame, passes: list[list[str]], *, left_id: str, right_id: str, order_right: str, value: str) -> DataFrame:
+    """Left rows with the ``value`` of a right row each, matched pass by pass on fewer keys; no right row serves twice."""
+    open_left, open_right, done = left, right, None
+    for keys in passes:
+        met = consume_anchors(open_left, open_right.select(*keys, F.col(right_id).alias("__r"), F.col(order_right).alias("__o"), F.col(value).alias("__v")), keys, left_id, "__o").where("__r is not null")
+        met = met.select(left_id, "__r", F.col("__v").alias(value))
+        done = met if done is None else done.unionByName(met)
+        open_left = left.join(done.select(left_id), left_id, "left_anti")
+        open_right = right.join(done.select(F.col("__r").alias(right_id)), right_id, "left_anti")
+    return left.join(done.drop("__r"), left_id, "left")
+
+
 def broken(links: DataFrame) -> DataFrame:
     """Broken and redirected links in groups with what to do: remove, relink or unlink, update href."""
     final_ok = F.col("final_status").between(200, 299)

@@ -155,3 +155,10 @@ def fallback(answers: DataFrame, keys: list[str], rank: str) -> DataFrame:
     """The first provider without an error; failed ones before it are listed."""
     good = F.col("error").isNull()
     return answers.groupBy(*keys).agg(F.min_by("answer", F.when(good, F.col(rank))).alias("answer"), F.min_by("provider", F.when(good, F.col(rank))).alias("provider"), F.array_sort(F.collect_list(F.when(~good, F.col("provider")))).alias("failed"))
+
+
+def append_merge(existing: DataFrame, new: DataFrame, *, order: str) -> tuple[DataFrame, DataFrame]:
+    """Old and new rows without repeats, old ones first, and how many each platform has."""
+    both = existing.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)), allowMissingColumns=True)
+    kept = dedupe(both.withColumn("__order", F.struct("__new", order)), order="__order").drop("__order", "__new")
+    return kept, kept.groupBy("platform").agg(F.count("*").alias("n"))

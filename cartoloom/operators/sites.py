@@ -185,3 +185,29 @@ def section_ids(rows: DataFrame, *, page: str, order: str, sentences: str) -> Da
     w = Window.partitionBy(page)
     place = F.row_number().over(w.orderBy(order, "i"))
     return each.select(page, "section_id", F.concat("section_id", F.lit("."), F.lpad((F.col("i") + 1).cast("string"), 2, "0")).alias("sentence_id"), "sentence", ((place - 1) / F.count("*").over(w)).alias("position"))
+
+
+def sitemap_pages(files: DataFrame, start: str, *, depth: int = 5) -> DataFrame:
+    """``url`` of all pages that a sitemap lists, those of the sitemaps it names included; one join for each level.
+
+    files: url, xml of saved sitemaps.
+    """
+    listed = files.select("url", F.contains("xml", F.lit("<sitemapindex")).alias("is_index"), F.explode(F.array_distinct(F.regexp_extract_all("xml", F.lit(r"<loc>\s*([^<\s]+)\s*</loc>"), F.lit(1)))).alias("loc"))
+    level = files.sparkSession.range(1).select(F.lit(start).alias("url"))
+    seen, pages = level, None
+    for _ in range(depth):
+        met = level.join(listed, "url")
+        found = met.where("not is_index").select(F.col("loc").alias("url"))
+        pages = found if pages is None else pages.unionByName(found)
+        level = met.where("is_index").select(F.col("loc").alias("url")).distinct().join(seen, "url", "left_anti")
+        seen = seen.unionByName(level)
+    return pages.distinct()
+
+
+def probe(pages: DataFrame, terms: Sequence[str], *, sitemap: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pages whose address or title has a term, with ``in_sitemap``; and the terms without a page.  pages: url, title."""
+    text = F.lower(F.concat_ws(" ", "url", "title"))
+    met = pages.select("url", F.explode(F.filter(F.array(*[F.lit(x) for x in terms]), lambda x: F.contains(text, F.lower(x)))).alias("term"))
+    known = sitemap.select("url").distinct().withColumn("there", F.lit(True))
+    every = pages.sparkSession.range(1).select(F.explode(F.array(*[F.lit(x) for x in terms])).alias("term"))
+    return met.join(known, "url", "left").select("term", "url", F.coalesce("there", F.lit(False)).alias("in_sitemap")), every.join(met, "term", "left_anti")

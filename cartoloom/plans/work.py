@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cartoloom.functions import pages as html
 from cartoloom.functions import text, urls
-from cartoloom.operators import evidence, graph, keywords, links, reviews, search, voice
+from cartoloom.operators import evidence, graph, keywords, links, reviews, search, sites, voice
 from cartoloom.plans.registry import query, t
 from cartoloom.sources import files
 
@@ -386,3 +387,48 @@ def lowest_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O08"""
     s = t(spark, sf_dir, "events").groupBy("user_id").agg(F.round(F.avg("value"), 2).alias("score"))
     return links.lowest_coverage(s, page="user_id", score="score", most=10)
+
+
+@query()
+def dom_link_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P12"""
+    p = t(spark, sf_dir, "pages").select("page_id", F.explode(html.link_classes(F.col("html"), F.col("url"))).alias("x"))
+    return p.groupBy("page_id", "x.class").agg(F.count("*").alias("n"))
+
+
+_NAV = """'<a href="([^"]+)"'"""
+
+
+@query(f"""WITH n AS (SELECT page_id, regexp_extract(html, '<nav>(.*?)</nav>', 1) AS nav FROM pages WHERE html LIKE '%<nav>%</nav>%') SELECT page_id, len(regexp_extract_all(nav, {_NAV}, 1)) AS n FROM n WHERE len(regexp_extract_all(nav, {_NAV}, 1)) > 0""")
+def navigation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links that stand in a navigation"""
+    return dom_link_classes(spark, sf_dir).where("class = 'nav'").select("page_id", "n")
+
+
+@query(f"""WITH {_L}, a AS (SELECT l_orderkey AS id, source, destination, anchor FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY source, destination, anchor) AS rn FROM l) WHERE rn = 1), lf AS (SELECT * FROM a WHERE id % 2 = 0), rt AS (SELECT * FROM a WHERE id % 2 = 1),
+l1 AS (SELECT *, row_number() OVER (PARTITION BY destination, anchor ORDER BY id) AS n FROM lf), r1 AS (SELECT *, row_number() OVER (PARTITION BY destination, anchor ORDER BY id) AS n FROM rt), m1 AS (SELECT l1.id, r1.id AS r FROM l1 JOIN r1 USING (destination, anchor, n)),
+l2 AS (SELECT *, row_number() OVER (PARTITION BY destination ORDER BY id) AS n FROM lf WHERE id NOT IN (SELECT id FROM m1)), r2 AS (SELECT *, row_number() OVER (PARTITION BY destination ORDER BY id) AS n FROM rt WHERE id NOT IN (SELECT r FROM m1)), m2 AS (SELECT l2.id, r2.id AS r FROM l2 JOIN r2 USING (destination, n))
+SELECT lf.id, coalesce(m1.r, m2.r) AS taken FROM lf LEFT JOIN m1 USING (id) LEFT JOIN m2 ON m2.id = lf.id""")
+def links_in_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By destination and anchor, then by destination alone"""
+    a = _link_rows(spark, sf_dir).withColumn("rn", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("source", "destination", "anchor"))).where("rn = 1").select(F.col("l_orderkey").alias("id"), "source", "destination", "anchor")
+    right = a.where("id % 2 = 1").select(F.col("id").alias("right"), "destination", "anchor", F.col("id").alias("taken"))
+    got = links.consume_in_passes(a.where("id % 2 = 0"), right, [["destination", "anchor"], ["destination"]], left_id="id", right_id="right", order_right="right", value="taken")
+    return got.select("id", "taken")
+
+
+@query(r"""WITH m AS (SELECT 's' || g AS url, CASE WHEN g < 3 THEN ['s' || (g * 2 + 1), 's' || (g * 2 + 2)] ELSE ['https://a.org/' || g, 'https://a.org/both'] END AS locs FROM (SELECT unnest(range(8)) AS g)) SELECT DISTINCT unnest(locs) AS url FROM m WHERE url IN ('s3', 's4', 's5', 's6')""")
+def sitemap_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested sitemaps, read from saved files"""
+    g = F.col("id")
+    of = lambda *x: F.concat(*[F.concat(F.lit("<loc> "), v, F.lit(" </loc>")) for v in x])
+    s = lambda c: c.cast("string")
+    nested = F.concat(F.lit("<sitemapindex>"), of(F.concat(F.lit("s"), s(g * 2 + 1)), F.concat(F.lit("s"), s(g * 2 + 2))))
+    return sites.sitemap_pages(spark.range(8).select(F.concat(F.lit("s"), s(g)).alias("url"), F.when(g < 3, nested).otherwise(of(F.concat(F.lit("https://a.org/"), s(g)), F.lit("https://a.org/both"))).alias("xml")), "s0")
+
+
+@query(f"""SELECT term, url, page_id % 2 = 0 AS in_sitemap FROM pages, (SELECT unnest(['/fr/', '/en', 'nothing here']) AS term) WHERE contains(lower(url), term)""")
+def probed_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S22"""
+    p = t(spark, sf_dir, "pages")
+    return sites.probe(p.select("url", F.lit("").alias("title")), ["/FR/", "/en", "nothing here"], sitemap=p.where("page_id % 2 = 0"))[0].withColumn("term", F.lower("term"))

@@ -105,3 +105,11 @@ def digest(frame: DataFrame) -> DataFrame:
     """One hash of all rows, whatever their order: the exact sum of row hashes and their number."""
     row = F.xxhash64(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x00")) for c in sorted(frame.columns)])
     return frame.select(row.cast("decimal(38,0)").alias("h")).agg(F.count("*").alias("rows"), F.sha2(F.coalesce(F.sum("h"), F.lit(0)).cast("string"), 256).alias("digest"))
+
+
+def read_raw(spark: SparkSession, path: str) -> DataFrame:
+    """``platform, record`` of saved raw files, JSON lists or lines, named after their platform; to build reviews again without a network."""
+    whole = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/.]+)\.[^/]*$", 1).alias("platform"), F.trim("value").alias("value"))
+    listed = F.from_json("value", "array<string>")
+    records = F.when(F.col("value").startswith("["), listed).otherwise(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != ""))
+    return whole.select("platform", F.explode(records).alias("record"))

@@ -4,7 +4,9 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from cartoloom.operators import graph, links, sites, topics, voice
+from cartoloom.functions import pages
+from cartoloom.operators import graph, links, reviews, sites, topics, voice
+from cartoloom.sources import files
 
 
 def test_links_are_taken_in_order_with_every_reason(spark):
@@ -63,3 +65,35 @@ def test_closest_snapshot_ties_and_gaps(spark):
     shots = spark.createDataFrame([("a", t(8), "x"), ("a", t(12), "y"), ("c", t(5), "z")], "url string, taken timestamp, v string")
     got = {(r.url, r.wanted.hour): r.v for r in sites.closest_snapshot(pages, shots, key="url", wanted="wanted", taken="taken", value="v").collect()}
     assert got == {("a", 10): "x", ("a", 1): "x", ("b", 5): None}
+
+
+def test_link_classes_by_container_target_and_block(spark):
+    page = """<body><div id="site-header"><a href="/h">H</a></div><nav><a href="/n">N</a></nav><main><h2><a href="/k">Head</a></h2>
+    <p>Some words before <a href="/c">this link</a> and after</p><ul><li><a href="/l">Only link</a></li></ul><p>We say <a href="https://other.org/">there</a> now</p>
+    <p>Back to <a href="https://a.org/page">this page</a> here</p><a href="#x">jump</a><a href="mailto:a@b.c">mail</a><a href="/bare">bare</a></main><div class="wrap"><p>Out of it <a href="/t">link</a> it is</p></div>
+    <aside><a href="/s">S</a></aside><div class="breadcrumbs"><a href="/b">B</a></div></body>"""
+    got = spark.createDataFrame([(page, "https://a.org/page"), (None, "https://a.org/")], "h string, u string").select(pages.link_classes(F.col("h"), F.col("u")).alias("x")).collect()
+    assert {x.href: x["class"] for x in got[0].x} == {
+        "/h": "header", "/n": "nav", "/k": "heading_link", "/c": "contextual", "/l": "link_list", "https://other.org/": "external", "https://a.org/page": "self_link", "#x": "toc", "mailto:a@b.c": "non_http", "/bare": "other", "/t": "template", "/s": "sidebar", "/b": "breadcrumb",
+    } and got[1].x == []
+
+
+def test_topics_from_cluster_links(spark):
+    c = spark.createDataFrame([("a", 2, 50.0, "a"), ("b", 2, 90.0, "b"), ("c", 2, 10.0, "c"), ("d", 1, 60.0, "d")], "cluster string, n int, demand double, name string")
+    pairs = spark.createDataFrame([("a", "b", 1.8, 2), ("b", "c", 0.9, 1), ("a", "c", 0.1, 1), ("c", "d", 0.2, 1)], "a string, b string, total double, n int")
+    got = {r.cluster: (r.topic, r.pillar, r.demand) for r in graph.form_topics(c, pairs).collect()}
+    assert got == {"a": ("T001", False, 140.0), "b": ("T001", True, 140.0), "c": ("T003", True, 10.0), "d": ("T002", True, 60.0)}
+
+
+def test_append_merge_keeps_old_rows_first(spark):
+    old = spark.createDataFrame([(1, "g2", "h", "one"), (2, "yelp", "k", "two")], "id int, platform string, author_hash string, text string")
+    new = spark.createDataFrame([(1, "g2", "h", "changed"), (3, "g2", "h", "one"), (4, "g2", "m", "new")], old.schema)
+    kept, counts = reviews.append_merge(old, new, order="id")
+    assert sorted((r.id, r.text) for r in kept.collect()) == [(1, "one"), (2, "two"), (4, "new")] and sorted(map(tuple, counts.collect())) == [("g2", 2), ("yelp", 1)]
+
+
+def test_raw_files_become_reviews_again(spark, tmp_path):
+    (tmp_path / "g2.json").write_text('[{"type":"review","review_rating":4,"review_content":"a"},{"type":"review_summary"}]')
+    (tmp_path / "reddit.jsonl").write_text('{"dataType":"post","title":"t","body":"b"}\n\n{"dataType":"comment","title":"x","body":"c"}\n')
+    got = voice.normalised(files.read_raw(spark, f"file://{tmp_path}")).collect()
+    assert sorted((r.platform, r.text, r.title) for r in got) == [("g2", "a", None), ("reddit", "b", "t"), ("reddit", "c", "")]
