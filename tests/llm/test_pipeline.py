@@ -28,3 +28,16 @@ def test_stages_keep_clean_documents(spark, tmp_path):
     final = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/personal data").collect()}
     assert passage not in final[103] and "[EMAIL]" in final[103] and all(final[i] == rows[i][1] for i in clean)
     assert seen["packing"] == clean | {103} and after.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 2048
+
+
+def test_stages_of_an_empty_table_and_of_nulls(spark, tmp_path):
+    folder = str(tmp_path)
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(1, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    for name, rows in (("empty", []), ("nulls", [(None, None, None, None, None), (None, "", None, None, 0), (1, "the river", None, None, None), (1, "the river", None, None, None)])):
+        after = spark.createDataFrame(rows, kind)
+        for step, stage in corpus_pipeline.STAGES:
+            stage(spark, after, folder).write.parquet(f"{folder}/{name}-{step}")
+            after = spark.read.parquet(f"{folder}/{name}-{step}")
+            assert after.columns == list(corpus_pipeline.COLUMNS) or step == "packing"
+        assert after.count() == 0  # nothing is labelled, so no language is known

@@ -307,6 +307,40 @@ def test_near_duplicates(docs, rows, empty, monkeypatch):
     assert near_duplicates.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_of_a_large_family(spark, monkeypatch):
+    """Sixty variants of a text, of which some pairs pass the threshold and some don't, in blocks of seven."""
+    monkeypatch.setattr(near_duplicates, "BLOCK", 7)
+    rng = random.Random(31)
+    base = [f"w{k}" for k in range(300)]
+    rows = []
+    for k in range(60):
+        own = list(base)
+        for _ in range(rng.choice((0, 1, 2, 4, 6, 9))):
+            own[rng.randrange(len(own))] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(own)))
+    rows += [(100 + k, " ".join(f"y{k}{j}" for j in range(50))) for k in range(20)]
+    sets = [frozenset(zip(*[t.split()[i:] for i in range(5)])) for _, t in rows]
+    links = [sum(len(a & b) / len(a | b) >= 0.8 for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)]
+    got = {r.doc_id: r for r in near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert [got[i].n_links for i, _ in rows] == links and len(set(links[:60])) > 5
+    assert all(got[i].class_id == i for i in range(100, 120)) and len({got[i].class_id for i in range(60) if links[i]}) == 1
+
+
+def test_hot_null_ids_are_split_and_keep_their_order(spark, tmp_path):
+    rows = [(None, f"{chr(97 + k % 26)} text {k}") for k in range(200)] + [(k, f"t{k}") for k in range(20)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    ids = PieceIds(BYTES)
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"  # else so small a table is one task again
+    spark.conf.set(setting, "false")
+    manifest = token_files.write_token_files(d, BYTES, f"file://{tmp_path}/n")
+    spark.conf.unset(setting)
+    assert sum(r.n_docs > 0 for r in manifest.collect()) > 1 and max(r.n_docs for r in manifest.collect()) < 200
+    got = token_files.read_token_files(manifest).orderBy("start").collect()
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert [(r.doc_id, np.frombuffer(r.ids, "<u4").tolist()) for r in got] == [(i, [*ids.by_library(t).tolist(), 0]) for i, t in order]
+    assert fingerprints.compare_edited(d).count() == 220
+
+
 def test_least_matches_never_drops_a_sure_link():
     assert all(m <= 0.55 * n for n, m in near_duplicates.least_matches(0.8, 1e-6)[:1]) and near_duplicates.least_matches(0.8, 1e-6)[-1][1] < 144
 
