@@ -233,7 +233,7 @@ def robots_rules(robots: Column) -> Column:
 
 def csp_sources(policy: Column, directive: str, fallbacks: tuple[str, ...] = ("default-src",)) -> Column:
     """Sources that a policy lists for a directive, or for the first fallback it has; null where it restricts nothing."""
-    parts = F.transform(F.split(F.lower(policy), ";"), F.trim)
+    parts = F.transform(F.split(F.lower(policy), ";"), lambda p: F.trim(p))
 
     found = F.coalesce(*[F.try_element_at(F.filter(parts, _starts(d)), F.lit(1)) for d in (directive, *fallbacks)])
     return F.filter(F.slice(F.split(found, r"\s+"), 2, 1000), lambda s: s != "")

@@ -84,7 +84,7 @@ def stem_head(word: Column, n: int = 5) -> Column:
 
 def sentences(text: Column) -> Column:
     """Split at line breaks and after . ! ? before white space."""
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+|\n+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+|\n+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def ngrams(words: Column, n: int, stop: Sequence[str] = ()) -> Column:

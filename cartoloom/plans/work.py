@@ -235,10 +235,10 @@ def frequent_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
 
 
-@query("""SELECT conv_id, turn, len(list_filter(string_split_regex(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+'), lambda s: trim(s) <> '')) AS sentences FROM conversations WHERE text IS NOT NULL""")
+@query("""WITH s AS (SELECT conv_id, turn, list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+'), lambda s: trim(s)), lambda s: s <> '') AS s FROM conversations WHERE text IS NOT NULL) SELECT conv_id, turn, len(s) AS sentences, array_to_string(s, '|') AS joined FROM s""")
 def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F03"""
-    return t(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", F.size(text.sentences(F.col("text"))).alias("sentences"))
+    return t(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", F.size(text.sentences(F.col("text"))).alias("sentences"), F.array_join(text.sentences(F.col("text")), "|").alias("joined"))
 
 
 _PAIRS = "a.words AS x, b.words AS y FROM w a JOIN w b ON a.item_id = b.item_id - 1"
