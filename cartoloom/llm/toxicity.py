@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,6 +26,9 @@ def frequencies(text: str) -> Counter:
     return Counter(_WORD.findall(text.lower()))
 
 
+_built: dict[str, tuple[np.ndarray, np.ndarray, list[np.ndarray]]] = {}
+
+
 class BlockMaxIndex:
     """Inverted index of unit vectors in blocks of examples, with the largest weight of each term in each block.
 
@@ -34,34 +38,48 @@ class BlockMaxIndex:
     """
 
     def __init__(self, rows: list[dict[int, float]], terms: int) -> None:
-        n = -(-max(1, len(rows)) // BLOCK)
-        self.size, self.visited = len(rows), 0
-        self.most = np.zeros((terms, n), np.float32)
-        self.at = np.zeros((n, terms), np.int32)  # a term's row in a block; row 0 is empty
-        self.postings: list[np.ndarray] = []
+        # what travels to the tasks is the vectors; each worker process puts its index together once
+        self.key, self.size, self.terms = uuid.uuid4().hex, len(rows), terms
+        self.starts = np.cumsum([0, *map(len, rows)])
+        self.ids = np.fromiter((t for row in rows for t in row), np.int32, self.starts[-1])
+        self.values = np.fromiter((w for row in rows for w in row.values()), np.float32, self.starts[-1])
+        self.visited = 0
+
+    def blocks(self) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Largest weights (term by block), each block's row of a term (0 for none), and the blocks' postings."""
+        if self.key not in _built:
+            if len(_built) > 1:
+                _built.clear()
+            _built[self.key] = self._build()
+        return _built[self.key]
+
+    def _build(self) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        n = -(-max(1, self.size) // BLOCK)
+        most, at, postings = np.zeros((self.terms, n), np.float32), np.zeros((n, self.terms), np.int32), []
         for b in range(n):
-            own = rows[b * BLOCK : (b + 1) * BLOCK]
-            there = sorted({t for row in own for t in row})
+            first, last = b * BLOCK, min(self.size, (b + 1) * BLOCK)
+            own = slice(self.starts[min(first, self.size)], self.starts[last])
+            there, row = np.unique(self.ids[own], return_inverse=True)
             weights = np.zeros((len(there) + 1, BLOCK), np.float32)
-            self.at[b, there] = np.arange(1, len(there) + 1)
-            for i, row in enumerate(own):
-                if row:
-                    weights[self.at[b, list(row)], i] = list(row.values())
-            self.postings.append(weights)
-            self.most[there, b] = weights[1:].max(1) if there else 0
+            weights[row + 1, np.repeat(np.arange(last - first), np.diff(self.starts[first : last + 1]))] = self.values[own]
+            at[b, there] = np.arange(1, len(there) + 1)
+            most[there, b] = weights[1:].max(1) if len(there) else 0
+            postings.append(weights)
+        return most, at, postings
 
     def nearest(self, query: dict[int, float], k: int) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the k nearest examples with any term in common; ties by number."""
         terms = np.fromiter(query.keys(), np.int64, len(query))
         weights = np.fromiter(query.values(), np.float32, len(query))
-        bound = weights @ self.most[terms]
+        most, at, postings = self.blocks()
+        bound = weights @ most[terms]
         ids, scores = np.zeros(0, np.int64), np.zeros(0, np.float32)
         for b in np.argsort(-bound, kind="stable").tolist():
             worst = scores[k - 1] if len(scores) >= k else 0.0
             if bound[b] <= 0 or bound[b] < worst - 1e-6:
                 break
             self.visited += 1
-            s = weights @ self.postings[b][self.at[b, terms]]
+            s = weights @ postings[b][at[b, terms]]
             got = np.flatnonzero((s > 0) & (s >= worst))
             if not len(got):
                 continue

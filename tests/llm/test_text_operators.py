@@ -482,7 +482,8 @@ def test_toxicity(spark, docs, empty):
     model = toxicity.fit_on_sample(d.where(~held), lab.where(~held))
     got = {r.doc_id: r for r in toxicity.score(d, model).collect()}
     assert all((got[i].score >= 0.3) == (i % 5 == 0) for i in range(600)) and got[900].score == got[901].score
-    dense = np.concatenate([p[model.index.at[b]] for b, p in enumerate(model.index.postings)], 1)
+    _, at, postings = model.index.blocks()
+    dense = np.concatenate([p[at[b]] for b, p in enumerate(postings)], 1)
     assert set(model.terms) >= {*WORD_LIST, *bad} and (model.weight > 0).all()  # no term is left out
     for _, t in [*rows[:40], (0, "unknown words"), (0, "red")]:
         v = model.vector(toxicity.frequencies(t))
