@@ -72,14 +72,15 @@ class BlockMaxIndex:
         terms = np.fromiter(query.keys(), np.int64, len(query))
         weights = np.fromiter(query.values(), np.float32, len(query))
         most, at, postings = self.blocks()
-        bound = weights @ most[terms]
+        bound, rows = weights @ most[terms], at[:, terms]
         ids, scores = np.zeros(0, np.int64), np.zeros(0, np.float32)
         for b in np.argsort(-bound, kind="stable").tolist():
             worst = scores[k - 1] if len(scores) >= k else 0.0
             if bound[b] <= 0 or bound[b] < worst - 1e-6:
                 break
             self.visited += 1
-            s = weights @ postings[b][at[b, terms]]
+            there = np.flatnonzero(rows[b])
+            s = weights[there] @ postings[b][rows[b, there]]
             got = np.flatnonzero((s > 0) & (s >= worst))
             if not len(got):
                 continue
