@@ -140,6 +140,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, length: int = 10, id
 
 
 def digest(rows: DataFrame) -> DataFrame:
+    """The rows with a checksum in place of the list of items."""
     return rows.withColumn("items_sha256", F.sha2(F.array_join("item_ids", ","), 256)).drop("item_ids")
 
 

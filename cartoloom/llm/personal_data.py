@@ -288,6 +288,8 @@ def _joined(spans: Column) -> Column:
 
 
 def digest(rows: DataFrame) -> DataFrame:
+    """Counts of the patterns' spans by kind, a checksum of them, and all spans as text."""
+
     def count(kind: str) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 

@@ -18,18 +18,22 @@ def vocabulary(name: str) -> str:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every whole text; null counts as empty, repeated rows and ids give one row each."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the digest of what is left of it; null counts as empty, a repeated row repeats as a whole."""
     return repeats.digest(repeats.remove_repeats(table(spark, sf_dir, "documents")))
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and likenesses of every document, its edited text and the next document; null counts as empty."""
     return fingerprints.compare_edited(table(spark, sf_dir, "documents"))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, hits and items of every document; null and empty texts have no words, an empty benchmark hits nothing."""
     return decontamination.digest(decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
@@ -39,14 +43,17 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places and checksums of every document, read back from the files; null is the end id alone."""
     return token_files.digest(token_files.token_files(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece with its sequence and place; null is the end id alone, an empty table has no pieces."""
     return packing.digest(packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learned outside the held-out fold; null, empty and letterless texts are ``und``."""
     docs = table(spark, sf_dir, "documents")
     held_out = language.in_fold(F.col("doc_id"), 5, 0)
     model = language.fit_on_sample(docs.where(~held_out))
@@ -54,6 +61,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document, learned outside the held-out fold; texts that share no term with any example get a constant."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = language.in_fold(F.col("doc_id"), 4, 2)
     model = toxicity.fit_on_sample(docs.where(~held_out), labels.where(~held_out))
@@ -62,6 +70,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of every whole text; null counts as empty, repeated rows give one row each."""
     docs = table(spark, sf_dir, "documents")
     return personal_data.digest(personal_data.find(docs, personal_data.fit_on_sample(docs)))
 

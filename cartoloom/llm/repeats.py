@@ -276,5 +276,6 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, id_col: str = "doc_id"
 
 
 def digest(rows: DataFrame) -> DataFrame:
+    """The rows with a checksum in place of the bytes that stay."""
     return rows.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
 

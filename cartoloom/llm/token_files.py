@@ -184,5 +184,6 @@ def token_files(docs: DataFrame, vocabulary: str, **options) -> DataFrame:
 
 
 def digest(rows: DataFrame) -> DataFrame:
+    """The rows with a checksum in place of their ids."""
     return rows.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
