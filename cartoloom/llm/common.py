@@ -59,13 +59,18 @@ def stored(frame: DataFrame, *, compression: str = "snappy") -> DataFrame:
 
     The folders go when the application ends.
     """
-    spark = frame.sparkSession
-    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    path = scratch(frame.sparkSession)
     frame.write.parquet(path, compression=compression)
+    return frame.sparkSession.read.parquet(path)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A path in the shared folder that nobody has yet; what is there goes when the application ends."""
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     if not _stored:
         atexit.register(_forget, spark)
     _stored.append(path)
-    return spark.read.parquet(path)
+    return path
 
 
 _stored: list[str] = []

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Iterator
 from urllib.parse import urlparse
@@ -12,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartoloom.llm.common import arrow_rows, keyed_text, shared_folder, slices, text_list
+from cartoloom.llm.common import arrow_rows, keyed_text, scratch, slices, text_list
 from cartoloom.llm.pieces import piece_ids
 
 #: Sequences in a record batch of a file.
@@ -178,9 +177,8 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
 
 
 def token_files(docs: DataFrame, vocabulary: str, **options) -> DataFrame:
-    """Write the files in the shared folder, then read every document back from them."""
-    folder = os.path.join(shared_folder(docs.sparkSession), f"token-files-{uuid.uuid4().hex}")
-    return read_token_files(write_token_files(docs, vocabulary, folder, **options))
+    """Write the files in the shared folder, then read every document back from them; they go when the application ends."""
+    return read_token_files(write_token_files(docs, vocabulary, scratch(docs.sparkSession), **options))
 
 
 def digest(rows: DataFrame) -> DataFrame:
