@@ -105,7 +105,7 @@ def ticked_row(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH r AS (SELECT DISTINCT 'judge ' || user_id AS payload FROM events) SELECT payload, sha256(payload) AS key FROM r WHERE substr(payload, 7)::BIGINT % 3 > 0""")
-def open_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def uncached_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests that no cached answer has"""
     asked = t(spark, sf_dir, "events").select("user_id", F.concat(F.lit("judge "), F.col("user_id").cast("string")).alias("payload"))
     cache = asked.where("user_id % 3 = 0").select(F.sha2("payload", 256).alias("key"))
