@@ -40,12 +40,29 @@ def piece_table(docs: DataFrame, vocabulary: str) -> DataFrame:
     return stored(arrow_rows(found, count, "chunk string, n long, pieces int"))
 
 
+def most_frequent(pieces: DataFrame, most: int) -> DataFrame:
+    """``chunk, pieces`` of short pre-tokens from a frequency on, at most so many.
+
+    Frequencies fall into steps of a sixteenth of a doubling; as many of the upper steps are taken as fit.  Only the
+    steps' counts and the rows taken ever reach the driver, however many tasks there are.
+    """
+    step = F.floor(F.log2("n") * 16).cast("int")
+    short = pieces.where(F.length("chunk") <= SHORT)
+    least, taken = None, 0
+    for r in sorted(short.groupBy(step.alias("step")).count().collect(), reverse=True):  # a thousand rows at most
+        taken += r["count"]
+        if taken > most:
+            break
+        least = r.step
+    return short.where(F.lit(False) if least is None else step >= least).select("chunk", "pieces")
+
+
 def count_tokens(docs: DataFrame, vocabulary: str, *, max_tokens: int = 2048, frequent: int = 1 << 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokens of every whole text: ``doc_id, n_bytes, n_tokens, over_limit``.
 
     First the distinct pre-tokens of all texts are gathered (tasks pass on each one once) and the pieces of each are
-    counted once.  Then each document's pre-token frequencies are joined to that table and summed.  The ``frequent``
-    most frequent short pre-tokens travel to every task, so that no hot key is shuffled; the rest of a document's
+    counted once.  Then each document's pre-token frequencies are joined to that table and summed.  Up to ``frequent``
+    of the most frequent short pre-tokens travel to every task, so that no hot key is shuffled; the rest of a document's
     frequencies, rare by construction, meet the table in a shuffled join.  Both ways give the same sums.
 
     Null text counts as empty (0 bytes, 0 tokens).  Repeated rows and repeated or null ids give one row each.
@@ -54,8 +71,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, *, max_tokens: int = 2048, fr
     """
     own = keyed_text(docs, id_col, text_col)
     pieces = piece_table(own.select("text"), vocabulary)
-    top = pieces.where(F.length("chunk") <= SHORT).orderBy(F.desc("n"), "chunk").limit(frequent).select("chunk", "pieces")
-    known = {r.chunk: r.pieces for r in top.collect()}  # bounded by the parameter
+    known = {r.chunk: r.pieces for r in most_frequent(pieces, frequent).collect()}  # bounded by the parameter
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         from pyspark import TaskContext
