@@ -37,16 +37,16 @@ class BlockMaxIndex:
     worst score kept, so the result is that of a full scan.
     """
 
-    def __init__(self, rows: list[dict[int, float]], terms: int) -> None:
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], terms: int) -> None:
         # what travels to the tasks is the vectors; each worker process puts its index together once
         self.key, self.size, self.terms = uuid.uuid4().hex, len(rows), terms
-        self.starts = np.cumsum([0, *map(len, rows)])
-        self.ids = np.fromiter((t for row in rows for t in row), np.int32, self.starts[-1])
-        self.values = np.fromiter((w for row in rows for w in row.values()), np.float32, self.starts[-1])
+        self.starts = np.cumsum([0, *(len(t) for t, _ in rows)])
+        self.ids = np.concatenate([t for t, _ in rows], dtype=np.int32, casting="unsafe") if rows else np.zeros(0, np.int32)
+        self.values = np.concatenate([w for _, w in rows]) if rows else np.zeros(0, np.float32)
         self.visited = 0
 
     def blocks(self) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Largest weights (term by block), each block's row of a term (0 for none), and the blocks' postings."""
+        """Largest weights (term by block), a term's row in each block (0 for none), and the blocks' postings."""
         if self.key not in _built:
             if len(_built) > 1:
                 _built.clear()
@@ -55,24 +55,22 @@ class BlockMaxIndex:
 
     def _build(self) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         n = -(-max(1, self.size) // BLOCK)
-        most, at, postings = np.zeros((self.terms, n), np.float32), np.zeros((n, self.terms), np.int32), []
+        most, at, postings = np.zeros((self.terms, n), np.float32), np.zeros((self.terms, n), np.int32), []
         for b in range(n):
             first, last = b * BLOCK, min(self.size, (b + 1) * BLOCK)
             own = slice(self.starts[min(first, self.size)], self.starts[last])
             there, row = np.unique(self.ids[own], return_inverse=True)
             weights = np.zeros((len(there) + 1, BLOCK), np.float32)
             weights[row + 1, np.repeat(np.arange(last - first), np.diff(self.starts[first : last + 1]))] = self.values[own]
-            at[b, there] = np.arange(1, len(there) + 1)
+            at[there, b] = np.arange(1, len(there) + 1)
             most[there, b] = weights[1:].max(1) if len(there) else 0
             postings.append(weights)
         return most, at, postings
 
-    def nearest(self, query: dict[int, float], k: int) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the k nearest examples with any term in common; ties by number."""
-        terms = np.fromiter(query.keys(), np.int64, len(query))
-        weights = np.fromiter(query.values(), np.float32, len(query))
         most, at, postings = self.blocks()
-        bound, rows = weights @ most[terms], at[:, terms]
+        bound, rows = weights @ most[terms], at[terms].T
         ids, scores = np.zeros(0, np.int64), np.zeros(0, np.float32)
         for b in np.argsort(-bound, kind="stable").tolist():
             worst = scores[k - 1] if len(scores) >= k else 0.0
@@ -104,14 +102,14 @@ class ToxicityModel:
     curve: np.ndarray
     without: float
 
-    def vector(self, f: Counter) -> dict[int, float]:
+    def vector(self, f: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """Known terms and their weights, of unit length."""
         get = self.terms.get
-        pairs = [(t, n) for w, n in f.items() if (t := get(w)) is not None]
-        if not pairs:
-            return {}
-        at, n = np.array(pairs).T
+        at = np.array([get(w, -1) for w in f], np.int64)
+        known = at >= 0
+        at, n = at[known], np.fromiter(f.values(), np.float64, len(f))[known]
         raw = (1 + np.log(n)) * self.weight[at]
-        return dict(zip(at.tolist(), (raw / (np.sqrt(raw @ raw) or 1.0)).tolist(), strict=True))
+        return at, (raw / (np.sqrt(raw @ raw) or 1.0)).astype(np.float32)
 
     def votes(self, ids: np.ndarray, cosines: np.ndarray) -> np.ndarray:
         """Share of the label among the nearest, weighted by closeness, and their mean closeness."""
@@ -119,10 +117,10 @@ class ToxicityModel:
         return np.array([float((w * self.labels[ids]).sum() / w.sum()), float(cosines.mean()), 1.0])
 
     def score(self, f: Counter) -> tuple[float, np.ndarray, np.ndarray]:
-        query = self.vector(f)
-        if not query or not self.index.size:
+        terms, weights = self.vector(f)
+        if not len(terms) or not self.index.size:
             return self.without, np.zeros(0, np.int64), np.zeros(0)
-        ids, cosines = self.index.nearest(query, NEAREST)
+        ids, cosines = self.index.nearest(terms, weights, NEAREST)
         if not len(ids):
             return self.without, ids, cosines
         return float(1 / (1 + np.exp(-np.clip(self.votes(ids, cosines) @ self.curve, -30, 30)))), ids, cosines
@@ -157,14 +155,15 @@ def fit(texts: list[str], labels: list[int], ids: list[int], prior: float) -> To
     model = ToxicityModel(terms, weight, BlockMaxIndex([], max(1, len(terms))), y, np.array(ids, np.int64), np.zeros(3), prior)
     vectors = [model.vector(f) for f in counts]
     # like examples side by side, so that blocks have tight bounds
-    order = sorted(range(len(vectors)), key=lambda i: (y[i], max(vectors[i], key=vectors[i].get, default=-1), ids[i], i))
+    top = [int(t[w.argmax()]) if len(t) else -1 for t, w in vectors]
+    order = sorted(range(len(vectors)), key=lambda i: (y[i], top[i], ids[i], i))
     vectors, model.labels, model.ids = [vectors[i] for i in order], y[order], model.ids[order]
     model.index = BlockMaxIndex(vectors, max(1, len(terms)))
     share = float(y.mean()) if len(y) else 0.0
     weigh = np.where(model.labels > 0, prior / share if share else 0.0, (1 - prior) / (1 - share) if share < 1 else 0.0)
     x, at = [], []
-    for i, v in enumerate(vectors):
-        near, cosines = model.index.nearest(v, NEAREST + 1) if v else (np.zeros(0, np.int64), np.zeros(0))
+    for i, (t, v) in enumerate(vectors):
+        near, cosines = model.index.nearest(t, v, NEAREST + 1) if len(t) else (np.zeros(0, np.int64), np.zeros(0))
         other = near != i
         if other.any():
             x.append(model.votes(near[other][:NEAREST], cosines[other][:NEAREST]))

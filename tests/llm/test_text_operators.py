@@ -74,6 +74,13 @@ def test_token_counts(spark, docs, rows, empty, frequent):
     assert token_counts.count_tokens(empty, WORDS).count() == 0
 
 
+def test_most_frequent_pre_tokens_are_bounded(spark):
+    p = spark.createDataFrame([(f"w{k}", 1 + 1000 // (k + 1), 1) for k in range(300)] + [("x" * 100, 10**6, 9)], "chunk string, n long, pieces int")
+    for most in (0, 1, 10, 100, 1000):
+        got = {r.chunk for r in token_counts.most_frequent(p, most).collect()}
+        assert len(got) <= most and got == {f"w{k}" for k in range(len(got))} and (most < 1000 or len(got) == 300) and (most < 10 or len(got) >= most // 2 or len(got) == 300)
+
+
 def test_suffix_array_and_prefixes():
     rng = random.Random(4)
     for _ in range(300):
@@ -483,13 +490,13 @@ def test_toxicity(spark, docs, empty):
     got = {r.doc_id: r for r in toxicity.score(d, model).collect()}
     assert all((got[i].score >= 0.3) == (i % 5 == 0) for i in range(600)) and got[900].score == got[901].score
     _, at, postings = model.index.blocks()
-    dense = np.concatenate([p[at[b]] for b, p in enumerate(postings)], 1)
+    dense = np.concatenate([p[at[:, b]] for b, p in enumerate(postings)], 1)
     assert set(model.terms) >= {*WORD_LIST, *bad} and (model.weight > 0).all()  # no term is left out
     for _, t in [*rows[:40], (0, "unknown words"), (0, "red")]:
-        v = model.vector(toxicity.frequencies(t))
-        full = sum((w * dense[k] for k, w in v.items()), np.zeros(dense.shape[1]))
+        terms, v = model.vector(toxicity.frequencies(t))
+        full = sum((w * dense[k] for k, w in zip(terms, v)), np.zeros(dense.shape[1]))
         best = np.sort(full[full > 0])[::-1][: toxicity.NEAREST]
-        near, cosines = model.index.nearest(v, toxicity.NEAREST) if v else ([], [])
+        near, cosines = model.index.nearest(terms, v, toxicity.NEAREST)
         assert np.allclose(cosines, best, atol=1e-5)
         score, ids, _ = model.score(toxicity.frequencies(t))
         if not len(best):
@@ -500,7 +507,7 @@ def test_toxicity(spark, docs, empty):
         z = model.curve @ [share, float(np.mean(cosines)), 1.0]
         assert abs(score - 1 / (1 + np.exp(-z))) < 1e-6 and list(ids) == list(near)
     same = toxicity.fit(["foo foo red"] * 70 + ["red blue"] * 70, [1] * 70 + [0] * 70, list(range(140)), 0.5)
-    ids, cosines = same.index.nearest(same.vector(toxicity.frequencies("foo foo red")), 15)
+    ids, cosines = same.index.nearest(*same.vector(toxicity.frequencies("foo foo red")), 15)
     assert len(ids) == 15 and ids.tolist() == sorted(ids.tolist()) and np.allclose(cosines, 1, atol=1e-5)  # ties go by number
     assert toxicity.score(empty, model).count() == 0 and toxicity.score(docs, toxicity.fit([], [], [], 0.0)).where("score > 0").count() == 0
 
