@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
@@ -19,6 +20,8 @@ PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 _FOLD = bytes.maketrans(bytes(range(65, 91)) + PIECE_ENDS + b"\t", bytes(range(97, 123)) + b"." * len(PIECE_ENDS) + b" ")
 #: Bytes of text that one automaton scans (a longer text is one shard), and counters in a block of the sketch.
 SHARD, BLOCK = 6 << 20, 1 << 16
+#: Sums that a task holds before it passes them on, and candidates in a bucket.
+HELD = 400_000
 #: The sketch has at most so many counters (as a power of two); tasks and driver get one bit of each, 64 MB at most.
 MOST_BITS = 29
 #: Copies of what many candidates look up: the words of a language, and those of single words.
@@ -177,7 +180,9 @@ def phrase_counts(docs: DataFrame, *, least: int = 100, longest: int = 5, most_b
 
     The empty phrase counts all words.  Three scans: the sketch of short phrases, that of longer ones whose parts reach
     the bound, and the automata: in each shard the phrases whose counters reach the bound make one automaton, which
-    counts all their matches in the shard; sums over shards decide.  Null languages are ``und``.
+    counts all their matches in the shard.  Tasks add up their shards and pass the sums on in buckets of phrases, as many
+    as the sketch has counters at the bound, so that a bucket fits a task; the sums over all tasks decide.  Null
+    languages are ``und``.
     """
     texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"))
     bits = sketch_bits(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0, most_bits)
@@ -185,15 +190,39 @@ def phrase_counts(docs: DataFrame, *, least: int = 100, longest: int = 5, most_b
     for _ in range(2 if longest > 2 else 1):
         maps.append(sketch(texts, maps, bits, longest, least))
     sent = docs.sparkSession.sparkContext.broadcast(maps)
+    most = sum(int(np.bitwise_count(m).sum(dtype=np.int64)) for m in maps)  # counters that reach the bound: some number of candidates
+    buckets = max(_partitions(texts), most // HELD)
+
+    def packed(sums: dict[tuple[str, str], int]) -> dict:
+        rows: dict[int, list] = {}
+        for (lang, phrase), n in sums.items():
+            rows.setdefault(xxhash.xxh3_64_intdigest(phrase) % buckets, []).append((lang, phrase, n))
+        return {"bucket": list(rows), "lang": [[x[0] for x in r] for r in rows.values()], "phrase": [[x[1] for x in r] for r in rows.values()], "n": [[x[2] for x in r] for r in rows.values()]}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        sums: Counter = Counter()
         for shard in shards(batches, bits):
             found, n = shard.counts(sent.value, longest)
-            words = int((shard.ids > 0).sum())
-            yield {"lang": [shard.lang] * (len(found) + 1), "phrase": ["", *(p.decode() for p in found)], "n": [words, *n.tolist()]}
+            sums[shard.lang, ""] += int((shard.ids > 0).sum())
+            for phrase, k in zip(found, n.tolist(), strict=True):
+                sums[shard.lang, phrase.decode()] += k
+            if len(sums) > HELD:
+                yield packed(sums)
+                sums = Counter()
+        if sums:
+            yield packed(sums)
 
-    summed = arrow_rows(texts, count, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-    return settled(summed.where((F.col("n") >= least) | (F.col("phrase") == "")))
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        sums: Counter = Counter()
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("lang", "phrase", "n")), strict=True):
+                for lang, phrase, n in zip(*row, strict=True):
+                    sums[lang, phrase] += n
+        kept = [(lang, phrase, n) for (lang, phrase), n in sums.items() if n >= least or not phrase]
+        yield {c: [r[k] for r in kept] for k, c in enumerate(("lang", "phrase", "n"))}
+
+    parts = arrow_rows(texts, count, "bucket long, lang array<string>, phrase array<string>, n array<long>").repartition(buckets, "bucket")
+    return settled(arrow_rows(parts, add, "lang string, phrase string, n long"))
 
 
 def _words(phrase: str = "phrase") -> Column:
