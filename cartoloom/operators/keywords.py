@@ -122,11 +122,6 @@ def shared_token_pairs(items: DataFrame, *, key: str, tokens: str, wall: tuple[s
     return both.select("a", "b", F.round(common / (F.size("ta") + F.size("tb") - common), 6).alias("similarity")).where(F.col("similarity") >= least)
 
 
-def sequential_ids(rows: DataFrame, order: list[Column], prefix: str = "C", width: int = 3) -> DataFrame:
-    """Ids by rank, padded; meant for result tables (one row for each cluster)."""
-    return rows.withColumn("id", F.concat(F.lit(prefix), F.lpad(F.row_number().over(Window.orderBy(*order)).cast("string"), width, "0")))
-
-
 def pillars(clusters: DataFrame, *, topic: str, demand: str = "demand", links: str = "links", name: str = "cluster") -> DataFrame:
     """Each topic's pillar: 0.6 of relative demand and 0.4 of relative connections."""
     w = Window.partitionBy(topic)

@@ -414,4 +414,4 @@ def linkage_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G05, G06, G08"""
     b = _with_words(t(spark, sf_dir, "benchmark")).select(F.col("item_id").cast("string").alias("k"), text.content_tokens(F.col("words")).alias("tokens"))
     e = keywords.shared_token_pairs(b, key="k", tokens="tokens", least=0.1)
-    return graph.linkage_clusters(e.select("a", "b", F.col("similarity").alias("p_same"), F.lit(0.0).alias("p_different")), threshold=0.12)
+    return graph.linkage(b.select(F.col("k").alias("node")), e.select("a", "b", F.col("similarity").alias("total"), F.lit(1).alias("n"), F.lit(False).alias("veto")), threshold=0.12)

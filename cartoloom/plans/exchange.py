@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartoloom.operators import graph, keywords, reviews, topics
+from cartoloom.operators import clusters, keywords, reviews, topics
 from cartoloom.plans import planning
 from cartoloom.plans.registry import query, t
 from cartoloom.sources import calls, files, reports
@@ -146,4 +146,4 @@ def formed_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G09"""
     members = planning._clustered(spark, sf_dir)
     c = topics.heads(members).withColumn("name", F.col("cluster"))
-    return graph.form_topics(c, topics.cluster_links(members, planning._edges(spark, sf_dir)), threshold=0.75, coverage=0.01)
+    return clusters.form_topics(c, topics.cluster_links(members, planning._edges(spark, sf_dir)), threshold=0.75, coverage=0.01)

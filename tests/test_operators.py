@@ -41,40 +41,6 @@ def test_status_and_opportunity(spark):
     assert one(spark, keywords.status(F.lit(None).cast("double"), none, F.lit("old"), F.lit(False))) == "Lost"
 
 
-def plain_linkage(nodes, links_, threshold, coverage):
-    """The rule said again: of all pairs of groups that may merge the best one merges, until none may."""
-    groups = [{n} for n in sorted(nodes)]
-    while True:
-        best = None
-        for x in range(len(groups)):
-            for y in range(x + 1, len(groups)):
-                met = [links_[p] for p in links_ if (p[0] in groups[x] and p[1] in groups[y]) or (p[0] in groups[y] and p[1] in groups[x])]
-                if not met or any(v for _, v in met) or len(met) < max(1, -(-coverage * min(len(groups[x]), len(groups[y])) // 1)):
-                    continue
-                mean = round(sum(p for p, _ in met) / len(met), 9)
-                if mean >= threshold and (best is None or mean > best[0]):
-                    best = (mean, x, y)
-        if best is None:
-            return [sorted(g) for g in groups]
-        groups[best[1]] |= groups.pop(best[2])
-
-
-@pytest.mark.parametrize("threshold,coverage", [(0.5, 0.5), (0.3, 1.0), (0.7, 0.1)])
-def test_linkage_is_the_plain_rule(threshold, coverage):
-    rng = random.Random(17)
-    for size in (1, 2, 5, 9, 14):
-        names = [f"{rng.randrange(1000):03d}-{k}" for k in range(size)]
-        known = {(a, b): (rng.randrange(11) / 10, rng.random() < 0.07) for a in names for b in names if a < b and rng.random() < 0.5}
-        assert sorted(graph.average_linkage(names, known, threshold=threshold, coverage=coverage)) == sorted(plain_linkage(names, known, threshold, coverage))
-
-
-def test_linkage_walls_and_unknown_names():
-    known = {("red", "rose"): (0.9, False), ("rose", "rust"): (0.8, False), ("ghost", "red"): (1.0, False)}
-    assert graph.average_linkage(["rust", "red", "rose"], known) == [["red", "rose", "rust"]]  # one judged pair covers half of one
-    assert graph.average_linkage(["rust", "red", "rose"], known, allowed=lambda a, b: "rust" not in a + b) == [["red", "rose"], ["rust"]]
-    assert graph.average_linkage([], {}) == []
-
-
 def test_redirect_cycle_and_chain(spark):
     hops = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("y", "x")], "url string, target string")
     got = {r.url: r.final for r in graph.resolve_redirects(hops).collect()}

@@ -78,13 +78,6 @@ def test_link_classes_by_container_target_and_block(spark):
     } and got[1].x == []
 
 
-def test_topics_from_cluster_links(spark):
-    c = spark.createDataFrame([("a", 2, 50.0, "a"), ("b", 2, 90.0, "b"), ("c", 2, 10.0, "c"), ("d", 1, 60.0, "d")], "cluster string, n int, demand double, name string")
-    pairs = spark.createDataFrame([("a", "b", 1.8, 2), ("b", "c", 0.9, 1), ("a", "c", 0.1, 1), ("c", "d", 0.2, 1)], "a string, b string, total double, n int")
-    got = {r.cluster: (r.topic, r.pillar, r.demand) for r in graph.form_topics(c, pairs).collect()}
-    assert got == {"a": ("T001", False, 140.0), "b": ("T001", True, 140.0), "c": ("T003", True, 10.0), "d": ("T002", True, 60.0)}
-
-
 def test_append_merge_keeps_old_rows_first(spark):
     old = spark.createDataFrame([(1, "g2", "h", "one"), (2, "yelp", "k", "two")], "id int, platform string, author_hash string, text string")
     new = spark.createDataFrame([(1, "g2", "h", "changed"), (3, "g2", "h", "one"), (4, "g2", "m", "new")], old.schema)
