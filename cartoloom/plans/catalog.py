@@ -397,7 +397,7 @@ def group_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def page_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """parsed pages"""
+    """parsed pages"""
     p = t(spark, sf_dir, "pages").select("page_id", "url", html.parse_page(F.col("html")).alias("p"))
     return p.select("page_id", "url", "p.title", "p.words", F.size("p.headings").alias("headings"), F.size("p.links").alias("links"), F.array_distinct("p.types").alias("types"))
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("catalog", "planning", "brand", "checks", "work", "texts", "exchange")
+MODULES = ("catalog", "planning", "brand", "checks", "work", "texts", "exchange", "structure")
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 

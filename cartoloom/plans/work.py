@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cartoloom.functions import pages as html
+from cartoloom.functions import structure
 from cartoloom.functions import text, urls
 from cartoloom.operators import evidence, graph, keywords, links, reviews, search, sites, voice
 from cartoloom.plans.registry import query, t
@@ -392,7 +392,7 @@ def lowest_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def dom_link_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P12"""
-    p = t(spark, sf_dir, "pages").select("page_id", F.explode(html.link_classes(F.col("html"), F.col("url"))).alias("x"))
+    p = t(spark, sf_dir, "pages").select("page_id", F.explode(structure.link_classes(F.col("html"), F.col("url"))).alias("x"))
     return p.groupBy("page_id", "x.class").agg(F.count("*").alias("n"))
 
 

@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from cartoloom.functions import pages
+from cartoloom.functions import structure
 from cartoloom.operators import graph, links, reviews, sites, topics, voice
 from cartoloom.sources import files
 
@@ -72,7 +72,7 @@ def test_link_classes_by_container_target_and_block(spark):
     <p>Some words before <a href="/c">this link</a> and after</p><ul><li><a href="/l">Only link</a></li></ul><p>We say <a href="https://other.org/">there</a> now</p>
     <p>Back to <a href="https://a.org/page">this page</a> here</p><a href="#x">jump</a><a href="mailto:a@b.c">mail</a><a href="/bare">bare</a></main><div class="wrap"><p>Out of it <a href="/t">link</a> it is</p></div>
     <aside><a href="/s">S</a></aside><div class="breadcrumbs"><a href="/b">B</a></div></body>"""
-    got = spark.createDataFrame([(page, "https://a.org/page"), (None, "https://a.org/")], "h string, u string").select(pages.link_classes(F.col("h"), F.col("u")).alias("x")).collect()
+    got = spark.createDataFrame([(page, "https://a.org/page"), (None, "https://a.org/")], "h string, u string").select(structure.link_classes(F.col("h"), F.col("u")).alias("x")).collect()
     assert {x.href: x["class"] for x in got[0].x} == {
         "/h": "header", "/n": "nav", "/k": "heading_link", "/c": "contextual", "/l": "link_list", "https://other.org/": "external", "https://a.org/page": "self_link", "#x": "toc", "mailto:a@b.c": "non_http", "/bare": "other", "/t": "template", "/s": "sidebar", "/b": "breadcrumb",
     } and got[1].x == []
