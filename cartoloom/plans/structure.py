@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartoloom.operators import sections
+from cartoloom.functions import policies
+from cartoloom.operators import installs, sections
 from cartoloom.plans.registry import query, t
 
 _CLEAN = r"""body AS (SELECT page_id, html, regexp_replace(html, '(?s)<!--.*?-->|<(?:script|style|nav|footer|title|h1)[^>]*>.*?</(?:script|style|nav|footer|title|h1)>', '', 'g') AS b FROM pages),
@@ -58,3 +59,31 @@ def conversation_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """the sentences of the pages' content, with their links"""
     return sections.section_sentences(t(spark, sf_dir, "pages"), key="page_id", url="url", source="html")
+
+
+@query(r"""WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS h FROM pages)
+SELECT page_id, CASE page_id % 5 WHEN 0 THEN CASE WHEN h LIKE '%.example.com' THEN 'allows' ELSE 'blocks' END WHEN 1 THEN 'unclear' WHEN 2 THEN 'allows' WHEN 3 THEN 'no policy' ELSE 'blocks' END AS script,
+CASE page_id % 5 WHEN 0 THEN 'blocks' WHEN 3 THEN 'no policy' ELSE 'allows' END AS frame, CASE page_id % 5 WHEN 3 THEN 'no policy' WHEN 4 THEN 'allows' ELSE 'may block' END AS inline FROM p""")
+def policy_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five kinds of policies against a script of each page's own host"""
+    k, h = F.col("page_id") % 5, F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1)
+    lists = [["default-src 'none'; script-src 'self' https://*.example.com:443"], ["script-src 'strict-dynamic' https:", "img-src *"], None, [], ["script-src 'unsafe-inline'; script-src *"]]
+    values = F.array().cast("array<string>")
+    for n, own in enumerate(lists):
+        values = F.when(k == n, F.array(*map(F.lit, own)).cast("array<string>") if own is not None else F.array(F.concat(F.lit("frame-src *, script-src-elem http://"), h, F.lit("/js/; script-src 'none'")))).otherwise(values)
+    rows = t(spark, sf_dir, "pages").select("page_id", policies.policies(values).alias("p"), F.concat(F.lit("https://"), h, F.lit("/js/app.js?v=1")).alias("target"))
+    return rows.select("page_id", policies.verdict(F.col("p"), "script", F.col("target")).alias("script"), policies.verdict(F.col("p"), "frame", F.col("target")).alias("frame"), policies.inline_verdict(F.col("p")).alias("inline"))
+
+
+@query(r"""SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'fail' WHEN 1 THEN 'pass' WHEN 2 THEN 'warn' WHEN 3 THEN 'pass' WHEN 4 THEN 'fail' ELSE 'needs browser' END AS status,
+CASE page_id % 6 WHEN 0 THEN 'nothing found' WHEN 2 THEN 'script not asynchronous+policy may block the frame+script in the body' WHEN 4 THEN 'link names another site' WHEN 5 THEN 'script named by a loader' ELSE '' END AS findings FROM pages""")
+def install_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages with a button, a script, a link or a loader put in"""
+    k, h = F.col("page_id") % 6, F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1)
+    script, button = f'<script{{}} src="{installs.SCRIPT_URL}"></script>', f'<div {installs.BUTTON} data-theme="dark"></div>'
+    head = F.when(k == 1, script.format(" async")).when(k == 5, f'<script>load("{installs.SCRIPT_URL}")</script>').otherwise("")
+    link = lambda site: F.concat(F.lit('<a href="https://www.google.com/preferences/source?q='), site, F.lit('">here</a>'))
+    body = F.when(k.isin(1, 5), button).when(k == 2, script.format("") + button).when(k == 3, link(h)).when(k == 4, link(F.lit("other.org"))).otherwise("")
+    html = F.replace(F.replace("html", F.lit("</head>"), F.concat(head, F.lit("</head>"))), F.lit("<article>"), F.concat(F.lit("<article>"), body))
+    rows = t(spark, sf_dir, "pages").select("page_id", "url", html.alias("html"), F.when(k == 2, F.array(F.lit("frame-src 'self'"))).alias("policies"))
+    return installs.install_verdicts(rows, key="page_id").select("page_id", "status", F.array_join(F.col("findings.name"), "+").alias("findings"))
