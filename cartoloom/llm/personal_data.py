@@ -23,10 +23,18 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: What a span of any kind must hold (see :func:`_added`): the tagger can find nothing in a text without it.
-_CUE = re.compile(r"[@0-9]|(?i:[\[({]at[\])}]|\bat\b.{1,40}?\bdot\b)")
-#: Characters read on either side of a cue, the window, and the step from window to window.
+#: What stands for the two signs of an address, spelled ones in brackets or between spaces; an address of them.
+_AT, _DOT = r"(?: ?@ ?| ?[\[({]at[\])}] ?| at )", r"(?: ?\. ?| ?[\[({]dot[\])}] ?| dot )"
+_REST = rf"{_AT}[a-z0-9-]++(?:{_DOT}[a-z0-9-]++)*{_DOT}[a-z]{{2,}}"
+_ADDRESS = re.compile(rf"[a-z0-9._%+-]+{_AT}[a-z0-9-]+(?:{_DOT}[a-z0-9-]+)*{_DOT}[a-z]{{2,}}", re.I)
+#: Where an address may have its at sign, and how far it goes from there; digits with at most so many signs between them.
+_AT_PLACE = re.compile(rf"(?<=[a-z0-9._%+-])(?=({_REST}))", re.I)
+_GAP = 8
+_NUMBER = re.compile(rf"[+(\[]{{0,3}}[0-9](?:[\x20.()\[\]/+-]{{0,{_GAP}}}[0-9])*[)\]]?")
+#: Characters of context on either side of what may be a span, the window, and the step from window to window.
 AROUND, WINDOW, STEP = 64, 64, 32
+#: A longer stretch is read in pieces that overlap; the tagger adds no span longer than half an overlap.
+LONG, OVERLAP = 1 << 15, 1024
 
 
 def luhn(digits: str) -> bool:
@@ -78,7 +86,8 @@ def base_spans(text: str) -> list[Span]:
 def _example(rng: random.Random, words: list[str]) -> tuple[str, list[Span]]:
     """A line with spans in plain and unusual writings among words and numbers that are none."""
     digit = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
-    name = lambda: re.sub("[^a-z]", "", rng.choice(words).lower()) or "ann"
+    letters = lambda: "".join(rng.choice("bcdfghjklmnprstvwz") + rng.choice("aeiou") + rng.choice(("", "", "n", "r", "s", "ll")) for _ in range(rng.randint(1, 3)))
+    name = lambda: (re.sub("[^a-z]", "", rng.choice(words).lower()) if rng.random() < 0.6 else "") or letters()
 
     def card(sep: str) -> str:
         n = rng.choice((13, 15, 16, 16, 16, 19))
@@ -89,10 +98,10 @@ def _example(rng: random.Random, words: list[str]) -> tuple[str, list[Span]]:
     def span() -> tuple[str, str]:
         kind = rng.choice(KINDS)
         if kind == "email":
-            local = name() + rng.choice(("", ".", "_", "-")) + rng.choice((name(), digit(2)))
-            at, dot = rng.choice((("@", "."),) * 4 + ((" (at) ", "."), (" [at] ", " [dot] "), ("(at)", "."), (" @ ", "."), (" (at) ", " (dot) "), (" at ", " dot "), (" AT ", " DOT "), ("{at}", "{dot}")))
-            end = rng.choice(("com", "org", "net", f"example{dot}com", "de", "fr"))
-            return kind, f"{local}{at}{name()}{rng.choice(('', digit(1)))}{dot}{end}"
+            local = name() + rng.choice(("", rng.choice(".._-") + name(), rng.choice(("", ".", "_")) + digit(2)))
+            at, dot = rng.choice((("@", "."),) * 4 + ((" (at) ", "."), (" [at] ", " [dot] "), ("(at)", "."), (" @ ", "."), (" (at) ", " (dot) "), (" at ", " dot "), (" AT ", " DOT "), *((" at ", "."),) * 5, ("{at}", "{dot}")))
+            end = rng.choice(("com", "org", "net", f"example{dot}com", "de", "fr", f"co{dot}uk"))
+            return kind, f"{local}{at}{''.join(name() for _ in range(rng.choice((1, 1, 1, 1, 1, 6))))}{rng.choice(('', digit(1)))}{dot}{end}"
         if kind == "ip":
             return kind, rng.choice((".", ".", ".", ".", " . ", "[.]")).join(str(rng.randrange(256)) for _ in range(4))
         if kind == "card":
@@ -102,12 +111,12 @@ def _example(rng: random.Random, words: list[str]) -> tuple[str, list[Span]]:
 
     def other() -> str:
         if rng.random() < 0.3:
-            return rng.choice((f"at {name()}", f"look at the dot {name()}", f"{name()} (at) home", f"at {digit(1)} {name()}", f"{name()}.{name()}", f"at the {name()}. {name()}"))
+            return rng.choice((f"at {name()}", f"look at the dot {name()}", f"{name()} (at) home", f"at {digit(1)} {name()}", f"{name()}.{name()}", f"at the {name()}. {name()}", f"{name()} at {name()}. {name().capitalize()}", f"{name()} at {name()} {name()}"))
         return rng.choice((f"version {digit(1)}.{digit(1)}", f"token = \"{''.join(rng.choice('0123456789abcdef') for _ in range(40))}\"", f"19{digit(2)}", f"20{digit(2)}-0{rng.randint(1, 9)}-1{digit(1)}", f"{digit(2)}%", f"#{digit(3)}", f"{digit(1)}.{digit(1)}.{digit(1)}", f"@{name()}", f"{digit(1)},{digit(3)}", digit(rng.randint(1, 7)), f"{digit(2)}:{digit(2)}", f"CC BY-NC {digit(1)}.0", digit(20)))
 
     text, spans = "", []
     for _ in range(rng.randint(2, 4)):
-        text += " ".join(rng.choice(words) for _ in range(rng.randint(1, 5))) + rng.choice((" ", " ", " ", "\n", ": "))
+        text += " ".join(rng.choice(words) if rng.random() < 0.6 else letters() for _ in range(rng.randint(1, 5))) + rng.choice((" ", " ", " ", "\n", ": "))
         if rng.random() < 0.6:
             kind, s = span()
             spans.append((kind, len(text), len(text) + len(s)))
@@ -145,7 +154,7 @@ def _fitted(words: tuple[str, ...], lines: int, epochs: int) -> Tagger:
     return tagger
 
 
-def fit(words: list[str], *, lines: int = 6000, epochs: int = 5) -> Tagger:
+def fit(words: list[str], *, lines: int = 10000, epochs: int = 8) -> Tagger:
     """Train on labelled lines whose words are the given ones; the same words give the same tagger, trained once."""
     return _fitted(tuple(words), lines, epochs)
 
@@ -165,14 +174,27 @@ def fit_on_sample(docs: DataFrame, *, most_docs: int = 200, most_words: int = 20
 
 
 def _stretches(text: str) -> list[tuple[int, int]]:
+    """Where the tagger reads: all that :func:`_added` could accept lies whole inside one of these, with its context.
+
+    It accepts addresses by ``_ADDRESS`` and numbers by ``_NUMBER`` alone.  Each address has an at sign where ``_AT_PLACE``
+    matches, and reaches from there at most to the start of its local part and to the end of that match; each number
+    begins and ends with digits or brackets at them, and its digits lie no farther apart than the context.  A stretch
+    beyond ``LONG`` comes in pieces, each span of which lies whole in one, so memory stays bounded.
+    """
+    places = [(m.start(), m.end()) for m in re.finditer("[0-9]+", text)]
+    for m in _AT_PLACE.finditer(text):
+        lo = m.start()
+        while lo and _LOCAL.fullmatch(text[lo - 1]):
+            lo -= 1
+        places.append((lo, m.end(1)))
     out: list[tuple[int, int]] = []
-    for m in _CUE.finditer(text):
-        lo, hi = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
+    for lo, hi in sorted(places):
+        lo, hi = max(0, lo - AROUND), min(len(text), hi + AROUND)
         if out and lo <= out[-1][1]:
-            out[-1] = (out[-1][0], hi)
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
         else:
             out.append((lo, hi))
-    return out
+    return [(at, min(hi, at + LONG)) for lo, hi in out for at in range(lo, max(lo + 1, hi - OVERLAP), LONG - OVERLAP)]
 
 
 def tag(tagger: Tagger, parts: list[str]) -> list[list[Span]]:
@@ -219,10 +241,6 @@ def tag(tagger: Tagger, parts: list[str]) -> list[list[Span]]:
     return out
 
 
-#: An address however it is written: spelled signs stand in brackets or between spaces.
-_ADDRESS = re.compile(r"[a-z0-9._%+-]+(?: ?@ ?| ?[\[({]at[\])}] ?| at )[a-z0-9-]+(?:(?: ?\. ?| ?[\[({]dot[\])}] ?| dot )[a-z0-9-]+)*(?: ?\. ?| ?[\[({]dot[\])}] ?| dot )[a-z]{2,}", re.I)
-
-
 def _added(text: str, base: list[Span], found: list[Span]) -> list[Span]:
     """The tagger's spans that are new: trimmed, plausible for their kind, apart from the patterns' spans."""
     out = []
@@ -231,13 +249,28 @@ def _added(text: str, base: list[Span], found: list[Span]) -> list[Span]:
             a += 1
         while b > a and (text[b - 1].isspace() or text[b - 1] in ".,;:-("):
             b -= 1
+        if kind == "email" and (m := _ADDRESS.search(text, a, b)):
+            a, b = m.span()  # the address alone, where the tagger took words before it too
         s = text[a:b]
         spaced = kind != "phone" or len(re.findall(r"[\x20().-]+", s)) >= 2
-        address = kind != "email" or _ADDRESS.fullmatch(s)
+        address = (_ADDRESS if kind == "email" else _NUMBER).fullmatch(s)
         before, after = text[a - 1 : a], text[b : b + 1]
         whole = kind == "email" or not (before.isalnum() or after.isalnum())
-        if fits(kind, s) and spaced and address and whole and all(b <= x or y <= a for _, x, y in base):
+        if b - a <= OVERLAP // 2 and fits(kind, s) and spaced and address and whole:
+            out.append((kind, a, b))
+    return _apart(out, base)
+
+
+def _apart(found: list[Span], base: list[Span]) -> list[Span]:
+    """Spans that overlap neither the patterns' nor one before them, from the left, the longest first."""
+    out: list[Span] = []
+    taken, end, k = sorted((a, b) for _, a, b in base), 0, 0
+    for kind, a, b in sorted(set(found), key=lambda s: (s[1], -s[2])):
+        while k < len(taken) and taken[k][0] < b:
+            end, k = max(end, taken[k][1]), k + 1
+        if a >= end:
             out.append((kind, a, b))
+            end = b
     return out
 
 
@@ -245,8 +278,7 @@ def find(docs: DataFrame, tagger: Tagger, *, id_col: str = "doc_id", text_col: s
     """Spans of personal data in whole texts: ``doc_id, base, spans`` (arrays of kind, start, end in code points).
 
     ``base`` are the patterns' spans; ``spans`` holds them and what the tagger adds, by kind, then start.  The tagger
-    runs over the surroundings of every digit, at sign and spelled at sign of the whole text: no span of any kind can do
-    without one.  Null text is empty.  Repeated rows give one row each.  With ``keep`` the table's columns come along and
+    reads every place of the whole text where a span could be accepted, with its context (:func:`_stretches`).  Null text is empty.  Repeated rows give one row each.  With ``keep`` the table's columns come along and
     the text has the spans replaced by ``[KIND]`` (a null text stays null); columns named ``base`` or ``spans`` give
     way to the results.
     """
@@ -258,11 +290,12 @@ def find(docs: DataFrame, tagger: Tagger, *, id_col: str = "doc_id", text_col: s
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in slices(batches):
             texts = text_list(batch, read)
-            base = [base_spans(t) if _CUE.search(t) else [] for t in texts]
+            base = [base_spans(t) for t in texts]
             where = [(i, lo, hi) for i, t in enumerate(texts) for lo, hi in _stretches(t)]
-            spans = [list(b) for b in base]
+            told: list[list[Span]] = [[] for _ in texts]
             for (i, lo, _), found in zip(where, tag(tagger, [texts[i][lo:hi] for i, lo, hi in where]), strict=True):
-                spans[i] += _added(texts[i], base[i], [(k, a + lo, b + lo) for k, a, b in found])
+                told[i] += [(k, a + lo, b + lo) for k, a, b in found]
+            spans = [b + _added(t, b, f) for t, b, f in zip(texts, base, told, strict=True)]
             rows = {c: batch.column(c) for c in batch.schema.names if keep or c != "text"}
             if keep:
                 rows[read] = [None if t is None else redacted(x, s) for t, x, s in zip(batch.column(read).to_pylist(), texts, spans, strict=True)]

@@ -547,8 +547,45 @@ def test_patterns_are_those_of_the_contract():
     assert min(found) > 100 and personal_data.base_spans("0000000001.1.1.1") == [("ip", 0, 16)]
 
 
+def test_the_tagger_reads_every_place_where_a_span_could_be_accepted():
+    rng = random.Random(21)
+    name = lambda most: "".join(rng.choice("abz09-") for _ in range(rng.randint(1, most)))
+    some = ["write to joe at example.com today", "mail ann at foo.co.uk now", "bob at " + "h" * 60 + " dot " + "g" * 200 + " dot com"]
+    for _ in range(3000):
+        at, dot = rng.choice(["@", " @ ", " at ", "[at]", " (AT) ", "{at} "]), rng.choice([".", " . ", " dot ", "[dot]", " (dot)", " ."])
+        address = f"{name(9)}{at}{name(90)}" + "".join(dot + name(90) for _ in range(rng.randint(0, 3))) + dot + rng.choice(["com", "de", "Museum"])
+        number = "".join(rng.choice("0123456789") + rng.choice(["", "", " ", " . ", "-", ") ("]) for _ in range(rng.randint(4, 20))) + "7"
+        some.append(rng.choice(["", " ", "x" * 80 + " ", "é at "]) + rng.choice([address, number]) + rng.choice(["", " at home", ". The end", "." * 70]))
+    met = 0
+    for text in some:
+        read = personal_data._stretches(text)
+        for m in [*personal_data._ADDRESS.finditer(text), *personal_data._NUMBER.finditer(text)]:
+            met += 1
+            assert any(lo <= max(0, m.start() - 1) and m.end() <= hi for lo, hi in read), (text, m)
+    assert met > 3000
+    long = "1 2 " * 30000 + "x" * 500 + " joe at mail.org"
+    read = personal_data._stretches(long)
+    assert len(read) > 3 and max(b - a for a, b in read) <= personal_data.LONG and all(x[1] - y[0] >= personal_data.OVERLAP for x, y in zip(read, read[1:]) if y[0] < 120000)
+
+
+def test_spans_that_overlap_give_way():
+    base = [("email", 10, 20)]
+    found = [("card", 0, 5), ("phone", 3, 9), ("ip", 5, 10), ("card", 19, 30), ("card", 20, 25), ("card", 20, 25), ("phone", 20, 28)]
+    assert personal_data._apart(found, base) == [("card", 0, 5), ("ip", 5, 10), ("phone", 20, 28)]
+
+
+def test_spelled_addresses_are_found():
+    model = personal_data.fit(sorted({w for _, t in texts() if t for w in t.split() if len(w) < 20 and not any(c in "@0123456789" for c in w)} | set(WORD_LIST)))
+    for text, wanted in (("write to joe at example.com today", "joe at example.com"), ("mail ann at foo.co.uk now", "ann at foo.co.uk")):
+        found = [(k, a + lo, b + lo) for lo, hi in personal_data._stretches(text) for k, a, b in personal_data.tag(model, [text[lo:hi]])[0]]
+        got = [text[a:b] for _, a, b in personal_data._added(text, personal_data.base_spans(text), found)]
+        assert got == [wanted]
+    for text in ("we look at home. The end", "they met at noon. Then they left"):
+        assert not personal_data._added(text, [], personal_data.tag(model, [text])[0])
+
+
 def test_tagger_adds_spans_of_held_out_lines(spark):
-    model = personal_data.fit(["the", "and", "river", "stone", "ist", "pour", "le", "glass"], lines=5000)
+    model = personal_data.fit(["the", "and", "river", "stone", "ist", "pour", "le", "glass"])
     rng, rows, gold = random.Random(77), [], []
     for k in range(400):
         text, spans = personal_data._example(rng, ["moon", "paper", "avec", "und", "salt", "tree"])
@@ -557,7 +594,7 @@ def test_tagger_adds_spans_of_held_out_lines(spark):
     got = personal_data.find(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
     added = {(r.doc_id, s.kind, s.start, s.end) for r in got for s in r.spans} - {(r.doc_id, s.kind, s.start, s.end) for r in got for s in r.base}
     right = len(added & set(gold))
-    assert len(gold) > 200 and right >= 0.5 * len(gold) and right >= 0.85 * len(added), (right, len(added), len(gold))
+    assert len(gold) > 200 and right >= 0.8 * len(gold) and right >= 0.9 * len(added), (right, len(added), len(gold))
     assert all((s.kind, s.start, s.end) in {(x.kind, x.start, x.end) for x in r.spans} for r in got for s in r.base)
 
 
