@@ -14,8 +14,8 @@ from cartoloom.llm.pieces import piece_counts
 
 #: Distinct pre-tokens that a task holds before it passes them on.
 HELD = 400_000
-#: A pre-token longer than this is never among the frequent ones that every task gets.
-SHORT = 64
+#: Bytes of the frequent pre-tokens that every task gets, at most.
+MOST_BYTES = 16 << 20
 
 
 def piece_table(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -41,20 +41,24 @@ def piece_table(docs: DataFrame, vocabulary: str) -> DataFrame:
 
 
 def most_frequent(pieces: DataFrame, most: int) -> DataFrame:
-    """``chunk, pieces`` of short pre-tokens from a frequency on, at most so many.
+    """``chunk, pieces`` of the pre-tokens from a frequency on, at most so many and at most ``MOST_BYTES`` of text.
 
-    Frequencies fall into steps of a sixteenth of a doubling; as many of the upper steps are taken as fit.  Only the
-    steps' counts and the rows taken ever reach the driver, however many tasks there are.
+    Frequencies fall into steps of a sixteenth of a doubling; as many of the upper steps are taken as fit.  Length does
+    not matter: a long line without blanks that stands in every document is taken like a short word.  In a step that
+    does not fit, the pre-tokens beyond a thousandth of ``MOST_BYTES`` are left to the shuffled join.  Only the steps'
+    sums and the rows taken ever reach the driver, however many tasks there are.
     """
-    step = F.floor(F.log2("n") * 16).cast("int")
-    short = pieces.where(F.length("chunk") <= SHORT)
-    least, taken = None, 0
-    for r in sorted(short.groupBy(step.alias("step")).count().collect(), reverse=True):  # a thousand rows at most
-        taken += r["count"]
-        if taken > most:
+    step, long = F.floor(F.log2("n") * 16).cast("int"), F.octet_length("chunk") > MOST_BYTES // 1000
+    sums = pieces.groupBy(step.alias("step"), long.alias("long")).agg(F.count("*").alias("rows"), F.sum(F.octet_length("chunk")).alias("bytes")).collect()
+    rows, size, kept = 0, 0, []
+    for r in sorted(sums, key=lambda r: (-r.step, r.long)):  # two thousand rows at most
+        if rows + r.rows <= most and size + r.bytes <= MOST_BYTES:
+            rows, size = rows + r.rows, size + r.bytes
+            kept.append((r.step, r.long))
+        elif not r.long:
             break
-        least = r.step
-    return short.where(F.lit(False) if least is None else step >= least).select("chunk", "pieces")
+    known = F.array(*[F.struct(F.lit(a).alias("step"), F.lit(b).alias("long")) for a, b in kept]) if kept else None
+    return pieces.where(F.array_contains(known, F.struct(step.alias("step"), long.alias("long"))) if kept else F.lit(False)).select("chunk", "pieces")
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, *, max_tokens: int = 2048, frequent: int = 1 << 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -62,7 +66,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, *, max_tokens: int = 2048, fr
 
     First the distinct pre-tokens of all texts are gathered (tasks pass on each one once) and the pieces of each are
     counted once.  Then each document's pre-token frequencies are joined to that table and summed.  Up to ``frequent``
-    of the most frequent short pre-tokens travel to every task, so that no hot key is shuffled; the rest of a document's
+    of the most frequent pre-tokens travel to every task, so that no hot key is shuffled; the rest of a document's
     frequencies, rare by construction, meet the table in a shuffled join.  Both ways give the same sums.
 
     Null text counts as empty (0 bytes, 0 tokens).  Repeated rows and repeated or null ids give one row each.

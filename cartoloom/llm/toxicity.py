@@ -184,7 +184,8 @@ def fit(texts: list[str], labels: list[int], ids: list[int], prior: float) -> To
 def fit_on_sample(docs: DataFrame, labels: DataFrame, *, most_per_label: int = 1000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """Fit on whole texts of at most ``most_per_label`` labelled documents of each label, those of least id hash.
 
-    The share of label 1 is counted over all labelled rows.  Null labels and ids are left out.
+    The share of label 1 is counted over all labelled rows.  Null labels and ids are left out; of rows with equal ids the
+    least text counts.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(F.when(F.col(label_col) > 0, 1).otherwise(0)).alias("y"))
     counted = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -194,7 +195,7 @@ def fit_on_sample(docs: DataFrame, labels: DataFrame, *, most_per_label: int = 1
     own = keyed_text(docs, id_col, text_col)
     there = known.join(own.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("h", F.xxhash64("doc_id"))
     picked = [there.where(F.col("y") == y).orderBy("h", "doc_id").limit(most_per_label).select("doc_id", "y") for y in (0, 1)]
-    rows = own.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").dropDuplicates(["doc_id"]).collect()  # bounded by the parameter
+    rows = own.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").groupBy("doc_id", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).collect()  # bounded by the parameter
     rows = sorted(rows, key=lambda r: r.doc_id)
     return fit([r.text or "" for r in rows], [r.y for r in rows], [r.doc_id for r in rows], counted.get(1, 0) / total)
 
