@@ -76,3 +76,37 @@ def robots_allowed(rules: DataFrame, requests: DataFrame) -> DataFrame:
     hit = asked.join(rules.withColumn("group", F.lower("agent")).withColumn("rx", rx), "group").where((F.col("pattern") != "") & F.regexp_like("path", F.col("rx")))
     best = hit.groupBy("who", "path").agg(F.max_by("kind", F.struct(F.length("pattern"), F.col("kind") == "allow")).alias("kind"))
     return own.join(best, ["who", "path"], "left").select(F.col("who").alias("agent"), "path", (F.coalesce("kind", F.lit("allow")) == "allow").alias("allowed"))
+
+
+def _runs(words: Column, n: int) -> Column:
+    """Runs of n words; an array of one element binds the words once."""
+    return F.transform(F.array(words), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - (n - 1))), lambda i: F.array_join(F.slice(w, i, n), " ")))[0]
+
+
+def _grams(text: Column, n: int) -> Column:
+    return F.when(F.length(text) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substr(text, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+
+def verbatim(docs: DataFrame, passages: DataFrame, *, doc_key: str, key: str, text: str = "text") -> DataFrame:
+    """``key, doc_key`` of every passage that a document holds word for word, by equi-joins alone.
+
+    Of a passage of seven words or more the first five inside it (its first and last may be parts of the document's
+    words) must be a run of the document.  Of a shorter one its rarest three letters must be among the document's (two
+    or one where it has no more); the texts decide.  Null and empty passages are in no document.
+    """
+    d = docs.where(F.col(text).isNotNull()).select(F.col(doc_key).alias("doc"), F.col(text).alias("said"))
+    words = lambda c: F.split(c, r"\s+")
+    p = passages.where(F.coalesce(F.col(text), F.lit("")) != "").select(F.col(key).alias("item"), F.col(text).alias("passage"))
+    inner = F.slice(words(F.col("passage")), 2, 5)
+    long = p.where(F.size(words(F.col("passage"))) >= 7).withColumn("key", F.array_join(inner, " "))
+    met = d.select("doc", F.explode(F.array_distinct(_runs(words(F.col("said")), 5))).alias("key")).join(long.select("item", "key"), "key").select("doc", "item").distinct()
+    short = p.where(F.size(words(F.col("passage"))) < 7)
+    for n in (3, 2, 1):
+        own = short.where(F.length("passage") >= 3 if n == 3 else F.length("passage") == n).select("item", F.explode(_grams(F.col("passage"), n)).alias("gram"))
+        there = d.select("doc", F.explode(_grams(F.col("said"), n)).alias("gram")).join(own.select("gram").distinct(), "gram", "left_semi")
+        often = there.groupBy("gram").agg(F.count("*").alias("df"))
+        best = own.join(often, "gram").groupBy("item").agg(F.min_by("gram", F.struct("df", "gram")).alias("gram"), F.count("*").alias("known"), F.first("item").alias("same"))
+        every = own.groupBy("item").agg(F.count("*").alias("all"))
+        best = best.join(every, "item").where("known = all").select("item", "gram")  # a gram in no document: nor the passage
+        met = met.unionByName(there.join(best, "gram").select("doc", "item"))
+    return met.join(d, "doc").join(p, "item").where(F.contains("said", "passage")).select(F.col("item").alias(key), F.col("doc").alias(doc_key)).distinct()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cartoloom.operators.graph import settled
+
 
 def term_counts(docs: DataFrame, key: str, words: str) -> DataFrame:
     """``key, term, tf``."""
@@ -14,16 +16,17 @@ def term_counts(docs: DataFrame, key: str, words: str) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, *, doc_key: str, query_key: str, words: str = "words", k1: float = 1.2, b: float = 0.75, damp_query: bool = True, k: int | None = 12) -> DataFrame:
     """``query_key, doc_key, score, rank`` with positive scores, best first, ties by document.
 
-    Only postings of query terms are joined: the corpus is cut to them by a semi-join before anything is summed by
-    document.  With ``damp_query`` a term counts 1 + ln of its frequency in the query, else once.  Scores are
+    The corpus is read once: postings of query terms alone, cut by a semi-join before anything is summed, go to a table
+    from which document frequencies and scores are taken.  With ``damp_query`` a term counts 1 + ln of its frequency in the query, else once.  Scores are
     rounded to six places before ranking, so that the order of summation cannot change ranks.
     """
-    length = F.size(words).cast("double")
-    total = docs.agg(F.count("*").alias("n"), F.avg(length).alias("mean"))
     asked = term_counts(queries, query_key, words).withColumnRenamed("tf", "qtf")
-    # a document's length travels with its words, so nothing is joined by document
-    every = docs.select(doc_key, length.alias("len"), F.explode(words).alias("term"))
-    postings = every.join(asked.select("term").distinct(), "term", "left_semi").groupBy(doc_key, "len", "term").agg(F.count("*").alias("tf"))
+    # one pass over the documents: the empty term stands for the document itself, its length travels with its words
+    every = docs.select(doc_key, F.size(words).cast("double").alias("len"), F.explode(F.concat(words, F.array(F.lit("")))).alias("term"))
+    wanted = asked.select("term").where("term <> ''").distinct().unionByName(docs.sparkSession.range(1).select(F.lit("").alias("term")))
+    stored = settled(every.join(wanted, "term", "left_semi").groupBy(doc_key, "len", "term").agg(F.count("*").alias("tf")))
+    total = stored.where("term = ''").agg(F.sum("tf").alias("n"), (F.sum(F.col("len") * F.col("tf")) / F.sum("tf")).alias("mean"))
+    postings = stored.where("term <> ''")
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     times = 1 + F.log("qtf") if damp_query else F.lit(1.0)

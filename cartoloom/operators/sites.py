@@ -204,6 +204,36 @@ def sitemap_pages(files: DataFrame, start: str, *, depth: int = 5) -> DataFrame:
     return pages.distinct()
 
 
+def site_pages(robots: DataFrame, files: DataFrame, *, depth: int = 5, most: int = 4000) -> DataFrame:
+    """``site, url, place`` of the pages that each site's sitemaps list, in the order of first sight, at most so many a site.
+
+    robots: site, root, robots (text or null); files: url, xml of saved sitemaps.  A site's sitemaps are those its robots
+    file names, then the usual places.  One join for each level of indexes; an index lists image, author, tag and
+    category sitemaps last, and those of images and attachments are not read.  A sitemap is read once a site.
+    """
+    named = F.regexp_extract_all(F.coalesce("robots", F.lit("")), F.lit(r"(?im)^[ \t]*sitemap:[ \t]*(\S+)"), F.lit(1))
+    usual = F.transform(F.array(*[F.lit(x) for x in ("sitemap_index.xml", "sitemap.xml", "wp-sitemap.xml")]), lambda x: F.concat(F.regexp_replace("root", "/+$", ""), F.lit("/"), x))
+    level = robots.select("site", F.posexplode(F.array_distinct(F.concat(named, usual))).alias("i", "url")).select("site", "url", F.array("i").alias("way"))
+    plain = lambda x: F.replace(F.replace(F.trim(F.regexp_replace(x, r"^\s+|\s+$", "")), F.lit("&amp;"), F.lit("&")), F.lit("&#38;"), F.lit("&"))
+    locs = F.transform(F.regexp_extract_all("xml", F.lit(r"(?s)<loc>\s*(.*?)\s*</loc>"), F.lit(1)), plain)
+    index = F.contains("xml", F.lit("<sitemapindex"))
+    last = lambda u: F.rlike(u, F.lit("image|author|tag|categor|attachment"))
+    sorted_ = F.transform(F.array_sort(F.transform(locs, lambda u: F.struct(last(u).alias("l"), u.alias("u")))), lambda x: x["u"])
+    order = F.when(index, F.filter(sorted_, lambda u: ~F.rlike(u, F.lit("image|attachment")))).otherwise(locs)
+    listed = files.select("url", index.alias("is_index"), F.posexplode(order).alias("i", "loc"))
+    seen, pages = level.select("site", "url"), None
+    for _ in range(depth):
+        met = level.join(listed, "url").select("site", "is_index", F.concat("way", F.array("i")).alias("way"), F.col("loc").alias("url"))
+        found = met.where("not is_index").select("site", "url", "way")
+        pages = found if pages is None else pages.unionByName(found)
+        level = met.where("is_index").groupBy("site", "url").agg(F.min("way").alias("way")).join(seen, ["site", "url"], "left_anti")
+        seen = seen.unionByName(level.select("site", "url"))
+    # sitemaps are read level by level, so shorter ways come first
+    first = pages.groupBy("site", "url").agg(F.min(F.struct(F.size("way").alias("n"), "way")).alias("way"))
+    place = F.row_number().over(Window.partitionBy("site").orderBy("way", "url"))
+    return first.withColumn("place", place).where(F.col("place") <= most).select("site", "url", "place")
+
+
 def probe(pages: DataFrame, terms: Sequence[str], *, sitemap: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pages whose address or title has a term, with ``in_sitemap``; and the terms without a page.  pages: url, title."""
     text = F.lower(F.concat_ws(" ", "url", "title"))

@@ -46,12 +46,16 @@ def bm25_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT o_custkey AS key, round(sum(o_totalprice), 2) AS demand, sum(o_orderkey % 7)::BIGINT AS clicks, arg_min(o_orderstatus || '-' || o_orderpriority, (-o_totalprice, o_orderkey)) AS current_url, count(*) AS n FROM orders GROUP BY o_custkey""")
+WITH p AS (SELECT *, o_orderkey % 23 AS pos, CASE WHEN o_orderkey % 5 > 0 THEN o_orderstatus || '-' || o_orderpriority END AS url FROM orders),
+r AS (SELECT *, (CASE WHEN pos = 0 THEN 1e9 ELSE pos END, -o_totalprice, o_orderkey) AS k FROM p)
+SELECT o_custkey AS key, round(sum(o_totalprice), 2) AS demand, sum(o_orderkey % 7)::BIGINT AS clicks, arg_min(url, k) FILTER (url IS NOT NULL) AS current_url,
+coalesce(arg_min(pos, k) FILTER (url IS NOT NULL), arg_min(pos, k))::DOUBLE AS position, count(*) AS n FROM r GROUP BY o_custkey""")
 def best_row_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as an export's rows, the dearest order as the best"""
-    o = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.lit(None).cast("double").alias("position"), F.col("o_totalprice").alias("volume"), F.col("o_orderkey").alias("row_id"), F.concat_ws("-", "o_orderstatus", "o_orderpriority").alias("url"), (F.col("o_orderkey") % 7).cast("long").alias("clicks"), F.lit("x").alias("country"))
+    """Orders as an export's rows by position (0 for none), then price; some rows without an address"""
+    k = F.col("o_orderkey")
+    o = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), (k % 23).cast("double").alias("position"), F.col("o_totalprice").alias("volume"), k.alias("row_id"), F.when(k % 5 > 0, F.concat_ws("-", "o_orderstatus", "o_orderpriority")).alias("url"), (F.col("o_orderkey") % 7).cast("long").alias("clicks"), F.lit("x").alias("country"))
     best = keywords.best_rows(o, key="key", position="position", volume="volume", row_id="row_id")
-    return best.select("key", F.round("demand", 2).alias("demand"), "clicks", "current_url", F.col("rows").alias("n"))
+    return best.select("key", F.round("demand", 2).alias("demand"), "clicks", "current_url", "position", F.col("rows").alias("n"))
 
 
 @query("""
@@ -207,11 +211,11 @@ def event_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reviews.trend(t(spark, sf_dir, "events").withColumn("d", F.to_date("ts")), by=["event_type"], date="d", as_of=F.to_date(F.lit("2024-06-15")), months=5)
 
 
-@query("""SELECT o_orderpriority AS platform, count(*) AS n, round(avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END), 4) AS rate, median(CASE WHEN o_orderstatus = 'F' THEN greatest(0, date_diff('day', o_orderdate::DATE, DATE '1996-01-01')) END)::DOUBLE AS median_days FROM orders GROUP BY 1""")
+@query("""SELECT o_orderpriority AS platform, count(*) AS n, round(avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END), 4) AS rate, round(avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END) FILTER (o_orderkey % 5 + 1 <= 2), 4) AS negative_rate, median(CASE WHEN o_orderstatus = 'F' THEN greatest(0, date_diff('day', o_orderdate::DATE, DATE '1996-01-01')) END)::DOUBLE AS median_days FROM orders GROUP BY 1""")
 def reply_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A18"""
-    o = t(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("platform"), F.lit(1.0).alias("rating"), F.to_date("o_orderdate").alias("date"), F.when(F.col("o_orderstatus") == "F", "y").alias("owner_reply"), F.to_date(F.lit("1996-01-01")).alias("reply_date"))
-    return reviews.reply_stats(o, "platform").drop("negative_rate")
+    o = t(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("platform"), (F.col("o_orderkey") % 5 + 1).cast("double").alias("rating"), F.to_date("o_orderdate").alias("date"), F.when(F.col("o_orderstatus") == "F", "y").alias("owner_reply"), F.to_date(F.lit("1996-01-01")).alias("reply_date"))
+    return reviews.reply_stats(o, "platform")
 
 
 @query("""WITH x AS (SELECT conv_id, role, CASE WHEN length(text) > 300 THEN 'yes' WHEN length(text) > 120 THEN 'partial' ELSE 'no' END AS c FROM conversations)
@@ -222,20 +226,20 @@ def coverage_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reviews.coverage_scores(t(spark, sf_dir, "conversations").withColumn("c", c), page="conv_id", coverage="c")
 
 
-@query("""WITH x AS (SELECT turn, conv_id, left(text, 80) AS q, CASE WHEN length(text) > 900 THEN 'yes' ELSE 'no' END AS c FROM conversations),
+@query("""WITH x AS (SELECT turn, conv_id, coalesce(text, '') AS q, CASE WHEN length(text) > 900 THEN 'yes' ELSE 'no' END AS c FROM conversations),
 a AS (SELECT turn, arg_min(q, (-length(q), q)) AS representative, count(DISTINCT CASE WHEN c = 'yes' THEN conv_id END) AS pages, count(*) AS n FROM x GROUP BY turn)
-SELECT turn, pages, n, CASE WHEN pages = 0 THEN 'gap' WHEN pages >= 2 THEN 'overlap' ELSE 'covered' END AS kind FROM a""")
+SELECT turn, representative, pages, n, CASE WHEN pages = 0 THEN 'gap' WHEN pages >= 2 THEN 'overlap' ELSE 'covered' END AS kind FROM a""")
 def coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A28"""
-    c = t(spark, sf_dir, "conversations").withColumn("q", F.substring("text", 1, 80)).withColumn("c", F.when(F.length("text") > 900, "yes").otherwise("no"))
-    return reviews.gaps(c, cluster="turn", query="q", page="conv_id", coverage="c").drop("representative")
+    c = t(spark, sf_dir, "conversations").withColumn("q", F.coalesce("text", F.lit(""))).withColumn("c", F.when(F.length("text") > 900, "yes").otherwise("no"))
+    return reviews.gaps(c, cluster="turn", query="q", page="conv_id", coverage="c")
 
 
-@query("""SELECT role, count(*) AS calls, count(*) FILTER (length(text) > 20) AS answers, round(coalesce(count(*) FILTER (length(text) > 20 AND contains(text, 'the')) / nullif(count(*) FILTER (length(text) > 20), 0), 0), 4) AS mention_rate,
+@query("""SELECT role, count(*) AS calls, count(*) FILTER (length(text) > 20) AS answers, round(coalesce(count(*) FILTER (length(text) > 20 AND regexp_matches(lower(text), '(^|[^a-z0-9])(the|de|la|der)($|[^a-z0-9])')) / nullif(count(*) FILTER (length(text) > 20), 0), 0), 4) AS mention_rate,
 round(coalesce(count(*) FILTER (length(text) > 20 AND contains(text, 'http')) / nullif(count(*) FILTER (length(text) > 20), 0), 0), 4) AS cite_rate FROM conversations GROUP BY role""")
 def visibility_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A29"""
-    c = t(spark, sf_dir, "conversations").where("text is not null").select("role", F.contains("text", F.lit("the")).alias("m"), F.contains("text", F.lit("http")).alias("c"), (F.length("text") <= 20).alias("f"))
+    c = t(spark, sf_dir, "conversations").where("text is not null").select("role", F.rlike(F.lower("text"), F.lit("(^|[^a-z0-9])(the|de|la|der)($|[^a-z0-9])")).alias("m"), F.contains("text", F.lit("http")).alias("c"), (F.length("text") <= 20).alias("f"))
     return reviews.visibility(c, by=["role"], mentioned="m", cited="c", failed="f")
 
 
@@ -326,23 +330,9 @@ def daily_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT b.item_id, count(d.doc_id) AS pages FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id""")
 def evidence_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many documents hold each passage word for word.  An equi-join on the first five-word run inside the
-    passage finds the candidates by number, their texts decide; shorter passages are looked for in all texts."""
-
-    def run(c):  # an array of one element binds the words once
-        return F.transform(F.array(c), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - 4)), lambda i: F.array_join(F.slice(w, i, 5), " ")))[0]
-
-    d = t(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")
+    """How many documents hold each passage word for word"""
     b = t(spark, sf_dir, "benchmark")
-    words = lambda c: F.split(c, r"\s+")
-    # the first and the last word of a passage may be parts of a document's words
-    inner = F.transform(F.array(words(F.col("text"))), lambda w: F.slice(w, 2, F.greatest(F.lit(1), F.size(w) - 2)))[0]
-    keys = b.where(F.size(words(F.col("text"))) >= 7).select("item_id", F.col("text").alias("passage"), F.element_at(run(inner), 1).alias("key"))
-    met = d.select("doc_id", F.explode(F.array_distinct(run(words(F.col("text"))))).alias("key")).join(keys.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
-    exact = met.join(d, "doc_id").join(keys.select("item_id", "passage"), "item_id").where(F.contains("text", "passage"))
-    short = b.where(F.size(words(F.col("text"))) < 7).select("item_id", F.col("text").alias("passage"))
-    few = d.join(short, F.contains("text", "passage"))
-    hits = exact.select("item_id", "doc_id").unionByName(few.select("item_id", "doc_id")).distinct()
+    hits = evidence.verbatim(t(spark, sf_dir, "documents"), b, doc_key="doc_id", key="item_id")
     return b.join(hits, "item_id", "left").groupBy("item_id").agg(F.count("doc_id").alias("pages"))
 
 

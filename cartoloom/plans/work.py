@@ -417,14 +417,23 @@ def links_in_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("id", "taken")
 
 
-@query(r"""WITH m AS (SELECT 's' || g AS url, CASE WHEN g < 3 THEN ['s' || (g * 2 + 1), 's' || (g * 2 + 2)] ELSE ['https://a.org/' || g, 'https://a.org/both'] END AS locs FROM (SELECT unnest(range(8)) AS g)) SELECT DISTINCT unnest(locs) AS url FROM m WHERE url IN ('s3', 's4', 's5', 's6')""")
+@query(r"""SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS site, url FROM pages WHERE page_id % 11 <> 0 AND page_id % 3 < 2""")
 def sitemap_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested sitemaps, read from saved files"""
-    g = F.col("id")
-    of = lambda *x: F.concat(*[F.concat(F.lit("<loc> "), v, F.lit(" </loc>")) for v in x])
-    s = lambda c: c.cast("string")
-    nested = F.concat(F.lit("<sitemapindex>"), of(F.concat(F.lit("s"), s(g * 2 + 1)), F.concat(F.lit("s"), s(g * 2 + 2))))
-    return sites.sitemap_pages(spark.range(8).select(F.concat(F.lit("s"), s(g)).alias("url"), F.when(g < 3, nested).otherwise(of(F.concat(F.lit("https://a.org/"), s(g)), F.lit("https://a.org/both"))).alias("xml")), "s0")
+    """Every site's sitemaps, from a line of its robots file or the usual place, with an index over two files (images are skipped)"""
+    site, k = F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1), F.col("page_id")
+    p = t(spark, sf_dir, "pages").select("page_id", "url", site.alias("site"))
+    escaped = F.replace("url", F.lit("&"), F.lit("&amp;"))
+    name = F.when(k % 11 == 0, "image").when(k % 3 == 0, "posts").when(k % 3 == 1, "pages").otherwise("unlisted")
+    at = lambda file: F.concat(F.lit("https://"), "site", F.lit("/"), file, F.lit(".xml"))
+    files = p.groupBy("site", name.alias("name")).agg(F.array_join(F.collect_list(F.concat(F.lit("<loc>"), escaped, F.lit("</loc>"))), "").alias("locs"))
+    leaves = files.select("site", at(F.col("name")).alias("url"), F.concat(F.lit("<urlset>"), "locs", F.lit("</urlset>")).alias("xml"))
+    own = F.length("site") % 2 == 0  # half the sites name their index in the robots file
+    root = F.when(own, at(F.lit("own-index"))).otherwise(at(F.lit("sitemap_index")))
+    loc = lambda file: F.concat(F.lit("<loc>\n"), at(F.lit(file)), F.lit("\n</loc>"))
+    index = p.select("site").distinct().select("site", root.alias("url"), F.concat(F.lit("<sitemapindex>"), loc("posts"), loc("pages"), loc("image"), loc("gone"), F.lit("</sitemapindex>")).alias("xml"))
+    robots = p.select("site").distinct().select("site", F.concat(F.lit("https://"), "site", F.lit("/")).alias("root"), F.when(own, F.concat(F.lit("User-agent: *\n Sitemap: "), root, F.lit("\nDisallow:"))).alias("robots"))
+    return sites.site_pages(robots, leaves.unionByName(index).select("url", "xml")).select("site", "url").distinct()
+
 
 
 @query(f"""SELECT term, url, page_id % 2 = 0 AS in_sitemap FROM pages, (SELECT unnest(['/fr/', '/en', 'nothing here']) AS term) WHERE contains(lower(url), term)""")
