@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cartoloom.functions.pages import parse_page
 from cartoloom.functions.text import jaccard
-from cartoloom.operators.evidence import all_rules, duplicates, missing, rule
+from cartoloom.operators.evidence import all_rules, duplicates, missing, robots_allowed, robots_groups, rule
 
 
 def persona_rules(findings: DataFrame, personas: DataFrame) -> DataFrame:
@@ -195,13 +196,41 @@ def severity_counts(findings: DataFrame, *, category: str = "category", severity
     return rows.withColumn("place", place)
 
 
-def page_checks(page: Column, *, words: Column, status: Column, indexable: Column, canonical: Column) -> Column:
-    """Checks of a live page as name and outcome, all but the last of which must pass."""
+# Crawlers of answer engines; types of JSON-LD that name an organization or a person; the line that dates a page.
+CRAWLERS = ("GPTBot", "OAI-SearchBot", "ChatGPT-User", "ClaudeBot", "Claude-SearchBot", "Claude-User", "PerplexityBot", "Perplexity-User", "Google-Extended", "Googlebot", "Bingbot")
+ENTITY_TYPES = r"Organization|LocalBusiness|Corporation|Person|Brand|ProfessionalService|Store|Restaurant|Agency"
+UPDATED = r"Last updated:?\s*(?:\*\*|</strong>)?\s*(?:<time[^>]*>)?\s*([A-Z][a-z]+ [0-9]{4})"
+
+
+def live_checks(pages: DataFrame, sites: DataFrame, listed: DataFrame, linked: DataFrame, *, key: str, as_of: Column, brand: str | None = None, crawlers: Sequence[str] = CRAWLERS) -> DataFrame:
+    """``key, name, ok, optional`` of eleven checks of live pages (ten without a brand).
+
+    pages: key, site, url, final (address after redirects), status, html, robots_header; sites: site, robots, llms (texts or
+    null); listed: site, url of all sitemaps; linked: site, href of the home pages.  A page must answer, be open to
+    indexing, be its own canonical, have more than 300 words, name the brand, say that it was updated within six months,
+    describe an organization, let all crawlers in, stand in a sitemap and be linked from the home page; it may stand in llms.txt.
+    """
+    bare = lambda u: F.regexp_replace(F.coalesce(u, F.lit("")), "/+$", "")
+    path = lambda u: bare(F.try_parse_url(u, F.lit("PATH")))
+    rows = pages.select("*", parse_page(F.col("html")).alias("p"), path(F.col("url")).alias("path"), bare(F.split_part(F.coalesce("final", "url"), F.lit("#"), F.lit(1))).alias("own"))
+    asked = rows.select("site", F.when(F.col("path") == "", "/").otherwise(F.try_parse_url("url", F.lit("PATH"))).alias("path"), F.explode(F.array(*map(F.lit, crawlers))).alias("agent"))
+    let = robots_allowed(robots_groups(sites, by=["site"]), asked.where("site is not null and path is not null"), by=["site"])
+    shut = let.where("not allowed").select("site", bare(F.col("path")).alias("path"), F.lit(True).alias("shut")).distinct()
+    there = listed.select("site", path(F.col("url")).alias("path"), F.lit(True).alias("there")).distinct()
+    home = linked.select("site", bare(F.split_part("href", F.lit("#"), F.lit(1))).alias("own"), F.lit(True).alias("home")).distinct()
+    also = home.select("site", F.col("own").alias("asked"), F.col("home").alias("also"))
+    rows = rows.withColumn("asked", bare(F.col("url"))).join(shut, ["site", "path"], "left").join(there, ["site", "path"], "left").join(home, ["site", "own"], "left").join(also, ["site", "asked"], "left").join(sites.select("site", "llms"), "site", "left")
+    robots = F.lower(F.concat_ws(" ", "p.robots", "robots_header"))
+    day = F.try_to_date(F.nullif(F.regexp_extract("html", UPDATED, 1), F.lit("")), "MMMM yyyy")
     checks = {
-        "answers": status == 200, "indexable": indexable, "canonical": canonical, "title": F.coalesce(page["title"], F.lit("")) != "", "one main heading": F.size(F.filter(page["headings"], lambda h: h["level"] == 1)) == 1,
-        "enough words": words >= 100, "has links": F.size(page["links"]) > 0, "structured data": F.size(page["types"]) > 0,
+        "answers": F.col("status") == 200, "indexable": ~F.contains(robots, F.lit("noindex")), "canonical": (F.coalesce("p.canonical", F.lit("")) == "") | (bare(F.col("p.canonical")) == F.col("own")), "served as text": F.col("p.words") > 300,
+        "names the brand": F.contains(F.lower("html"), F.lit((brand or "").lower())), "updated within six months": F.datediff(as_of, day) < 190, "describes an organization": F.exists("p.types", lambda x: F.rlike(x, F.lit(ENTITY_TYPES))),
+        "lets crawlers in": F.col("shut").isNull(), "in a sitemap": F.col("there"), "linked from the home page": F.coalesce("home", "also"), "in llms.txt": F.contains("llms", F.col("path")),
     }
-    return F.array(*[F.struct(F.lit(n).alias("name"), F.coalesce(c, F.lit(False)).alias("ok"), F.lit(n == "structured data").alias("optional")) for n, c in checks.items()])
+    if not brand:
+        del checks["names the brand"]
+    each = F.array(*[F.struct(F.lit(n).alias("name"), F.coalesce(c, F.lit(False)).alias("ok"), F.lit(n == "in llms.txt").alias("optional")) for n, c in checks.items()])
+    return rows.select(key, F.explode(each).alias("x")).select(key, "x.name", "x.ok", "x.optional")
 
 
 def optimise_ice(score: Column) -> Column:

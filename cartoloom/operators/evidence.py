@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cartoloom.functions.pages import robots_rules
+
 
 def rule(rows: DataFrame, key: str, name: str, broken: Column, severity: str = "error") -> DataFrame:
     return rows.where(F.coalesce(broken, F.lit(False))).select(F.lit(severity).alias("severity"), F.lit(name).alias("rule"), F.col(key).cast("string").alias("key"))
@@ -63,19 +65,35 @@ def completeness(keys: DataFrame, placed: DataFrame, key: str) -> DataFrame:
     return keys.select(key).distinct().join(n, key, "full_outer").where(F.coalesce("count", F.lit(0)) != 1).select(key, F.coalesce("count", F.lit(0)).alias("n"))
 
 
-def robots_allowed(rules: DataFrame, requests: DataFrame) -> DataFrame:
+def robots_groups(files: DataFrame, *, by: Sequence[str], robots: str = "robots") -> DataFrame:
+    """The key columns, ``agent, kind, pattern`` of robots files: agents named in a row share the rules that follow.
+
+    Rules before any agent count for nothing; an agent without rules has one row without a pattern.
+    """
+    keys = list(by)
+    lines = files.select(*keys, F.posexplode(robots_rules(F.coalesce(robots, F.lit("")))).alias("i", "x")).select(*keys, "i", "x.field", "x.value")
+    w, agent = Window.partitionBy(*keys).orderBy("i"), F.col("field") == "user-agent"
+    marked = lines.withColumn("starts", agent & ~F.coalesce(F.lag(agent).over(w), F.lit(False))).withColumn("grp", F.sum(F.col("starts").cast("int")).over(w)).where("grp > 0")
+    rules = marked.where(F.col("field").isin("allow", "disallow")).select(*keys, "grp", F.col("field").alias("kind"), F.col("value").alias("pattern"))
+    return marked.where(agent).select(*keys, "grp", F.lower("value").alias("agent")).join(rules, [*keys, "grp"], "left").drop("grp")
+
+
+def robots_allowed(rules: DataFrame, requests: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
     """Longest matching pattern wins; groups that name the agent beat the star group; allowed by default.
 
-    rules: agent, kind (allow or disallow), pattern.  requests: agent, path.
+    rules: agent, kind (allow or disallow), pattern; requests: agent, path; both with the columns of ``by`` where rules
+    are those of a site.
     """
+    keys = list(by)
     rx = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace("pattern", r"([.+?()\[\]{}|^\\])", r"\\$1"), r"\*", ".*"))
-    own = requests.select(F.col("agent").alias("who"), "path").distinct()
-    names = rules.agg(F.collect_set(F.lower("agent")).alias("names"))  # the groups of a robots file
+    own = requests.select(*keys, F.col("agent").alias("who"), "path").distinct()
+    names = rules.groupBy(*keys).agg(F.collect_set(F.lower("agent")).alias("names"))  # the groups of a robots file
     named = F.filter("names", lambda a: (a != "*") & F.contains(F.lower("who"), a))
-    asked = own.crossJoin(F.broadcast(names)).select("who", "path", F.explode(F.when(F.size(named) > 0, named).otherwise(F.array(F.lit("*")))).alias("group"))
-    hit = asked.join(rules.withColumn("group", F.lower("agent")).withColumn("rx", rx), "group").where((F.col("pattern") != "") & F.regexp_like("path", F.col("rx")))
-    best = hit.groupBy("who", "path").agg(F.max_by("kind", F.struct(F.length("pattern"), F.col("kind") == "allow")).alias("kind"))
-    return own.join(best, ["who", "path"], "left").select(F.col("who").alias("agent"), "path", (F.coalesce("kind", F.lit("allow")) == "allow").alias("allowed"))
+    met = own.join(names, keys) if keys else own.crossJoin(F.broadcast(names))
+    asked = met.select(*keys, "who", "path", F.explode(F.when(F.size(named) > 0, named).otherwise(F.array(F.lit("*")))).alias("group"))
+    hit = asked.join(rules.withColumn("group", F.lower("agent")).withColumn("rx", rx), [*keys, "group"]).where((F.col("pattern") != "") & F.regexp_like("path", F.col("rx")))
+    best = hit.groupBy(*keys, "who", "path").agg(F.max_by("kind", F.struct(F.length("pattern"), F.col("kind") == "allow")).alias("kind"))
+    return own.join(best, [*keys, "who", "path"], "left").select(*keys, F.col("who").alias("agent"), "path", (F.coalesce("kind", F.lit("allow")) == "allow").alias("allowed"))
 
 
 def _runs(words: Column, n: int) -> Column:

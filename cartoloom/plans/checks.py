@@ -357,9 +357,28 @@ def ice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "part").select("p_partkey", a["impact"].alias("i1"), a["confidence"].alias("c1"), a["ease"].alias("e1"), b["confidence"].alias("c2"), c["impact"].alias("i3"), c["confidence"].alias("c3"), c["ease"].alias("e3"), d["impact"].alias("i4"), d["confidence"].alias("c4"))
 
 
-@query()
+_SITE = "regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)"
+_PATH = "regexp_replace(regexp_extract(url, '^[a-z]+://[^/:?#]+([^?#]*)', 1), '/+$', '')"
+
+
+@query(rf"""WITH p AS (SELECT page_id, {_SITE} AS site, {_PATH} AS path, html, page_id AS k FROM pages),
+w AS (SELECT page_id, len(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->|<(?:script|style|title)[^>]*>.*?</(?:script|style|title)>', '', 'g'), '</?(?:p|div|br|li|ul|article|nav|footer|h1)[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g'), '\s+'), lambda x: x <> '')) AS words FROM p),
+s AS (SELECT DISTINCT site, path FROM p WHERE k % 3 = 0), h AS (SELECT DISTINCT site, path FROM p WHERE k % 4 = 1)
+SELECT page_id, c.name, c.name = 'in llms.txt' AS optional, CASE c.name WHEN 'answers' THEN k % 7 > 0 WHEN 'indexable' THEN k % 8 > 1 WHEN 'canonical' THEN k % 5 > 0 WHEN 'served as text' THEN words + CASE WHEN k % 2 = 0 THEN 4 ELSE 0 END > 300
+  WHEN 'names the brand' THEN contains(lower(html), 'ouan') WHEN 'updated within six months' THEN k % 2 = 0 AND k % 6 > 0 WHEN 'describes an organization' THEN k % 9 = 0 WHEN 'lets crawlers in' THEN p.site LIKE '%.org' OR p.path NOT LIKE '/en/%' OR p.path LIKE '/en/1%'
+  WHEN 'in a sitemap' THEN s.path IS NOT NULL WHEN 'linked from the home page' THEN h.path IS NOT NULL ELSE p.site LIKE '%.net' AND contains('see /fr/1 and /en/2', p.path) END AS ok
+FROM p JOIN w USING (page_id) LEFT JOIN s ON s.site = p.site AND s.path = p.path LEFT JOIN h ON h.site = p.site AND h.path = p.path,
+(SELECT unnest(['answers', 'indexable', 'canonical', 'served as text', 'names the brand', 'updated within six months', 'describes an organization', 'lets crawlers in', 'in a sitemap', 'linked from the home page', 'in llms.txt']) AS name) c""")
 def live_page_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V13"""
-    p = t(spark, sf_dir, "pages").select("page_id", html.parse_page(F.col("html")).alias("p"))
-    checks = claims.page_checks(F.col("p"), words=F.col("p.words"), status=F.lit(200), indexable=F.lit(True), canonical=F.lit(True))
-    return p.select("page_id", F.explode(checks).alias("x")).select("page_id", "x.*")
+    """Eleven checks of the pages; heads, robots files, sitemaps and home pages are made for them"""
+    k, site, path = F.col("page_id"), F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1), F.regexp_replace(F.regexp_extract("url", "^[a-z]+://[^/:?#]+([^?#]*)", 1), "/+$", "")
+    head = F.concat(F.when(k % 8 == 0, '<meta name="robots" content="NOINDEX">').otherwise(""), F.when(k % 5 == 0, '<link rel="canonical" href="https://else.org/">').otherwise(""), F.when(k % 9 == 0, '<script type="application/ld+json">{"@graph": [{"@type": "LocalBusiness"}]}</script>').otherwise(""))
+    dated = F.when(k % 2 == 0, F.concat(F.lit("<p>Last updated: "), F.when(k % 6 == 0, "May 2025").otherwise("March 2026"), F.lit("</p>"))).otherwise("")
+    html_ = F.replace(F.replace("html", F.lit("</head>"), F.concat(head, F.lit("</head>"))), F.lit("<article>"), F.concat(F.lit("<article>"), dated))
+    own = F.concat(F.lit("https://"), site, path)
+    p = t(spark, sf_dir, "pages").select("page_id", site.alias("site"), own.alias("url"), own.alias("final"), F.when(k % 7 == 0, 404).otherwise(200).alias("status"), html_.alias("html"), F.when(k % 8 == 1, "noindex").alias("robots_header"))
+    robots = "User-agent: gptbot\nUser-agent: BingBot\nDisallow: /en/\nAllow: /en/1\n\nUser-agent: *\nDisallow:\n"
+    sites_ = p.select("site").distinct().select("site", F.when(~F.endswith("site", F.lit(".org")), robots).alias("robots"), F.when(F.endswith("site", F.lit(".net")), "see /fr/1 and /en/2").alias("llms"))
+    listed = p.where("page_id % 3 = 0").select("site", F.concat("url", F.lit("/")).alias("url"))
+    linked = p.where("page_id % 4 = 1").select("site", F.concat("url", F.lit("#top")).alias("href"))
+    return claims.live_checks(p, sites_, listed, linked, key="page_id", as_of=F.to_date(F.lit("2026-08-01")), brand="OUAN")

@@ -1,12 +1,13 @@
 """Passages word for word, sitemaps of sites, and BM25 against plain versions."""
 
 import collections
+import datetime as dt
 import math
 import random
 
 from pyspark.sql import functions as F
 
-from cartoloom.operators import evidence, search, sites
+from cartoloom.operators import claims, evidence, search, sites
 
 
 def test_passages_word_for_word(spark):
@@ -60,3 +61,24 @@ def test_bm25_against_the_formula(spark):
     assert got._jdf.queryExecution().toString().count("LocalTableScan") <= 4  # the documents are not read again
     none = search.bm25(spark.createDataFrame([], "d long, words array<string>"), spark.createDataFrame(asked, "q long, words array<string>"), doc_key="d", query_key="q")
     assert none.count() == 0
+
+
+def test_robots_groups_of_sites(spark):
+    files = [("a", "Disallow: /early\nUser-agent: One\nUser-Agent: two # here\nDisallow: /x\nAllow: /x/y\nSitemap: s\nUser-agent: *\nDisallow: /\nUser-agent: three"), ("b", None), ("c", "User-agent: *\nDisallow: /p*.html$")]
+    rules = evidence.robots_groups(spark.createDataFrame(files, "site string, robots string"), by=["site"])
+    asked = [("a", who, path) for who in ("OneBot", "two", "three", "other") for path in ("/x/1", "/x/y/2", "/early", "/")] + [("b", "OneBot", "/x/1"), ("c", "any", "/page.html"), ("c", "any", "/page.html?x")]
+    got = {(r.site, r.agent, r.path): r.allowed for r in evidence.robots_allowed(rules, spark.createDataFrame(asked, "site string, agent string, path string"), by=["site"]).collect()}
+    shut = {(s, w, p) for s, w, p in asked if (s == "a" and w in ("OneBot", "two") and p == "/x/1") or (s == "a" and w == "other") or (s == "c" and p == "/page.html")}
+    assert got == {x: x not in shut for x in asked}
+
+
+def test_live_checks(spark):
+    good = "<title>T</title><link rel=canonical href='https://a.org/info/'><script type='application/ld+json'>{\"@type\": [\"Organization\"]}</script><p>Acme</p>" + "word " * 301 + "<p><strong>Last updated:</strong> <time datetime=x>April 2026</time></p>"
+    schema = "k int, site string, url string, final string, status int, html string, robots_header string"
+    pages = [(1, "a", "https://a.org/info", "https://a.org/info/", 200, good, None), (2, "a", "https://a.org/old", None, 404, "<meta name=robots content='noindex'>Last updated: Smarch 2026", ""), (3, "z", "https://z.org", None, 200, None, "x-noindex")]
+    sites_ = [("a", "User-agent: *\nDisallow: /old", "see /info")]
+    run = lambda brand: claims.live_checks(spark.createDataFrame(pages, schema), spark.createDataFrame(sites_, "site string, robots string, llms string"), spark.createDataFrame([("a", "https://a.org/info/")], "site string, url string"), spark.createDataFrame([("a", "https://a.org/info#x")], "site string, href string"), key="k", as_of=F.lit(dt.date(2026, 9, 1)), brand=brand).collect()
+    got = run("acme")
+    assert len(got) == 33 and all(r.ok for r in got if r.k == 1) and {r.name for r in got if r.optional} == {"in llms.txt"}
+    assert {r.name for r in got if r.k == 2 and r.ok} == {"canonical"} and {r.name for r in got if r.k == 3 and r.ok} == {"answers", "canonical", "lets crawlers in"}
+    assert len(run(None)) == 30
