@@ -105,11 +105,11 @@ def closest_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("url", F.date_format("wanted", "yyyy-MM-dd HH").alias("wanted"), F.date_format("taken", "yyyy-MM-dd HH:mm:ss").alias("taken"))
 
 
-@query("""WITH RECURSIVE l AS (SELECT DISTINCT l_partkey % 150 AS source, l_suppkey % 150 AS destination FROM lineitem WHERE l_quantity > 49), w(url, level) AS (SELECT 1::BIGINT, 0 UNION SELECT l.destination, w.level + 1 FROM w JOIN l ON l.source = w.url WHERE w.level < 3)
+@query("""WITH RECURSIVE l AS (SELECT DISTINCT l_partkey % 150 AS source, l_suppkey % 150 AS destination FROM lineitem), w(url, level) AS (SELECT 1::BIGINT, 0 UNION SELECT l.destination, w.level + 1 FROM w JOIN l ON l.source = w.url WHERE w.level < 3)
 SELECT url, min(level)::INTEGER AS level FROM w GROUP BY url""")
 def crawl_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Breadth-first levels over a saved link table"""
-    l = t(spark, sf_dir, "lineitem").where("l_quantity > 49").select((F.col("l_partkey") % 150).alias("source"), (F.col("l_suppkey") % 150).alias("destination"))  # noqa: E741
+    l = t(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 150).alias("source"), (F.col("l_suppkey") % 150).alias("destination"))  # noqa: E741
     return sites.crawl_levels(l, spark.range(1).select(F.lit(1).cast("long").alias("url")), depth=3)
 
 
@@ -168,7 +168,7 @@ def _sql(*rules: tuple[str, str, str], ctes: str = "", warn: tuple[str, ...] = (
 
 
 _FINDINGS = """f AS (SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN []::VARCHAR[] WHEN 1 THEN ['p1', 'ghost'] ELSE ['p' || (c_custkey % 3)] END AS personas, CASE c_custkey % 3 WHEN 0 THEN 'minor' WHEN 1 THEN 'major' ELSE 'critical' END AS severity, c_mktsegment AS category FROM customer),
-p AS (SELECT unnest(['p0', 'p1', 'p2', 'p9']) AS id), u AS (SELECT DISTINCT unnest(personas) AS x FROM f), r AS (SELECT c_custkey * 40 AS id FROM customer WHERE c_custkey < 60)"""
+p AS (SELECT unnest(['p0', 'p1', 'p2', 'p9']) AS id), u AS (SELECT DISTINCT unnest(personas) AS x FROM f), r AS (SELECT c_custkey * 40 AS id FROM customer)"""
 
 
 def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,7 +183,7 @@ def persona_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J14"""
     f = _findings(spark, sf_dir)
     people = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in ("p0", "p1", "p2", "p9")])).alias("id"))
-    r = t(spark, sf_dir, "customer").where("c_custkey < 60").select((F.col("c_custkey") * 40).alias("id"))
+    r = t(spark, sf_dir, "customer").select((F.col("c_custkey") * 40).alias("id"))
     return claims.persona_rules(f, people).unionByName(claims.priority_rules(r, f))
 
 
@@ -194,7 +194,7 @@ def severity_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return claims.severity_counts(_findings(spark, sf_dir), last="BUILDING")
 
 
-_CLAIMS = """c AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'sitemap' WHEN o_orderkey % 3 = 1 THEN 'text' END AS kind, 'u' || (o_custkey % 50) AS u, o_orderstatus AS term FROM orders WHERE o_orderkey < 900),
+_CLAIMS = """c AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'sitemap' WHEN o_orderkey % 3 = 1 THEN 'text' END AS kind, 'u' || (o_custkey % 50) AS u, o_orderstatus AS term FROM orders),
 k AS (SELECT 'u' || s_suppkey AS u, 'P' AS term, CASE WHEN s_suppkey % 4 = 0 THEN 500 ELSE 200 END AS status, s_suppkey % 3 = 0 AS absent FROM supplier WHERE s_suppkey < 40), b AS (SELECT 'u' || s_suppkey AS u, s_suppkey % 2 = 0 AS inside FROM supplier WHERE s_suppkey < 30)"""
 
 
@@ -204,18 +204,18 @@ def absence_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J15, V03"""
     k, s = F.col("o_orderkey"), F.col("s_suppkey")
     u = lambda x: F.concat(F.lit("u"), x.cast("string"))
-    c = t(spark, sf_dir, "orders").where("o_orderkey < 900").select(k.alias("id"), F.when(k % 3 == 0, "sitemap").when(k % 3 == 1, "text").alias("kind"), F.concat(u(F.col("o_custkey") % 50), F.lit("/")).alias("url"), F.col("o_orderstatus").alias("term"))
+    c = t(spark, sf_dir, "orders").select(k.alias("id"), F.when(k % 3 == 0, "sitemap").when(k % 3 == 1, "text").alias("kind"), F.concat(u(F.col("o_custkey") % 50), F.lit("/")).alias("url"), F.col("o_orderstatus").alias("term"))
     sup = t(spark, sf_dir, "supplier")
     checks = sup.where("s_suppkey < 40").select(u(s).alias("url"), F.lit("P").alias("term"), F.when(s % 4 == 0, 500).otherwise(200).alias("status"), (s % 3 == 0).alias("absent"))
     return claims.absence_rules(c, checks, sup.where("s_suppkey < 30").select(u(s).alias("url"), (s % 2 == 0).alias("in_sitemap")))
 
 
-_QUESTIONS = """q AS (SELECT p_partkey % 300 AS n, p_name || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '?' END AS question, CASE WHEN p_partkey % 8 = 0 THEN 'see {{x}}' ELSE p_type || repeat(' word', p_size * 8) END AS answer, p_brand AS bucket, p_type AS placement, CASE p_partkey % 4 WHEN 0 THEN 'first-party' WHEN 1 THEN 'mixed' WHEN 2 THEN 'rumour' END AS evidence, CASE WHEN p_partkey % 5 = 0 THEN ['note'] ELSE ['http://x'] END AS sources FROM part WHERE p_partkey < 400)"""
+_QUESTIONS = """q AS (SELECT p_partkey % 300 AS n, p_name || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '?' END AS question, CASE WHEN p_partkey % 8 = 0 THEN 'see {{x}}' ELSE p_type || repeat(' word', p_size * 8) END AS answer, p_brand AS bucket, p_type AS placement, CASE p_partkey % 4 WHEN 0 THEN 'first-party' WHEN 1 THEN 'mixed' WHEN 2 THEN 'rumour' END AS evidence, CASE WHEN p_partkey % 5 = 0 THEN ['note'] ELSE ['http://x'] END AS sources FROM part)"""
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
-    return t(spark, sf_dir, "part").where("p_partkey < 400").select(
+    return t(spark, sf_dir, "part").select(
         (k % 300).alias("n"), F.concat("p_name", F.when(k % 3 == 0, "").otherwise("?")).alias("question"), F.when(k % 8 == 0, "see {{x}}").otherwise(F.concat("p_type", F.expr("repeat(' word', p_size * 8)"))).alias("answer"),
         F.col("p_brand").alias("bucket"), F.col("p_type").alias("placement"), F.when(k % 4 == 0, "first-party").when(k % 4 == 1, "mixed").when(k % 4 == 2, "rumour").alias("evidence"), F.when(k % 5 == 0, F.array(F.lit("note"))).otherwise(F.array(F.lit("http://x"))).alias("sources"),
     )
@@ -234,15 +234,15 @@ def bucket_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return claims.bucket_counts(_questions(spark, sf_dir))
 
 
-_LINKS = f"""{_QUESTIONS}, i AS (SELECT l_partkey AS n, l_returnflag || ' a' AS anchor, 'u' || (l_suppkey % 9) AS url FROM lineitem WHERE l_partkey < 300 AND l_quantity > 47), e AS (SELECT l_partkey AS n, 'small ring?' AS question, l_linestatus || ' a' AS anchor, 'u' || (l_suppkey % 9) AS url FROM lineitem WHERE l_partkey < 900 AND l_quantity < 3),
+_LINKS = f"""{_QUESTIONS}, i AS (SELECT l_partkey AS n, l_returnflag || ' a' AS anchor, 'u' || (l_suppkey % 9) AS url FROM lineitem), e AS (SELECT l_partkey AS n, 'small ring?' AS question, l_linestatus || ' a' AS anchor, 'u' || (l_suppkey % 9) AS url FROM lineitem),
 a AS (SELECT n, url, anchor, 'inline' AS via FROM i UNION ALL SELECT e.n, url, anchor, 'picked' FROM e JOIN q ON e.n = q.n UNION ALL SELECT q.n, url, anchor, 'picked' FROM e JOIN q ON e.question = q.question), l AS (SELECT n, url, anchor, min(via) AS via FROM a GROUP BY n, url, anchor)"""
 
 
 def _question_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = t(spark, sf_dir, "lineitem")  # noqa: E741
     url = F.concat(F.lit("u"), (F.col("l_suppkey") % 9).cast("string")).alias("url")
-    inline = l.where("l_partkey < 300 AND l_quantity > 47").select(F.col("l_partkey").alias("n"), F.concat("l_returnflag", F.lit(" a")).alias("anchor"), url)
-    picked = l.where("l_partkey < 900 AND l_quantity < 3").select(F.col("l_partkey").alias("n"), F.lit(" small ring?").alias("question"), F.concat("l_linestatus", F.lit(" a")).alias("anchor"), url)
+    inline = l.select(F.col("l_partkey").alias("n"), F.concat("l_returnflag", F.lit(" a")).alias("anchor"), url)
+    picked = l.select(F.col("l_partkey").alias("n"), F.lit(" small ring?").alias("question"), F.concat("l_linestatus", F.lit(" a")).alias("anchor"), url)
     return claims.question_links(_questions(spark, sf_dir), inline, picked)
 
 
@@ -255,21 +255,21 @@ def question_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_sql(("more than one link", "n", "(SELECT n FROM l GROUP BY n HAVING count(DISTINCT url) > 1 OR count(*) FILTER (via = 'inline') > 1)"), ("target not in inventory", "n", "x WHERE status IS NULL"), ("target redirects or errors", "n", "x WHERE status <> 200 OR final <> url"), ("target not indexable", "n", "x WHERE status = 200 AND final = url AND NOT indexable"),
             ("target not self-canonical", "n", "x WHERE canonical <> '' AND canonical <> url"), ("links to the home page", "n", "x WHERE home"), ("anchor not verbatim", "n", "l WHERE NOT contains('R a F a', anchor)"), ("generic anchor", "n", "l WHERE anchor = 'F a'"), ("anchor is the brand", "n", "l WHERE anchor = 'O a'"),
             ("target used too often", "url", "(SELECT url FROM l GROUP BY url HAVING count(*) > 2)"),
-            ctes=_LINKS + ", v AS (SELECT 'u' || s_suppkey AS url, CASE WHEN s_suppkey = 3 THEN 404 ELSE 200 END AS status, CASE WHEN s_suppkey = 4 THEN 'u5' ELSE 'u' || s_suppkey END AS final, CASE WHEN s_suppkey = 5 THEN 'u6' ELSE '' END AS canonical, s_suppkey <> 6 AS indexable, s_suppkey = 1 AS home FROM supplier WHERE s_suppkey < 8), x AS (SELECT l.*, v.* EXCLUDE (url) FROM l LEFT JOIN v USING (url))"))
+            ctes=_LINKS + ", v AS (SELECT 'u' || s_suppkey AS url, CASE WHEN s_suppkey = 3 THEN 404 ELSE 200 END AS status, CASE WHEN s_suppkey = 4 THEN 'u5' ELSE 'u' || s_suppkey END AS final, CASE WHEN s_suppkey = 5 THEN 'u6' ELSE '' END AS canonical, s_suppkey <> 6 AS indexable, s_suppkey = 1 AS home FROM supplier), x AS (SELECT l.*, v.* EXCLUDE (url) FROM l LEFT JOIN v USING (url))"))
 def link_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V05"""
     s = F.col("s_suppkey")
     u = lambda x: F.concat(F.lit("u"), x.cast("string"))
-    inventory = t(spark, sf_dir, "supplier").where("s_suppkey < 8").select(u(s).alias("url"), F.when(s == 3, 404).otherwise(200).alias("status"), F.when(s == 4, "u5").otherwise(u(s)).alias("final"), F.when(s == 5, "u6").otherwise("").alias("canonical"), (s != 6).alias("indexable"), (s == 1).alias("home"))
+    inventory = t(spark, sf_dir, "supplier").select(u(s).alias("url"), F.when(s == 3, 404).otherwise(200).alias("status"), F.when(s == 4, "u5").otherwise(u(s)).alias("final"), F.when(s == 5, "u6").otherwise("").alias("canonical"), (s != 6).alias("indexable"), (s == 1).alias("home"))
     return claims.link_rules(_question_links(spark, sf_dir).withColumn("answer", F.lit("R a F a")), inventory, generic=["f a"], brand="O a")
 
 
-@query("""WITH w AS (SELECT conv_id * 100 + turn AS n, lower(text) AS q, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: length(x) > 1)) AS tokens FROM conversations WHERE turn < 2)
+@query("""WITH w AS (SELECT conv_id * 100 + turn AS n, lower(text) AS q, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: length(x) > 1)) AS tokens FROM conversations)
 SELECT a.n AS a, b.n AS b FROM w a JOIN w b ON a.n < b.n WHERE a.q = b.q OR (len(a.tokens) > 0 AND len(b.tokens) > 0 AND round(len(list_intersect(a.tokens, b.tokens)) / len(list_distinct(a.tokens || b.tokens)), 9) >= 0.2)""")
 def near_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D14"""
     words = F.array_distinct(F.filter(text.ascii_words(F.col("text")), lambda w: F.length(w) > 1))
-    c = t(spark, sf_dir, "conversations").where("turn < 2").select((F.col("conv_id") * 100 + F.col("turn")).alias("n"), F.col("text").alias("question"), words.alias("tokens"))
+    c = t(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("n"), F.col("text").alias("question"), words.alias("tokens"))
     return claims.near_questions(c, least=0.2)
 
 
@@ -297,7 +297,7 @@ def prediction_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ASPECTS = """a AS (SELECT CASE WHEN n_nationkey = 4 THEN 'Bad Id' ELSE lower(n_name) END AS id, CASE WHEN n_nationkey = 5 THEN '' ELSE n_name END AS label, CASE WHEN n_nationkey <> 6 THEN 'd' END AS description, CASE WHEN n_regionkey = 1 THEN 'nobody' ELSE 'product' END AS owner FROM nation),
-l AS (SELECT doc_id AS id, 'nation_' || (doc_id % 30) AS aspect, (doc_id % 6 - 2)::INTEGER AS polarity, CASE doc_id % 4 WHEN 0 THEN 'minor' WHEN 1 THEN 'fatal' END AS severity FROM documents WHERE doc_id < 300)"""
+l AS (SELECT doc_id AS id, 'nation_' || (doc_id % 30) AS aspect, (doc_id % 6 - 2)::INTEGER AS polarity, CASE doc_id % 4 WHEN 0 THEN 'minor' WHEN 1 THEN 'fatal' END AS severity FROM documents)"""
 
 
 @query(_sql(("eight to fifteen aspects", "'aspects'", "(SELECT count(*) AS n FROM a) WHERE n NOT BETWEEN 8 AND 15"), ("id format", "id", "a WHERE NOT regexp_full_match(id, '[a-z][a-z0-9_]{1,40}')"), ("duplicate id", "id", "(SELECT id FROM a GROUP BY id HAVING count(*) > 1)"), ("missing label", "id", "a WHERE label = ''"), ("missing description", "id", "a WHERE description IS NULL"), ("unknown owner", "id", "a WHERE owner <> 'product'"),
@@ -306,7 +306,7 @@ def label_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V09"""
     n, d = F.col("n_nationkey"), F.col("doc_id")
     a = t(spark, sf_dir, "nation").select(F.when(n == 4, "Bad Id").otherwise(F.lower("n_name")).alias("id"), F.when(n == 5, "").otherwise(F.col("n_name")).alias("label"), F.when(n != 6, "d").alias("description"), F.when(F.col("n_regionkey") == 1, "nobody").otherwise("product").alias("owner"))
-    labels = t(spark, sf_dir, "documents").where("doc_id < 300").select(d.alias("id"), F.create_map(F.concat(F.lit("nation_"), (d % 30).cast("string")), (d % 6 - 2).cast("int")).alias("aspects"), F.when(d % 4 == 0, "minor").when(d % 4 == 1, "fatal").alias("severity"))
+    labels = t(spark, sf_dir, "documents").select(d.alias("id"), F.create_map(F.concat(F.lit("nation_"), (d % 30).cast("string")), (d % 6 - 2).cast("int")).alias("aspects"), F.when(d % 4 == 0, "minor").when(d % 4 == 1, "fatal").alias("severity"))
     return claims.taxonomy_rules(a, owners=["product"]).unionByName(claims.label_rules(labels, a, t(spark, sf_dir, "labels").select(d.alias("id"))))
 
 
@@ -338,12 +338,12 @@ def prompt_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return claims.prompt_rules(p.where("id % 10 <> 0 or id % 9 = 0"), groups=["BUILDING", "ZEBRA"], longest=90)
 
 
-@query(_sql(("label missing", "'NATION_77'", "(SELECT 1)"), ("fact without source", "n_name", "nation WHERE n_nationkey % 5 = 0"), ("promise or superlative", "doc_id", "documents WHERE regexp_matches(text, '(?i)\\b(?:ouon|les)\\b') AND doc_id < 200"), ("too long", "'document'", "(SELECT 1)"), warn=("too long",)))
+@query(_sql(("label missing", "'NATION_77'", "(SELECT 1)"), ("fact without source", "n_name", "nation WHERE n_nationkey % 5 = 0"), ("promise or superlative", "doc_id", "documents WHERE regexp_matches(text, '(?i)\\b(?:ouon|les)\\b')"), ("too long", "'document'", "(SELECT 1)"), warn=("too long",)))
 def fact_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V02"""
     n = F.col("n_nationkey")
     facts = t(spark, sf_dir, "nation").select(F.col("n_name").alias("label"), F.when(n % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("s"))).alias("sources"))
-    parts = t(spark, sf_dir, "documents").where("doc_id < 200").select(F.col("doc_id").alias("key"), "text")
+    parts = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
     return claims.fact_rules(facts, parts, labels=["NATION_1", "NATION_77"], promises=r"(?i)(?:^|[^A-Za-z0-9_])(?:ouon|les)(?:$|[^A-Za-z0-9_])")
 
 

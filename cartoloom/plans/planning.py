@@ -183,16 +183,16 @@ def cluster_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("cluster", "role", topics.action(F.col("status"), F.coalesce("role", F.lit("")), F.col("head") % 2 == 0, {"Owned": "Hold", "Striking": "Improve", "Cannibalised": "Consolidate"}).alias("action"))
 
 
-@query(f"""WITH {_KW}, r AS (SELECT l_orderkey AS id, 'u' || (l_partkey % 200) AS url, 's' || (l_partkey % 17) || '.com' AS host FROM lineitem WHERE l_orderkey < 150), u AS (SELECT DISTINCT id, url FROM r WHERE host <> 's3.com'),
-k AS (SELECT DISTINCT id, ['w' || (id % 12), 'v' || (id % 30)] AS tokens FROM r), peers AS (SELECT a.id AS a, b.id AS b FROM k a JOIN k b ON a.id < b.id AND list_has_any(a.tokens, b.tokens)),
+@query(f"""WITH {_KW}, r AS (SELECT l_orderkey AS id, 'u' || (l_partkey % 200) AS url, 's' || (l_partkey % 17) || '.com' AS host FROM lineitem), u AS (SELECT DISTINCT id, url FROM r WHERE host <> 's3.com'),
+k AS (SELECT DISTINCT id, ['w' || (id % 1201), 'v' || (id % 3001)] AS tokens FROM r), peers AS (SELECT a.id AS a, b.id AS b FROM k a JOIN k b ON a.id < b.id AND list_has_any(a.tokens, b.tokens)),
 p AS (SELECT a, b, count(y.url) AS shared FROM peers LEFT JOIN u x ON x.id = a LEFT JOIN u y ON y.id = b AND y.url = x.url GROUP BY a, b),
 s AS (SELECT id FROM (SELECT a AS id, shared FROM p UNION ALL SELECT b, shared FROM p) GROUP BY id HAVING max(shared) = 0)
 SELECT a, b, shared, a IN (FROM s) OR b IN (FROM s) AS suspect, CASE WHEN a IN (FROM s) OR b IN (FROM s) THEN 'keep' WHEN shared >= 2 THEN 'merge' WHEN shared < 1 THEN 'split' ELSE 'keep' END AS decision FROM p""")
 def serp_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S26's use, J18, G11"""
     part = F.col("l_partkey")
-    r = t(spark, sf_dir, "lineitem").where("l_orderkey < 150").select(F.col("l_orderkey").alias("id"), F.concat(F.lit("u"), (part % 200).cast("string")).alias("url"), F.concat(F.lit("s"), (part % 17).cast("string"), F.lit(".com")).alias("host"))
-    k = r.select("id").distinct().select("id", F.array(F.concat(F.lit("w"), (F.col("id") % 12).cast("string")), F.concat(F.lit("v"), (F.col("id") % 30).cast("string"))).alias("tokens"))
+    r = t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.concat(F.lit("u"), (part % 200).cast("string")).alias("url"), F.concat(F.lit("s"), (part % 17).cast("string"), F.lit(".com")).alias("host"))
+    k = r.select("id").distinct().select("id", F.array(F.concat(F.lit("w"), (F.col("id") % 1201).cast("string")), F.concat(F.lit("v"), (F.col("id") % 3001).cast("string"))).alias("tokens"))
     return topics.serp_overlaps(r, k, platforms=["s3.com"], merge=2, split=1)
 
 

@@ -14,12 +14,12 @@ from cartoloom.operators import evidence, graph, keywords, links, reviews, searc
 from cartoloom.plans.registry import query, t
 from cartoloom.sources import files
 
-_L = """l AS (SELECT l_partkey % 120 AS source, l_suppkey % 120 AS destination, CASE (l_orderkey % 5) WHEN 0 THEN 'nav' WHEN 1 THEN 'footer' ELSE 'contextual' END AS class, l_returnflag || ' ' || l_linestatus AS anchor, CASE l_orderkey % 9 WHEN 0 THEN 404 WHEN 1 THEN 301 ELSE 200 END AS status, l_orderkey FROM lineitem WHERE l_quantity > 44)"""
+_L = """l AS (SELECT l_partkey % 120 AS source, l_suppkey % 120 AS destination, CASE (l_orderkey % 5) WHEN 0 THEN 'nav' WHEN 1 THEN 'footer' ELSE 'contextual' END AS class, l_returnflag || ' ' || l_linestatus AS anchor, CASE l_orderkey % 9 WHEN 0 THEN 404 WHEN 1 THEN 301 ELSE 200 END AS status, l_orderkey FROM lineitem)"""
 
 
 def _link_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = F.col("l_orderkey")
-    return t(spark, sf_dir, "lineitem").where("l_quantity > 44").select((F.col("l_partkey") % 120).alias("source"), (F.col("l_suppkey") % 120).alias("destination"), F.when(o % 5 == 0, "nav").when(o % 5 == 1, "footer").otherwise("contextual").alias("class"), F.concat_ws(" ", "l_returnflag", "l_linestatus").alias("anchor"), F.when(o % 9 == 0, 404).when(o % 9 == 1, 301).otherwise(200).alias("status"), "l_orderkey")
+    return t(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 120).alias("source"), (F.col("l_suppkey") % 120).alias("destination"), F.when(o % 5 == 0, "nav").when(o % 5 == 1, "footer").otherwise("contextual").alias("class"), F.concat_ws(" ", "l_returnflag", "l_linestatus").alias("anchor"), F.when(o % 9 == 0, 404).when(o % 9 == 1, 301).otherwise(200).alias("status"), "l_orderkey")
 
 
 @query(f"""WITH {_L}, i AS (SELECT destination AS url, count(*) AS inlinks, count(*) FILTER (class = 'contextual') AS contextual FROM l GROUP BY destination), p AS (SELECT k AS url, coalesce(inlinks, 0) AS inlinks, CASE WHEN k % 7 < 3 THEN coalesce(contextual, 0) % 4 ELSE coalesce(contextual, 0) END AS contextual, k % 6 AS depth, (k * 37) % 100 - 20 AS impressions FROM (SELECT unnest(range(150)) AS k) LEFT JOIN i ON i.url = k),
@@ -118,14 +118,14 @@ def section_shortlists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.section_candidates(sc, se, own, none, se.select("source", (F.col("source") % 3).alias("target")).distinct(), k=4)
 
 
-@query("""WITH c AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey % 40 AS source, l_suppkey % 40 AS target, CASE WHEN l_partkey % 9 = 0 THEN '' WHEN l_partkey % 9 = 1 THEN 'one' WHEN l_partkey % 9 = 2 THEN 'click here' ELSE l_returnflag || ' way ' || l_linestatus END AS anchor, CASE WHEN l_suppkey % 7 = 0 THEN 'other' ELSE 'click here one ' || l_returnflag || ' way ' || l_linestatus END AS body FROM lineitem WHERE l_quantity > 49)
+@query("""WITH c AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey % 40 AS source, l_suppkey % 40 AS target, CASE WHEN l_partkey % 9 = 0 THEN '' WHEN l_partkey % 9 = 1 THEN 'one' WHEN l_partkey % 9 = 2 THEN 'click here' ELSE l_returnflag || ' way ' || l_linestatus END AS anchor, CASE WHEN l_suppkey % 7 = 0 THEN 'other' ELSE 'click here one ' || l_returnflag || ' way ' || l_linestatus END AS body FROM lineitem)
 SELECT id, source, target, CASE WHEN source % 11 = 0 THEN 'source not eligible' WHEN target % 13 = 0 THEN 'target not eligible' WHEN source = target THEN 'self' END AS first_reason,
 CASE WHEN (source + target) % 17 = 0 THEN 'already linked' WHEN abs(source - target) = 1 THEN 'near duplicate' WHEN anchor = '' THEN 'no anchor' WHEN NOT contains(body, anchor) THEN 'not verbatim' WHEN anchor = 'one' THEN 'anchor length' WHEN anchor = 'click here' THEN 'generic anchor' END AS second_reason, CASE WHEN anchor LIKE 'A way%' THEN 3 END::BIGINT AS owner FROM c""")
 def drop_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What can be said of each candidate alone"""
     p, s = F.col("l_partkey"), F.col("l_suppkey")
     way = F.concat_ws(" way ", "l_returnflag", "l_linestatus")
-    c = t(spark, sf_dir, "lineitem").where("l_quantity > 49").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (p % 40).alias("source"), (s % 40).alias("target"), F.when(p % 9 == 0, "").when(p % 9 == 1, "one").when(p % 9 == 2, "click here").otherwise(way).alias("anchor"), F.when(s % 7 == 0, "other").otherwise(F.concat(F.lit("click here one "), way)).alias("sentence_text"))
+    c = t(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (p % 40).alias("source"), (s % 40).alias("target"), F.when(p % 9 == 0, "").when(p % 9 == 1, "one").when(p % 9 == 2, "click here").otherwise(way).alias("anchor"), F.when(s % 7 == 0, "other").otherwise(F.concat(F.lit("click here one "), way)).alias("sentence_text"))
     grid = spark.range(40).select(F.col("id").alias("a")).crossJoin(spark.range(40).select(F.col("id").alias("b")))
     pages = spark.range(40).select(F.col("id").alias("url"), (F.col("id") % 11 != 0).alias("source_ok"), (F.col("id") % 13 != 0).alias("target_ok"))
     owners = c.where("anchor like 'A way%'").select("anchor", F.lit(3).cast("long").alias("target")).distinct()
@@ -378,7 +378,7 @@ def robots_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def selected_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Taken in order, site by site"""
     p, s = F.col("l_partkey"), F.col("l_suppkey")
-    c = t(spark, sf_dir, "lineitem").where("l_quantity > 48").select((p % 10).alias("site"), p.alias("source"), s.alias("target"), F.concat_ws(" way ", "l_returnflag", "l_linestatus").alias("anchor"), F.col("l_linenumber").alias("sentence"), F.col("l_extendedprice").alias("score"))
+    c = t(spark, sf_dir, "lineitem").select((p % 10).alias("site"), p.alias("source"), s.alias("target"), F.concat_ws(" way ", "l_returnflag", "l_linestatus").alias("anchor"), F.col("l_linenumber").alias("sentence"), F.col("l_extendedprice").alias("score"))
     return graph.select_links(c).select("source", "target", "score", "drop_reason")
 
 
