@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cartoloom.operators import clusters, keywords, reviews, topics
 from cartoloom.plans import planning
 from cartoloom.plans.registry import query, t
-from cartoloom.sources import calls, files, reports
+from cartoloom.sources import calls, files, paged, reports
 from cartoloom.sources.scratch import scratch
 
 
@@ -147,3 +147,20 @@ def formed_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = planning._clustered(spark, sf_dir)
     c = topics.heads(members).withColumn("name", F.col("cluster"))
     return clusters.form_topics(c, topics.cluster_links(members, planning._edges(spark, sf_dir)), threshold=0.75, coverage=0.01)
+
+
+@query("""SELECT user_id::VARCHAR AS dataset, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n, event_id, event_type, value FROM events""")
+def paged_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as saved pages of seven items that overlap by two, read back as rows"""
+    item = F.struct("event_id", "event_type", "value")
+    rows = t(spark, sf_dir, "events").select("user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("rn"), item.alias("item")).withColumn("n", F.col("rn") - 1)
+    total = Window.partitionBy("user_id")
+    # an item is on the page where it starts a stride of five, and on the one before if it is among its first two
+    on = F.explode(F.filter(F.array(F.floor(F.col("n") / 5), F.when((F.col("n") % 5 < 2) & (F.col("n") >= 5), F.floor(F.col("n") / 5) - 1)), lambda x: x.isNotNull()))
+    placed = rows.withColumn("total", F.count("*").over(total)).withColumn("page", on)
+    saved = placed.groupBy("user_id", "page").agg(F.first("total").alias("total"), F.array_sort(F.collect_list(F.struct("n", "item"))).alias("x"))
+    body = F.to_json(F.struct(F.col("user_id").cast("string").alias("dataset"), (F.col("page") * 5).alias("offset"), "total", F.col("x.item").alias("items")))
+    folder = scratch(spark, "pages")
+    saved.select(body.alias("body")).write.text(folder)
+    pages = spark.read.text(folder).withColumnRenamed("value", "body")
+    return paged.page_rows(pages, "event_id long, event_type string, value double").select("dataset", "n", "event_id", "event_type", "value")
