@@ -16,7 +16,7 @@ def without_operators(rows: DataFrame, column: str) -> DataFrame:
 def main_country(rows: DataFrame, column: str) -> DataFrame:
     """Rows of the most frequent country, ties by name."""
     top = rows.groupBy(column).count().orderBy(F.desc("count"), column).limit(1).select(column)
-    return rows.join(F.broadcast(top), column, "left_semi")
+    return rows.join(F.broadcast(top), column, "left_semi")  # one row
 
 
 def best_rows(rows: DataFrame, *, key: str, position: str, volume: str, row_id: str, mode: str = "sum") -> DataFrame:

@@ -182,7 +182,7 @@ def audit_flags(pages: DataFrame, *, deep: int = 3, few: int = 2, top: int = 15)
     orphan = F.when(F.col("inlinks") == 0, "no inlinks").when(F.col("contextual") == 0, "no contextual").otherwise("")
     need = pages.where((F.col("contextual") <= few) & (F.col("impressions") > 0)).orderBy(F.desc("impressions"), "url").limit(top).select("url", F.lit(True).alias("needs_links"))
     rows = pages.withColumn("orphan", orphan).withColumn("deep", F.coalesce(F.col("depth") > deep, F.lit(False)))
-    return rows.join(F.broadcast(need), "url", "left").withColumn("needs_links", F.coalesce("needs_links", F.lit(False)))
+    return rows.join(need, "url", "left").withColumn("needs_links", F.coalesce("needs_links", F.lit(False)))
 
 
 def lowest_coverage(scores: DataFrame, *, page: str, score: str, most: int) -> DataFrame:

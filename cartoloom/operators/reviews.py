@@ -42,7 +42,7 @@ def net_sentiment(labelled: DataFrame, score: str) -> DataFrame:
 
 def star_average(reviews: DataFrame, platforms: DataFrame) -> DataFrame:
     """Mean rating over platforms with stars (unknown ones have them)."""
-    own = reviews.join(F.broadcast(platforms.select("platform", "stars")), "platform", "left").where(F.coalesce("stars", F.lit(True)) & F.col("rating").isNotNull())
+    own = reviews.join(platforms.select("platform", "stars"), "platform", "left").where(F.coalesce("stars", F.lit(True)) & F.col("rating").isNotNull())
     return own.agg(F.round(F.avg("rating"), 4).alias("average"), F.count("*").alias("n"))
 
 
@@ -72,7 +72,7 @@ def aspect_counts(labelled: DataFrame, taxonomy: DataFrame, aspects: str = "aspe
     """Mentions of every aspect of the taxonomy by sign; unmentioned ones have zeros."""
     long = labelled.select(F.explode(aspects).alias("aspect", "score"))
     counts = long.groupBy("aspect").agg(F.count("*").alias("mentions"), F.count_if(F.col("score") > 0).alias("positive"), F.count_if(F.col("score") < 0).alias("negative"), F.count_if(F.col("score") == 0).alias("neutral"))
-    full = F.broadcast(taxonomy.select(F.col("id").alias("aspect"))).join(counts, "aspect", "left")
+    full = taxonomy.select(F.col("id").alias("aspect")).join(counts, "aspect", "left")
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("mentions", "positive", "negative", "neutral")]
     return full.select("aspect", *zero)
 

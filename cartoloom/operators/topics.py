@@ -265,6 +265,6 @@ def by_cluster(members: DataFrame, clusters: DataFrame, topics: DataFrame) -> Da
     before = Window.orderBy("part", F.desc("d"), "topic").rowsBetween(Window.unboundedPreceding, -1)
     starts = sections.select(F.col("part").alias("p"), F.col("topic").alias("t"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     within = Window.partitionBy("part", "topic").orderBy(F.desc(F.when(F.col("part") == 0, F.col("cluster_demand"))), F.when(F.col("part") == 0, F.col("cluster")), F.when((F.col("part") == 0) & (F.col("id") == F.col("head")), 0).otherwise(1), F.desc("demand"), "keyword", "id")
-    placed = rows.withColumn("rn", F.row_number().over(within)).join(F.broadcast(starts), (F.col("part") == F.col("p")) & F.col("topic").eqNullSafe(F.col("t")))
+    placed = rows.withColumn("rn", F.row_number().over(within)).join(starts, (F.col("part") == F.col("p")) & F.col("topic").eqNullSafe(F.col("t")))
     label = F.when(F.col("part") == 2, "Branded").when(F.col("part") == 1, "Unclustered").otherwise(F.col("cluster"))
     return placed.select(F.coalesce("topic", F.lit("")).alias("topic"), label.alias("cluster"), "id", "keyword", "demand", (F.col("start") + F.col("rn")).alias("place"))

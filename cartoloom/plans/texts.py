@@ -76,11 +76,12 @@ def script_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "supplier").select("s_suppkey", F.array_join(html.csp_sources(policy, "script-src"), " ").alias("sources"))
 
 
-@query("""SELECT c_custkey, 'a cafe s price ' || c_custkey || '% of it' AS key FROM customer""")
+@query(r"""WITH d AS (SELECT doc_id, regexp_replace(regexp_replace(lower(text), '[“”‘’"''`]', '', 'g'), '[-‐-―/]', ' ', 'g') AS x FROM documents),
+k AS (SELECT doc_id, trim(regexp_replace(regexp_replace(x, '[^\p{L}\p{M}\p{Nd}\p{Pc}\s%$€£.]', '', 'g'), '\s+', ' ', 'g')) AS key FROM d) SELECT doc_id, length(key)::INTEGER AS letters, md5(key) AS digest FROM k""")
 def evidence_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F06, F07"""
-    said = F.concat(F.lit("“A cafe‑s   price”: "), F.col("c_custkey").cast("string"), F.lit("% — of, it!"))
-    return t(spark, sf_dir, "customer").select("c_custkey", text.evidence_key(said).alias("key"))
+    """whole texts as keys of comparison"""
+    key = text.evidence_key(F.col("text"))
+    return t(spark, sf_dir, "documents").select("doc_id", key.alias("key")).select("doc_id", F.length("key").alias("letters"), F.md5(F.col("key").cast("binary")).alias("digest"))
 
 
 _FOUND = """f AS (SELECT CASE WHEN c_custkey % 50 = 0 THEN 'Bad Id' ELSE 'f-' || c_custkey % 1400 END AS id, c_mktsegment AS category, CASE c_custkey % 3 WHEN 0 THEN 'critical' WHEN 1 THEN 'minor' ELSE 'huge' END AS severity, CASE c_custkey % 4 WHEN 0 THEN 'stated' WHEN 1 THEN 'contradicted' WHEN 2 THEN 'absent' ELSE 'inferred' END AS e, c_custkey % 3 AS n, c_custkey % 2 AS c FROM customer)"""
