@@ -41,11 +41,13 @@ def write_jsonl(frame: DataFrame, path: str, *, mode: str = "errorifexists") ->
 def write_by_file(frame: DataFrame, path: str, *, group: str, name: str, blocks: str) -> None:
     """``<group>/<name>.json`` under a folder: each page's blocks as a JSON list, an empty one where there are none.
 
-    The tasks write them, partitioned by group and name; a page of equal group and name is one file.
+    The tasks write them, partitioned by group and name; a page of equal group and name is one file.  Files cost by their
+    number, not their bytes, so the number of tasks is fixed (small ones would be put together) and each puts its own in place.
     """
+    tasks = 4 * frame.sparkSession.sparkContext.defaultParallelism
     one = frame.select(group, name, F.to_json(F.coalesce(blocks, F.array().cast("array<string>"))).alias("value"))
     first = F.row_number().over(Window.partitionBy(group, name).orderBy(F.desc(F.length("value")), "value"))
-    one.withColumn("rn", first).where("rn = 1").select(group, name, "value").repartition(group, name).write.partitionBy(group, name).mode("errorifexists").text(path)
+    one.withColumn("rn", first).where("rn = 1").select(group, name, "value").repartition(tasks, group, name).write.partitionBy(group, name).mode("errorifexists").option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
 
 
 def _pack(path: str, files: dict[str, str]) -> None:
