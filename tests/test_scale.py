@@ -25,3 +25,13 @@ def test_equal_wordings_of_links_meet_once(spark):
     got = claims.question_links(q, picked.select("n", "anchor", "url").limit(0), picked)
     assert sorted((r.n, r.anchor, r.url, r.via) for r in got.collect()) == [(n, a, "u", "picked") for n in range(3) for a in ("a0", "a1")]
     assert "LeftSemi" in plan(got) and plan(got).count("Aggregate") >= 4
+
+
+def test_search_pairs_are_not_met_by_address(spark):
+    """Addresses join nothing by themselves: 4,000 searches share one, and only those with a common word are paired."""
+    r = spark.range(4000).select("id", F.lit("u").alias("url"), F.lit("h").alias("host")).unionByName(spark.range(2).select("id", F.lit("v").alias("url"), F.lit("h").alias("host")))
+    k = spark.range(4000).select("id", F.when(F.col("id") < 3, F.array(F.lit("x"), F.lit("y"))).otherwise(F.array(F.concat(F.lit("t"), F.col("id").cast("string")))).alias("tokens"))
+    got = topics.serp_overlaps(r, k, merge=2, split=2)
+    assert sorted(map(tuple, got.select("a", "b", "shared", "decision", "suspect").collect())) == [(0, 1, 2, "merge", False), (0, 2, 1, "split", False), (1, 2, 1, "split", False)]
+    joins = [line for line in plan(got).splitlines() if "Join Inner" in line]
+    assert len(joins) == 1 and "token" in joins[0]
