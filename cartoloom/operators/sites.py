@@ -204,8 +204,8 @@ def sitemap_pages(files: DataFrame, start: str, *, depth: int = 5) -> DataFrame:
     return pages.distinct()
 
 
-def site_pages(robots: DataFrame, files: DataFrame, *, depth: int = 5, most: int = 4000) -> DataFrame:
-    """``site, url, place`` of the pages that each site's sitemaps list, in the order of first sight, at most so many a site.
+def site_pages(robots: DataFrame, files: DataFrame, *, depth: int = 5, most: int | None = 4000) -> DataFrame:
+    """``site, url, place`` of the pages that each site's sitemaps list, in the order of first sight, at most so many a site (all with None).
 
     robots: site, root, robots (text or null); files: url, xml of saved sitemaps.  A site's sitemaps are those its robots
     file names, then the usual places.  One join for each level of indexes; an index lists image, author, tag and
@@ -230,14 +230,17 @@ def site_pages(robots: DataFrame, files: DataFrame, *, depth: int = 5, most: int
         seen = seen.unionByName(level.select("site", "url"))
     # sitemaps are read level by level, so shorter ways come first
     first = pages.groupBy("site", "url").agg(F.min(F.struct(F.size("way").alias("n"), "way")).alias("way"))
-    place = F.row_number().over(Window.partitionBy("site").orderBy("way", "url"))
-    return first.withColumn("place", place).where(F.col("place") <= most).select("site", "url", "place")
+    placed = first.withColumn("place", F.row_number().over(Window.partitionBy("site").orderBy("way", "url")))
+    return (placed if most is None else placed.where(F.col("place") <= most)).select("site", "url", "place")
 
 
-def probe(pages: DataFrame, terms: Sequence[str], *, sitemap: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pages whose address or title has a term, with ``in_sitemap``; and the terms without a page.  pages: url, title."""
+def probe(pages: DataFrame, terms: Sequence[str], *, sitemap: DataFrame, key: str = "url") -> tuple[DataFrame, DataFrame]:
+    """Pages whose address or title has a term, with ``in_sitemap``; and the terms without a page.
+
+    pages: url, title and the key by which the sitemap has a page; of pages that share an address each may have its own.
+    """
     text = F.lower(F.concat_ws(" ", "url", "title"))
-    met = pages.select("url", F.explode(F.filter(F.array(*[F.lit(x) for x in terms]), lambda x: F.contains(text, F.lower(x)))).alias("term"))
-    known = sitemap.select("url").distinct().withColumn("there", F.lit(True))
+    met = pages.select(*dict.fromkeys(["url", key]), F.explode(F.filter(F.array(*[F.lit(x) for x in terms]), lambda x: F.contains(text, F.lower(x)))).alias("term"))
+    known = sitemap.select(key).distinct().withColumn("there", F.lit(True))
     every = pages.sparkSession.range(1).select(F.explode(F.array(*[F.lit(x) for x in terms])).alias("term"))
-    return met.join(known, "url", "left").select("term", "url", F.coalesce("there", F.lit(False)).alias("in_sitemap")), every.join(met, "term", "left_anti")
+    return met.join(known, key, "left").select("term", "url", F.coalesce("there", F.lit(False)).alias("in_sitemap")), every.join(met, "term", "left_anti")

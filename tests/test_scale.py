@@ -2,9 +2,13 @@
 
 import pathlib
 
+import pandas as pd
 from pyspark.sql import functions as F
 
-from cartoloom.operators import claims, topics
+from cartoloom.functions import structure
+from cartoloom.operators import claims, sites, topics
+from cartoloom.plans import catalog, work
+from cartoloom.plans import structure as structure_plans
 from cartoloom.sources import reports
 
 
@@ -35,3 +39,10 @@ def test_search_pairs_are_not_met_by_address(spark):
     assert sorted(map(tuple, got.select("a", "b", "shared", "decision", "suspect").collect())) == [(0, 1, 2, "merge", False), (0, 2, 1, "split", False), (1, 2, 1, "split", False)]
     joins = [line for line in plan(got).splitlines() if "Join Inner" in line]
     assert len(joins) == 1 and "token" in joins[0]
+
+
+def test_all_pages_of_a_site_are_listed(spark):
+    robots = spark.createDataFrame([("s", "https://s.org/", None)], "site string, root string, robots string")
+    xml = "<urlset>" + "".join(f"<loc>https://s.org/{k}</loc>" for k in range(4100)) + "</urlset>"
+    files = spark.createDataFrame([("https://s.org/sitemap.xml", xml)], "url string, xml string")
+    assert sites.site_pages(robots, files, most=None).count() == 4100 and sites.site_pages(robots, files).count() == 4000
