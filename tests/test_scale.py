@@ -46,3 +46,14 @@ def test_all_pages_of_a_site_are_listed(spark):
     xml = "<urlset>" + "".join(f"<loc>https://s.org/{k}</loc>" for k in range(4100)) + "</urlset>"
     files = spark.createDataFrame([("https://s.org/sitemap.xml", xml)], "url string, xml string")
     assert sites.site_pages(robots, files, most=None).count() == 4100 and sites.site_pages(robots, files).count() == 4000
+
+
+def _folder(tmp_path, spark, name, rows, schema):
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    return str(tmp_path)
+
+
+def test_unfinished_references_stay(spark, tmp_path):
+    page = "<html><head><title>a &amp; b&amp</title></head><body><h1>c &quot;d&quot; &am &amp</h1><p>e</p></body></html>"
+    got = structure_plans.page_readings(spark, _folder(tmp_path, spark, "pages", [(1, "https://a.org/", page)], "page_id long, url string, html string")).collect()
+    assert [(r.title, r.h1, r.words) for r in got] == [("a & b&amp", 'c "d" &am &amp', 1)]
