@@ -57,3 +57,8 @@ def test_unfinished_references_stay(spark, tmp_path):
     page = "<html><head><title>a &amp; b&amp</title></head><body><h1>c &quot;d&quot; &am &amp</h1><p>e</p></body></html>"
     got = structure_plans.page_readings(spark, _folder(tmp_path, spark, "pages", [(1, "https://a.org/", page)], "page_id long, url string, html string")).collect()
     assert [(r.title, r.h1, r.words) for r in got] == [("a & b&amp", 'c "d" &am &amp', 1)]
+
+
+def test_pages_of_one_address_are_probed_one_by_one(spark, tmp_path):
+    folder = _folder(tmp_path, spark, "pages", [(1, "https://a.org/en/x", ""), (2, "https://a.org/en/x", "")], "page_id long, url string, html string")
+    assert sorted(r.in_sitemap for r in work.probed_terms(spark, folder).collect()) == [False, True]
