@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -131,10 +131,23 @@ def _page(source: str | None) -> dict:
     }
 
 
+# Fixed value: pages read at once; what they give is handed on before the next ones are read, however long a batch is.
+_SLICE = 64
+
+
+def slices(batches: Iterator, width: int = 1) -> Iterator[tuple]:
+    """Columns of each batch in slices of a few rows."""
+    for batch in batches:
+        columns = batch if width > 1 else (batch,)
+        for at in range(0, len(columns[0]), _SLICE):
+            yield tuple(c.iloc[at : at + _SLICE] for c in columns)
+
+
 @pandas_udf(PAGE_SCHEMA)
-def parse_page(source: pd.Series) -> pd.DataFrame:
+def parse_page(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """A page as one struct."""
-    return pd.DataFrame([_page(s) for s in source], columns=["title", "canonical", "description", "robots", "words", "text", "headings", "links", "types"])
+    for (source,) in slices(batches):
+        yield pd.DataFrame([_page(s) for s in source], columns=PAGE_SCHEMA.fieldNames())
 
 
 def hrefs(source: Column) -> Column:

@@ -5,7 +5,7 @@ import pathlib
 import pandas as pd
 from pyspark.sql import functions as F
 
-from cartoloom.functions import structure
+from cartoloom.functions import pages, structure
 from cartoloom.operators import claims, sites, topics
 from cartoloom.plans import catalog, work
 from cartoloom.plans import structure as structure_plans
@@ -68,3 +68,12 @@ def test_reviews_are_told_apart_by_their_letters(spark, tmp_path):
     rows = [(1, "A b", "en", "s"), (2, "a b", "en", "s"), (3, "A  b", "en", "s"), (4, "A b", "en", "s"), (5, None, None, "s"), (6, None, None, "s")]
     folder = _folder(tmp_path, spark, "documents", rows, "doc_id long, text string, lang string, source string")
     assert sorted(r.doc_id for r in catalog.review_dedupe(spark, folder).collect()) == [1, 2, 3, 5]
+
+
+def test_pages_are_handed_on_in_small_slices():
+    batch = pd.Series(["<p>a</p>"] * 300)
+    sizes = [len(x) for x in structure.page_chunks.func(iter([batch]))]
+    parsed = [len(x) for x in pages.parse_page.func(iter([batch]))]
+    links = [len(x) for x in structure.link_classes.func(iter([(batch, batch)]))]
+    blocks = [len(x) for x in structure.page_blocks.func(iter([(batch, batch)]))]
+    assert sum(sizes) == sum(links) == sum(blocks) == sum(parsed) == 300 and max(sizes + links + blocks + parsed) <= 64
