@@ -13,25 +13,28 @@ def term_counts(docs: DataFrame, key: str, words: str) -> DataFrame:
     return docs.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, *, doc_key: str, query_key: str, words: str = "words", k1: float = 1.2, b: float = 0.75, damp_query: bool = True, k: int | None = 12) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, *, doc_key: str, query_key: str, words: str = "words", k1: float = 1.2, b: float = 0.75, damp_query: bool = True, k: int | None = 12, most_terms: int = 1_000_000) -> DataFrame:
     """``query_key, doc_key, score, rank`` with positive scores, best first, ties by document.
 
     The corpus is read once: postings of query terms alone, cut by a semi-join before anything is summed, go to a table
-    from which document frequencies and scores are taken.  With ``damp_query`` a term counts 1 + ln of its frequency in the query, else once.  Scores are
+    from which document frequencies and scores are taken.  The queries are broadcast where their terms are no more than
+    ``most_terms`` (a million), else shuffled, with the same rows; scores are then summed where a document's postings are.  With ``damp_query`` a term counts 1 + ln of its frequency in the query, else once.  Scores are
     rounded to six places before ranking, so that the order of summation cannot change ranks.
     """
-    asked = term_counts(queries, query_key, words).withColumnRenamed("tf", "qtf")
+    asked = settled(term_counts(queries, query_key, words).withColumnRenamed("tf", "qtf"))
+    near = F.broadcast if asked.count() <= most_terms else lambda frame: frame
     # one pass over the documents: the empty term stands for the document itself, its length travels with its words
     every = docs.select(doc_key, F.size(words).cast("double").alias("len"), F.explode(F.concat(words, F.array(F.lit("")))).alias("term"))
     wanted = asked.select("term").where("term <> ''").distinct().unionByName(docs.sparkSession.range(1).select(F.lit("").alias("term")))
-    stored = settled(every.join(wanted, "term", "left_semi").groupBy(doc_key, "len", "term").agg(F.count("*").alias("tf")))
+    stored = settled(every.join(near(wanted), "term", "left_semi").groupBy(doc_key, "len", "term").agg(F.count("*").alias("tf")))
     total = stored.where("term = ''").agg(F.sum("tf").alias("n"), (F.sum(F.col("len") * F.col("tf")) / F.sum("tf")).alias("mean"))
     postings = stored.where("term <> ''")
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     times = 1 + F.log("qtf") if damp_query else F.lit(1.0)
     part = weight * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean"))) * times
-    scored = postings.join(asked.join(df, "term"), "term").crossJoin(F.broadcast(total))  # total is one row
+    # of one document all postings are in one task, so sums are made there
+    scored = postings.repartition(doc_key).join(near(asked.join(near(df), "term")), "term").crossJoin(F.broadcast(total))  # total is one row
     out = scored.groupBy(query_key, doc_key).agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
     if k is None:
         return out

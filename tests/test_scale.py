@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from cartoloom.functions import pages, structure
-from cartoloom.operators import claims, sites, topics
+from cartoloom.operators import claims, search, sites, topics
 from cartoloom.plans import catalog, work
 from cartoloom.plans import structure as structure_plans
 from cartoloom.sources import reports
@@ -77,3 +77,14 @@ def test_pages_are_handed_on_in_small_slices():
     links = [len(x) for x in structure.link_classes.func(iter([(batch, batch)]))]
     blocks = [len(x) for x in structure.page_blocks.func(iter([(batch, batch)]))]
     assert sum(sizes) == sum(links) == sum(blocks) == sum(parsed) == 300 and max(sizes + links + blocks + parsed) <= 64
+
+
+def test_queries_meet_documents_in_place_or_shuffled_alike(spark):
+    words = lambda k: [f"w{(k * j) % 17}" for j in range(1, 9)]
+    docs = spark.createDataFrame([(k, words(k)) for k in range(60)], "d int, words array<string>")
+    asked = spark.createDataFrame([(k, words(k + 3)[:3]) for k in range(5)], "q int, words array<string>")
+    got, far = (search.bm25(docs, asked, doc_key="d", query_key="q", k=None, most_terms=n) for n in (100, 0))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, far.collect()))
+    # neither terms nor scores are shuffled: one exchange for the documents' postings, one for document frequencies
+    text = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "SortMergeJoin" not in text and text.count("hashpartitioning(d#") == 1 and "hashpartitioning(q#" not in text
