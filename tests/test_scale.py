@@ -88,3 +88,11 @@ def test_queries_meet_documents_in_place_or_shuffled_alike(spark):
     # neither terms nor scores are shuffled: one exchange for the documents' postings, one for document frequencies
     text = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert "SortMergeJoin" not in text and text.count("hashpartitioning(d#") == 1 and "hashpartitioning(q#" not in text
+
+
+def test_keywords_are_paired_by_many_tasks(spark):
+    """600 keywords of one page, all of one token set but two: what they read is little, so a task number of their own is kept."""
+    rows = spark.createDataFrame([(k, ["x"] if k < 2 else ["x", "y"], "/u", "generic", "", "mixed") for k in range(600)], "id long, tokens array<string>, url string, partition string, local string, intent string")
+    for got, n in ((topics.identical_tokens(rows), 1 + 598 * 597 // 2), (topics.same_url(rows, least=0.6), 1 + 598 * 597 // 2), (topics.same_url(rows, least=0.5), 600 * 599 // 2)):
+        tasks = got.select(F.spark_partition_id().alias("t")).groupBy("t").count().collect()
+        assert sum(r["count"] for r in tasks) == n and len(tasks) > 4
