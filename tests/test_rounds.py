@@ -76,6 +76,24 @@ def test_components_of_chains_hubs_and_loops(spark):
     assert got == label
 
 
+def test_ties_take_no_rounds(spark, monkeypatch):
+    """30 groups of six equal judgements each, and unions in a chain of 40: decided inside tasks, and in rounds with the same rows."""
+    nodes = [(f"{t:02d}-{k}", "b" if k == 5 else "a") for t in range(30) for k in range(6)]
+    links_ = [(f"{t:02d}-{a}", f"{t:02d}-{b}", 0.75, 1, t % 3 == 0 and (a, b) == (0, 1)) for t in range(30) for a in range(6) for b in range(a + 1, 6)]
+    nodes_, pairs = spark.createDataFrame(nodes, "node string, wall string"), spark.createDataFrame(links_, "a string, b string, total double, n int, veto boolean")
+    chain = spark.createDataFrame([(k, [] if k % 9 else ["x" if k % 2 else "y"]) for k in range(41)], "node long, kinds array<string>")
+    wanted = spark.createDataFrame([(k, k + 1, k, k + 1) for k in range(40)], "a long, b long, i long, j long")
+    written = []
+    monkeypatch.setattr(graph, "settled", lambda frame, own=graph.settled: written.append(1) or own(frame))
+    got, joined = linkage_rows(graph.linkage(nodes_, pairs)), linkage_rows(graph.ordered_union(chain, wanted))
+    assert len(written) < 60
+    rows = [(n, w) for n, w in nodes if n < "03"]
+    monkeypatch.setattr(graph, "SMALL", 3)
+    few = linkage_rows(graph.linkage(spark.createDataFrame(rows, "node string, wall string"), pairs))
+    assert few == [g for g in got if g[0] < "03"] and linkage_rows(graph.ordered_union(chain.where("node < 12"), wanted)) == [[*range(9)], [9, 10, 11]]
+    assert len(got) == 70 and joined == [[*range(9)], [*range(9, 18)], [*range(18, 27)], [*range(27, 36)], [*range(36, 41)]]
+
+
 def test_numbers_without_one_task_for_all(spark):
     rows = spark.range(5000).select(F.col("id"), F.pmod(F.hash("id"), F.lit(40)).alias("k")).repartition(7)
     got = [r.id for r in clusters.numbered(rows, [F.desc("k"), F.asc("id")]).orderBy("place").collect()]
