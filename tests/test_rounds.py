@@ -94,6 +94,11 @@ def test_ties_take_no_rounds(spark, monkeypatch):
     assert len(got) == 70 and joined == [[*range(9)], [*range(9, 18)], [*range(18, 27)], [*range(27, 36)], [*range(36, 41)]]
 
 
+def test_components_name_each_node_once(spark):
+    pairs = spark.range(60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert sorted((r.node, r.component) for r in graph.components(pairs).collect()) == [(k, 0) for k in range(61)]
+
+
 def test_numbers_without_one_task_for_all(spark):
     rows = spark.range(5000).select(F.col("id"), F.pmod(F.hash("id"), F.lit(40)).alias("k")).repartition(7)
     got = [r.id for r in clusters.numbered(rows, [F.desc("k"), F.asc("id")]).orderBy("place").collect()]

@@ -5,9 +5,9 @@ import pathlib
 import pandas as pd
 from pyspark.sql import functions as F
 
-from cartoloom.functions import pages, structure
+from cartoloom.functions import pages, structure, text
 from cartoloom.operators import claims, search, sites, topics
-from cartoloom.plans import catalog, work
+from cartoloom.plans import catalog, planning, work
 from cartoloom.plans import structure as structure_plans
 from cartoloom.sources import reports
 
@@ -96,3 +96,15 @@ def test_keywords_are_paired_by_many_tasks(spark):
     for got, n in ((topics.identical_tokens(rows), 1 + 598 * 597 // 2), (topics.same_url(rows, least=0.6), 1 + 598 * 597 // 2), (topics.same_url(rows, least=0.5), 600 * 599 // 2)):
         tasks = got.select(F.spark_partition_id().alias("t")).groupBy("t").count().collect()
         assert sum(r["count"] for r in tasks) == n and len(tasks) > 4
+
+
+def test_words_of_runs_are_split_once(spark):
+    rows = spark.createDataFrame([("a b la c 1 2 a b",), (None,), ("a",)], "text string").select(text.ngrams(text.ascii_words(F.col("text")), 2, ["la"]).alias("g"))
+    assert [r.g for r in rows.collect()] == [["a b", "c 1", "2 a"], [], []] and plan(rows).count("split(") == 1
+
+
+def test_edges_are_made_by_many_tasks(spark, tmp_path):
+    folder = _folder(tmp_path, spark, "part", [(k, "x") for k in range(2000)], "p_partkey long, p_type string")
+    edges = planning._edges(spark, folder)
+    tasks = edges.select(F.spark_partition_id().alias("t")).groupBy("t").count().collect()
+    assert sum(r["count"] for r in tasks) == 2000 * 40 - 40 * 41 // 2 and len(tasks) > 16
