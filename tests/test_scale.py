@@ -1,6 +1,7 @@
 """What grew faster than its input, or was cut: each test fails on the code before."""
 
 import pathlib
+import random
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -108,3 +109,13 @@ def test_edges_are_made_by_many_tasks(spark, tmp_path):
     edges = planning._edges(spark, folder)
     tasks = edges.select(F.spark_partition_id().alias("t")).groupBy("t").count().collect()
     assert sum(r["count"] for r in tasks) == 2000 * 40 - 40 * 41 // 2 and len(tasks) > 16
+
+
+def test_questions_meet_in_blocks(spark):
+    """No pair that only shares a word is shuffled; rows are those of the plain rule, for equal wordings, empty and null ones too."""
+    rng = random.Random(4)
+    rows = [(k, f"q{k % 37}", rng.sample([f"w{j}" for j in range(30)], rng.randrange(0, 9)) or None) for k in range(90)] + [(90, None, ["only"]), (91, None, [])]
+    got = claims.near_questions(spark.createDataFrame(rows, "n int, question string, tokens array<string>"), least=0.4)
+    like = lambda a, b: len({*a} & {*b}) / len({*a} | {*b}) >= 0.4 if a and b else False
+    assert sorted(map(tuple, got.collect())) == [(a, b) for a, q, s in rows for b, r, t in rows if a < b and ((q == r and q is not None) or like(s, t))]
+    assert "FlatMapGroupsInArrow" in plan(got) and plan(got).count("Join Inner") <= 3
