@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,16 +61,67 @@ def unit(v):
     return F.when(size > 0, F.transform(v, lambda x: x / size)).otherwise(F.transform(v, lambda x: x.cast("double")))
 
 
+#: Vectors of one cell, and anchors of one cell.
+VECTORS, ANCHORS = 8192, 2048
+
+
+def _nearest(floor: float, k: int) -> Callable[[pa.Table], pa.Table]:
+    """The k nearest of a cell's anchors among its other rows, by matrix products of 128 anchors at a time."""
+
+    def matrix(rows: pa.Table) -> np.ndarray:
+        v = rows["v"].combine_chunks()
+        v = np.concatenate([x.flatten().to_numpy() for x in getattr(v, "chunks", [v])]).reshape(len(rows), -1)
+        return v
+
+    def run(cell: pa.Table) -> pa.Table:
+        own = cell["own"].to_numpy()
+        left, right = cell.filter(pa.array(own)), cell.filter(pa.array(~own))
+        out = []
+        if left.num_rows and right.num_rows:
+            (u, v), (anchor, other) = (matrix(x) for x in (left, right)), (x["id"].to_numpy() for x in (left, right))
+            order = np.argsort(other, kind="stable")
+            v, other = v[order], other[order]
+            for lo in range(0, len(u), 128):
+                exact = u[lo : lo + 128] @ v.T
+                cosine = np.copysign(np.floor(np.abs(exact) * 1e6 + 0.5), exact) / 1e6  # halves away from zero
+                for id_, row in zip(anchor[lo : lo + 128], cosine, strict=True):
+                    hit = np.flatnonzero(((row >= floor) | np.isnan(row)) & (other != id_))
+                    value = np.where(np.isnan(row[hit]), np.inf, row[hit])
+                    if len(hit) > k:  # those below the k-th are out; equal ones stay in the order of their ids
+                        least = np.partition(value, len(hit) - k)[len(hit) - k]
+                        hit, value = hit[value >= least], value[value >= least]
+                        hit = hit[np.argsort(-value, kind="stable")[:k]]
+                    out.append((np.full(len(hit), id_), other[hit], row[hit]))
+        a, o, c = (np.concatenate([x[n] for x in out]) if out else np.array([], kind) for n, kind in enumerate((np.int64, np.int64, np.float64)))
+        return pa.table({"anchor": pa.array(a, pa.int64()), "other": pa.array(o, pa.int64()), "cosine": pa.array(c, pa.float64())})
+
+    return run
+
+
 def neighbours(vectors: DataFrame, anchors: DataFrame, *, key: str, block: str, vector: str, floor: float = 0.5, k: int = 10) -> DataFrame:
-    """The k nearest of every anchor within its block by cosine, from a floor on; ties by key.
+    """The k nearest of every anchor within its block by cosine, from a floor on; ties by key (a whole number).
 
-    A stated set of anchors against all rows of the same block; the anchors are the small side.
+    A stated set of anchors against all rows of the same block.  A block's anchors and vectors are dealt to parts, of
+    which every two meet in a cell that keeps the k best of each anchor; the best of all cells are ranked.  Vectors of
+    different lengths or with nulls have no cosine.
     """
-    right = vectors.select(F.col(key).alias("other"), block, unit(F.col(vector)).alias("v"))
-    left = anchors.select(F.col(key).alias("anchor"), block, unit(F.col(vector)).alias("u"))
-    pairs = right.join(left, block).where("anchor <> other").select("anchor", "other", F.round(dot(F.col("u"), F.col("v")), 6).alias("cosine")).where(F.col("cosine") >= floor)
+
+    def rows(frame: DataFrame) -> DataFrame:
+        v = frame.select(F.col(key).cast("long").alias("id"), F.col(block).alias("block"), F.size(vector).alias("dims"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+        return v.where(F.col("id").isNotNull() & F.col("block").isNotNull() & (F.col("dims") > 0) & ~F.exists("v", lambda x: x.isNull())).select("id", "block", "dims", unit(F.col("v")).alias("v"))
+
+    right, left = settled(rows(vectors)), settled(rows(anchors))
+    parts = lambda frame, most: max(1, -(-int(frame.groupBy("block", "dims").count().agg(F.max("count")).first()[0] or 0) // most))
+    across, down = parts(right, VECTORS), parts(left, ANCHORS)
+    part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    cells = right.select("*", F.lit(False).alias("own"), part(across).alias("x"), every(down).alias("y")).unionByName(left.select("*", F.lit(True).alias("own"), every(across).alias("x"), part(down).alias("y")))
+    tasks = 8 * vectors.sparkSession.sparkContext.defaultParallelism
+    dealt = cells.repartition(tasks, "block", "dims", "x", "y")
+    best = dealt.groupBy("block", "dims", "x", "y").applyInArrow(_nearest(floor, k), "anchor long, other long, cosine double")
     rank = F.row_number().over(Window.partitionBy("anchor").orderBy(F.desc("cosine"), "other"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+    kind = dict(vectors.dtypes)[key]
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("anchor").cast(kind).alias("anchor"), F.col("other").cast(kind).alias("other"), "cosine", "rank")
 
 
 def log_odds(counts: DataFrame, *, term: str = "term", positive: str = "y_pos", negative: str = "y_neg", n_pos, n_neg, alpha: float = 0.5, least: int = 2) -> DataFrame:

@@ -119,3 +119,20 @@ def test_questions_meet_in_blocks(spark):
     like = lambda a, b: len({*a} & {*b}) / len({*a} | {*b}) >= 0.4 if a and b else False
     assert sorted(map(tuple, got.collect())) == [(a, b) for a, q, s in rows for b, r, t in rows if a < b and ((q == r and q is not None) or like(s, t))]
     assert "FlatMapGroupsInArrow" in plan(got) and plan(got).count("Join Inner") <= 3
+
+
+def test_neighbours_meet_in_cells(spark, monkeypatch):
+    """Vectors and anchors in several parts give the plain rule's rows, equal ones by key; no pair of rows is joined."""
+    monkeypatch.setattr(search, "VECTORS", 7)
+    monkeypatch.setattr(search, "ANCHORS", 3)
+    rng = random.Random(6)
+    rows = [(k, k % 2, [float(rng.randrange(-2, 3)) for _ in range(3)]) for k in range(60)] + [(60, 0, None), (61, None, [1.0, 0.0, 0.0]), (62, 0, [1.0, None, 0.0])]
+    v = spark.createDataFrame(rows, "id int, b int, v array<double>")
+    got = search.neighbours(v, v.where("id % 4 = 0"), key="id", block="b", vector="v", floor=0.1, k=4)
+    size = lambda x: sum(t * t for t in x) ** 0.5
+    cosine = lambda x, y: round(sum(s * t for s, t in zip(x, y, strict=True)) / (size(x) * size(y)), 6) if size(x) and size(y) else 0.0
+    want = []
+    for k, b, x in rows[:60:4]:
+        best = sorted((-cosine(x, y), o) for o, c, y in rows[:60] if c == b and o != k and cosine(x, y) >= 0.1)[:4]
+        want += [(k, o, -c, n) for n, (c, o) in enumerate(best, 1)]
+    assert sorted(map(tuple, got.collect())) == sorted(want) and "Join" not in plan(got)
