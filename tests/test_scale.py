@@ -4,10 +4,12 @@ import pathlib
 import random
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
+from test_rounds import plain_selection
 
 from cartoloom.functions import pages, structure, text
-from cartoloom.operators import claims, search, sites, topics
+from cartoloom.operators import claims, graph, search, sites, topics
 from cartoloom.plans import catalog, planning, work
 from cartoloom.plans import structure as structure_plans
 from cartoloom.sources import reports
@@ -136,3 +138,35 @@ def test_neighbours_meet_in_cells(spark, monkeypatch):
         best = sorted((-cosine(x, y), o) for o, c, y in rows[:60] if c == b and o != k and cosine(x, y) >= 0.1)[:4]
         want += [(k, o, -c, n) for n, (c, o) in enumerate(best, 1)]
     assert sorted(map(tuple, got.collect())) == sorted(want) and "Join" not in plan(got)
+
+
+def shuffled(spark):
+    """Rows written for shuffles so far."""
+    context = spark.sparkContext
+    store = context._jsc.sc().statusStore()
+    stages = store.stageList(context._jvm.java.util.ArrayList(), False, False, context._gateway.new_array(context._jvm.double, 0), context._jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def _candidates(spark, seed, n, anchors):
+    rng = random.Random(seed)
+    rows = [{"id": k, "site": rng.choice(["s", "t", None]), "source": rng.randrange(n // 8), "target": rng.randrange(1, n // 8), "anchor": f"a{rng.randrange(anchors)}", "sentence": rng.randrange(9), "score": rng.randrange(n // 2) / n, "first_reason": None, "second_reason": None, "owner": None} for k in range(n)]
+    return rows, spark.createDataFrame([tuple(r.values()) for r in rows], "id int, site string, source int, target int, anchor string, sentence int, score double, first_reason string, second_reason string, owner string").coalesce(1)
+
+
+def test_link_candidates_stay_where_they_are(spark, monkeypatch):
+    """Six anchors: their owners rule out nearly all candidates, and only the neighbours of the others are shuffled."""
+    monkeypatch.setattr(graph, "FEW", 400, raising=False)
+    rows, table = _candidates(spark, 1, 4000, 6)
+    before = shuffled(spark)
+    got = {r.id: r.drop_reason for r in graph.select_links(table.na.fill("u", ["site"])).collect()}
+    assert shuffled(spark) - before < 4000
+    assert got == plain_selection([r | {"site": r["site"] or "u"} for r in rows], 5, 10)
+
+
+@pytest.mark.parametrize("few", [0, 40, 100_000])
+def test_links_are_selected_alike_with_many_open(spark, monkeypatch, few):
+    """Sites without a name are one site (before, they never came to an end)."""
+    monkeypatch.setattr(graph, "FEW", few)
+    rows, table = _candidates(spark, 2, 240, 70)
+    assert {r.id: r.drop_reason for r in graph.select_links(table, per_source=2, per_target=3).collect()} == plain_selection(rows, 2, 3)
