@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -127,6 +128,23 @@ def test_repeats(docs, rows, empty, bound, monkeypatch):
     assert repeats.remove_repeats(empty).count() == 0
 
 
+def test_large_classes_leave_the_other_strings_where_they_are(docs, rows, monkeypatch):
+    plans = []
+    stored = repeats.stored
+
+    def seen(frame, **kwargs):
+        if "large" in frame.columns:
+            plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return stored(frame, **kwargs)
+
+    monkeypatch.setattr(repeats, "CLASS", 1000)
+    monkeypatch.setattr(repeats, "stored", seen)
+    twice = docs.unionByName(docs)  # each string is fetched more than once
+    got = repeats.digest(repeats.remove_repeats(twice, length=400)).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == plain_repeats(rows * 2, 400)
+    assert len(plans) == 1 and not re.search(r"hashpartitioning\(g#\d+L, r#\d+L", plans[0].partition("Generate")[0])
+
+
 def test_halves_keep_every_window_once():
     rng = random.Random(1)
     for _ in range(300):
