@@ -170,3 +170,20 @@ def test_links_are_selected_alike_with_many_open(spark, monkeypatch, few):
     monkeypatch.setattr(graph, "FEW", few)
     rows, table = _candidates(spark, 2, 240, 70)
     assert {r.id: r.drop_reason for r in graph.select_links(table, per_source=2, per_target=3).collect()} == plain_selection(rows, 2, 3)
+
+
+@pytest.mark.parametrize("bits", [64, 256])
+def test_searches_meet_in_blocks_by_bits(spark, monkeypatch, bits):
+    """More and fewer addresses than bits, words of many blocks: rows are those of the plain rule, and a pair compares no word sets."""
+    monkeypatch.setattr(topics, "BITS", bits)
+    monkeypatch.setattr(topics, "HELD", 4)
+    rng = random.Random(8)
+    found = {k: {f"u{rng.randrange(90)}" for _ in range(rng.randrange(0, 6))} for k in range(120)}
+    words = {k: rng.sample([f"w{j}" for j in range(7)], rng.randrange(0, 4)) for k in range(130)} | {7: ["own"], 8: ["rare", "w1"], 9: ["rare", "w1"]}
+    r = spark.createDataFrame([(k, u, "h") for k, x in found.items() for u in x] + [(k, "u1", "p.com") for k in found] + [(0, None, "h"), (1, "u2", None)], "id long, url string, host string")
+    k = spark.createDataFrame([(k, [*x, None]) for k, x in words.items()] + [(5, None)], "id long, tokens array<string>")
+    both = [(a, b, len(found[a] & found[b])) for a in found for b in found if a < b and {*words[a]} & {*words[b]}]
+    company = {x for a, b, n in both if n for x in (a, b)}
+    wanted = [(a, b, n, "keep" if not {a, b} <= company else "merge" if n >= 2 else "split" if n < 1 else "keep", not {a, b} <= company) for a, b, n in both]
+    got = topics.serp_overlaps(r, k, platforms=["p.com"], merge=2, split=1)
+    assert sorted(map(tuple, got.collect())) == sorted(wanted) and len({d for *_, d, _ in wanted}) == 3 and "array_min" not in plan(got)
