@@ -187,3 +187,15 @@ def test_searches_meet_in_blocks_by_bits(spark, monkeypatch, bits):
     wanted = [(a, b, n, "keep" if not {a, b} <= company else "merge" if n >= 2 else "split" if n < 1 else "keep", not {a, b} <= company) for a, b, n in both]
     got = topics.serp_overlaps(r, k, platforms=["p.com"], merge=2, split=1)
     assert sorted(map(tuple, got.collect())) == sorted(wanted) and len({d for *_, d, _ in wanted}) == 3 and "array_min" not in plan(got)
+
+
+def test_keyword_sets_are_numbered(spark, monkeypatch):
+    """Rows are those of the plain rule, blocks or none, words with blanks and missing intents too; no set of words is shuffled for a pair."""
+    monkeypatch.setattr(topics, "HELD", 5)
+    rng = random.Random(9)
+    sets = [["x"], ["x", "y"], ["x y"], []]
+    rows = [(k, rng.choice(sets), rng.choice(["generic", "own-brand", "branded"]), rng.choice(["", "", None]), rng.choice(["mixed", "commercial", "informational", None])) for k in range(150)]
+    got = topics.identical_tokens(spark.createDataFrame(rows, "id long, tokens array<string>, partition string, local string, intent string"))
+    fits = lambda x, y: "mixed" in (x, y) or (x == y and x is not None)
+    wanted = [(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] and a[1:4] == b[1:4] and a[2] != "own-brand" and a[3] is not None and fits(a[4], b[4])]
+    assert sorted((r.a, r.b) for r in got.collect()) == wanted and len(wanted) > 100
