@@ -67,7 +67,7 @@ def blocks_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = t(spark, sf_dir, "pages").select(c("kind", k % 4).alias("kind"), c("p", k).alias("name"), F.when(k % 3 > 0, F.array(c("b", k))).alias("blocks"))
     path = scratch(spark, "blocks")
     reports.write_by_file(p, path, group="kind", name="name", blocks="blocks")
-    return spark.read.text(path).select("kind", "name", "value")
+    return reports.read_by_file(spark, path, group="kind", name="name")
 
 
 @query("""SELECT n_name AS value FROM nation WHERE n_nationkey % 3 > 0""")

@@ -8,12 +8,19 @@ from __future__ import annotations
 
 import html
 import json
+import os
 import re
+import uuid
 import zipfile
+import zlib
+from collections.abc import Iterator
 from pathlib import Path
+from urllib.parse import unquote, urlsplit
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,16 +45,84 @@ def write_jsonl(frame: DataFrame, path: str, *, mode: str = "errorifexists") ->
     frame.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
+#: The name that Spark gives to a folder without a value, and what it escapes in those with one.
+_NONE, _ESCAPED = "__HIVE_DEFAULT_PARTITION__", re.compile("[\x00-\x1f\"#%'*/:=?\\\\\x7f{\\[\\]^]")
+#: Slices of each group's files that tasks read.
+SLICES = 32
+
+
+def _folder(column: str, value: str | None) -> str:
+    return f"{column}=" + (_ESCAPED.sub(lambda m: f"%{ord(m[0]):02X}", value) if value else _NONE)
+
+
+def _local(path: str) -> str | None:
+    """The path as the operating system has it; None where it is not a file system that driver and executors mount."""
+    at = urlsplit(path)
+    return unquote(at.path) if at.scheme == "file" else path if not at.scheme else None
+
+
 def write_by_file(frame: DataFrame, path: str, *, group: str, name: str, blocks: str) -> None:
     """``<group>/<name>.json`` under a folder: each page's blocks as a JSON list, an empty one where there are none.
 
     The tasks write them, partitioned by group and name; a page of equal group and name is one file.  Files cost by their
-    number, not their bytes, so the number of tasks is fixed (small ones would be put together) and each puts its own in place.
+    number, not their bytes, so the number of tasks is fixed (small ones would be put together), and on a mounted folder
+    tasks make the files themselves, since Spark's writer starts a process or two for each; elsewhere Spark's writer does it.
     """
-    tasks = 4 * frame.sparkSession.sparkContext.defaultParallelism
+    tasks, root = 4 * frame.sparkSession.sparkContext.defaultParallelism, _local(path)
     one = frame.select(group, name, F.to_json(F.coalesce(blocks, F.array().cast("array<string>"))).alias("value"))
     first = F.row_number().over(Window.partitionBy(group, name).orderBy(F.desc(F.length("value")), "value"))
-    one.withColumn("rn", first).where("rn = 1").select(group, name, "value").repartition(tasks, group, name).write.partitionBy(group, name).mode("errorifexists").option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
+    one = one.withColumn("rn", first).where("rn = 1").select(group, name, "value").repartition(tasks, group, name)
+    if root is None:
+        one.write.partitionBy(group, name).mode("errorifexists").option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
+        return
+    os.makedirs(root)
+    job = uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file = f"part-{TaskContext.get().partitionId():05d}-{job}.txt"
+        for batch in batches:
+            for g, n, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                at = os.path.join(root, _folder(group, g), _folder(name, n))
+                os.makedirs(at, exist_ok=True)
+                with open(os.path.join(at, file), "w", encoding="utf-8", newline="") as out:
+                    out.write(value + "\n")
+            yield pa.record_batch({"n": pa.array([batch.num_rows], pa.int64())})
+
+    one.select(F.col(group).cast("string"), F.col(name).cast("string"), "value").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    Path(root, "_SUCCESS").touch()
+
+
+def read_by_file(spark: SparkSession, path: str, *, group: str, name: str) -> DataFrame:
+    """``group, name, value`` for each line of the files that ``write_by_file`` wrote.
+
+    On a mounted folder tasks list and read a slice of a group's files each, so the driver lists the groups alone.
+    """
+    root = _local(path)
+    if root is None:
+        return spark.read.text(path).select(group, name, "value")
+    slices = SLICES
+    groups = [f for f in sorted(os.listdir(root)) if f.startswith(f"{group}=")]
+    parts = spark.createDataFrame([(f,) for f in groups], "folder string").select("folder", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
+    told = lambda folder, column: None if folder == _folder(column, None) else unquote(folder[len(column) + 1 :])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder, k in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows: list[tuple] = []
+                with os.scandir(os.path.join(root, folder)) as names:
+                    mine = (e for e in names if e.name.startswith(f"{name}=") and zlib.crc32(e.name.encode()) % slices == k)
+                    for e in mine:
+                        for f in os.listdir(e.path):
+                            if not f.startswith(("_", ".")):
+                                with open(os.path.join(e.path, f), encoding="utf-8", newline="\n") as text:
+                                    rows += [(told(folder, group), told(e.name, name), line.rstrip("\r\n")) for line in text]
+                        if len(rows) >= 1000:
+                            yield pa.record_batch([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=[group, name, "value"])
+                            rows = []
+                if rows:
+                    yield pa.record_batch([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=[group, name, "value"])
+
+    return parts.repartition(4 * spark.sparkContext.defaultParallelism, "folder", "slice").mapInArrow(run, f"`{group}` string, `{name}` string, value string")
 
 
 def _pack(path: str, files: dict[str, str]) -> None:

@@ -199,3 +199,18 @@ def test_keyword_sets_are_numbered(spark, monkeypatch):
     fits = lambda x, y: "mixed" in (x, y) or (x == y and x is not None)
     wanted = [(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] and a[1:4] == b[1:4] and a[2] != "own-brand" and a[3] is not None and fits(a[4], b[4])]
     assert sorted((r.a, r.b) for r in got.collect()) == wanted and len(wanted) > 100
+
+
+def test_files_are_made_and_read_by_the_tasks(spark, tmp_path):
+    """The folders are those that Spark's writer makes, odd names too; what is read is what was written, and no driver lists the files."""
+    names = ["a", "a b", "x/y", "50%", "a=b", "[1]", "é:#", 'q"', "", None, "back\\slash", "t\tab", "+"]
+    rows = spark.createDataFrame([(g, n, [f"{g} {n} ", "z"]) for g in ("k", None, "g/1") for n in names] + [("k", "a", ["z"])], "kind string, name string, blocks array<string>")
+    reports.write_by_file(rows, str(tmp_path / "out"), group="kind", name="name", blocks="blocks")
+    rows.where("size(blocks) > 1").dropDuplicates(["kind", "name"]).selectExpr("kind", "name", "to_json(blocks) value").write.partitionBy("kind", "name").text(str(tmp_path / "plain"))
+    folders = lambda at: sorted(str(p.relative_to(tmp_path / at)) for p in pathlib.Path(tmp_path / at).glob("*/*") if p.is_dir())
+    assert folders("out") == folders("plain")
+    got = reports.read_by_file(spark, "file://" + str(tmp_path / "out"), group="kind", name="name").collect()
+    named = {(r.kind, r.name) for r in got}
+    assert named == {(g, n or None) for g in ("k", None, "g/1") for n in names} and len([r for r in got if (r.kind, r.name) == ("k", "a b")]) == 1
+    with pytest.raises(FileExistsError):
+        reports.write_by_file(rows, str(tmp_path / "out"), group="kind", name="name", blocks="blocks")
